@@ -57,17 +57,17 @@ def regroup_long(results: Column) -> Column:
 
     Repeated transcripts stay; they are separate segments.
     """
-    spoken = transcripts_of(results)
+    ends = F.transform(results, lambda r: r["resultEndTime"])
+    starts = F.slice(F.concat(F.array(F.lit(FIRST_START)), ends), 1, F.size(results))
 
-    def segment(result: Column, i: Column) -> Column:
-        before = F.when(i == 0, F.lit(FIRST_START)).otherwise(F.get(results, i - 1)["resultEndTime"])
+    def segment(result: Column, start: Column) -> Column:
         return F.struct(
-            F.get(spoken, i).alias("text"),
-            before.alias("start_time"),
+            F.get(result["alternatives"], 0)["transcript"].alias("text"),
+            start.alias("start_time"),
             result["resultEndTime"].alias("end_time"),
         )
 
-    return F.transform(results, segment)
+    return F.zip_with(results, starts, segment)
 
 
 def regroup_long_rows(

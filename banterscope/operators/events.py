@@ -15,8 +15,13 @@ RowHook = Callable[[DataFrame], DataFrame]
 
 
 def parse_events(messages: DataFrame, value: str = "value", into: str = "event") -> DataFrame:
-    """Add the parsed record; it is NULL for a message that is no JSON object."""
-    return messages.withColumn(into, records.parse_record(F.col(value)))
+    """Add the parsed record; it is NULL for a message that is no JSON object.
+
+    The record comes out of a generator, which no later filter moves across: without it,
+    every filter on the record would repeat the parsing on its way down to the scan.
+    """
+    parsed = F.explode_outer(F.array(records.parse_record(F.col(value))))
+    return messages.select("*", parsed.alias(into))
 
 
 def quarantine(parsed: DataFrame, event: str = "event") -> DataFrame:
@@ -73,16 +78,16 @@ def score_messages(events: DataFrame, scorer: Scorer, cfg: PipelineConfig) -> Da
         present = F.map_contains_key(segment, key)
         return F.when(present, records.get_string(segment, key)).otherwise("")
 
-    def sentence(segment: Column, index: Column) -> Column:
-        score = F.get("_scores", index)
+    def sentence(part: Column) -> Column:
         return F.struct(
-            time_of(segment, "start_time").alias("start_time"),
-            time_of(segment, "end_time").alias("end_time"),
-            F.get("_texts", index).alias("text"),
-            score["score"].alias("score"),
-            score["detail"].alias("detail"),
+            time_of(part["_segments"], "start_time").alias("start_time"),
+            time_of(part["_segments"], "end_time").alias("end_time"),
+            part["_texts"].alias("text"),
+            part["_scores"]["score"].alias("score"),
+            part["_scores"]["detail"].alias("detail"),
         )
 
+    parts = F.arrays_zip("_segments", "_texts", "_scores")
     nothing = F.lit(None).cast("string")
     fallback = F.array(
         F.struct(
@@ -95,7 +100,7 @@ def score_messages(events: DataFrame, scorer: Scorer, cfg: PipelineConfig) -> Da
     )
     return flagged.withColumn(
         "sentences",
-        F.when(F.col("is_fallback"), fallback).otherwise(F.transform("_segments", sentence)),
+        F.when(F.col("is_fallback"), fallback).otherwise(F.transform(parts, sentence)),
     ).drop("_segments", "_texts", "_scores")
 
 
@@ -142,8 +147,13 @@ def as_bytes(envelopes: DataFrame, column: str = "envelope", into: str = "value"
 
 
 def explode_sentences(scored: DataFrame) -> DataFrame:
-    """One row per sentence; a message without sentences gives no row."""
-    return scored.withColumn("sentence", F.explode("sentences")).drop("sentences")
+    """One row per sentence; a message without sentences gives no row.
+
+    ``explode`` would first filter on the size of the list and so compute it twice;
+    ``explode_outer`` does not, and its empty rows are dropped after it.
+    """
+    exploded = scored.withColumn("sentence", F.explode_outer("sentences")).drop("sentences")
+    return exploded.where(F.col("sentence").isNotNull())
 
 
 def warehouse_rows(scored: DataFrame) -> DataFrame:
@@ -176,7 +186,7 @@ def post_process(scored: DataFrame, hook: RowHook | None = None) -> DataFrame:
 def callback_outbox(envelopes: DataFrame, envelope: str = "envelope") -> DataFrame:
     """One ``(callback_url, payload)`` row per envelope entry that names a callback."""
     entries = F.try_variant_get(F.try_parse_json(F.col(envelope)), "$", "array<variant>")
-    exploded = envelopes.select(F.explode(entries).alias("entry"))
+    exploded = envelopes.select(F.explode_outer(entries).alias("entry"))
     return exploded.select(
         F.try_variant_get("entry", "$.callback_url", "string").alias("callback_url"),
         F.to_json("entry").alias("payload"),

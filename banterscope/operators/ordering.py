@@ -1,40 +1,58 @@
 """Look-back over ordered groups of any size.
 
 A plain ``lag`` over ``partitionBy(key)`` puts a whole group into one task. Here a group
-is cut into slices of its order, each slice is a task's worth, and only the last row of
-every slice travels on to the next one.
+is cut into slices of its order, each slice is a task's worth, and only the first and the
+last row of every slice meet again in a second pass.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
 def with_previous(
-    df: DataFrame, keys: list[str], order: str, slice_of: Column, value: Column, into: str
+    df: DataFrame,
+    keys: list[str],
+    order: str,
+    slice_of: Column,
+    value: Column,
+    into: str,
+    wanted: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
     """Add ``into``: ``value`` of the previous row of the group, NULL for its first row.
 
-    ``slice_of`` must not fall as ``order`` rises, and ``keys`` plus ``order`` identify a
-    row. Keys must not be NULL. The rows are shuffled once, by keys and slice; the last
-    row per slice is all that is shuffled by key alone.
+    ``slice_of`` must not fall as ``order`` rises; ``order`` is never NULL, and ``keys``
+    plus ``order`` identify a row. The input is read once. The first pass works within
+    slices. The second one brings together only the two edge rows of each slice of a
+    group; the other rows keep what the first pass found and stay spread by slice.
+
+    ``wanted`` takes the previous value and tells which rows the caller needs. It is
+    applied to rows inside a slice before the second pass; edge rows always go on, so the
+    caller applies it once more to the result.
     """
-    by_slice = [*keys, "_slice"]
+    inside = W.partitionBy(*keys, "_slice").orderBy(order)
     rows = (
         df.withColumn("_slice", slice_of)
         .withColumn("_value", F.struct(value.alias("v")))
-        .repartition(*by_slice)
+        .withColumn("_inside", F.lag("_value").over(inside))
+        .withColumn("_is_last", F.lead(order).over(inside).isNull())
     )
-    inside = F.lag("_value").over(W.partitionBy(*by_slice).orderBy(order))
-    last = rows.groupBy(*by_slice).agg(F.max_by("_value", order).alias("_last"))
-    carried = last.withColumn("_last", F.lag("_last").over(W.partitionBy(*keys).orderBy("_slice")))
+    is_first = F.col("_inside").isNull()
+    is_edge = is_first | F.col("_is_last")
+    if wanted is not None:
+        rows = rows.where(is_edge | F.coalesce(wanted(F.col("_inside.v")), F.lit(False)))
+    # Edge rows share the NULL place of their group; all others stay with their slice.
+    placed = rows.withColumn("_place", F.when(~is_edge, F.col("_slice")))
+    across = W.partitionBy(*keys, "_place").orderBy(order)
+    found = F.when(is_first, F.col("_across")).otherwise(F.col("_inside"))
     return (
-        rows.withColumn("_inside", inside)
-        .join(carried, by_slice, "left")
-        .withColumn(into, F.coalesce("_inside", "_last")["v"])
-        .drop("_slice", "_value", "_inside", "_last")
+        placed.withColumn("_across", F.lag("_value").over(across))
+        .withColumn(into, found["v"])
+        .drop("_slice", "_value", "_inside", "_is_last", "_place", "_across")
     )
 
 

@@ -61,13 +61,18 @@ class LexiconScorer:
         return [F.least(self.base + self.per_hit * n, F.lit(self.ceiling)) for n in counts]
 
     def attach(self, df: DataFrame, texts: str, into: str) -> DataFrame:
-        found = F.transform(texts, self.hits)
+        # One step per stage, each over the array of the one before: nothing is computed
+        # twice, and no step looks back into an outer array.
+        probs = F.transform(F.transform(texts, self.hits), self._probability_struct)
         payloads = F.transform(
-            found,
-            lambda hits: F.when(hits.isNotNull(), probability.score_payload(self.probabilities(hits))),
+            probs, lambda p: F.when(p.isNotNull(), probability.score_payload([p[f"p{i}"] for i in range(3)]))
         )
         return df.withColumn(into, payloads)
 
+    def _probability_struct(self, hits: Column) -> Column:
+        named = [p.alias(f"p{i}") for i, p in enumerate(self.probabilities(hits))]
+        return F.when(hits.isNotNull(), F.struct(*named))
+
     def score_rows(self, df: DataFrame, text: str = "text") -> DataFrame:
         """One text per row: add ``score`` and one column per attribute."""
         probs = self.probabilities(F.col("_hits"))
@@ -171,13 +176,13 @@ class SparkMLScorer:
 
     def attach(self, df: DataFrame, texts: str, into: str) -> DataFrame:
         def by_row(rows: DataFrame) -> DataFrame:
-            usable = rows.where(F.col("_text").isNotNull())
-            scored = self.score_rows(usable, "_text", "_score")
+            given = rows.withColumn("_given", F.coalesce("_text", F.lit("")))
+            scored = self.score_rows(given, "_given", "_score")
             payload = F.struct(
                 F.col("_score").alias("score"),
                 F.lit(None).cast("map<string,double>").alias("detail"),
             )
-            return scored.select("message_id", "_pos", payload.alias("_payload"))
+            return scored.withColumn("_payload", F.when(F.col("_text").isNotNull(), payload))
 
         return _score_by_row(df, texts, into, by_row)
 
@@ -187,16 +192,20 @@ def _score_by_row(
 ) -> DataFrame:
     """Explode the texts, score them as rows, and put the scores back by ``message_id``.
 
-    The key is unique per message, so groups are as small as a message and never hot. A
-    text that got no score leaves a NULL at its place.
+    The key is unique per message, so groups are as small as a message and never hot.
+    ``score`` keeps every row; a text without a score has a NULL payload.
     """
     rows = df.select("message_id", F.posexplode(texts).alias("_pos", "_text"))
     scored = score(rows).select("message_id", "_pos", "_payload")
-    lists = scored.groupBy("message_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("_pos", "_payload"))).alias("_found")
+    in_order = F.sort_array(F.collect_list(F.struct("_pos", F.to_json("_payload").alias("_json"))))
+    lists = scored.groupBy("message_id").agg(in_order.alias("_found"))
+    payload = F.transform("_found", lambda f: F.from_json(f["_json"], SCORE))
+    none = F.when(F.size(texts) == 0, F.array().cast(T.ArrayType(SCORE)))
+    return (
+        df.join(lists, "message_id", "left")
+        .withColumn(into, F.coalesce(payload, none))
+        .drop("_found")
     )
-    placed = F.transform(texts, lambda _, i: F.try_element_at(F.col("_found"), i))
-    return df.join(lists, "message_id", "left").withColumn(into, placed).drop("_found")
 
 
 _SCORERS: dict[str, Callable[..., Scorer]] = {

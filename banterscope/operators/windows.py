@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from banterscope.config import PipelineConfig
-from banterscope.functions.probability import is_toxic
+from banterscope.functions.probability import TRANSITION_STEPS, is_toxic, sequential_score
 from banterscope.operators.ordering import first_positions, with_previous
-from banterscope.functions.probability import TRANSITION_STEPS, sequential_score
 
 
 def user_window_scores(
@@ -67,8 +66,12 @@ def toxic_flags(windows: DataFrame, cfg: PipelineConfig) -> DataFrame:
     seconds = F.unix_timestamp(F.col("window_start").cast("timestamp"))
     slice_of = F.floor(seconds / F.lit(cfg.slice_seconds))
     toxic = is_toxic(F.col("score"), cfg.toxic_threshold)
-    seen = with_previous(windows, ["userid"], "window_start", slice_of, toxic, "_was_toxic")
-    return seen.where(toxic & ~F.coalesce("_was_toxic", F.lit(False))).drop("_was_toxic")
+
+    def rises(was_toxic: Column) -> Column:
+        return toxic & ~F.coalesce(was_toxic, F.lit(False))
+
+    seen = with_previous(windows, ["userid"], "window_start", slice_of, toxic, "_was_toxic", rises)
+    return seen.where(rises(F.col("_was_toxic"))).drop("_was_toxic")
 
 
 def flag_messages(flags: DataFrame) -> DataFrame:

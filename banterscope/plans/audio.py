@@ -27,8 +27,8 @@ def _line_results() -> Column:
 
 def stt_long_segments(spark: SparkSession, folder: str) -> DataFrame:
     files = table(spark, folder, "documents").select("doc_id", _line_results().alias("results"))
-    regrouped = files.select("doc_id", F.posexplode(audio.regroup_long(F.col("results"))))
-    return regrouped.select(
+    regrouped = files.select("doc_id", F.posexplode_outer(audio.regroup_long(F.col("results"))))
+    return regrouped.where(F.col("col").isNotNull()).select(
         "doc_id",
         F.col("pos").cast("bigint").alias("position"),
         F.col("col.text").alias("text"),

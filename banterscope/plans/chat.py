@@ -83,8 +83,8 @@ def score_text(spark: SparkSession, folder: str) -> DataFrame:
 
 def sentence_split(spark: SparkSession, folder: str) -> DataFrame:
     turns = table(spark, folder, "conversations")
-    found = turns.select("conv_id", "turn", F.posexplode(text.split_sentences(F.col("text"))))
-    return found.select(
+    found = turns.select("conv_id", "turn", F.posexplode_outer(text.split_sentences(F.col("text"))))
+    return found.where(F.col("col").isNotNull()).select(
         "conv_id", "turn", F.col("pos").cast("bigint").alias("position"), F.col("col").alias("sentence")
     )
 

@@ -70,7 +70,8 @@ def validate_examples(spark: SparkSession, folder: str) -> DataFrame:
     became text, the properties went and a channel came."""
     every = table(spark, folder, "events")
     before = every.where(F.col("event_type") != "error")
-    schema = datasets.infer_schema(before)
+    schema = materialise(datasets.infer_schema(before), "schema")
+    domains = materialise(datasets.infer_domains(before, schema), "domains")
     after = every.select(
         "event_id",
         "ts",
@@ -79,7 +80,7 @@ def validate_examples(spark: SparkSession, folder: str) -> DataFrame:
         F.col("value").cast("string").alias("value"),
         F.lit("web").alias("channel"),
     )
-    return datasets.validate_examples(after, schema, datasets.infer_domains(before, schema))
+    return datasets.validate_examples(after, schema, domains)
 
 
 def _lexicon_predictions(spark: SparkSession, folder: str) -> DataFrame:
