@@ -64,7 +64,8 @@ def test_late_rows_are_dropped(spark, tmp_path):
 def lines():
     made = []
     for i in range(60):
-        text = ["you idiot moron", "nice game", [{"text": "trash scum worthless"}, {"text": "ok then"}], [], ["bad"]][i % 5]
+        vile = "scum trash idiot moron worthless pathetic"
+        text = [vile, "nice game", [{"text": vile}, {"text": vile}], [], ["bad"]][i % 5]
         made.append({"userid": f"u{i % 3}", "timestamp": i * 4, "text": text, "callback_url": f"https://c/{i % 2}"})
     del made[7]["callback_url"], made[9]["userid"]
     return [json.dumps(m) for m in made] + ["{broken", json.dumps({"userid": "z", "timestamp": 1000, "text": "end"})]
@@ -86,7 +87,11 @@ def test_stream_and_batch_agree(spark, tmp_path, lines):
 
     replay = jobs.scored_messages(messages.drop_zone_batch(spark, source), LexiconScorer(), CFG, now)
     stored = tables.scored_batch(spark, layout.table("scored"))
-    assert stored.count() == 61 and stored.exceptAll(replay).count() == 0
+
+    def whole(df):
+        return sorted(r[0] for r in df.select(F.to_json(F.struct("*"))).collect())
+
+    assert stored.count() == 61 and whole(stored) == whole(replay)
 
     assert [r["value"] for r in spark.read.parquet(layout.table("quarantine")).collect()] == ["{broken"]
     published = spark.read.text(layout.table("topic"))
