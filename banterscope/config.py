@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Mapping
+from dataclasses import dataclass, fields
 
 EVENT_TIME_MODES = ("publish", "payload")
 
@@ -40,6 +41,21 @@ class PipelineConfig:
         if self.slides_per_slice <= 0:
             raise ValueError("slides_per_slice must be positive")
 
+    @classmethod
+    def from_strings(cls, options: Mapping[str, str]) -> PipelineConfig:
+        """Options as they come from a command line or a settings file."""
+        kinds = {f.name: type(f.default) for f in fields(cls)}
+        unknown = sorted(set(options) - set(kinds))
+        if unknown:
+            raise ValueError(f"unknown options {unknown}")
+        truth = {"true": True, "false": False}
+        return cls(
+            **{
+                name: truth[text.lower()] if kinds[name] is bool else kinds[name](text)
+                for name, text in options.items()
+            }
+        )
+
     @property
     def panes_per_window(self) -> int:
         """How many slides make one window; only whole numbers can use panes."""

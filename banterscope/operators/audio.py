@@ -131,14 +131,13 @@ def route_language(
     return home.unionByName(translated)
 
 
-def attach_metadata(
-    transcripts: DataFrame, metadata: DataFrame, key: str = "object_name"
-) -> tuple[DataFrame, DataFrame]:
-    """Transcripts with their request metadata, and those whose metadata is missing.
+def attach_metadata(transcripts: DataFrame, metadata: DataFrame, key: str = "object_name") -> DataFrame:
+    """Transcripts with their request metadata; ``error`` tells where that is missing.
 
     Both sides are keyed by object name, which is unique in a store, so the join spreads
-    evenly. A transcript without metadata yields nothing but an error row.
+    evenly. Rows without an error are the result, the others yield nothing but the error.
     """
-    joined = transcripts.join(metadata, key, "inner")
-    unmatched = transcripts.join(metadata.select(key), key, "left_anti")
-    return joined, unmatched.withColumn("error", F.lit("metadata missing"))
+    found = metadata.withColumn("_found", F.lit(True))
+    joined = transcripts.join(found, key, "left")
+    error = F.when(F.col("_found").isNull(), F.lit("metadata missing"))
+    return joined.withColumn("error", error).drop("_found")

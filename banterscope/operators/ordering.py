@@ -56,6 +56,43 @@ def with_previous(
     )
 
 
+def with_first_positions(
+    df: DataFrame,
+    keys: list[str],
+    order: str,
+    slice_of: Column,
+    value: Column,
+    count: int,
+    position: str,
+    previous: str,
+) -> DataFrame:
+    """Number the first ``count`` rows of each group and give them the ``value`` before.
+
+    All rows stay; the later ones have NULL in both columns. The same conditions and the
+    same two passes as in ``with_previous``: only the first ``count`` rows of a slice can
+    be among the first of the group, so only they come together in the second pass.
+    """
+    inside = W.partitionBy(*keys, "_slice").orderBy(order)
+    rows = (
+        df.withColumn("_slice", slice_of)
+        .withColumn("_value", value)
+        .withColumn("_within", F.row_number().over(inside))
+    )
+    is_candidate = F.col("_within") <= count
+    across = W.partitionBy(*keys, "_place").orderBy(order)
+    placed = (
+        rows.withColumn("_place", F.when(~is_candidate, F.col("_slice")))
+        .withColumn("_position", F.row_number().over(across))
+        .withColumn("_before", F.lag("_value").over(across))
+    )
+    is_first = is_candidate & (F.col("_position") <= count)
+    return (
+        placed.withColumn(position, F.when(is_first, F.col("_position")))
+        .withColumn(previous, F.when(is_first, F.col("_before")))
+        .drop("_slice", "_value", "_within", "_place", "_position", "_before")
+    )
+
+
 def first_positions(df: DataFrame, keys: list[str], order: list[str], count: int, into: str) -> DataFrame:
     """The first ``count`` rows of each group with their position.
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from banterscope.config import PipelineConfig
 from banterscope.functions.probability import TRANSITION_STEPS, is_toxic, sequential_score
-from banterscope.operators.ordering import first_positions, with_previous
+from banterscope.operators.ordering import with_first_positions, with_previous
 
 
 def user_window_scores(
@@ -81,33 +81,20 @@ def flag_messages(flags: DataFrame) -> DataFrame:
     )
 
 
-def sequential_scores(scored: DataFrame, keys: list[str], order: str, score: str = "score") -> DataFrame:
-    """Score of a user's first comments in the light of the one before.
+def sequential_scores(
+    scored: DataFrame, keys: list[str], order: str, slice_of: Column, score: str = "score"
+) -> DataFrame:
+    """Add ``position`` and ``sequential_score`` to a user's first comments.
 
     The n-th comment gets the sum of its own and the previous score, less the n-th step;
     the first has no previous one, which counts as 0. Comments beyond the last step have
     no sequential score and keep NULL. What the positions mean is our reading: the steps
-    are given, who calls them is not. ``keys`` plus ``order`` identify a row.
+    are given, who calls them is not. ``keys`` plus ``order`` identify a row, and
+    ``slice_of`` cuts the order of one user into parts, see operators.ordering.
     """
-    steps = len(TRANSITION_STEPS)
-    slim = scored.select(*keys, order, F.col(score).alias("_score"))
-    first = first_positions(slim, keys, [order], steps, "position")
-    # At most five rows per group are left, so gathering them is bounded.
-    gathered = first.groupBy(*keys).agg(
-        F.sort_array(F.collect_list(F.struct("position", order, "_score"))).alias("_rows")
-    )
-    paired = F.transform(
-        "_rows",
-        lambda r, i: F.struct(
-            r[order].alias(order),
-            r["position"].alias("position"),
-            sequential_score(
-                r["position"],
-                F.when(i == 0, F.lit(0.0)).otherwise(F.get(F.col("_rows"), i - 1)["_score"]),
-                r["_score"],
-            ).alias("sequential_score"),
-        ),
+    numbered = with_first_positions(
+        scored, keys, order, slice_of, F.col(score), len(TRANSITION_STEPS), "position", "_previous"
     )
-    placed = gathered.select(*keys, F.inline(paired))
-    # keys plus order are unique, so this join has no hot key.
-    return scored.join(placed, [*keys, order], "left")
+    before = F.when(F.col("position") == 1, F.lit(0.0)).otherwise(F.col("_previous"))
+    found = sequential_score(F.col("position"), before, F.col(score))
+    return numbered.withColumn("sequential_score", found).drop("_previous")

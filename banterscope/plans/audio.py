@@ -61,10 +61,7 @@ def stt_attach_metadata(spark: SparkSession, folder: str) -> DataFrame:
         F.concat(F.lit("rec_"), F.col("doc_id").cast("string"), F.lit(".json")).alias("object_name"),
         F.col("quality").cast("bigint").alias("quality"),
     )
-    joined, failed = audio.attach_metadata(transcripts, metadata)
-    return joined.withColumn("error", F.lit(None).cast("string")).unionByName(
-        failed, allowMissingColumns=True
-    )
+    return audio.attach_metadata(transcripts, metadata)
 
 
 def _audio_requests(spark: SparkSession, folder: str) -> DataFrame:

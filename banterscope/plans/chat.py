@@ -13,6 +13,7 @@ from banterscope.plans import inputs
 from banterscope.plans.inputs import epoch, table
 from banterscope.schema import FLAG
 from banterscope.session import shared_folder, spread
+from banterscope.sinks.streams import files
 from banterscope.streaming import jobs
 
 HOURS = PipelineConfig(window_seconds=6 * 3600, slide_seconds=3600)
@@ -62,10 +63,8 @@ def toxic_flags_stream(spark: SparkSession, folder: str) -> DataFrame:
         F.col("ts").cast("timestamp").alias("event_time"),
         F.least(F.col("value") / 100, F.lit(1.0)).alias("score"),
     )
-    query = jobs.start_files(
-        jobs.flags_of(scores, HALF_HOUR), layout.table("flags"), layout.checkpoint("flags")
-    )
-    query.awaitTermination()
+    to_table = files(layout.table("flags"))
+    to_table(jobs.flags_of(scores, HALF_HOUR), layout.checkpoint("flags")).awaitTermination()
     flags = spark.read.schema(FLAG).parquet(layout.table("flags"))
     return flags.select(
         "userid", epoch(F.col("window_end")).alias("window_end"), F.round("score", 6).alias("score")
@@ -231,7 +230,8 @@ def fallback_score(spark: SparkSession, folder: str) -> DataFrame:
 def sequential_score(spark: SparkSession, folder: str) -> DataFrame:
     turns = spread(table(spark, folder, "conversations"), "conv_id", "turn")
     scored = LexiconScorer().score_rows(turns).select("conv_id", "role", "turn", "score")
-    found = windows.sequential_scores(scored, ["conv_id", "role"], "turn")
+    part = F.floor(F.col("turn") / F.lit(65536))
+    found = windows.sequential_scores(scored, ["conv_id", "role"], "turn", part)
     return found.select(
         "conv_id",
         "role",

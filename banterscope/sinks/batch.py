@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from banterscope.functions import names
+from banterscope.functions import names, records
 
 
 def with_event_date(rows: DataFrame, clock: Column) -> DataFrame:
@@ -33,8 +33,6 @@ def write_transcripts(transcripts: DataFrame, path: str) -> None:
 
     ``metadata`` is the request JSON; its ``text`` is replaced by ``segments``.
     """
-    from banterscope.functions import records
-
     record = records.parse_record(F.col("metadata"))
     text = F.create_map(F.lit("text"), F.to_variant_object("segments"))
     merged = F.map_concat(records.without_keys(record, "text"), text)

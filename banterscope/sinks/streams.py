@@ -2,39 +2,46 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 AVAILABLE_NOW = {"availableNow": True}
 
+# Starts a stream, given the stream and the folder of its checkpoint.
+Sink = Callable[[DataFrame, str], StreamingQuery]
+
+
+def _writer(stream: DataFrame, kind: str, checkpoint: str, trigger: dict | None) -> DataStreamWriter:
+    writer = stream.writeStream.format(kind).outputMode("append")
+    return writer.option("checkpointLocation", checkpoint).trigger(**(trigger or AVAILABLE_NOW))
+
+
+def files(
+    path: str, kind: str = "parquet", partition_by: tuple[str, ...] = (), trigger: dict | None = None
+) -> Sink:
+    def start(stream: DataFrame, checkpoint: str) -> StreamingQuery:
+        writer = _writer(stream, kind, checkpoint, trigger)
+        return (writer.partitionBy(*partition_by) if partition_by else writer).start(path)
+
+    return start
+
 
-def start_files(
-    stream: DataFrame,
-    path: str,
-    checkpoint: str,
-    kind: str = "parquet",
-    partition_by: tuple[str, ...] = (),
-    trigger: dict | None = None,
-    name: str | None = None,
-) -> StreamingQuery:
-    writer = stream.writeStream.format(kind).outputMode("append").option("checkpointLocation", checkpoint)
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    if name:
-        writer = writer.queryName(name)
-    return writer.trigger(**(trigger or AVAILABLE_NOW)).start(path)
-
-
-def start_topic(
-    stream: DataFrame, servers: str, topic: str, checkpoint: str, trigger: dict | None = None
-) -> StreamingQuery:
-    """``stream`` has ``value`` and may have ``key``. Needs the Kafka connector."""
-    writer = stream.writeStream.format("kafka").outputMode("append").option("checkpointLocation", checkpoint)
-    writer = writer.option("kafka.bootstrap.servers", servers).option("topic", topic)
-    return writer.trigger(**(trigger or AVAILABLE_NOW)).start()
-
-
-def start_console(stream: DataFrame, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+def topic(servers: str, name: str, trigger: dict | None = None) -> Sink:
+    """The stream has ``value`` and may have ``key``. Needs the Kafka connector."""
+
+    def start(stream: DataFrame, checkpoint: str) -> StreamingQuery:
+        writer = _writer(stream, "kafka", checkpoint, trigger)
+        return writer.option("kafka.bootstrap.servers", servers).option("topic", name).start()
+
+    return start
+
+
+def console(trigger: dict | None = None) -> Sink:
     """A debug tap."""
-    writer = stream.writeStream.format("console").outputMode("append").option("truncate", False)
-    return writer.option("checkpointLocation", checkpoint).trigger(**(trigger or AVAILABLE_NOW)).start()
+
+    def start(stream: DataFrame, checkpoint: str) -> StreamingQuery:
+        return _writer(stream, "console", checkpoint, trigger).option("truncate", False).start()
+
+    return start

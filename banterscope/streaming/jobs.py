@@ -18,7 +18,7 @@ from banterscope.operators import events, windows
 from banterscope.operators.scoring import Scorer
 from banterscope.schema import SCORED_MESSAGE, WAREHOUSE
 from banterscope.sinks.batch import with_event_date
-from banterscope.sinks.streams import start_files
+from banterscope.sinks.streams import Sink, files
 from banterscope.sources.messages import line_stream
 from banterscope.sources.tables import scored_stream
 from banterscope.streaming.state import flag_stream
@@ -60,7 +60,7 @@ def start_scoring(
 ) -> StreamingQuery:
     """Parse and score a stream into the scored table. Only row-local scorers can stream."""
     scored = scored_messages(messages, scorer, cfg, now)
-    return start_files(scored, layout.table("scored"), layout.checkpoint("scored"), trigger=trigger)
+    return files(layout.table("scored"), trigger=trigger)(scored, layout.checkpoint("scored"))
 
 
 def stage_messages(messages: DataFrame, layout: Layout) -> None:
@@ -81,31 +81,32 @@ def warehouse(spark: SparkSession, layout: Layout) -> DataFrame:
 def start_quarantine(messages: DataFrame, layout: Layout, trigger: dict | None = None) -> StreamingQuery:
     """Messages that are no JSON objects."""
     bad = events.quarantine(events.parse_events(messages))
-    return start_files(bad, layout.table("quarantine"), layout.checkpoint("quarantine"), trigger=trigger)
+    return files(layout.table("quarantine"), trigger=trigger)(bad, layout.checkpoint("quarantine"))
 
 
-def start_scored_topic(spark: SparkSession, layout: Layout, trigger: dict | None = None) -> StreamingQuery:
-    """One JSON array per message, as lines of text (or, with a connector, to a topic)."""
+def start_scored_topic(
+    spark: SparkSession, layout: Layout, sink: Sink | None = None,
+    hook: events.RowHook | None = None, trigger: dict | None = None,
+) -> StreamingQuery:
+    """One JSON array per message, to a topic or, without one, as lines of text."""
     lines = scored_stream(spark, layout.table("scored")).select(F.col("envelope").alias("value"))
-    return start_files(lines, layout.table("topic"), layout.checkpoint("topic"), kind="text", trigger=trigger)
+    sink = sink or files(layout.table("topic"), kind="text", trigger=trigger)
+    return sink(events.post_process(lines, hook), layout.checkpoint("topic"))
 
 
 def start_warehouse(spark: SparkSession, layout: Layout, trigger: dict | None = None) -> StreamingQuery:
     """One row per sentence, partitioned by the day of the event."""
     rows = events.warehouse_rows(scored_stream(spark, layout.table("scored")))
     dated = with_event_date(rows, F.timestamp_seconds("timestamp"))
-    return start_files(
-        dated, layout.table("warehouse"), layout.checkpoint("warehouse"),
-        partition_by=("event_date",), trigger=trigger,
-    )
+    sink = files(layout.table("warehouse"), partition_by=("event_date",), trigger=trigger)
+    return sink(dated, layout.checkpoint("warehouse"))
 
 
 def start_outbox(spark: SparkSession, layout: Layout, trigger: dict | None = None) -> StreamingQuery:
     """Callbacks to deliver."""
     named = scored_stream(spark, layout.table("scored")).where(F.col("callback_url").isNotNull())
-    return start_files(
-        events.callback_outbox(named), layout.table("outbox"), layout.checkpoint("outbox"), trigger=trigger
-    )
+    outbox = events.callback_outbox(named)
+    return files(layout.table("outbox"), trigger=trigger)(outbox, layout.checkpoint("outbox"))
 
 
 def flags_of(scores: DataFrame, cfg: PipelineConfig) -> DataFrame:
@@ -119,15 +120,16 @@ def flags_of(scores: DataFrame, cfg: PipelineConfig) -> DataFrame:
 
 
 def start_flags(
-    spark: SparkSession, cfg: PipelineConfig, layout: Layout,
+    spark: SparkSession, cfg: PipelineConfig, layout: Layout, sink: Sink | None = None,
     trigger: dict | None = None, files_per_batch: int | None = None,
 ) -> StreamingQuery:
-    """Alerts for users who turn toxic."""
+    """Alerts for users who turn toxic: JSON to a topic or, without one, rows of a table."""
     use_rocksdb(spark)
     scores = events.keyed_scores(scored_stream(spark, layout.table("scored"), files_per_batch))
-    return start_files(
-        flags_of(scores, cfg), layout.table("flags"), layout.checkpoint("flags"), trigger=trigger
-    )
+    flags = flags_of(scores, cfg)
+    if sink is not None:
+        return sink(windows.flag_messages(flags), layout.checkpoint("flags"))
+    return files(layout.table("flags"), trigger=trigger)(flags, layout.checkpoint("flags"))
 
 
 def tail(query: StreamingQuery, seconds: float) -> bool:

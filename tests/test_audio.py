@@ -154,9 +154,10 @@ def test_transcript_files_to_drop_zone(spark, tmp_path):
     spoken = tables.stt_results(spark, str(tmp_path / "stt")).select(
         F.lower("object_name").alias("object_name"), audio.regroup_long(F.col("results")).alias("segments")
     )
-    joined, failed = audio.attach_metadata(spoken, tables.sidecars(spark, str(tmp_path / "meta")))
-    assert [(r["object_name"], r["error"]) for r in failed.collect()] == [("lost.json", "metadata missing")]
-    batch.write_transcripts(joined, str(tmp_path / "out"))
+    joined = audio.attach_metadata(spoken, tables.sidecars(spark, str(tmp_path / "meta")))
+    failed = joined.where(F.col("error").isNotNull()).collect()
+    assert [(r["object_name"], r["error"]) for r in failed] == [("lost.json", "metadata missing")]
+    batch.write_transcripts(joined.where(F.col("error").isNull()), str(tmp_path / "out"))
     (line,) = [r["value"] for r in spark.read.text(str(tmp_path / "out")).collect()]
     assert json.loads(line) == {
         "userid": "u",

@@ -40,8 +40,8 @@ def test_alerts_in_order_of_arrival(spark, tmp_path):
     jobs.use_rocksdb(spark)
     layout = jobs.Layout(str(tmp_path))
     closed = windows.user_window_scores(scores.withWatermark("event_time", "0 seconds"), CFG)
-    run(streams.start_files(closed, layout.table("windows"), layout.checkpoint("windows")))
-    run(streams.start_files(jobs.flags_of(scores, CFG), layout.table("flags"), layout.checkpoint("flags")))
+    run(streams.files(layout.table("windows"))(closed, layout.checkpoint("windows")))
+    run(streams.files(layout.table("flags"))(jobs.flags_of(scores, CFG), layout.checkpoint("flags")))
     assert spark.read.parquet(layout.table("windows")).count() == 18
     flags = spark.read.schema(FLAG).parquet(layout.table("flags"))
     found = sorted(tuple(r) for r in flags.select("userid", F.unix_timestamp("window_end")).collect())
@@ -55,7 +55,7 @@ def test_late_rows_are_dropped(spark, tmp_path):
     scores = reader.json(str(tmp_path / "in")).select("userid", F.timestamp_seconds("at").alias("event_time"), "score")
     layout = jobs.Layout(str(tmp_path))
     closed = windows.user_window_scores(scores.withWatermark("event_time", "0 seconds"), CFG)
-    run(streams.start_files(closed, layout.table("windows"), layout.checkpoint("windows")))
+    run(streams.files(layout.table("windows"))(closed, layout.checkpoint("windows")))
     starts = [r[0] for r in spark.read.parquet(layout.table("windows")).select(F.unix_timestamp("window_start")).collect()]
     assert sorted(starts) == [75, 80, 85, 90, 95, 100, 175, 180, 185, 190, 195, 200]
 
@@ -128,6 +128,24 @@ def test_restart_adds_nothing_twice(spark, tmp_path, lines):
     assert jobs.warehouse(spark, layout).count() == first + 1
 
 
+def test_outputs_can_be_replaced(spark, tmp_path):
+    """Alerts as JSON messages, and the scored topic behind the user's own hook."""
+    vile = {"userid": "u", "text": "scum trash idiot moron worthless pathetic"}
+    put(tmp_path / "in", [json.dumps({**vile, "timestamp": t}) for t in (0, 100)])
+    layout = jobs.Layout(str(tmp_path / "out"))
+    run(jobs.start_scoring(messages.drop_zone_stream(spark, str(tmp_path / "in")), LexiconScorer(), CFG, layout))
+    run(jobs.start_flags(spark, CFG, layout, sink=streams.files(str(tmp_path / "alerts"))))
+    (alert,) = [json.loads(r["value"]) for r in spark.read.parquet(str(tmp_path / "alerts")).collect()]
+    assert alert["userid"] == "u" and alert["score"] > 0.6
+
+    def shout(df):
+        return df.withColumn("value", F.upper("value"))
+
+    run(jobs.start_scored_topic(spark, layout, sink=streams.files(str(tmp_path / "topic")), hook=shout))
+    published = [r["value"] for r in spark.read.parquet(str(tmp_path / "topic")).collect()]
+    assert len(published) == 2 and all('"USERID":"U"' in value for value in published)
+
+
 def test_lines_as_messages(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text('{"a":1}\n{"a":1}\n{"a":2}\n')
     rows = messages.line_batch(spark, str(tmp_path)).collect()
@@ -153,7 +171,7 @@ def test_batch_warehouse_is_partitioned_by_day(spark, tmp_path):
 
 def test_console_tap_and_bounded_tail(spark, tmp_path):
     stream = spark.readStream.format("rate").option("rowsPerSecond", 5).load()
-    query = streams.start_console(stream, str(tmp_path / "c"), trigger={"processingTime": "1 second"})
+    query = streams.console({"processingTime": "1 second"})(stream, str(tmp_path / "c"))
     assert jobs.tail(query, 3) is False
     assert not query.isActive
 
@@ -165,4 +183,4 @@ def test_topics_need_the_connector(spark, tmp_path):
         messages.topic_stream(spark, "localhost:1", "chat")
     stream = spark.readStream.format("rate").load().select(F.lit("x").alias("value"))
     with pytest.raises(Exception, match="(?i)kafka"):
-        streams.start_topic(stream, "localhost:1", "chat", str(tmp_path / "t"))
+        streams.topic("localhost:1", "chat")(stream, str(tmp_path / "t"))

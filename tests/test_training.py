@@ -167,3 +167,27 @@ def test_train_publish_and_load(spark, tmp_path):
     loaded = models.load_latest(spark, registry_path, serving, "text")
     again = loaded.transform(features).select(models.score_probability().alias("score"))
     assert rows_of(again) == rows_of(scored.select("score"))
+
+
+def test_training_run(spark, tmp_path):
+    """CSV in, model served; a second run with an imported schema is measured against it."""
+    from banterscope.plans.training_run import TrainingRun, run_csv
+
+    lines = "".join(f'"You {w} {i}",1\n"good {g} {i}",0\n' for i in range(30) for w, g in [("IDIOT", "game")])
+    (tmp_path / "c.csv").write_text("comment_text,target\n" + lines)
+
+    def build():
+        return models.text_pipeline(512, 10)
+
+    first = TrainingRun(str(tmp_path / "root"), "one", build=build)
+    assert run_csv(spark, str(tmp_path / "c.csv"), first) is True
+    second = TrainingRun(
+        str(tmp_path / "root"), "two", build=build,
+        schema_path=first.table("schema"), domains_path=first.table("domains"),
+    )
+    assert run_csv(spark, str(tmp_path / "c.csv"), second) is True
+    found = models.load_registry(spark, first.registry).select("model_id", "blessed", "accuracy")
+    assert rows_of(found) == [("one", True, 1.0), ("two", True, 1.0)]
+    assert spark.read.parquet(second.table("anomalies")).count() == 0
+    served = models.load_latest(spark, first.registry, first.serving, "toxicity")
+    assert served is not None

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from banterscope.config import PipelineConfig
 from banterscope.operators import windows
-from banterscope.operators.ordering import first_positions, with_previous
+from banterscope.operators.ordering import first_positions, with_first_positions, with_previous
 
 
 def scores(spark, rows):
@@ -126,6 +126,24 @@ def test_no_task_gets_a_whole_hot_group(spark):
     assert found.where("o > 0 and prev = o - 1").count() == 99999
 
 
+@pytest.mark.parametrize("slice_size", [1, 7, 10**6])
+def test_numbering_the_first_rows(spark, slice_size):
+    random.seed(slice_size)
+    rows = sorted({("hot" if random.random() < 0.4 else f"k{random.randrange(9)}", i * 3 % 1000) for i in range(800)})
+    df = spark.createDataFrame(rows, "k string, o int").repartition(5)
+    part = F.floor(F.col("o") / slice_size)
+    found = with_first_positions(df, ["k"], "o", part, F.col("o"), 4, "n", "before").collect()
+    groups = {}
+    for k, o in rows:
+        groups.setdefault(k, []).append(o)
+    expected = {
+        (k, o): (i + 1, os[i - 1] if i else None) if i < 4 else (None, None)
+        for k, os in groups.items()
+        for i, o in enumerate(os)
+    }
+    assert {(r["k"], r["o"]): (r["n"], r["before"]) for r in found} == expected
+
+
 def test_first_positions(spark):
     df = spark.createDataFrame([("a", i) for i in range(9)] + [("b", 4)], "k string, o int")
     found = sorted(tuple(r) for r in first_positions(df, ["k"], ["o"], 2, "n").collect())
@@ -147,3 +165,10 @@ def test_options_are_checked(options):
 def test_default_options():
     cfg = PipelineConfig()
     assert (cfg.window_seconds, cfg.slide_seconds, cfg.toxic_threshold, cfg.panes_per_window) == (30, 5, 0.6, 6)
+
+
+def test_options_from_text():
+    cfg = PipelineConfig.from_strings({"window_seconds": "60", "toxic_threshold": "0.7", "translate": "True"})
+    assert (cfg.window_seconds, cfg.toxic_threshold, cfg.translate) == (60, 0.7, True)
+    with pytest.raises(ValueError):
+        PipelineConfig.from_strings({"windows": "1"})
