@@ -21,17 +21,17 @@ REGISTRY = (
 )
 
 
-def text_pipeline(features: int = 1 << 15, iterations: int = 50) -> Pipeline:
-    """Hashed, weighted words into a logistic regression.
+def text_pipeline(features: int = 1 << 14, iterations: int = 20, penalty: float = 0.005) -> Pipeline:
+    """Which words occur, hashed and weighted by rarity, into a sparse logistic regression.
 
     The weights are as many as ``features``, whatever the vocabulary of the data is.
     """
     return Pipeline(
         stages=[
-            RegexTokenizer(inputCol="text", outputCol="words", pattern="[a-z]+", gaps=False, toLowercase=True),
-            HashingTF(inputCol="words", outputCol="counts", numFeatures=features),
-            IDF(inputCol="counts", outputCol="features"),
-            LogisticRegression(featuresCol="features", labelCol="label", maxIter=iterations, regParam=0.01),
+            RegexTokenizer(inputCol="text", outputCol="words", pattern="[a-z]+", gaps=False),
+            HashingTF(inputCol="words", outputCol="present", numFeatures=features, binary=True),
+            IDF(inputCol="present", outputCol="features"),
+            LogisticRegression(maxIter=iterations, regParam=penalty, elasticNetParam=1.0),
         ]
     )
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from banterscope.config import PipelineConfig
 from banterscope.functions import names, text
 from banterscope.operators import audio
-from banterscope.plans import inputs
+from banterscope.plans import inputs, transcripts_run
 from banterscope.plans.inputs import table
 
 TRANSLATING = PipelineConfig(translate=True)
@@ -21,6 +21,7 @@ def _line_results() -> Column:
         lambda line, i: F.struct(
             F.array(F.struct(line.alias("transcript"))).alias("alternatives"),
             F.concat(((i + 1) * 7).cast("string"), F.lit("s")).alias("resultEndTime"),
+            F.lit(audio.HOME_LANGUAGE).alias("languageCode"),
         ),
     )
 
@@ -64,6 +65,26 @@ def stt_attach_metadata(spark: SparkSession, folder: str) -> DataFrame:
     return audio.attach_metadata(transcripts, metadata)
 
 
+def short_messages(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents as short recordings, a line each result; the labelled ones have metadata."""
+    name = F.concat(F.lit("rec_"), F.col("doc_id").cast("string"), F.lit(".flac"))
+    documents = table(spark, folder, "documents").select(name.alias("object_name"), _line_results().alias("results"))
+    metadata = table(spark, folder, "labels").select(
+        F.concat(F.lit("rec_"), F.col("doc_id").cast("string"), F.lit(".json")).alias("object_name"),
+        F.to_json(F.struct(F.col("quality").cast("string").alias("userid"))).alias("metadata"),
+    )
+    found = transcripts_run.short_transcripts(documents, metadata, TRANSLATING, inputs.now())
+    record = F.try_parse_json("metadata")
+    return found.select(
+        "object_name",
+        "result_name",
+        F.col("segments")[0]["text"].alias("text"),
+        F.try_variant_get(record, "$.userid", "string").alias("userid"),
+        F.try_variant_get(record, "$.timestamp", "bigint").alias("timestamp"),
+        "error",
+    )
+
+
 def _audio_requests(spark: SparkSession, folder: str) -> DataFrame:
     """Page addresses as audio addresses; the ending depends on the length of the address."""
     address = F.split("url", r"\?")[0]
@@ -121,7 +142,7 @@ def object_names(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        stt_long_segments, stt_long_regroup, stt_short_merge, stt_attach_metadata, audio_manifest,
+        stt_long_segments, stt_long_regroup, stt_short_merge, stt_attach_metadata, short_messages, audio_manifest,
         audio_name_collisions, audio_route, language_route, object_names,
     )
 }

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import re
+import string
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from banterscope.config import PipelineConfig
 from banterscope.functions import probability, records, text
 from banterscope.operators import events, windows
-from banterscope.operators.scoring import LexiconScorer, analysis_request
+from banterscope.operators.scoring import LEXICON, LexiconScorer, PandasScorer, analysis_request
 from banterscope.plans import inputs
 from banterscope.plans.inputs import epoch, table
 from banterscope.schema import FLAG
@@ -19,6 +23,7 @@ from banterscope.streaming import jobs
 HOURS = PipelineConfig(window_seconds=6 * 3600, slide_seconds=3600)
 HALF_HOUR = PipelineConfig(window_seconds=1800, slide_seconds=300)
 PAYLOAD = PipelineConfig(event_time="payload")
+ASCII_LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 
 
 def _windows_out(found: DataFrame) -> DataFrame:
@@ -80,6 +85,36 @@ def score_text(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _python_lexicon():
+    """A Python model: the default scorer once more, for texts in batches."""
+    groups = [frozenset(words) for words in LEXICON.values()]
+
+    def score(texts: pd.Series) -> pd.DataFrame:
+        found = [re.findall("[a-z]+", t.translate(ASCII_LOWER)) for t in texts]
+        frame = pd.DataFrame(
+            {
+                name: [min(0.05 + 0.30 * sum(w in group for w in words), 0.95) for words in found]
+                for name, group in zip(LEXICON, groups)
+            }
+        )
+        yes, no = frame.prod(axis=1), (1 - frame).prod(axis=1)
+        return frame.assign(score=yes / (yes + no))
+
+    return score
+
+
+def score_text_pandas(spark: SparkSession, folder: str) -> DataFrame:
+    documents = spread(table(spark, folder, "documents").select("doc_id", "text"), "doc_id")
+    listed = documents.select("doc_id", F.array("text").alias("texts"))
+    scored = PandasScorer(_python_lexicon).attach(listed, "texts", "scores")
+    found = F.col("scores")[0]
+    return scored.select(
+        "doc_id",
+        F.round(found["score"], 6).alias("score"),
+        *[F.round(found["detail"][a], 6).alias(a.lower()) for a in probability.ATTRIBUTES],
+    )
+
+
 def sentence_split(spark: SparkSession, folder: str) -> DataFrame:
     turns = table(spark, folder, "conversations")
     found = turns.select("conv_id", "turn", F.posexplode_outer(text.split_sentences(F.col("text"))))
@@ -272,7 +307,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         toxic_flags, event_flags, toxic_flags_stream, window_user_avg, window_user_avg_panes,
-        score_text, sentence_split, scored_rows, scored_rows_stream, scored_envelope, parse_events,
+        score_text, score_text_pandas, sentence_split, scored_rows, scored_rows_stream, scored_envelope, parse_events,
         default_timestamp, normalize_text, passthrough_keys, attribute_extract, fallback_score,
         sequential_score, callback_decode, analysis_requests,
     )

@@ -46,6 +46,14 @@ FROM lines
 SELECT d.doc_id, d.n_chars, 'rec_' || d.doc_id || '.json' AS object_name, l.quality::BIGINT AS quality,
        CASE WHEN l.doc_id IS NULL THEN 'metadata missing' END AS error
 FROM documents d LEFT JOIN labels l USING (doc_id)
+""",
+    "short_messages": f"""
+WITH lines AS (SELECT doc_id, string_split(text, chr(10)) AS found FROM documents)
+SELECT 'rec_' || l.doc_id || '.json' AS object_name, 'rec_' || l.doc_id || '_{NOW}.json' AS result_name,
+       array_to_string(list_filter(found, lambda line, i: list_position(found, line) = i), ' ') AS text,
+       quality::VARCHAR AS userid, CASE WHEN quality IS NOT NULL THEN {NOW} END::BIGINT AS "timestamp",
+       CASE WHEN quality IS NULL THEN 'metadata missing' END AS error
+FROM lines l LEFT JOIN labels b ON b.doc_id = l.doc_id
 """,
     "audio_manifest": f"""
 WITH {_REQUESTS}, {_NAMED}

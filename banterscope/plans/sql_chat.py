@@ -29,6 +29,13 @@ scored AS (
   FROM (SELECT doc_id, {probabilities('text')} FROM documents)
 )"""
 
+SCORE_TEXT = f"""
+WITH {SCORED_DOCUMENTS}
+SELECT doc_id, round(score, 6) AS score, round(pa, 6) AS identity_attack, round(pb, 6) AS insult,
+       round(pc, 6) AS sexually_explicit
+FROM scored
+"""
+
 SENTENCES = "list_filter(regexp_split_to_array(text, '\\. |\\? |! '), lambda s: len(s) >= 3)"
 
 EVENT_SCORES = """
@@ -102,12 +109,8 @@ FROM flags WHERE window_end <= (SELECT max(ts) FROM events)
 """,
     "window_user_avg": WINDOW_USER_AVG,
     "window_user_avg_panes": WINDOW_USER_AVG,
-    "score_text": f"""
-WITH {SCORED_DOCUMENTS}
-SELECT doc_id, round(score, 6) AS score, round(pa, 6) AS identity_attack, round(pb, 6) AS insult,
-       round(pc, 6) AS sexually_explicit
-FROM scored
-""",
+    "score_text": SCORE_TEXT,
+    "score_text_pandas": SCORE_TEXT,
     "sentence_split": f"""
 SELECT conv_id, turn, (unnest(range(len(found))))::BIGINT AS position, unnest(found) AS sentence
 FROM (SELECT conv_id, turn, {SENTENCES} AS found FROM conversations)

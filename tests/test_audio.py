@@ -8,9 +8,8 @@ from pyspark.sql import functions as F
 from banterscope.config import PipelineConfig
 from banterscope.functions import names, text
 from banterscope.operators import audio
+from banterscope.plans import transcripts_run
 from banterscope.schema import STT_RESULT
-from banterscope.sinks import batch
-from banterscope.sources import tables
 
 
 def now():
@@ -151,13 +150,13 @@ def test_transcript_files_to_drop_zone(spark, tmp_path):
     (tmp_path / "stt" / "lost.json").write_text(json.dumps(result("z")))
     (tmp_path / "meta" / "a.json").write_text(json.dumps({"userid": "u", "timestamp": 3, "text": "old"}))
     (tmp_path / "meta" / "a.flac").write_text("sound")
-    spoken = tables.stt_results(spark, str(tmp_path / "stt")).select(
-        F.lower("object_name").alias("object_name"), audio.regroup_long(F.col("results")).alias("segments")
+    (tmp_path / "stt" / "broken.json").write_text(json.dumps(result("z", None)))
+    (tmp_path / "meta" / "broken.json").write_text("{}")
+    transcripts_run.run_long(
+        spark, str(tmp_path / "stt"), str(tmp_path / "meta"), str(tmp_path / "out"), str(tmp_path / "errors")
     )
-    joined = audio.attach_metadata(spoken, tables.sidecars(spark, str(tmp_path / "meta")))
-    failed = joined.where(F.col("error").isNotNull()).collect()
-    assert [(r["object_name"], r["error"]) for r in failed] == [("lost.json", "metadata missing")]
-    batch.write_transcripts(joined.where(F.col("error").isNull()), str(tmp_path / "out"))
+    failed = sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "errors")).collect())
+    assert failed == [("broken.json", "transcript missing"), ("lost.json", "metadata missing")]
     (line,) = [r["value"] for r in spark.read.text(str(tmp_path / "out")).collect()]
     assert json.loads(line) == {
         "userid": "u",
@@ -167,3 +166,29 @@ def test_transcript_files_to_drop_zone(spark, tmp_path):
             {"text": "y", "start_time": "1.5s", "end_time": "2.5s"},
         ],
     }
+
+
+def test_short_transcripts(spark):
+    spoken = {"A.flac": ["hola", "hola"], "b.FLAC": ["hi"], "c.mp3": ["no"], "d.flac": [None]}
+    rows = [
+        (name, json.dumps({"results": [
+            {"alternatives": [{"transcript": t}] if t else [], "languageCode": "es-ES" if name == "A.flac" else "en-us"}
+            for t in said]}))
+        for name, said in spoken.items()
+    ]
+    files = spark.createDataFrame(rows, "object_name string, j string").select(
+        "object_name", F.from_json("j", STT_RESULT)["results"].alias("results")
+    )
+    metadata = spark.createDataFrame(
+        [("a.json", '{"userid":"u","timestamp":null}'), ("b.json", '{"userid":"v"}'), ("d.json", "{}")],
+        "object_name string, metadata string",
+    )
+    translated = spark.createDataFrame([("A.flac", ["hello "])], "object_name string, pieces array<string>")
+    found = transcripts_run.short_transcripts(files, metadata, PipelineConfig(translate=True), now(), translated)
+    rows = {r["object_name"]: r for r in found.collect()}
+    assert set(rows) == {"a.json", "b.json", "d.json"}
+    assert tuple(rows["a.json"]["segments"][0]) == ("hello", "0s", "59s")
+    assert json.loads(rows["a.json"]["metadata"]) == {"userid": "u", "timestamp": None}
+    assert json.loads(rows["b.json"]["metadata"]) == {"userid": "v", "timestamp": 1700000000}
+    assert rows["a.json"]["result_name"] == "A_1700000000.json"
+    assert [rows[k]["error"] for k in sorted(rows)] == [None, None, "transcript missing"]
