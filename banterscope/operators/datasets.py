@@ -22,6 +22,9 @@ TRAIN_PERCENT = 80
 # A string feature with at most this many distinct values gets a domain.
 DOMAIN_LIMIT = 100
 
+# Longer values go by their digest in counts.
+LONGEST_VALUE = 1024
+
 
 def split_bucket(key: Column, seed: int = SPLIT_SEED) -> Column:
     """A number from 0 to 99 that depends on nothing but the key and the seed."""
@@ -127,27 +130,33 @@ def feature_statistics(examples: DataFrame) -> DataFrame:
     return one_row.select(F.inline(F.array(*[F.col(f"f{i}") for i in range(len(fields))])))
 
 
-def value_counts(examples: DataFrame, features: list[str] | None = None) -> DataFrame:
+def value_counts(examples: DataFrame, features: list[str] | None = None, longest: int = LONGEST_VALUE) -> DataFrame:
     """``(feature, value, count)`` for the text features, in one shuffle.
 
     Counts are summed per task first, so a value that fills the data is one row per task.
+    A value longer than ``longest`` goes by its digest, ``sha256:…``: comments are told
+    apart and counted without being sent through the shuffle.
     """
     chosen = features or [f.name for f in examples.schema.fields if _is_text(f)]
-    pairs = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("value")) for c in chosen])
+
+    def named(column: Column) -> Column:
+        digest = F.concat(F.lit("sha256:"), F.sha2(column, 256))
+        return F.when(F.length(column) > longest, digest).otherwise(column)
+
+    pairs = F.array(*[F.struct(F.lit(c).alias("feature"), named(F.col(c)).alias("value")) for c in chosen])
     return (
-        examples.select(F.inline(pairs))
+        examples.select(F.inline_outer(pairs))
         .where(F.col("value").isNotNull())
         .groupBy("feature", "value")
         .agg(F.count(F.lit(1)).alias("count"))
     )
 
 
-def dataset_statistics(examples: DataFrame) -> DataFrame:
+def dataset_statistics(stats: DataFrame, counts: DataFrame) -> DataFrame:
     """Feature statistics plus, for text, the distinct values and the most frequent one.
 
     Among equally frequent values the smallest is named.
     """
-    counts = value_counts(examples)
     # The least of (-count, value): an ordinary partial aggregate, no join, no sort.
     peak = F.min(F.struct((-F.col("count")).alias("c"), "value"))
     text_features = (
@@ -160,7 +169,7 @@ def dataset_statistics(examples: DataFrame) -> DataFrame:
             F.col("_peak.value").alias("top_value"),
         )
     )
-    return feature_statistics(examples).join(text_features, "feature", "left")
+    return stats.join(text_features, "feature", "left")
 
 
 def top_values(counts: DataFrame, k: int) -> DataFrame:
@@ -186,25 +195,25 @@ def quantiles(examples: DataFrame, points: int = 4, accuracy: int = 10000) -> Da
     )
 
 
-def infer_schema(examples: DataFrame, domain_limit: int = DOMAIN_LIMIT) -> DataFrame:
+def infer_schema(stats: DataFrame, counts: DataFrame, domain_limit: int = DOMAIN_LIMIT) -> DataFrame:
     """One row per feature: type, whether it is always there, and the size of its domain."""
-    sizes = value_counts(examples).groupBy("feature").agg(F.count(F.lit(1)).alias("values"))
-    return (
-        feature_statistics(examples)
-        .join(sizes, "feature", "left")
-        .select(
-            "feature",
-            "type",
-            (F.col("missing") == 0).alias("required"),
-            F.when(F.col("values") <= domain_limit, F.col("values")).alias("domain_size"),
-        )
+    sizes = counts.groupBy("feature").agg(F.count(F.lit(1)).alias("values"))
+    return stats.join(sizes, "feature", "left").select(
+        "feature",
+        "type",
+        (F.col("missing") == 0).alias("required"),
+        F.when(F.col("values") <= domain_limit, F.col("values")).alias("domain_size"),
     )
 
 
-def infer_domains(examples: DataFrame, schema: DataFrame) -> DataFrame:
+def infer_domains(counts: DataFrame, schema: DataFrame) -> DataFrame:
     """The values of the features that have a domain."""
-    bounded = schema.where(F.col("domain_size").isNotNull()).select("feature")
-    return value_counts(examples).join(bounded, "feature", "left_semi").select("feature", "value")
+    return _bounded(counts, schema).select("feature", "value")
+
+
+def _bounded(counts: DataFrame, schema: DataFrame) -> DataFrame:
+    limited = schema.where(F.col("domain_size").isNotNull()).select("feature")
+    return counts.join(limited, "feature", "left_semi")
 
 
 def import_schema(features: DataFrame) -> DataFrame:
@@ -216,12 +225,13 @@ def import_schema(features: DataFrame) -> DataFrame:
     return features.select(*[F.col(name).cast(kind).alias(name) for name, kind in wanted.items()])
 
 
-def validate_examples(examples: DataFrame, schema: DataFrame, domains: DataFrame) -> DataFrame:
-    """Anomalies against a schema: ``(feature, anomaly, detail, rows)``, empty if all is well."""
-    stats = feature_statistics(examples).select(
-        "feature", F.col("type").alias("seen"), "examples", "missing"
-    )
-    both = schema.withColumn("_known", F.lit(True)).join(stats, "feature", "full_outer")
+def validate_examples(stats: DataFrame, counts: DataFrame, schema: DataFrame, domains: DataFrame) -> DataFrame:
+    """Anomalies against a schema: ``(feature, anomaly, detail, rows)``, empty if all is well.
+
+    ``stats`` and ``counts`` describe the data that is checked.
+    """
+    seen = stats.select("feature", F.col("type").alias("seen"), "examples", "missing")
+    both = schema.withColumn("_known", F.lit(True)).join(seen, "feature", "full_outer")
     nothing = F.lit(None).cast("string")
     rules = [
         ("missing_feature", F.col("seen").isNull(), nothing, F.lit(0).cast("bigint")),
@@ -245,13 +255,15 @@ def validate_examples(examples: DataFrame, schema: DataFrame, domains: DataFrame
     )
     structural = both.select("feature", F.inline(found)).drop("hit")
 
-    bounded = schema.where(F.col("domain_size").isNotNull()).select("feature")
     outside = (
-        value_counts(examples)
-        .join(bounded, "feature", "left_semi")
+        _bounded(counts, schema)
         .join(domains, ["feature", "value"], "left_anti")
-        .select("feature", F.lit("value_outside_domain").alias("anomaly"), F.col("value").alias("detail"),
-                F.col("count").alias("rows"))
+        .select(
+            "feature",
+            F.lit("value_outside_domain").alias("anomaly"),
+            F.col("value").alias("detail"),
+            F.col("count").alias("rows"),
+        )
     )
     return structural.unionByName(outside)
 

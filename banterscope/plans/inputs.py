@@ -82,4 +82,4 @@ def training_examples(spark: SparkSession, folder: str) -> DataFrame:
     """``doc_id, comment_text, target``: the labelled documents."""
     labels = table(spark, folder, "labels").select("doc_id", F.col("toxic").alias("target"))
     documents = table(spark, folder, "documents").select("doc_id", F.col("text").alias("comment_text"))
-    return documents.join(labels, "doc_id")
+    return spread(documents, "doc_id").join(labels, "doc_id")

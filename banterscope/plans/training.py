@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from banterscope.operators import datasets, models
 from banterscope.plans import inputs
 from banterscope.plans.inputs import table
-from banterscope.session import materialise, spread
+from banterscope.session import materialise
 
 
 def training_source(spark: SparkSession, folder: str) -> DataFrame:
@@ -45,7 +45,8 @@ def embedding_attach(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def dataset_stats(spark: SparkSession, folder: str) -> DataFrame:
-    found = datasets.dataset_statistics(table(spark, folder, "events"))
+    given = table(spark, folder, "events")
+    found = datasets.dataset_statistics(datasets.feature_statistics(given), datasets.value_counts(given))
     rounded = [F.round(c, 4).alias(c) for c in ("min", "max", "mean", "std", "avg_length")]
     others = [c for c in found.columns if c not in ("min", "max", "mean", "std", "avg_length")]
     return found.select(*others, *rounded)
@@ -61,7 +62,8 @@ def dataset_quantiles(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def infer_schema(spark: SparkSession, folder: str) -> DataFrame:
-    found = datasets.infer_schema(table(spark, folder, "events"))
+    given = table(spark, folder, "events")
+    found = datasets.infer_schema(datasets.feature_statistics(given), datasets.value_counts(given))
     return found.withColumn("required", F.col("required").cast("int"))
 
 
@@ -70,8 +72,8 @@ def validate_examples(spark: SparkSession, folder: str) -> DataFrame:
     became text, the properties went and a channel came."""
     every = table(spark, folder, "events")
     before = every.where(F.col("event_type") != "error")
-    schema = materialise(datasets.infer_schema(before), "schema")
-    domains = materialise(datasets.infer_domains(before, schema), "domains")
+    counts = materialise(datasets.value_counts(before), "counts")
+    schema = materialise(datasets.infer_schema(datasets.feature_statistics(before), counts), "schema")
     after = every.select(
         "event_id",
         "ts",
@@ -80,7 +82,12 @@ def validate_examples(spark: SparkSession, folder: str) -> DataFrame:
         F.col("value").cast("string").alias("value"),
         F.lit("web").alias("channel"),
     )
-    return datasets.validate_examples(after, schema, domains)
+    return datasets.validate_examples(
+        datasets.feature_statistics(after),
+        datasets.value_counts(after),
+        schema,
+        datasets.infer_domains(counts, schema),
+    )
 
 
 def _lexicon_predictions(spark: SparkSession, folder: str) -> DataFrame:
@@ -136,7 +143,7 @@ def latest_blessed(spark: SparkSession, folder: str) -> DataFrame:
 def train_scorer(spark: SparkSession, folder: str) -> DataFrame:
     """Train on the sample, evaluate on its complement."""
     examples = datasets.preprocess(inputs.training_examples(spark, folder))
-    stored = materialise(spread(examples, "doc_id"), "features")
+    stored = materialise(examples, "features")
     train, test = datasets.train_test(stored, "doc_id")
     model = models.train_text_scorer(train)
     scored = model.transform(test).select(models.score_probability().alias("score"), "label")

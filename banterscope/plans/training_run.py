@@ -53,14 +53,16 @@ def run(spark: SparkSession, examples: DataFrame, job: TrainingRun) -> bool:
     goes on: what to do about them is up to who reads the table. True if published.
     """
     given = _store(examples, job.table("examples"))
-    _store(datasets.dataset_statistics(given), job.table("statistics"))
+    stats = _store(datasets.feature_statistics(given), job.table("statistics"))
+    counts = _store(datasets.value_counts(given), job.table("values"))
+    _store(datasets.dataset_statistics(stats, counts), job.table("summary"))
     if job.schema_path:
         schema = datasets.import_schema(spark.read.parquet(job.schema_path))
         domains = spark.read.parquet(job.domains_path) if job.domains_path else _no_domains(spark)
     else:
-        schema = _store(datasets.infer_schema(given), job.table("schema"))
-        domains = _store(datasets.infer_domains(given, schema), job.table("domains"))
-    _store(datasets.validate_examples(given, schema, domains), job.table("anomalies"))
+        schema = _store(datasets.infer_schema(stats, counts), job.table("schema"))
+        domains = _store(datasets.infer_domains(counts, schema), job.table("domains"))
+    _store(datasets.validate_examples(stats, counts, schema, domains), job.table("anomalies"))
 
     is_training = datasets.is_training(F.concat_ws("|", "comment_text", F.col("target").cast("string")))
     marked = datasets.preprocess(given.withColumn("training", is_training), job.preprocessing_fn)

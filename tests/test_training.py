@@ -53,6 +53,10 @@ def test_embeddings_come_in_batches(spark):
     assert sorted(r["id"] for r in found) == list(range(250))
 
 
+def described(df):
+    return datasets.feature_statistics(df), datasets.value_counts(df)
+
+
 @pytest.fixture(scope="module")
 def people(spark):
     rows = [("a", 1, 0.5), ("a", 0, None), ("b", 3, 1.5), (None, 4, 2.0)]
@@ -60,7 +64,7 @@ def people(spark):
 
 
 def test_statistics(spark, people):
-    found = {r["feature"]: r for r in datasets.dataset_statistics(people).collect()}
+    found = {r["feature"]: r for r in datasets.dataset_statistics(*described(people)).collect()}
     name, n, x = found["name"], found["n"], found["x"]
     assert (name["type"], name["examples"], name["missing"], name["avg_length"]) == ("BYTES", 4, 1, 1.0)
     assert (name["distinct_values"], name["top_value"], name["top_count"]) == (2, "a", 2)
@@ -74,6 +78,13 @@ def test_top_values(spark, people):
     assert found == [("name", "a", 2, 1)]
 
 
+def test_long_values_are_counted_by_digest(spark):
+    df = spark.createDataFrame([("x" * 2000,), ("x" * 2000,), ("x" * 1999,), ("y" * 1024,)], "t string")
+    found = {r["value"]: r["count"] for r in datasets.value_counts(df).collect()}
+    assert found.pop("y" * 1024) == 1
+    assert sorted(found.values()) == [1, 2] and all(v.startswith("sha256:") for v in found)
+
+
 def test_quantiles(spark):
     df = spark.range(1, 10002).select(F.col("id").alias("n"), F.lit("t").alias("t"))
     found = {r["share"]: r["value"] for r in datasets.quantiles(df, accuracy=1000).collect()}
@@ -83,11 +94,11 @@ def test_quantiles(spark):
 
 
 def test_inferred_schema(spark, people):
-    found = rows_of(datasets.infer_schema(people))
+    found = rows_of(datasets.infer_schema(*described(people)))
     assert found == [("n", "INT", True, None), ("name", "BYTES", False, 2), ("x", "FLOAT", False, None)]
-    narrow = datasets.infer_schema(people, domain_limit=1)
+    narrow = datasets.infer_schema(*described(people), domain_limit=1)
     assert narrow.where("feature = 'name'").first()["domain_size"] is None
-    domains = datasets.infer_domains(people, datasets.infer_schema(people))
+    domains = datasets.infer_domains(datasets.value_counts(people), datasets.infer_schema(*described(people)))
     assert rows_of(domains) == [("name", "a"), ("name", "b")]
 
 
@@ -99,19 +110,19 @@ def test_imported_schema(spark):
 
 
 def test_anomalies(spark, people):
-    schema = datasets.infer_schema(people)
-    domains = datasets.infer_domains(people, schema)
-    assert datasets.validate_examples(people, schema, domains).count() == 0
+    schema = datasets.infer_schema(*described(people))
+    domains = datasets.infer_domains(datasets.value_counts(people), schema)
+    assert datasets.validate_examples(*described(people), schema, domains).count() == 0
     odd = spark.createDataFrame(
         [("c", None, 1, "new"), ("c", 1, 2, "new"), ("a", 1, 3, "new")], "name string, n int, x int, y string"
     )
-    assert rows_of(datasets.validate_examples(odd, schema, domains).na.fill("-")) == [
+    assert rows_of(datasets.validate_examples(*described(odd), schema, domains).na.fill("-")) == [
         ("n", "missing_values", "-", 1),
         ("name", "value_outside_domain", "c", 2),
         ("x", "type_change", "FLOAT>INT", 3),
         ("y", "new_feature", "BYTES", 3),
     ]
-    assert rows_of(datasets.validate_examples(odd.drop("x", "y"), schema, domains).na.fill("-"))[-1] == (
+    assert rows_of(datasets.validate_examples(*described(odd.drop("x", "y")), schema, domains).na.fill("-"))[-1] == (
         "x", "missing_feature", "-", 0,
     )
 
