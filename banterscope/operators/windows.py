@@ -61,9 +61,8 @@ def toxic_flags(windows: DataFrame, cfg: PipelineConfig) -> DataFrame:
     Only windows with messages count, so a silent gap does not clear a user. A user's
     windows are looked back over in slices of time, not as one group.
     """
-    # floor() of whole seconds since the epoch; the cast is free of any time zone for
-    # TIMESTAMP, and the session runs in UTC for TIMESTAMP_NTZ.
-    seconds = F.unix_timestamp(F.col("window_start").cast("timestamp"))
+    # Seconds since the epoch, for TIMESTAMP and TIMESTAMP_NTZ alike.
+    seconds = F.unix_timestamp("window_start")
     slice_of = F.floor(seconds / F.lit(cfg.slice_seconds))
     toxic = is_toxic(F.col("score"), cfg.toxic_threshold)
 

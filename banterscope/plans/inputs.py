@@ -23,7 +23,7 @@ def now() -> Column:
 
 def epoch(clock: Column) -> Column:
     """Whole seconds of a timestamp."""
-    return F.unix_timestamp(clock.cast("timestamp"))
+    return F.unix_timestamp(clock)
 
 
 def scored_documents(spark: SparkSession, folder: str) -> DataFrame:

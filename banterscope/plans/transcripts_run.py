@@ -12,10 +12,15 @@ from banterscope.sinks.batch import write_transcripts
 from banterscope.sources import tables
 
 
-def _checked(found: DataFrame) -> DataFrame:
-    """One missing transcript fails its whole file."""
-    error = F.when(audio.is_broken_result(F.col("results")), F.lit("transcript missing"))
-    return found.withColumn("error", F.coalesce(error, "error")).drop("results")
+def _broken() -> Column:
+    """One missing transcript fails its whole file. Told before the join, so that the raw
+    results need not go through it."""
+    return F.when(audio.is_broken_result(F.col("results")), F.lit("transcript missing"))
+
+
+def _joined(spoken: DataFrame, metadata: DataFrame) -> DataFrame:
+    found = audio.attach_metadata(spoken, metadata)
+    return found.withColumn("error", F.coalesce("_broken", "error")).drop("_broken")
 
 
 def long_transcripts(results: DataFrame, metadata: DataFrame) -> DataFrame:
@@ -26,10 +31,10 @@ def long_transcripts(results: DataFrame, metadata: DataFrame) -> DataFrame:
     """
     named = results.select(
         F.lower("object_name").alias("object_name"),
-        "results",
+        _broken().alias("_broken"),
         audio.regroup_long(F.col("results")).alias("segments"),
     )
-    return _checked(audio.attach_metadata(named, metadata))
+    return _joined(named, metadata)
 
 
 def short_transcripts(
@@ -48,7 +53,7 @@ def short_transcripts(
     spoken = results.where(names.is_flac(F.col("object_name"))).select(
         F.col("object_name").alias("sound_name"),
         names.short_metadata_name(F.col("object_name")).alias("object_name"),
-        "results",
+        _broken().alias("_broken"),
         audio.merge_short(F.col("results")).alias("text"),
         audio.detected_language(F.col("results")).alias("language"),
     )
@@ -57,7 +62,7 @@ def short_transcripts(
         spoken = audio.route_language(spoken, renamed, "sound_name", cfg)
     else:
         spoken = spoken.withColumn("final_text", F.col("text"))
-    joined = _checked(audio.attach_metadata(spoken, metadata))
+    joined = _joined(spoken, metadata)
     stamped = records.default_timestamp(records.parse_record(F.col("metadata")), now)
     return joined.select(
         "object_name",
