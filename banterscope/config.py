@@ -16,6 +16,7 @@ class PipelineConfig:
     broker took the message, ``payload`` is the ``timestamp`` inside the message.
     """
 
+    # The defaults of windows, threshold, fallback and short recordings.
     window_seconds: int = 30
     slide_seconds: int = 5
     toxic_threshold: float = 0.60

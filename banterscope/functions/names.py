@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Fixed value: what a piece of an address looks like that names an audio file.
 AUDIO_NAME = r"[a-zA-Z0-9\-_ ()]+\.(wav|mp3|flac)"
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 RECORD = "map<string,variant>"
+
+# Fixed value: the format of a timestamp that is text.
 TEXT_TIME_FORMAT = "yyyyMMdd HH:mm:ss.SSSSSS"
 
 # Keys that a scored sentence sets itself, over any incoming key of that name.

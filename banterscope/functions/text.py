@@ -7,9 +7,12 @@ import string
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Where sentences end, the shortest that counts, and the longest comment that
+# an embedder takes.
 SENTENCE_BREAK = r"\. |\? |! "
 SHORTEST_SENTENCE = 3
 LONGEST_COMMENT = 511
+
 WHITE_SPACE = string.whitespace
 
 

@@ -9,8 +9,9 @@ from banterscope.config import PipelineConfig
 from banterscope.functions import names, text
 from banterscope.operators.ordering import with_previous
 
+# The language that needs no translation, the times of the single segment of a
+# short recording, and the start of the first segment of a long one.
 HOME_LANGUAGE = "en-us"
-# A short recording becomes a single segment with these times.
 SHORT_START, SHORT_END = "0s", "59s"
 FIRST_START = "0s"
 

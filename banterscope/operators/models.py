@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
-from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
+from pyspark.ml.feature import IDF, CountVectorizer, RegexTokenizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,27 +15,38 @@ from pyspark.sql import functions as F
 LOWEST_ACCURACY = 0.5
 ALLOWED_CHANGE = -1e-10
 
+WORD = "[a-z]+"
+
 REGISTRY = (
     "model_name string, model_id string, created_at timestamp, "
     "example_count bigint, accuracy double, mae double, mse double, blessed boolean"
 )
 
 
-def text_pipeline(features: int = 1 << 14, iterations: int = 20, penalty: float = 0.005) -> Pipeline:
-    """Which words occur, hashed and weighted by rarity, into a sparse logistic regression.
+def text_pipeline(words: int = 1 << 14, iterations: int = 20, penalty: float = 0.005) -> Pipeline:
+    """Which words occur, weighted by rarity, into a sparse logistic regression.
 
-    The weights are as many as ``features``, whatever the vocabulary of the data is.
+    Knows the ``words`` most frequent words that are in two comments at least; so many
+    weights, and no more, are gathered, whatever the vocabulary of the data is.
     """
     return Pipeline(
         stages=[
-            RegexTokenizer(inputCol="text", outputCol="words", pattern="[a-z]+", gaps=False),
-            HashingTF(inputCol="words", outputCol="present", numFeatures=features, binary=True),
+            RegexTokenizer(inputCol="text", outputCol="words", pattern=WORD, gaps=False),
+            CountVectorizer(inputCol="words", outputCol="present", vocabSize=words, minDF=2, binary=True),
             IDF(inputCol="present", outputCol="features"),
             LogisticRegression(maxIter=iterations, regParam=penalty, elasticNetParam=1.0),
         ]
     )
 
 
+def word_weights(model: PipelineModel) -> tuple[dict[str, float], float]:
+    """What a fitted ``text_pipeline`` learned: the words that count, and the intercept."""
+    _, counter, rarity, regression = model.stages
+    effect = regression.coefficients.toArray() * rarity.idf.toArray()
+    weights = {word: float(w) for word, w in zip(counter.vocabulary, effect) if w}
+    return weights, float(regression.intercept)
+
+
 def train_text_scorer(
     examples: DataFrame, build: Callable[[], Pipeline] = text_pipeline
 ) -> PipelineModel:

@@ -6,18 +6,21 @@ pandas UDF, a ``spark.ml`` model as a DataFrame transformation.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 from typing import Protocol
 
 import pandas as pd
-from pyspark.ml import Transformer
+from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from banterscope.functions import probability
+from banterscope.functions.text import ascii_lower
+from banterscope.operators import models
 from banterscope.schema import SCORE
 
 
@@ -161,18 +164,57 @@ def _payload(row: dict, details: list[str]) -> dict:
     }
 
 
+@dataclass(frozen=True)
+class LinearTextScorer:
+    """A fitted text pipeline as plain columns: row-local, so that it can score a stream.
+
+    The score is the logistic function of the intercept and the weights of the words that
+    occur. Few words have a weight, as the training drops most of them.
+    """
+
+    weights: Mapping[str, float]
+    intercept: float
+
+    @classmethod
+    def from_model(cls, model: PipelineModel) -> LinearTextScorer:
+        return cls(*models.word_weights(model))
+
+    def score_column(self, text: Column) -> Column:
+        words = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(models.WORD), F.lit(0)))
+        table = F.from_json(F.lit(json.dumps(self.weights)), "map<string,double>")
+        # Membership in a fixed set is a hash look-up; only the few hits search the map.
+        known = F.filter(words, lambda w: w.isin(*self.weights))
+        margin = F.aggregate(known, F.lit(self.intercept), lambda sum_, w: sum_ + table[w])
+        return 1 / (1 + F.exp(-margin))
+
+    def attach(self, df: DataFrame, texts: str, into: str) -> DataFrame:
+        nothing = F.lit(None).cast("map<string,double>")
+
+        def payload(text: Column) -> Column:
+            score = F.struct(self.score_column(text).alias("score"), nothing.alias("detail"))
+            return F.when(text.isNotNull(), score)
+
+        return df.withColumn(into, F.transform(texts, payload))
+
+
 @dataclass(frozen=True)
 class SparkMLScorer:
-    """Scores with a fitted ``spark.ml`` pipeline that reads ``text`` and adds ``probability``."""
+    """Scores with a fitted ``spark.ml`` pipeline that reads ``text`` and adds ``probability``.
+
+    Works on rows and puts them together again, so it is for bounded data. ``prepare`` is
+    what the text went through before training.
+    """
 
     model: Transformer
     positive: int = 1
+    prepare: Callable[[Column], Column] = ascii_lower
 
     def score_rows(self, df: DataFrame, text: str = "text", into: str = "score") -> DataFrame:
         """One text per row. The model's own columns are dropped."""
-        given = df.withColumn("text", F.col(text)) if text != "text" else df
+        given = df.withColumn("_original", F.col(text)).withColumn("text", self.prepare(F.col(text)))
+        kept = [F.col("_original").alias(c) if c == text else F.col(c) for c in df.columns]
         scored = self.model.transform(given)
-        return scored.select(*df.columns, vector_to_array("probability")[self.positive].alias(into))
+        return scored.select(*kept, vector_to_array("probability")[self.positive].alias(into))
 
     def attach(self, df: DataFrame, texts: str, into: str) -> DataFrame:
         def by_row(rows: DataFrame) -> DataFrame:
@@ -212,6 +254,7 @@ _SCORERS: dict[str, Callable[..., Scorer]] = {
     "lexicon": LexiconScorer,
     "attributes": AttributeTableScorer,
     "pandas": PandasScorer,
+    "linear": LinearTextScorer.from_model,
     "sparkml": SparkMLScorer,
 }
 

@@ -9,12 +9,13 @@ from __future__ import annotations
 import argparse
 from dataclasses import fields
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from banterscope.config import PipelineConfig
 from banterscope.operators import events, windows
-from banterscope.operators.scoring import scorer
+from banterscope.operators.scoring import Scorer, scorer
 from banterscope.plans.training_run import TrainingRun, run_csv
 from banterscope.sinks.batch import append_warehouse, write_outbox
 from banterscope.sinks.streams import topic
@@ -31,7 +32,8 @@ def arguments(given: list[str] | None = None) -> argparse.Namespace:
     parser.add_argument("--input-topic")
     parser.add_argument("--scored-topic")
     parser.add_argument("--toxic-topic")
-    parser.add_argument("--scorer", default="lexicon")
+    parser.add_argument("--scorer", default="lexicon", help="lexicon, linear, or sparkml (replay only)")
+    parser.add_argument("--model", help="folder of a published model, for linear and sparkml")
     parser.add_argument("--every", default="5 seconds", help="time between micro-batches")
     parser.add_argument("--comments", help="CSV with comment_text and target")
     parser.add_argument("--model-id")
@@ -45,6 +47,10 @@ def options(args: argparse.Namespace) -> PipelineConfig:
     return PipelineConfig.from_strings({n: getattr(args, n) for n in names if getattr(args, n) is not None})
 
 
+def chosen_scorer(args: argparse.Namespace) -> Scorer:
+    return scorer(args.scorer, model=PipelineModel.load(args.model)) if args.model else scorer(args.scorer)
+
+
 def stream(spark: SparkSession, args: argparse.Namespace) -> None:
     cfg, layout, pace = options(args), jobs.Layout(args.root), {"processingTime": args.every}
 
@@ -56,7 +62,7 @@ def stream(spark: SparkSession, args: argparse.Namespace) -> None:
     def to(name):
         return topic(args.servers, name, pace) if args.servers and name else None
 
-    jobs.start_scoring(incoming(), scorer(args.scorer), cfg, layout, pace)
+    jobs.start_scoring(incoming(), chosen_scorer(args), cfg, layout, pace)
     jobs.start_quarantine(incoming(), layout, pace)
     jobs.start_scored_topic(spark, layout, sink=to(args.scored_topic), trigger=pace)
     jobs.start_warehouse(spark, layout, pace)
@@ -72,7 +78,7 @@ def replay(spark: SparkSession, args: argparse.Namespace) -> None:
     else:
         given = messages.line_batch(spark, args.messages)
     # Into a fresh root: a second replay fails instead of adding everything once more.
-    jobs.scored_messages(given, scorer(args.scorer), cfg).write.parquet(layout.table("scored"))
+    jobs.scored_messages(given, chosen_scorer(args), cfg).write.parquet(layout.table("scored"))
     events.quarantine(events.parse_events(given)).write.parquet(layout.table("quarantine"))
     scored = tables.scored_batch(spark, layout.table("scored"))
     scored.select(F.col("envelope").alias("value")).write.text(layout.table("topic"))

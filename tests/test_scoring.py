@@ -112,16 +112,33 @@ def test_attribute_table_scorer(spark):
     assert scores_of(AttributeTableScorer(responses), df) == [[expected, None, 0.0, expected], [], None]
 
 
-def test_spark_model_scorer(spark):
+@pytest.fixture(scope="module")
+def small_model(spark):
     from banterscope.operators.models import text_pipeline, train_text_scorer
 
     rows = [("you idiot", 1.0), ("such an idiot", 1.0), ("well played", 0.0), ("good game", 0.0)] * 5
-    model = train_text_scorer(
-        spark.createDataFrame(rows, "text string, label double"), lambda: text_pipeline(256, 10)
-    )
-    df = texts(spark, ["an idiot", None, "good"], [], None)
-    (bad, missing, good), empty, none = scores_of(SparkMLScorer(model), df)
+    training = spark.createDataFrame(rows, "text string, label double")
+    return train_text_scorer(training, lambda: text_pipeline(256, 10))
+
+
+def test_spark_model_scorer(spark, small_model):
+    df = texts(spark, ["an IDIOT", None, "good"], [], None)
+    (bad, missing, good), empty, none = scores_of(SparkMLScorer(small_model), df)
     assert bad > 0.5 > good and missing is None and empty == [] and none is None
+    rows = spark.createDataFrame([("an IDIOT", 1)], "text string, n int")
+    assert SparkMLScorer(small_model).score_rows(rows).select("text", "n").first() == ("an IDIOT", 1)
+
+
+def test_linear_scorer_equals_its_model(spark, small_model, tables):
+    documents = spark.read.parquet(f"{tables}/documents.parquet").select("text")
+    extra = spark.createDataFrame([("Idiot idiot, you",), ("",), ("good GAME",)], "text string")
+    linear = scoring.scorer("linear", model=small_model)
+    both = SparkMLScorer(small_model).score_rows(documents.union(extra), into="a")
+    off = both.where(F.abs(F.col("a") - linear.score_column(F.col("text"))) > 1e-9)
+    assert off.count() == 0 and 0 < len(linear.weights) < 10
+    df = texts(spark, ["an IDIOT", None], [], None)
+    ((bad, missing), empty, none) = scores_of(linear, df)
+    assert bad > 0.5 and missing is None and empty == [] and none is None
 
 
 def test_registry_of_scorers():

@@ -146,6 +146,17 @@ def test_outputs_can_be_replaced(spark, tmp_path):
     assert len(published) == 2 and all('"USERID":"U"' in value for value in published)
 
 
+def test_trained_scorer_in_a_stream(spark, tmp_path):
+    from banterscope.operators.scoring import LinearTextScorer
+
+    put(tmp_path / "in", ['{"userid":"u","text":"you cad"}'])
+    layout = jobs.Layout(str(tmp_path / "out"))
+    trained = LinearTextScorer({"cad": 2.0}, -1.0)
+    run(jobs.start_scoring(messages.drop_zone_stream(spark, str(tmp_path / "in")), trained, CFG, layout))
+    (row,) = tables.scored_batch(spark, layout.table("scored")).collect()
+    assert row["sentences"][0]["score"] == pytest.approx(0.7310585786)
+
+
 def test_lines_as_messages(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text('{"a":1}\n{"a":1}\n{"a":2}\n')
     rows = messages.line_batch(spark, str(tmp_path)).collect()
