@@ -34,14 +34,15 @@ def with_event_columns(
     cfg: PipelineConfig,
     now: Column | None = None,
     publish_time: str | None = "publish_time",
+    keep_unparsed: bool = False,
 ) -> DataFrame:
     """Default the timestamp and lift the typed columns out of the parsed record.
 
-    Keeps only messages that parsed. ``now`` is whole seconds; in a stream it is frozen
-    per micro-batch, in tests a literal.
+    ``now`` is whole seconds; in a stream it is frozen per micro-batch, in tests a literal.
+    Messages that did not parse are dropped, unless the caller wants to store them too.
     """
     now = F.unix_timestamp() if now is None else now
-    kept = parsed.where(F.col("event").isNotNull())
+    kept = parsed if keep_unparsed else parsed.where(F.col("event").isNotNull())
     stamped = kept.withColumn("event", records.default_timestamp(F.col("event"), now))
     event = F.col("event")
     clock = records.payload_time(event) if cfg.event_time == "payload" else F.col(publish_time)
@@ -58,7 +59,8 @@ def score_messages(events: DataFrame, scorer: Scorer, cfg: PipelineConfig) -> Da
 
     Expects ``message_id`` and ``event``. Adds ``is_fallback`` and ``sentences``. One
     sentence that cannot be scored turns the whole message into a single fallback entry,
-    which keeps the original text and has no times and no detail.
+    which keeps the original text and has no times and no detail. A message that did not
+    parse has no sentences at all.
     """
     event = F.col("event")
     segmented = events.withColumn("_segments", records.segments(event))
@@ -72,7 +74,7 @@ def score_messages(events: DataFrame, scorer: Scorer, cfg: PipelineConfig) -> Da
         | F.col("_scores").isNull()
         | F.exists("_scores", lambda s: s["score"].isNull())
     )
-    flagged = scored.withColumn("is_fallback", F.coalesce(failed, F.lit(True)))
+    flagged = scored.withColumn("is_fallback", event.isNotNull() & F.coalesce(failed, F.lit(True)))
 
     def time_of(segment: Column, key: str) -> Column:
         present = F.map_contains_key(segment, key)
@@ -100,7 +102,7 @@ def score_messages(events: DataFrame, scorer: Scorer, cfg: PipelineConfig) -> Da
     )
     return flagged.withColumn(
         "sentences",
-        F.when(F.col("is_fallback"), fallback).otherwise(F.transform(parts, sentence)),
+        F.when(F.col("is_fallback"), fallback).when(event.isNotNull(), F.transform(parts, sentence)),
     ).drop("_segments", "_texts", "_scores")
 
 
@@ -137,7 +139,9 @@ def with_envelope(scored: DataFrame, cfg: PipelineConfig) -> DataFrame:
             F.lit("score_detail"), F.to_variant_object(plain),
         ),
     )
-    entries = F.when(F.col("is_fallback"), F.array(whole_event)).otherwise(F.transform("sentences", entry))
+    entries = F.when(F.col("is_fallback"), F.array(whole_event)).when(
+        event.isNotNull(), F.transform("sentences", entry)
+    )
     return scored.withColumn("envelope", F.to_json(entries, {"ignoreNullFields": "false"}))
 
 

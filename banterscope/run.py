@@ -54,16 +54,16 @@ def chosen_scorer(args: argparse.Namespace) -> Scorer:
 def stream(spark: SparkSession, args: argparse.Namespace) -> None:
     cfg, layout, pace = options(args), jobs.Layout(args.root), {"processingTime": args.every}
 
-    def incoming():
-        if args.servers:
-            return messages.topic_stream(spark, args.servers, args.input_topic)
-        return messages.line_stream(spark, args.messages)
+    if args.servers:
+        incoming = messages.topic_stream(spark, args.servers, args.input_topic)
+    else:
+        incoming = messages.line_stream(spark, args.messages)
 
     def to(name):
         return topic(args.servers, name, pace) if args.servers and name else None
 
-    jobs.start_scoring(incoming(), chosen_scorer(args), cfg, layout, pace)
-    jobs.start_quarantine(incoming(), layout, pace)
+    jobs.start_scoring(incoming, chosen_scorer(args), cfg, layout, pace)
+    jobs.start_quarantine(spark, layout, pace)
     jobs.start_scored_topic(spark, layout, sink=to(args.scored_topic), trigger=pace)
     jobs.start_warehouse(spark, layout, pace)
     jobs.start_outbox(spark, layout, pace)
@@ -79,8 +79,9 @@ def replay(spark: SparkSession, args: argparse.Namespace) -> None:
         given = messages.line_batch(spark, args.messages)
     # Into a fresh root: a second replay fails instead of adding everything once more.
     jobs.scored_messages(given, chosen_scorer(args), cfg).write.parquet(layout.table("scored"))
-    events.quarantine(events.parse_events(given)).write.parquet(layout.table("quarantine"))
-    scored = tables.scored_batch(spark, layout.table("scored"))
+    stored = tables.scored_batch(spark, layout.table("scored"))
+    stored.where("is_quarantined").select("message_id", "raw").write.parquet(layout.table("quarantine"))
+    scored = stored.where("not is_quarantined")
     scored.select(F.col("envelope").alias("value")).write.text(layout.table("topic"))
     append_warehouse(events.warehouse_rows(scored), layout.table("warehouse"))
     write_outbox(events.callback_outbox(scored), layout.table("outbox"))

@@ -30,7 +30,8 @@ SENTENCE = T.StructType(
     ]
 )
 
-# The stored form of a scored message: one row per input message.
+# The stored form of a scored message: one row per input message. Those that could not be
+# parsed have ``raw`` and nothing else.
 SCORED_MESSAGE = T.StructType(
     [
         T.StructField("message_id", T.StringType()),
@@ -38,6 +39,8 @@ SCORED_MESSAGE = T.StructType(
         T.StructField("timestamp", T.LongType()),
         T.StructField("event_time", T.TimestampType()),
         T.StructField("callback_url", T.StringType()),
+        T.StructField("is_quarantined", T.BooleanType()),
+        T.StructField("raw", T.StringType()),
         T.StructField("is_fallback", T.BooleanType()),
         T.StructField("sentences", T.ArrayType(SENTENCE)),
         T.StructField("envelope", T.StringType()),

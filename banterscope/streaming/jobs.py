@@ -48,10 +48,17 @@ def use_rocksdb(spark: SparkSession) -> None:
 def scored_messages(
     messages: DataFrame, scorer: Scorer, cfg: PipelineConfig, now: Column | None = None
 ) -> DataFrame:
-    """Messages to the stored form; the same for streams and for replay in batch."""
+    """Messages to the stored form; the same for streams and for replay in batch.
+
+    Messages that are no JSON objects are kept aside in the same table, so that the source
+    is read and parsed once.
+    """
     parsed = events.parse_events(messages)
-    scored = events.score_messages(events.with_event_columns(parsed, cfg, now), scorer, cfg)
-    return events.with_envelope(scored, cfg).select(*SCORED_MESSAGE.fieldNames())
+    typed = events.with_event_columns(parsed, cfg, now, keep_unparsed=True)
+    scored = events.with_envelope(events.score_messages(typed, scorer, cfg), cfg)
+    unparsed = F.col("event").isNull()
+    marked = scored.withColumn("is_quarantined", unparsed).withColumn("raw", F.when(unparsed, F.col("value")))
+    return marked.select(*SCORED_MESSAGE.fieldNames())
 
 
 def start_scoring(
@@ -78,9 +85,9 @@ def warehouse(spark: SparkSession, layout: Layout) -> DataFrame:
     return found.select(*WAREHOUSE.fieldNames())
 
 
-def start_quarantine(messages: DataFrame, layout: Layout, trigger: dict | None = None) -> StreamingQuery:
+def start_quarantine(spark: SparkSession, layout: Layout, trigger: dict | None = None) -> StreamingQuery:
     """Messages that are no JSON objects."""
-    bad = events.quarantine(events.parse_events(messages))
+    bad = scored_stream(spark, layout.table("scored")).where("is_quarantined").select("message_id", "raw")
     return files(layout.table("quarantine"), trigger=trigger)(bad, layout.checkpoint("quarantine"))
 
 
@@ -89,7 +96,8 @@ def start_scored_topic(
     hook: events.RowHook | None = None, trigger: dict | None = None,
 ) -> StreamingQuery:
     """One JSON array per message, to a topic or, without one, as lines of text."""
-    lines = scored_stream(spark, layout.table("scored")).select(F.col("envelope").alias("value"))
+    good = scored_stream(spark, layout.table("scored")).where("not is_quarantined")
+    lines = good.select(F.col("envelope").alias("value"))
     sink = sink or files(layout.table("topic"), kind="text", trigger=trigger)
     return sink(events.post_process(lines, hook), layout.checkpoint("topic"))
 

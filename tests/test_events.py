@@ -60,6 +60,17 @@ def test_what_is_no_object_goes_to_quarantine(spark, bad):
     assert events.with_event_columns(parsed, CFG).count() == 1
 
 
+def test_what_did_not_parse_is_stored_aside(spark):
+    from banterscope.streaming.jobs import scored_messages
+
+    df = scored_messages(messages(spark, "{bad", None, '{"text":"hi"}'), LexiconScorer(), CFG, F.lit(NOW))
+    found = {r["message_id"]: r for r in df.collect()}
+    assert [(found[i]["is_quarantined"], found[i]["raw"]) for i in "012"] == [(True, "{bad"), (True, None), (False, None)]
+    assert all(found[i][c] is None for i in "01" for c in ("sentences", "envelope", "userid", "timestamp"))
+    assert not found["0"]["is_fallback"]
+    assert events.warehouse_rows(df).count() == 1
+
+
 def test_missing_value_goes_to_quarantine(spark):
     assert events.quarantine(events.parse_events(messages(spark, None))).count() == 1
 

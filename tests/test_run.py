@@ -21,11 +21,11 @@ def test_replay(spark, tmp_path):
     (tmp_path / "in.jsonl").write_text("\n".join([*lines, "{broken"]))
     root = tmp_path / "root"
     run.main(["replay", "--root", str(root), "--messages", str(tmp_path / "in.jsonl"), "--event-time", "payload"])
-    assert spark.read.parquet(str(root / "scored")).count() == 3
+    assert spark.read.parquet(str(root / "scored")).count() == 4
     assert spark.read.text(str(root / "topic")).count() == 3
     assert spark.read.parquet(str(root / "warehouse")).count() == 3
     assert spark.read.parquet(str(root / "outbox")).count() == 3
     assert spark.read.parquet(str(root / "flags")).count() == 1
-    assert spark.read.parquet(str(root / "quarantine")).first()["value"] == "{broken"
+    assert spark.read.parquet(str(root / "quarantine")).first()["raw"] == "{broken"
     with pytest.raises(Exception, match="(?i)exist"):
         run.main(["replay", "--root", str(root), "--messages", str(tmp_path / "in.jsonl")])
