@@ -12,6 +12,7 @@ from dataclasses import fields
 from pyspark.ml import PipelineModel
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from banterscope.config import PipelineConfig
 from banterscope.operators import events, windows
@@ -51,7 +52,8 @@ def chosen_scorer(args: argparse.Namespace) -> Scorer:
     return scorer(args.scorer, model=PipelineModel.load(args.model)) if args.model else scorer(args.scorer)
 
 
-def stream(spark: SparkSession, args: argparse.Namespace) -> None:
+def start_stream(spark: SparkSession, args: argparse.Namespace) -> list[StreamingQuery]:
+    """Start scoring, then, when its table is there, everything that reads it."""
     cfg, layout, pace = options(args), jobs.Layout(args.root), {"processingTime": args.every}
 
     if args.servers:
@@ -62,12 +64,20 @@ def stream(spark: SparkSession, args: argparse.Namespace) -> None:
     def to(name):
         return topic(args.servers, name, pace) if args.servers and name else None
 
-    jobs.start_scoring(incoming, chosen_scorer(args), cfg, layout, pace)
-    jobs.start_quarantine(spark, layout, pace)
-    jobs.start_scored_topic(spark, layout, sink=to(args.scored_topic), trigger=pace)
-    jobs.start_warehouse(spark, layout, pace)
-    jobs.start_outbox(spark, layout, pace)
-    jobs.start_flags(spark, cfg, layout, sink=to(args.toxic_topic), trigger=pace)
+    scoring = jobs.start_scoring(incoming, chosen_scorer(args), cfg, layout, pace)
+    jobs.wait_for_first_batch(scoring)
+    return [
+        scoring,
+        jobs.start_quarantine(spark, layout, pace),
+        jobs.start_scored_topic(spark, layout, sink=to(args.scored_topic), trigger=pace),
+        jobs.start_warehouse(spark, layout, pace),
+        jobs.start_outbox(spark, layout, pace),
+        jobs.start_flags(spark, cfg, layout, sink=to(args.toxic_topic), trigger=pace),
+    ]
+
+
+def stream(spark: SparkSession, args: argparse.Namespace) -> None:
+    start_stream(spark, args)
     spark.streams.awaitAnyTermination()
 
 

@@ -7,6 +7,7 @@ table, each with its own checkpoint, so one can fail, lag or be replayed by itse
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -140,6 +141,14 @@ def start_flags(
     return files(layout.table("flags"), trigger=trigger)(flags, layout.checkpoint("flags"))
 
 
+def wait_for_first_batch(query: StreamingQuery, poll_seconds: float = 0.2) -> None:
+    """Wait until a stream has its table, empty or not, so that others can read it."""
+    while query.isActive and query.lastProgress is None:
+        time.sleep(poll_seconds)
+    if query.exception() is not None:
+        raise query.exception()
+
+
 def tail(query: StreamingQuery, seconds: float) -> bool:
     """Let a stream run for a while, then stop it; True if it had already ended."""
     ended = query.awaitTermination(seconds)

@@ -29,3 +29,30 @@ def test_replay(spark, tmp_path):
     assert spark.read.parquet(str(root / "quarantine")).first()["raw"] == "{broken"
     with pytest.raises(Exception, match="(?i)exist"):
         run.main(["replay", "--root", str(root), "--messages", str(tmp_path / "in.jsonl")])
+
+
+def test_stream(spark, tmp_path):
+    """All jobs at once; messages that arrive later go all the way through."""
+    inbox = tmp_path / "in"
+    inbox.mkdir()
+    root = str(tmp_path / "root")
+    args = run.arguments(
+        ["stream", "--root", root, "--messages", str(inbox), "--event-time", "payload", "--every", "1 second"]
+    )
+    started = run.start_stream(spark, args)
+    try:
+        vile = "scum trash idiot moron worthless pathetic"
+        for t in (0, 500):
+            line = json.dumps({"userid": "u", "timestamp": t, "text": vile, "callback_url": "c"})
+            (inbox / f"{t}.jsonl").write_text(line + "\n{broken")
+            for query in started:
+                query.processAllAvailable()
+        assert spark.read.parquet(f"{root}/scored").count() == 4
+        assert spark.read.text(f"{root}/topic").count() == 2
+        assert spark.read.parquet(f"{root}/warehouse").count() == 2
+        assert spark.read.parquet(f"{root}/outbox").count() == 2
+        assert spark.read.parquet(f"{root}/quarantine").count() == 2
+        assert [r["userid"] for r in spark.read.parquet(f"{root}/flags").collect()] == ["u"]
+    finally:
+        for query in started:
+            query.stop()
