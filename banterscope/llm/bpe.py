@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import json
 import unicodedata
-from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -32,7 +31,7 @@ _END = "</w>"
 
 _CONTROLS = frozenset("\x1c\x1d\x1e\x1f")
 
-# Chunks remembered by one worker. A memory bound only: a forgotten chunk is encoded again.
+# Chunks remembered by one worker, in two generations. A memory bound only: a forgotten chunk is encoded again.
 REMEMBERED_CHUNKS = 1 << 18
 
 
@@ -58,17 +57,16 @@ class Bpe:
         self.strings = [""] * self.size
         for text, i in {**self.vocab, **self.special}.items():
             self.strings[i] = text
-        self.rank: dict[tuple[int, int], tuple[int, int]] = {}
         n = len(model["merges"])
         self.none = n  # ranks below are merges
         self.made = np.full(self.size, -1, np.int64)  # the rank at which a token is made; -1: never
         self.left, self.right = np.arange(self.size), np.arange(self.size)
         keys, ranks = np.empty(n, np.int64), np.arange(n)
+        self.results = np.empty(n, np.int64)
         for at, (a, b) in enumerate(model["merges"]):
             x, y = self.vocab[a], self.vocab[b]
             out = self.vocab[a + b]
-            self.rank.setdefault((x, y), (at, out))
-            keys[at] = x * self.size + y
+            keys[at], self.results[at] = x * self.size + y, out
             if self.made[out] < 0:
                 self.made[out], self.left[out], self.right[out] = at, x, y
         order = np.argsort(keys, kind="stable")
@@ -80,16 +78,12 @@ class Bpe:
         good = dict(zip(made.tolist(), apart.tolist(), strict=True))
         for t in made[np.argsort(self.made[made])].tolist():
             self.itself[t] = good[t] and self.itself[self.left[t]] and self.itself[self.right[t]]
-        self.letters = _byte_letters()
-        # How long a token that begins with these three letters can be.
-        self.reach: dict[str, int] = {}
-        for t in self.vocab:
-            t = t.removesuffix(_END)
-            self.reach[t[:3]] = max(self.reach.get(t[:3], 0), len(t))
+        self._grow_tree()
         self.words = regex.compile(_WORDS)
         self.white = regex.compile(f"[{_WHITE}]+")
         self.marks = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str | int, bytes] = {}
+        self.older: dict[str | int, bytes] = {}
 
     def _meet(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """The rank at which two tokens merge; beyond all ranks if they don't."""
@@ -119,57 +113,127 @@ class Bpe:
             live = live[on]
         return good
 
-    def propose(self, spelled: str) -> list[int]:
-        """Greedy longest match; the last letter carries the word's end."""
-        vocab, reach, n, at, out = self.vocab, self.reach, len(spelled), 0, []
-        while at < n:
-            for end in range(min(n, at + reach.get(spelled[at : at + 3], 2)), at, -1):
-                token = vocab.get(spelled[at:end] + _END if end == n else spelled[at:end])
-                if token is not None:
-                    break
-            else:
-                raise ValueError("the vocabulary lacks a byte")
-            out.append(token)
-            at = end
+    def _grow_tree(self) -> None:
+        """The vocabulary as a prefix tree: sorted keys of node and symbol, the node each leads to, its token.
+
+        A symbol is a byte, plus 256 where the word ends.
+        """
+        byte = {c: b for b, c in enumerate(_byte_letters())}
+        steps: dict[int, int] = {}
+        ends = {0: -1}
+        for text, token in self.vocab.items():
+            body = text.removesuffix(_END)
+            symbols = [byte[c] for c in body]
+            symbols[-1] += 256 * (body != text)
+            node = 0
+            for s in symbols:
+                node = steps.setdefault(node * 512 + s, len(steps) + 1)
+            ends[node] = token
+        keys = np.fromiter(steps, np.int64)
+        nodes = np.fromiter(steps.values(), np.int64)
+        order = np.argsort(keys)
+        self.tree_keys, self.tree_nodes = keys[order], nodes[order]
+        self.node_token = np.full(len(steps) + 1, -1, np.int64)
+        self.node_token[list(ends)] = list(ends.values())
+        first = self._step(np.zeros(512, np.int64), np.arange(512))
+        if (first < 0).any():
+            raise ValueError("the vocabulary lacks a byte")
+        self.symbol_token = self.node_token[first]
+
+    def _step(self, node: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        want = node * 512 + symbol
+        at = np.minimum(np.searchsorted(self.tree_keys, want), len(self.tree_keys) - 1)
+        return np.where(self.tree_keys[at] == want, self.tree_nodes[at], -1)
+
+    def propose(self, symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Greedy longest match in all words at once: tokens and the word of each."""
+        word, at = np.arange(len(starts)), starts.copy()
+        ends, node = ends.copy(), np.zeros(len(starts), np.int64)
+        best, best_at = np.full(len(starts), -1), starts.copy()
+        tokens, words = [], []
+        while len(word):
+            inside = at < ends
+            child = np.where(inside, self._step(node, symbols[np.where(inside, at, 0)]), -1)
+            on = child >= 0
+            node, at = np.where(on, child, 0), at + on
+            token = np.where(on, self.node_token[child], -1)
+            hit = token >= 0
+            best, best_at = np.where(hit, token, best), np.where(hit, at, best_at)
+            stop = ~on
+            tokens.append(best[stop])
+            words.append(word[stop])
+            at = np.where(stop, best_at, at)
+            live = at < ends
+            live |= on  # a longer token may still be under way at the word's end
+            word, at, ends, node, best, best_at = (x[live] for x in (word, at, ends, node, best, best_at))
+        flat, owner = np.concatenate(tokens), np.concatenate(words)
+        order = np.argsort(owner, kind="stable")
+        return flat[order], owner[order]
+
+    def merge(self, words: list[np.ndarray]) -> list[np.ndarray]:
+        """The merges one by one, lowest rank first and leftmost among equals, in words of like length at once."""
+        out: list[np.ndarray] = [np.empty(0, np.int64)] * len(words)
+        sizes = np.array([len(w) for w in words])
+        for size in np.unique(np.ceil(np.log2(sizes))):
+            group = np.flatnonzero(np.ceil(np.log2(sizes)) == size)
+            wide = int(2**size)
+            rows = max(1, (1 << 20) // wide)
+            for part in (group[i : i + rows] for i in range(0, len(group), rows)):
+                tokens = np.full((len(part), wide), -1, np.int64)
+                for row, w in enumerate(part):
+                    tokens[row, : sizes[w]] = self.symbol_token[words[w]]
+                self._merge_rows(tokens)
+                for row, w in enumerate(part):
+                    out[w] = tokens[row][tokens[row] >= 0]
         return out
 
-    def merge(self, spelled: str) -> list[int]:
-        """The merges one by one, lowest rank first and leftmost among equals, over linked neighbours."""
-        import heapq
-
-        letters = [*spelled[:-1], spelled[-1] + _END]
-        tokens = [self.vocab[c] for c in letters]
-        n = len(tokens)
-        after, before, alive = [*range(1, n), -1], [*range(-1, n - 1)], [True] * n
-        queue = [(*self.rank[p], i) for i, p in enumerate(zip(tokens, tokens[1:])) if p in self.rank]
-        queue = [(r, i, out) for r, out, i in queue]
-        heapq.heapify(queue)
-        while queue:
-            r, i, out = heapq.heappop(queue)
-            j = after[i] if alive[i] else -1
-            if j < 0 or self.rank.get((tokens[i], tokens[j])) != (r, out):
-                continue
-            tokens[i], alive[j], after[i] = out, False, after[j]
-            if after[j] >= 0:
-                before[after[j]] = i
-            for a, b in ((before[i], i), (i, after[i])):
-                if a >= 0 and b >= 0 and (met := self.rank.get((tokens[a], tokens[b]))):
-                    heapq.heappush(queue, (met[0], a, met[1]))
-        return [t for t, on in zip(tokens, alive, strict=True) if on]
-
-    def encode_words(self, words: list[str]) -> list[list[int]]:
+    def _merge_rows(self, tokens: np.ndarray) -> None:
+        """One merge in every row at a time; a merged neighbour is left as -1."""
+        n, wide = tokens.shape
+        after = np.tile(np.arange(1, wide + 1), (n, 1))
+        before = np.tile(np.arange(-1, wide - 1), (n, 1))
+        ends = (tokens >= 0).sum(1)
+        ranks = np.full((n, wide), self.none)
+        real = tokens[:, 1:] >= 0
+        ranks[:, :-1][real] = self._meet(tokens[:, :-1][real], tokens[:, 1:][real])
+        live = np.arange(n)
+        while len(live):
+            at = ranks[live].argmin(1)
+            rank = ranks[live, at]
+            on = rank < self.none
+            live, at, rank = live[on], at[on], rank[on]
+            gone = after[live, at]
+            tokens[live, at], tokens[live, gone] = self.results[rank], -1
+            ranks[live, gone] = self.none
+            then = after[live, gone]
+            after[live, at] = then
+            ranks[live, at] = self.none
+            more = then < ends[live]
+            r, i, j = live[more], at[more], then[more]
+            before[r, j] = i
+            ranks[r, i] = self._meet(tokens[r, i], tokens[r, j])
+            j = before[live, at]
+            r, i, j = live[j >= 0], at[j >= 0], j[j >= 0]
+            ranks[r, j] = self._meet(tokens[r, j], tokens[r, i])
+
+    def encode_words(self, words: list[str]) -> list[bytes]:
         """Distinct words: proposals, one check over all adjacent pairs, exact merges for the rest."""
-        letters = self.letters
-        spelled = ["".join([letters[b] for b in w.encode("utf-8")]) for w in words]
-        tokens = [self.propose(s) for s in spelled]
-        flat = np.fromiter((t for ts in tokens for t in ts), np.int64)
-        word = np.repeat(np.arange(len(words)), [len(t) for t in tokens])
+        raw = [w.encode("utf-8") for w in words]
+        ends = np.cumsum([len(w) for w in raw])
+        starts = np.concatenate([[0], ends[:-1]])
+        symbols = np.frombuffer(b"".join(raw), np.uint8).astype(np.int64)
+        symbols[ends - 1] += 256
+        flat, word = self.propose(symbols, starts, ends)
         fails = np.zeros(len(words), bool)
         fails[word[~self.itself[flat]]] = True
         inside = np.flatnonzero(word[1:] == word[:-1])
         fails[word[inside[~self.apart(flat[inside], flat[inside + 1])]]] = True
-        for at in np.flatnonzero(fails).tolist():
-            tokens[at] = self.merge(spelled[at])
+        lasts = 4 * np.searchsorted(word, np.arange(len(words) + 1))
+        held, cuts = flat.astype(np.int32).tobytes(), lasts.tolist()
+        tokens = [held[a:b] for a, b in zip(cuts, cuts[1:])]
+        failing = np.flatnonzero(fails).tolist()
+        for at, ids in zip(failing, self.merge([symbols[starts[w] : ends[w]] for w in failing]), strict=True):
+            tokens[at] = ids.astype(np.int32).tobytes()
         return tokens
 
     def _chunks(self, text: str) -> list[str | int]:
@@ -194,19 +258,21 @@ class Bpe:
         new = list({w for ws in words for w in ws})
         ids = dict(zip(new, self.encode_words(new), strict=True)) if new else {}
         for chunk, ws in zip(chunks, words, strict=True):
-            self.known[chunk] = array("i", [t for w in ws for t in ids[w]]).tobytes()
+            self.known[chunk] = ids[ws[0]] if len(ws) == 1 else b"".join([ids[w] for w in ws])
 
     def encode(self, texts: Iterable[str]) -> list[bytes]:
         """Token ids of each text as bytes of 32-bit numbers."""
         split = [self._chunks(t) for t in texts]
-        known = self.known
-        new = set().union(*split).difference(known)
-        if len(known) + len(new) > REMEMBERED_CHUNKS:
-            known.clear()
-            new = set().union(*split)
+        used = set().union(*split)
+        if len(self.known) > REMEMBERED_CHUNKS:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        new = used.difference(known)
+        for chunk in new.intersection(older):
+            known[chunk] = older[chunk]
+        self._learn([c for c in new.difference(older) if c.__class__ is str])
         for i in self.special.values():
-            known[i] = array("i", [i]).tobytes()
-        self._learn([c for c in new if c.__class__ is str])
+            known[i] = np.int32(i).tobytes()
         get = known.__getitem__
         return [b"".join(map(get, chunks)) for chunks in split]
 
