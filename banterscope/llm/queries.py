@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from banterscope.llm import bpe
+from banterscope.llm import bpe, language, quality
+from banterscope.llm.samples import fold
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -30,7 +31,28 @@ def op1_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op2_language(spark: SparkSession, folder: str) -> DataFrame:
+    """``doc_id, held_out, lang_pred, score`` of every document; learned from the other four folds."""
+    docs = table(spark, folder, "documents")
+    model = language.fit(docs.where(fold("doc_id", 5) != 0))
+    held_out = F.coalesce(fold("doc_id", 5) == 0, F.lit(False))
+    return language.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """``doc_id, held_out, score, predicted`` of every document; learned from the other three folds."""
+    docs = table(spark, folder, "documents")
+    seen = fold("doc_id", 4) != 2
+    model = quality.fit(docs.where(seen), table(spark, folder, "labels").where(seen))
+    held_out = F.coalesce(fold("doc_id", 4) == 2, F.lit(False))
+    return quality.score(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_language": op2_language,
+    "op3_quality": op3_quality,
 }
 SQL: dict[str, str] = {}
