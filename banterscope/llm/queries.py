@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from banterscope.llm import bpe, language, quality
+from banterscope.llm import bpe, fingerprints, language, quality
 from banterscope.llm.samples import fold
 
 
@@ -50,9 +50,15 @@ def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op7_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's fingerprint, its edited form's, and their likeness."""
+    return fingerprints.compare_with_next(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_language": op2_language,
     "op3_quality": op3_quality,
+    "op7_fingerprints": op7_fingerprints,
 }
 SQL: dict[str, str] = {}
