@@ -13,6 +13,8 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 _STASH = "_banterscope_llm_kept"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -34,7 +36,7 @@ def text_blocks(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iter
     """
     texts = batch.column(column).cast(pa.large_binary())
     sizes = np.zeros(len(texts) + 1, np.int64)
-    np.cumsum(np.asarray(texts.fill_null(b"").value_lengths() if hasattr(texts, "value_lengths") else _lengths(texts)), out=sizes[1:])
+    np.cumsum(pc.binary_length(texts.fill_null(b"")).to_numpy(zero_copy_only=False), out=sizes[1:])
     start = 0
     while start < len(texts):
         end = max(start + 1, int(np.searchsorted(sizes, sizes[start] + most, "right")) - 1)
@@ -42,12 +44,6 @@ def text_blocks(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iter
         start = end
 
 
-def _lengths(texts: pa.Array) -> np.ndarray:
-    import pyarrow.compute as pc
-
-    return pc.binary_length(texts.fill_null(b"")).to_numpy(zero_copy_only=False)
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit (the public splitmix finaliser)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -136,8 +132,8 @@ def shingles(hashes: np.ndarray, firsts: np.ndarray, width: int) -> tuple[np.nda
     long = np.repeat(counts >= width, runs)
     out[long] = mix(whole)[inside[: len(whole)] & np.repeat(counts >= width, counts)[: len(whole)]]
     for d in np.flatnonzero((counts > 0) & (counts < width)):
-        own = hashes[firsts[d] : firsts[d + 1]]
-        out[starts[d]] = mix((own * weights[: len(own)]).sum(keepdims=True, dtype=np.uint64) + weights[width] * np.uint64(len(own)))[0]
+        own = np.append(hashes[firsts[d] : firsts[d + 1]], np.uint64(counts[d]))
+        out[starts[d]] = mix((own * np.append(weights[: len(own) - 1], weights[width])).sum(keepdims=True, dtype=np.uint64))[0]
     return out, starts
 
 
@@ -171,33 +167,16 @@ class BitFilter:
         return found
 
 
-def filter_of(keys, log_bits: int) -> BitFilter:
-    """A filter over one column of longs, built in tasks and combined: what reaches the driver has a fixed size.
-
-    Each task sends one bitmap; they are combined in a tree of reducers before the last is fetched.
-    """
-    import pandas as pd
-    from pyspark.sql import functions as F
-
-    name = keys.columns[0]
+def filter_of(keys: DataFrame, log_bits: int, tasks: int = 8) -> BitFilter:
+    """A filter over one column of longs. A few tasks read the keys and send a bitmap of fixed size each."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = BitFilter.empty(log_bits)
         for batch in batches:
             own.add(batch.column(0).drop_null().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
-        yield pa.RecordBatch.from_pydict({"shelf": [0], "bits": [own.bits.tobytes()]})
-
-    def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << (log_bits - 3), np.uint8)
-        for batch in batches:
-            for bits in batch.column("bits").to_pylist():
-                total |= np.frombuffer(bits, np.uint8)
-        yield pa.RecordBatch.from_pydict({"shelf": [0], "bits": [total.tobytes()]})
+        yield pa.RecordBatch.from_pydict({"bits": [own.bits.tobytes()]})
 
-    parts = keys.select(name).mapInArrow(build, "shelf int, bits binary")
-    # Few tasks: the filter is far smaller than what it stands for, and so are its copies.
-    rows = parts.coalesce(8).mapInArrow(combine, "shelf int, bits binary").collect()
     total = BitFilter.empty(log_bits)
-    for row in rows:
+    for row in keys.select(keys.columns[0]).coalesce(tasks).mapInArrow(build, "bits binary").collect():
         total.bits |= np.frombuffer(row["bits"], np.uint8)
     return total

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from banterscope.llm import bpe, fingerprints, language, quality
+from banterscope.llm import bpe, fingerprints, jaccard, language, quality
 from banterscope.llm.samples import fold
 
 
@@ -55,10 +55,16 @@ def op7_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprints.compare_with_next(table(spark, folder, "documents"))
 
 
+def op10_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` of every document: four words, 85 of 100."""
+    return jaccard.linked(table(spark, folder, "documents"), width=4, share=85, parts=100)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_language": op2_language,
     "op3_quality": op3_quality,
     "op7_fingerprints": op7_fingerprints,
+    "op10_jaccard": op10_jaccard,
 }
 SQL: dict[str, str] = {}
