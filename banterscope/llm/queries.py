@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from banterscope.llm import bpe, fingerprints, jaccard, language, quality
+from banterscope.llm import bpe, fingerprints, jaccard, language, leaks, private, quality
 from banterscope.llm.samples import fold
 
 
@@ -60,11 +60,49 @@ def op10_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.linked(table(spark, folder, "documents"), width=4, share=85, parts=100)
 
 
+def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """``doc_id, item_id, shared, n_item`` of every document with four fifths of an item's five-word runs."""
+    found = leaks.contained(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.groupBy("doc_id", "item_id").agg(F.max("shared").alias("shared"), F.max("n_item").alias("n_item"))
+
+
+def op9_private(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts of personal data by kind, its places, and all marked places of every document."""
+    rows = private.marked(table(spark, folder, "documents"))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    terms = F.transform("terms", lambda s: F.struct(F.lit(private.MARK).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+    return rows.select(
+        "doc_id",
+        *(count(kind) for kind in private.KINDS),
+        F.sha2(private.listed(F.col("base")), 256).alias("base_sha256"),
+        private.listed(F.concat("base", terms)).alias("spans"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_language": op2_language,
     "op3_quality": op3_quality,
+    "op4_decontamination": op4_decontamination,
     "op7_fingerprints": op7_fingerprints,
+    "op9_private": op9_private,
     "op10_jaccard": op10_jaccard,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op4_decontamination": """
+        WITH words AS (
+          SELECT 'd' AS kind, doc_id AS id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+            'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9\\x{80}-\\x{10FFFF}]+') AS w FROM documents
+          UNION ALL
+          SELECT 'i', item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+            'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9\\x{80}-\\x{10FFFF}]+') FROM benchmark),
+        widths AS (SELECT DISTINCT least(len(w), 5) AS k FROM words WHERE kind = 'i' AND len(w) > 0),
+        runs AS (
+          SELECT DISTINCT kind, id, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: list_slice(w, i, i + k - 1))) AS run
+          FROM words JOIN widths ON (kind = 'd' AND len(w) >= k) OR (kind = 'i' AND k = least(len(w), 5))),
+        sizes AS (SELECT id, count(*) AS n FROM runs WHERE kind = 'i' GROUP BY id)
+        SELECT d.id AS doc_id, i.id AS item_id, count(*) AS shared, any_value(n) AS n_item
+        FROM runs d JOIN runs i ON d.kind = 'd' AND i.kind = 'i' AND d.k = i.k AND d.run = i.run JOIN sizes s ON s.id = i.id
+        GROUP BY d.id, i.id HAVING count(*) * 100 >= any_value(n) * 80
+    """,
+}
