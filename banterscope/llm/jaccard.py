@@ -37,8 +37,7 @@ from banterscope.session import materialise
 # A token counts as common if a task meets its slot in more than one of so many texts. It only sets the order.
 COMMON = 1000
 SLOTS_LOG = 22
-FILTER_LOG = 26
-BITMAP_LONGS = 8
+FILTER_LOG = 25
 
 
 def token_sets(texts: list[bytes], width: int) -> Iterator[np.ndarray]:
@@ -54,10 +53,25 @@ def set_key(tokens: np.ndarray) -> bytes | None:
     return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest() if len(tokens) else None
 
 
-def bitmap(tokens: np.ndarray) -> list[int]:
-    bits = np.zeros(BITMAP_LONGS * 64, np.uint8)
-    bits[(mix(tokens) & np.uint64(BITMAP_LONGS * 64 - 1)).astype(np.int64)] = 1
-    return np.packbits(bits).view(np.int64).tolist()
+def bitmap(tokens: np.ndarray) -> bytes:
+    """One bit for each token, in the power of two of bits that is at least twice their number."""
+    size = 1 << max(6, (2 * len(tokens) - 1).bit_length())
+    bits = np.zeros(size, np.uint8)
+    bits[(mix(tokens) & np.uint64(size - 1)).astype(np.int64)] = 1
+    return np.packbits(bits).tobytes()
+
+
+def folded(bits: bytes, size: int) -> np.ndarray:
+    """A bitmap with ``size`` bytes: the halves of a longer one are combined by OR."""
+    out = np.frombuffer(bits, np.uint8)
+    return out if len(out) == size else np.bitwise_or.reduce(out.reshape(-1, size), 0)
+
+
+def outside(a: bytes, b: bytes) -> tuple[int, int]:
+    """How many tokens of the first set, at least, the second lacks, and the other way round."""
+    size = min(len(a), len(b))
+    x, y = folded(a, size), folded(b, size)
+    return int(np.bitwise_count(x & ~y).sum()), int(np.bitwise_count(y & ~x).sum())
 
 
 def _slot(tokens: np.ndarray) -> np.ndarray:
@@ -102,7 +116,7 @@ def shown(tokens: np.ndarray, common: np.ndarray, share: int, parts: int) -> np.
 
 
 def _leaves(docs: DataFrame, key: str, text: str, width: int, share: int, parts: int) -> DataFrame:
-    """``key, n, leaf, tag, shown`` of every row; ``tag`` finds the text again."""
+    """``key, n, leaf, tag, bits, shown`` of every row; ``tag`` finds the text again."""
     kind = docs.schema[key].dataType.simpleString()
     held = docs.sparkSession.sparkContext.broadcast(common_slots(docs, text, width).tobytes())
 
@@ -110,24 +124,25 @@ def _leaves(docs: DataFrame, key: str, text: str, width: int, share: int, parts:
         common = np.frombuffer(held.value, np.uint8)
         for batch in batches:
             for rows, texts in text_blocks(batch, "text"):
-                n, leaves, lists = [], [], []
-                for tokens in token_sets(texts, width):
-                    n.append(len(tokens))
-                    leaves.append(set_key(tokens))
-                    lists.append(shown(tokens, common, share, parts) if len(tokens) else tokens)
+                sets = list(token_sets(texts, width))
+                lists = [shown(t, common, share, parts) if len(t) else t for t in sets]
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
-                flat = np.concatenate(lists).view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [rows.column("key"), pa.array(n, pa.int64()), pa.array(leaves, pa.binary()), rows.column("tag"), pa.ListArray.from_arrays(offsets, flat)],
-                    ["key", "n", "leaf", "tag", "shown"],
-                )
+                columns = [
+                    rows.column("key"),
+                    pa.array([len(t) for t in sets], pa.int64()),
+                    pa.array([set_key(t) for t in sets], pa.binary()),
+                    rows.column("tag"),
+                    pa.array([bitmap(t) if len(t) else None for t in sets], pa.binary()),
+                    pa.ListArray.from_arrays(offsets, np.concatenate(lists).view(np.int64)),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, ["key", "n", "leaf", "tag", "bits", "shown"])
 
     plain = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("tag"))
-    return materialise(plain.mapInArrow(run, f"key {kind}, n long, leaf binary, tag long, shown array<long>"), "leaves")
+    return materialise(plain.mapInArrow(run, f"key {kind}, n long, leaf binary, tag long, bits binary, shown array<long>"), "leaves")
 
 
 def _sets(docs: DataFrame, text: str, width: int, wanted: BitFilter) -> DataFrame:
-    """``leaf, n, tokens, bits`` of the texts whose tags are wanted (and a few others)."""
+    """``leaf, tokens`` of the texts whose tags are wanted (and a few others)."""
     held = docs.sparkSession.sparkContext.broadcast(wanted.bits.tobytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,22 +151,40 @@ def _sets(docs: DataFrame, text: str, width: int, wanted: BitFilter) -> DataFram
             batch = batch.filter(pa.array(own.has(batch.column("tag").to_numpy().view(np.uint64))))
             for _, texts in text_blocks(batch, "text"):
                 sets = [t for t in token_sets(texts, width) if len(t)]
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "leaf": pa.array([set_key(t) for t in sets], pa.binary()),
-                        "n": pa.array([len(t) for t in sets], pa.int64()),
-                        "tokens": pa.array([t.tobytes() for t in sets], pa.binary()),
-                        "bits": pa.array([bitmap(t) for t in sets], pa.list_(pa.int64())),
-                    }
-                )
-
-    found = docs.select(F.col(text).alias("text"), F.xxhash64(text).alias("tag")).mapInArrow(run, "leaf binary, n long, tokens binary, bits array<long>")
+                columns = [pa.array([set_key(t) for t in sets], pa.binary()), pa.array([t.tobytes() for t in sets], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["leaf", "tokens"])
+
+    found = docs.select(F.col(text).alias("text"), F.xxhash64(text).alias("tag")).mapInArrow(run, "leaf binary, tokens binary")
     # Equal leaves have equal rows, so any one will do.
-    return found.groupBy("leaf").agg(*(F.any_value(c).alias(c) for c in ("n", "tokens", "bits")))
+    return found.groupBy("leaf").agg(F.any_value("tokens").alias("tokens"))
+
 
+def _bounded(pairs: DataFrame, left: str, right: str, share: int, parts: int) -> DataFrame:
+    """Pairs whose sizes and bitmaps leave room for a link.
 
-def _verified(pairs: DataFrame, sets: DataFrame, share: int, parts: int) -> DataFrame:
+    A side may be a node: ``n`` is then its least size, and its bitmap the OR of its leaves'. Only a leaf on the
+    left can be held against a node on the right.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            x, y, n, m = (batch.column(c).to_pylist() for c in ("bits_" + left, "bits_" + right, "n_" + left, "n_" + right))
+            for p, q, i, j in zip(x, y, n, m, strict=True):
+                lacks, other = outside(p, q)
+                most = i - lacks if right.startswith("node") else min(i - lacks, j - other)
+                good.append(most * (parts + share) >= (i + j) * share)
+            yield batch.filter(pa.array(good, pa.bool_()))
+
+    return pairs.mapInArrow(run, pairs.schema)
+
+
+def _verified(pairs: DataFrame, leaves: DataFrame, docs: DataFrame, text: str, width: int, share: int, parts: int) -> DataFrame:
     """The pairs ``a, b`` of leaves that are linked, by their whole sets."""
+    pairs = materialise(pairs.select("a", "b").distinct(), "pairs")
+    ends = pairs.select(F.col("a").alias("leaf")).union(pairs.select("b")).distinct()
+    tags = ends.join(leaves.select("leaf", "tag"), "leaf").groupBy("leaf").agg(F.min("tag").alias("tag"))
+    sets = materialise(_sets(docs, text, width, filter_of(materialise(tags, "tags").select("tag"), FILTER_LOG)).join(ends, "leaf"), "sets")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -164,7 +197,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, share: int, parts: int) -> Data
 
     one = sets.select(F.col("leaf").alias("a"), F.col("tokens").alias("one"))
     two = sets.select(F.col("leaf").alias("b"), F.col("tokens").alias("two"))
-    return pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "one", "two").mapInArrow(run, "a binary, b binary")
+    joined = pairs.join(one, "a").join(two, "b").select("a", "b", "one", "two")
+    return materialise(joined.mapInArrow(run, "a binary, b binary"), "verified")
 
 
 def _fits(x: Column, y: Column, share: int, parts: int) -> Column:
@@ -172,64 +206,83 @@ def _fits(x: Column, y: Column, share: int, parts: int) -> Column:
     return (F.least(x, y) * parts >= F.greatest(x, y) * share)
 
 
-def _outside(a: str, b: str) -> Column:
-    """How many bits of bitmap ``a`` are not in ``b``: so many tokens of the first set, at least, the second lacks."""
-    return sum(F.bit_count(F.col(a)[i].bitwiseAND(F.bitwise_not(F.col(b)[i]))).cast("long") for i in range(BITMAP_LONGS))
+def _nodes(tree: DataFrame) -> DataFrame:
+    """``root, low, high, any`` of every node: its range of sizes, and the OR of its leaves' bitmaps.
 
+    Bitmaps are folded to the node's shortest one as they are combined, at most one row a task and node.
+    """
 
-def _reaches(overlap: Column, x: Column, y: Column, share: int, parts: int) -> Column:
-    """Whether an overlap of at most this allows a link between sets of (at least) these sizes."""
-    return overlap * (parts + share) >= (x + y) * share
+    def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[bytes, np.ndarray] = {}
+        for batch in batches:
+            for root, bits in zip(batch.column("root").to_pylist(), batch.column("bits").to_pylist(), strict=True):
+                old = held.get(root)
+                size = len(bits) if old is None else min(len(bits), len(old))
+                held[root] = folded(bits, size) if old is None else folded(old.tobytes(), size) | folded(bits, size)
+            if len(held) > 1 << 14:
+                yield put(held)
+                held = {}
+        yield put(held)
+
+    def put(held: dict[bytes, np.ndarray]) -> pa.RecordBatch:
+        columns = [pa.array(list(held), pa.binary()), pa.array([b.tobytes() for b in held.values()], pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, ["root", "bits"])
+
+    parts = tree.select("root", "bits").mapInArrow(combine, "root binary, bits binary")
+    whole = parts.repartition("root").mapInArrow(combine, "root binary, bits binary")
+    ranges = tree.groupBy("root").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    # A task that let go of a node's bitmap early has left more than one row of it.
+    return ranges.join(whole.withColumnRenamed("bits", "any"), "root")
 
 
 def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, share: int = 85, parts: int = 100) -> DataFrame:
     """``key, n_shingles, component_id`` of every row of ``docs``."""
     leaves = _leaves(docs, key, text, width, share, parts)
-    seen = leaves.where("leaf is not null").select(F.explode("shown").alias("token"), "leaf", "n", "tag")
-    # Tokens that more than one leaf shows, with their least leaf. Partial sums make a hot token one row a task.
-    meeting = seen.groupBy("token").agg(F.min("leaf").alias("least"), F.max("leaf").alias("_most")).where("least <> _most").drop("_most")
-    meeting = materialise(meeting, "tokens")
-    held = docs.sparkSession.sparkContext.broadcast(filter_of(meeting.select("token"), FILTER_LOG).bits.tobytes())
+    seen = leaves.where("leaf is not null").select(F.explode("shown").alias("token"), "leaf")
+    # Tokens that more than one leaf shows. Partial sums make a hot token one row a task.
+    short = F.xxhash64("leaf")
+    meeting = seen.groupBy("token").agg(F.min(short).alias("_least"), F.max(short).alias("_most")).where("_least <> _most")
+    meeting = materialise(meeting.select("token"), "tokens")
+    held = docs.sparkSession.sparkContext.broadcast(filter_of(meeting, FILTER_LOG).bits.tobytes())
 
     def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = BitFilter(held.value)
         for batch in batches:
             yield batch.filter(pa.array(own.has(batch.column("token").to_numpy().view(np.uint64))))
 
-    few = seen.mapInArrow(narrow, seen.schema)
-    shows = materialise(few.join(meeting, "token").groupBy("token", "leaf").agg(*(F.any_value(c).alias(c) for c in ("n", "tag", "least"))), "shows")
-    sets = materialise(_sets(docs, text, width, filter_of(shows.select("tag"), FILTER_LOG)), "sets")
+    shows = materialise(seen.mapInArrow(narrow, seen.schema).join(meeting, "token").distinct(), "shows")
+    known = leaves.join(shows.select("leaf").distinct(), "leaf").groupBy("leaf").agg(F.any_value("n").alias("n"), F.any_value("bits").alias("bits"))
+    known = materialise(known, "known")
+
+    def side(frame: DataFrame, name: str) -> DataFrame:
+        return frame.select(F.col("leaf").alias(name), F.col("n").alias("n_" + name), F.col("bits").alias("bits_" + name))
+
     # Second step: every leaf with the least leaf of each token that it shows.
-    sizes = sets.select(F.col("leaf").alias("least"), F.col("n").alias("_n"))
-    stars = shows.where("leaf <> least").select(F.col("leaf").alias("a"), F.col("least").alias("b")).distinct()
-    sized = stars.join(sets.select(F.col("leaf").alias("a"), "n"), "a").join(sizes.withColumnRenamed("least", "b"), "b")
-    links = materialise(_verified(sized.where(_fits(F.col("n"), F.col("_n"), share, parts)), sets, share, parts), "links")
+    least = shows.groupBy("token").agg(F.min("leaf").alias("b"))
+    stars = shows.join(least, "token").where("leaf <> b").select(F.col("leaf").alias("a"), "b").distinct()
+    stars = stars.join(side(known, "a"), "a").join(side(known, "b"), "b").where(_fits(F.col("n_a"), F.col("n_b"), share, parts))
+    links = _verified(_bounded(stars, "a", "b", share, parts), leaves, docs, text, width, share, parts)
     nodes = components(links)
     # Third step: what different nodes can still have in common.
-    inner = shows.select("token", "leaf").join(nodes.withColumnRenamed("node", "leaf"), "leaf", "left")
-    inner = inner.select("token", "leaf", F.coalesce("root", "leaf").alias("root"))
+    inner = shows.join(nodes.withColumnRenamed("node", "leaf"), "leaf", "left").select("token", "leaf", F.coalesce("root", "leaf").alias("root"))
     apart = inner.groupBy("token").agg(F.min("root").alias("_least"), F.max("root").alias("_most")).where("_least <> _most").select("token")
     inner = materialise(inner.join(apart, "token"), "inner")
-    leaf = sets.select("leaf", "n", "bits")
-    full = inner.select("leaf", "root").distinct().join(leaf, "leaf")
-    tree = materialise(full, "tree")
-    ranges = tree.groupBy("root").agg(
-        F.min("n").alias("low"), F.max("n").alias("high"), F.array(*(F.bit_or(F.col("bits")[i]) for i in range(BITMAP_LONGS))).alias("any")
-    )
-    top = inner.select("token", "root").distinct()
-    left, right = (top.select("token", F.col("root").alias(r)) for r in ("r1", "r2"))
-    pairs = left.join(right, "token").where("r1 < r2").select("r1", "r2").distinct()
-    for r in ("1", "2"):
-        pairs = pairs.join(ranges.select(*(F.col(c).alias(c + r if c != "root" else "r" + r) for c in ("root", "low", "high", "any"))), "r" + r)
+    tree = materialise(inner.select("leaf", "root").distinct().join(known, "leaf"), "tree")
+    ranges = materialise(_nodes(tree), "nodes")
+    top = inner.join(ranges.select("root", "low", "high"), "root").select("token", "root", "low", "high").distinct()
+    one, two = (top.select("token", *(F.col(c).alias(c + i) for c in ("root", "low", "high"))) for i in "12")
+    pairs = one.join(two, "token").where("root1 < root2")
     pairs = pairs.where((F.col("high1") * parts >= F.col("low2") * share) & (F.col("high2") * parts >= F.col("low1") * share))
-    first = tree.select(F.col("root").alias("r1"), F.col("leaf").alias("a"), F.col("n").alias("n1"), F.col("bits").alias("b1"))
-    pairs = pairs.join(first, "r1").where(_reaches(F.col("n1") - _outside("b1", "any2"), F.col("n1"), F.col("low2"), share, parts))
-    pairs = pairs.select("r1", "r2", "a", "n1", "b1", "any1")
-    second = tree.select(F.col("root").alias("r2"), F.col("leaf").alias("b"), F.col("n").alias("n2"), F.col("bits").alias("b2"))
-    pairs = pairs.join(second, "r2").where(_fits(F.col("n1"), F.col("n2"), share, parts))
-    most = F.least(F.col("n1") - _outside("b1", "b2"), F.col("n2") - _outside("b2", "b1"))
-    pairs = pairs.where(_reaches(most, F.col("n1"), F.col("n2"), share, parts)).select("a", "b")
-    more = materialise(_verified(pairs, sets, share, parts), "links")
+    pairs = pairs.select("root1", "root2").distinct()
+    # A leaf of the first node against the second node, then against that node's leaves.
+    first = tree.select(F.col("root").alias("root1"), F.col("leaf").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a"))
+    second = ranges.select(F.col("root").alias("root2"), F.col("low").alias("n_node"), F.col("high").alias("_high"), F.col("any").alias("bits_node"))
+    against = pairs.join(first, "root1").join(second, "root2")
+    against = against.where((F.col("n_a") * parts >= F.col("n_node") * share) & (F.col("_high") * parts >= F.col("n_a") * share))
+    against = _bounded(against, "a", "node", share, parts).select("root2", "a", "n_a", "bits_a").distinct()
+    last = tree.select(F.col("root").alias("root2"), F.col("leaf").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b"))
+    ends = against.join(last, "root2").where(_fits(F.col("n_a"), F.col("n_b"), share, parts))
+    more = _verified(_bounded(ends, "a", "b", share, parts), leaves, docs, text, width, share, parts)
     if not more.isEmpty():
         # Leaves are linked already within their nodes; the new links join nodes.
         nodes = components(nodes.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
