@@ -160,12 +160,15 @@ def fingerprint(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 _OUT = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
-def _compared(own: Sampler, keys: list, texts: list[bytes], nexts: list[bytes], known: np.ndarray | None = None) -> dict[str, list]:
+def _compared(own: Sampler, keys: list, texts: list[bytes], nexts: list[bytes]) -> dict[str, list]:
     """The comparison of each text with its edited form and with the next text."""
     plain = [t.decode("utf-8") for t in texts]
     changed = [edited(a, b.decode("utf-8")).encode("utf-8") for a, b in zip(plain, nexts, strict=True)]
-    mine = own.fingerprints(texts)
-    following = own.fingerprints(nexts) if known is None else known
+    if nexts[:-1] == texts[1:]:  # neighbours: each text is sampled once
+        prints = own.fingerprints([*texts, nexts[-1]])
+        mine, following = prints[:-1], prints[1:]
+    else:
+        mine, following = own.fingerprints(texts), own.fingerprints(nexts)
     other = own.fingerprints(changed)
     as_hex = lambda rows: [row.astype(">u4").tobytes().hex() for row in rows]
     return {
