@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from banterscope.llm import bpe, fingerprints, jaccard, language, leaks, private, quality
+from banterscope.llm import bpe, fingerprints, jaccard, language, leaks, private, quality, secrets
 from banterscope.llm.samples import fold
 
 
@@ -50,6 +50,19 @@ def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op5_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts of the base kinds of secrets, their places, and all places of every document."""
+    found = secrets.scanned(table(spark, folder, "documents"))
+    base = [rule.name for rule in secrets.BASE]
+    count = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id",
+        *map(count, base),
+        F.sha2(secrets.listed(F.filter("secrets", lambda s: s["kind"].isin(base))), 256).alias("base_sha256"),
+        secrets.listed(F.col("secrets")).alias("spans"),
+    )
+
+
 def op7_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's fingerprint, its edited form's, and their likeness."""
     return fingerprints.compare_with_next(table(spark, folder, "documents"))
@@ -84,11 +97,44 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language": op2_language,
     "op3_quality": op3_quality,
     "op4_decontamination": op4_decontamination,
+    "op5_secrets": op5_secrets,
     "op7_fingerprints": op7_fingerprints,
     "op9_private": op9_private,
     "op10_jaccard": op10_jaccard,
 }
+
+
+def _secrets_sql() -> str:
+    parts = " UNION ALL ".join(
+        f"""
+        SELECT doc_id, {order} AS rule, '{rule.name}' AS kind,
+          unnest(regexp_extract_all(t, '{rule.pattern.replace("'", "''")}', 0)) AS found,
+          unnest(regexp_extract_all(t, '{rule.pattern.replace("'", "''")}', {rule.group})) AS value,
+          unnest(regexp_split_to_array(t, '{rule.pattern.replace("'", "''")}')) AS before,
+          unnest(range(1, len(regexp_split_to_array(t, '{rule.pattern.replace("'", "''")}')) + 1)) AS i
+        FROM texts"""
+        for order, rule in enumerate(secrets.RULES)
+    )
+    least = " ".join(f"WHEN {order} THEN {rule.least}" for order, rule in enumerate(secrets.RULES))
+    base = len(secrets.BASE)
+    return f"""
+        WITH texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+        parts AS ({parts}),
+        placed AS (
+          SELECT *, sum(length(before) + coalesce(length(found), 0)) OVER (PARTITION BY doc_id, rule ORDER BY i) AS stop FROM parts),
+        spans AS (
+          SELECT doc_id, rule, kind, (stop - length(found))::BIGINT AS start, kind || ':' || (stop - length(found))::BIGINT || ':' || stop::BIGINT AS span
+          FROM placed WHERE found IS NOT NULL AND length(value) >= CASE rule {least} END)
+        SELECT doc_id, count(span) FILTER (kind = 'assign') AS n_assign, count(span) FILTER (kind = 'access') AS n_access,
+          count(span) FILTER (kind = 'hex') AS n_hex,
+          sha256(coalesce(string_agg(span, ',' ORDER BY start, rule) FILTER (rule < {base}), '')) AS base_sha256,
+          coalesce(string_agg(span, ',' ORDER BY start, rule), '') AS spans
+        FROM texts LEFT JOIN spans USING (doc_id) GROUP BY doc_id
+    """
+
+
 SQL: dict[str, str] = {
+    "op5_secrets": _secrets_sql(),
     "op4_decontamination": """
         WITH words AS (
           SELECT 'd' AS kind, doc_id AS id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
