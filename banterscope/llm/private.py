@@ -136,21 +136,40 @@ def disclosing(docs: DataFrame, rows: DataFrame, text: str = "text", threshold:
     both = near.groupBy("entity", "word").agg(F.count("*").alias("both")).where(F.col("both") >= SUPPORT)
     both = materialise(both, "near")
     entity = near.select("tag", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    held = docs.sparkSession.sparkContext.broadcast(filter_of(both.select("word"), FILTER_LOG).bits.tobytes())
+    context = docs.sparkSession.sparkContext
+    held = context.broadcast(filter_of(both.select("word"), FILTER_LOG).bits.tobytes())
+    # Texts that occur more than once are counted by text, all others are summed up within their task.
+    again = materialise(rows.groupBy("tag").agg(F.count("*").alias("n")).where("n > 1").select("tag"), "again")
+    repeated = context.broadcast(filter_of(again, FILTER_LOG).bits.tobytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, table = BitFilter(held.value), kept("alphanumeric words", WordTable.alphanumeric)
+        own, more, table = BitFilter(held.value), BitFilter(repeated.value), kept("alphanumeric words", WordTable.alphanumeric)
+        sums: tuple[np.ndarray, np.ndarray] = np.empty(0, np.uint64), np.empty(0, np.int64)
         for batch in batches:
             for part, texts in text_blocks(batch, "text"):
                 hashes, _, _, firsts, _ = table.words(texts)
                 hit = own.has(hashes)
                 owner = np.repeat(np.arange(len(texts)), np.diff(firsts))[hit]
                 pairs = np.unique(np.stack([owner.astype(np.uint64), hashes[hit]], 1), axis=0)
-                tags = part.column("tag").take(pa.array(pairs[:, 0].astype(np.int64)))
-                yield pa.RecordBatch.from_arrays([tags, pa.array(np.ascontiguousarray(pairs[:, 1]).view(np.int64))], ["tag", "word"])
+                tags = part.column("tag").to_numpy()[pairs[:, 0].astype(np.int64)]
+                copied = more.has(tags.view(np.uint64))
+                yield put(pa.array(tags[copied]), pairs[copied, 1], np.ones(copied.sum(), np.int64))
+                words, counts = np.unique(pairs[~copied, 1], return_counts=True)
+                words, where = np.unique(np.concatenate([sums[0], words]), return_inverse=True)
+                sums = words, np.bincount(where, np.concatenate([sums[1], counts])).astype(np.int64)
+                if len(words) > 1 << 20:
+                    yield put(pa.nulls(len(words), pa.int64()), *sums)
+                    sums = words[:0], sums[1][:0]
+        yield put(pa.nulls(len(sums[0]), pa.int64()), *sums)
+
+    def put(tags: pa.Array, words: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([tags, pa.array(np.ascontiguousarray(words).view(np.int64)), pa.array(counts)], ["tag", "word", "n"])
 
     plain = docs.select(F.col(text).alias("text"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("tag"))
-    words = plain.mapInArrow(run, "tag long, word long").distinct().groupBy("word").agg(F.count("*").alias("n_word"))
+    counted = plain.mapInArrow(run, "tag long, word long, n long")
+    # Partial sums for the single texts; a copied text counts a word once.
+    each = counted.groupBy("word", "tag").agg(F.sum("n").alias("n"))
+    words = each.groupBy("word").agg(F.sum(F.when(F.col("tag").isNull(), F.col("n")).otherwise(1)).alias("n_word"))
     total = rows.select("tag").distinct().count()
     information = F.log(F.lit(float(total)) / F.col("n_entity"))
     revealed = F.log(F.lit(float(total)) * F.col("both") / (F.col("n_word") * F.col("n_entity"))) / information
