@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from banterscope.llm import bpe, fingerprints, jaccard, language, leaks, private, quality, secrets
+from banterscope.llm import bpe, fingerprints, html, jaccard, language, leaks, private, quality, secrets
 from banterscope.llm.samples import fold
 
 
@@ -63,6 +63,12 @@ def op5_secrets(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op6_html(spark: SparkSession, folder: str) -> DataFrame:
+    """``page_id, url, text, n_chars`` of every page."""
+    found = html.main_text(table(spark, folder, "pages"))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op7_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's fingerprint, its edited form's, and their likeness."""
     return fingerprints.compare_with_next(table(spark, folder, "documents"))
@@ -98,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality": op3_quality,
     "op4_decontamination": op4_decontamination,
     "op5_secrets": op5_secrets,
+    "op6_html": op6_html,
     "op7_fingerprints": op7_fingerprints,
     "op9_private": op9_private,
     "op10_jaccard": op10_jaccard,
