@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from banterscope.llm import bpe, fingerprints, html, jaccard, language, leaks, private, quality, secrets
+from banterscope.llm import bpe, fingerprints, html, jaccard, language, leaks, licenses, private, quality, secrets
 from banterscope.llm.samples import fold
 
 
@@ -85,6 +85,12 @@ def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return found.groupBy("doc_id", "item_id").agg(F.max("shared").alias("shared"), F.max("n_item").alias("n_item"))
 
 
+def op8_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    """``doc_id, paragraph, family, score, share`` of every licence notice in the documents."""
+    docs = table(spark, folder, "documents")
+    return licenses.notices(docs, licenses.fit(docs))
+
+
 def op9_private(spark: SparkSession, folder: str) -> DataFrame:
     """Counts of personal data by kind, its places, and all marked places of every document."""
     rows = private.marked(table(spark, folder, "documents"))
@@ -106,6 +112,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_secrets": op5_secrets,
     "op6_html": op6_html,
     "op7_fingerprints": op7_fingerprints,
+    "op8_licenses": op8_licenses,
     "op9_private": op9_private,
     "op10_jaccard": op10_jaccard,
 }
