@@ -38,6 +38,8 @@ from banterscope.session import materialise
 COMMON = 1000
 SLOTS_LOG = 22
 FILTER_LOG = 25
+# Leaves that a node has on average; more would fill its bitmap.
+NODE_LEAVES = 16
 
 
 def token_sets(texts: list[bytes], width: int) -> Iterator[np.ndarray]:
@@ -206,39 +208,33 @@ def _fits(x: Column, y: Column, share: int, parts: int) -> Column:
     return (F.least(x, y) * parts >= F.greatest(x, y) * share)
 
 
+def _reaches(overlap: Column, x: Column, y: Column, share: int, parts: int) -> Column:
+    """Whether an overlap of at most this allows a link between sets of (at least) these sizes."""
+    return overlap * (parts + share) >= (x + y) * share
+
+
 def _nodes(tree: DataFrame) -> DataFrame:
-    """``root, low, high, any`` of every node: its range of sizes, and the OR of its leaves' bitmaps.
+    """``root, node, low, high, any`` of every node: its range of sizes, and the OR of its leaves' bitmaps.
 
-    Bitmaps are folded to the node's shortest one as they are combined, at most one row a task and node.
+    A node has a few leaves; their bitmaps are folded to the shortest one.
     """
 
     def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[bytes, np.ndarray] = {}
         for batch in batches:
-            for root, bits in zip(batch.column("root").to_pylist(), batch.column("bits").to_pylist(), strict=True):
-                old = held.get(root)
-                size = len(bits) if old is None else min(len(bits), len(old))
-                held[root] = folded(bits, size) if old is None else folded(old.tobytes(), size) | folded(bits, size)
-            if len(held) > 1 << 14:
-                yield put(held)
-                held = {}
-        yield put(held)
-
-    def put(held: dict[bytes, np.ndarray]) -> pa.RecordBatch:
-        columns = [pa.array(list(held), pa.binary()), pa.array([b.tobytes() for b in held.values()], pa.binary())]
-        return pa.RecordBatch.from_arrays(columns, ["root", "bits"])
-
-    parts = tree.select("root", "bits").mapInArrow(combine, "root binary, bits binary")
-    whole = parts.repartition("root").mapInArrow(combine, "root binary, bits binary")
-    ranges = tree.groupBy("root").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    # A task that let go of a node's bitmap early has left more than one row of it.
-    return ranges.join(whole.withColumnRenamed("bits", "any"), "root")
+            out = []
+            for bits in batch.column("bits").to_pylist():
+                size = min(map(len, bits))
+                out.append(np.bitwise_or.reduce([folded(b, size) for b in bits]).tobytes())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("root", "node", "low", "high")), pa.array(out, pa.binary())], ["root", "node", "low", "high", "any"])
+
+    grouped = tree.groupBy("root", "node").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.collect_list("bits").alias("bits"))
+    return grouped.mapInArrow(combine, "root binary, node int, low long, high long, any binary")
 
 
 def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, share: int = 85, parts: int = 100) -> DataFrame:
     """``key, n_shingles, component_id`` of every row of ``docs``."""
     leaves = _leaves(docs, key, text, width, share, parts)
-    seen = leaves.where("leaf is not null").select(F.explode("shown").alias("token"), "leaf")
+    seen = leaves.where("leaf is not null").select(F.posexplode("shown").alias("at", "token"), "leaf")
     # Tokens that more than one leaf shows. Partial sums make a hot token one row a task.
     short = F.xxhash64("leaf")
     meeting = seen.groupBy("token").agg(F.min(short).alias("_least"), F.max(short).alias("_most")).where("_least <> _most")
@@ -263,25 +259,31 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
     stars = stars.join(side(known, "a"), "a").join(side(known, "b"), "b").where(_fits(F.col("n_a"), F.col("n_b"), share, parts))
     links = _verified(_bounded(stars, "a", "b", share, parts), leaves, docs, text, width, share, parts)
     nodes = components(links)
-    # Third step: what different nodes can still have in common.
-    inner = shows.join(nodes.withColumnRenamed("node", "leaf"), "leaf", "left").select("token", "leaf", F.coalesce("root", "leaf").alias("root"))
+    # Third step: what leaves of different components can still have in common. A node has some leaves of one.
+    member = known.select("leaf", "n").join(nodes.withColumnRenamed("node", "leaf"), "leaf", "left")
+    member = member.select("leaf", "n", F.coalesce("root", "leaf").alias("root"))
+    counts = member.groupBy("root").agg(F.ceil(F.count("*") / NODE_LEAVES).alias("_nodes"))
+    member = member.join(counts, "root").withColumn("node", F.pmod(F.xxhash64("leaf"), F.col("_nodes")).cast("int")).drop("_nodes")
+    inner = shows.join(member, "leaf")
     apart = inner.groupBy("token").agg(F.min("root").alias("_least"), F.max("root").alias("_most")).where("_least <> _most").select("token")
     inner = materialise(inner.join(apart, "token"), "inner")
-    tree = materialise(inner.select("leaf", "root").distinct().join(known, "leaf"), "tree")
-    ranges = materialise(_nodes(tree), "nodes")
-    top = inner.join(ranges.select("root", "low", "high"), "root").select("token", "root", "low", "high").distinct()
-    one, two = (top.select("token", *(F.col(c).alias(c + i) for c in ("root", "low", "high"))) for i in "12")
+    top = inner.groupBy("token", "root", "node").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max(F.col("n") - F.col("at")).alias("rest"))
+    one, two = (top.select("token", *(F.col(c).alias(c + i) for c in ("root", "node", "low", "high", "rest"))) for i in "12")
     pairs = one.join(two, "token").where("root1 < root2")
     pairs = pairs.where((F.col("high1") * parts >= F.col("low2") * share) & (F.col("high2") * parts >= F.col("low1") * share))
-    pairs = pairs.select("root1", "root2").distinct()
+    # At their first common token, what two sets have before it is not common.
+    pairs = pairs.where(_reaches(F.least("rest1", "rest2"), F.col("low1"), F.col("low2"), share, parts))
+    pairs = pairs.select("root1", "node1", "root2", "node2").distinct()
     # A leaf of the first node against the second node, then against that node's leaves.
-    first = tree.select(F.col("root").alias("root1"), F.col("leaf").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a"))
-    second = ranges.select(F.col("root").alias("root2"), F.col("low").alias("n_node"), F.col("high").alias("_high"), F.col("any").alias("bits_node"))
-    against = pairs.join(first, "root1").join(second, "root2")
+    tree = materialise(inner.select("leaf", "root", "node", "n").distinct().join(known.select("leaf", "bits"), "leaf"), "tree")
+    ranges = materialise(_nodes(tree), "nodes")
+    first = tree.select(F.col("root").alias("root1"), F.col("node").alias("node1"), F.col("leaf").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a"))
+    second = ranges.select(F.col("root").alias("root2"), F.col("node").alias("node2"), F.col("low").alias("n_node"), F.col("high").alias("_high"), F.col("any").alias("bits_node"))
+    against = pairs.join(first, ["root1", "node1"]).join(second, ["root2", "node2"])
     against = against.where((F.col("n_a") * parts >= F.col("n_node") * share) & (F.col("_high") * parts >= F.col("n_a") * share))
-    against = _bounded(against, "a", "node", share, parts).select("root2", "a", "n_a", "bits_a").distinct()
-    last = tree.select(F.col("root").alias("root2"), F.col("leaf").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b"))
-    ends = against.join(last, "root2").where(_fits(F.col("n_a"), F.col("n_b"), share, parts))
+    against = _bounded(against, "a", "node", share, parts).select("root2", "node2", "a", "n_a", "bits_a").distinct()
+    last = tree.select(F.col("root").alias("root2"), F.col("node").alias("node2"), F.col("leaf").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b"))
+    ends = against.join(last, ["root2", "node2"]).where(_fits(F.col("n_a"), F.col("n_b"), share, parts))
     more = _verified(_bounded(ends, "a", "b", share, parts), leaves, docs, text, width, share, parts)
     if not more.isEmpty():
         # Leaves are linked already within their nodes; the new links join nodes.
