@@ -6,7 +6,7 @@ the corpus as the unknown class, gives each family a probability; the unknown cl
 is calibrated on altered forms that training has not seen. A predicted family is confirmed by comparing the
 paragraph's words with the family's notices: enough of one notice must be there.
 
-N-grams without weight change nothing, so only paragraphs that hold a weighted n-gram's first word are looked at
+Every weighted n-gram has a word that the sample hardly has, so only paragraphs with such a word are looked at
 further; the others are unknown for certain. The weights are a small table, as large as the notices make it,
 whatever the corpus.
 
@@ -103,9 +103,10 @@ def ngrams(words: list[str]) -> set[str]:
 
 @dataclass(frozen=True)
 class LicenseModel:
-    """Families with the unknown class first, each n-gram's weights for them, the intercepts."""
+    """Families with the unknown class first, the words of which a notice has one, each n-gram's weights, the intercepts."""
 
     families: tuple[str, ...]
+    cues: tuple[str, ...]
     weights: dict[str, tuple[float, ...]]
     offsets: tuple[float, ...]
 
@@ -134,7 +135,11 @@ def train(corpus: list[str], rounds: int = 400, penalty: float = 2e-4) -> Licens
             data += [(_altered(w, random, filler), families.index(f)) for _ in range(16)]
     for w in plain[:200]:
         held.append(_altered(w, random, filler))
-    names = sorted(set().union(*(ngrams(w) for ws in notices.values() for w in ws)))
+    # Every n-gram has a word that the sample hardly has, so a line without such a word is unknown for certain.
+    lines = max(len(plain), 1)
+    usual = {w for ws in plain for w in set(ws)}
+    often = {w for w in usual if 100 * sum(w in ws for ws in plain) > lines}
+    names = sorted(g for g in set().union(*(ngrams(w) for ws in notices.values() for w in ws)) if not often.issuperset(g.split(" ")))
     place = {n: i for i, n in enumerate(names)}
 
     def rows(texts: list[list[str]]) -> np.ndarray:
@@ -163,7 +168,8 @@ def train(corpus: list[str], rounds: int = 400, penalty: float = 2e-4) -> Licens
         short = np.quantile(z[:, 1:].max(1) - z[:, 0], 0.999)
         beta[-1, 0] += max(0.0, float(short) + 2.0)
     used = np.flatnonzero(np.abs(beta[:-1]).max(1) > 1e-9)
-    return LicenseModel(families, {names[i]: tuple(map(float, beta[i])) for i in used}, tuple(map(float, beta[-1])))
+    cues = {w for i in used for w in names[i].split(" ")} - often
+    return LicenseModel(families, tuple(sorted(cues)), {names[i]: tuple(map(float, beta[i])) for i in used}, tuple(map(float, beta[-1])))
 
 
 def fit(docs: DataFrame, text: str = "text") -> LicenseModel:
@@ -179,11 +185,13 @@ def fit(docs: DataFrame, text: str = "text") -> LicenseModel:
 def notices(docs: DataFrame, model: LicenseModel, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, paragraph, family, score, share`` of every paragraph that is a licence notice (paragraphs count from 0)."""
     spark = docs.sparkSession
-    heads = sorted({n.split(" ")[0] for n in model.weights})
-    plain = docs.select(F.col(key).alias("key"), F.monotonically_increasing_id().alias("row"), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("paragraph", "line"))
-    line = F.lower("line")
-    words = F.filter(F.split(F.regexp_replace(line, "[^a-z0-9]+", " "), " "), lambda w: w != "")
-    told = plain.withColumn("words", words).where(F.arrays_overlap("words", F.array(*map(F.lit, heads)))).select("key", "row", "paragraph", "words")
+    cues = F.array(*map(F.lit, model.cues)).cast("array<string>")
+    body = docs.select(F.col(key).alias("key"), F.monotonically_increasing_id().alias("row"), F.coalesce(F.col(text), F.lit("")).alias("body"))
+    # Whole texts without a cue go first; then lines, of the few texts that are left.
+    body = body.where(F.arrays_overlap(F.split(F.lower("body"), "[^a-z0-9]+"), cues))
+    lines = body.select("key", "row", F.posexplode(F.split("body", "\n")).alias("paragraph", "line"))
+    words = F.split(F.trim(F.regexp_replace(F.lower("line"), "[^a-z0-9]+", " ")), " ")
+    told = lines.select("key", "row", "paragraph", words.alias("words")).where(F.arrays_overlap("words", cues))
     size = F.size("words")
 
     def runs(n: int):
