@@ -16,6 +16,7 @@ Cases: null and empty texts have no notices. Rows that repeat come out once for
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -136,9 +137,8 @@ def train(corpus: list[str], rounds: int = 400, penalty: float = 2e-4) -> Licens
     for w in plain[:200]:
         held.append(_altered(w, random, filler))
     # Every n-gram has a word that the sample hardly has, so a line without such a word is unknown for certain.
-    lines = max(len(plain), 1)
-    usual = {w for ws in plain for w in set(ws)}
-    often = {w for w in usual if 100 * sum(w in ws for ws in plain) > lines}
+    lines = Counter(w for ws in plain for w in set(ws))
+    often = {w for w, n in lines.items() if 100 * n > len(plain)}
     names = sorted(g for g in set().union(*(ngrams(w) for ws in notices.values() for w in ws)) if not often.issuperset(g.split(" ")))
     place = {n: i for i, n in enumerate(names)}
 

@@ -134,8 +134,18 @@ def disclosing(docs: DataFrame, rows: DataFrame, text: str = "text", threshold:
     """``entity, word, disclosure`` of all words at or above the threshold; counts are over all different texts."""
     near = rows.select("tag", F.explode("near").alias("n")).select("tag", "n.entity", "n.word").distinct()
     both = near.groupBy("entity", "word").agg(F.count("*").alias("both")).where(F.col("both") >= SUPPORT)
-    both = materialise(both, "near")
     entity = near.select("tag", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
+    total = rows.select("tag").distinct().count()
+    # An entity in every text has no information to reveal.
+    information = F.log(F.lit(float(total)) / F.col("n_entity"))
+
+    def revealed(count: str) -> Column:
+        return F.log(F.lit(float(total)) * F.col("both") / (F.col(count) * F.col("n_entity"))) / information
+
+    # A word stands in at least as many texts as it stands near values in; where that is too many, it reveals too little.
+    beside = near.select("tag", "word").distinct().groupBy("word").agg(F.count("*").alias("n_near"))
+    both = both.join(entity, "entity").join(beside, "word").where((information > 0) & (revealed("n_near") >= threshold)).drop("n_near")
+    both = materialise(both, "near")
     context = docs.sparkSession.sparkContext
     held = context.broadcast(filter_of(both.select("word"), FILTER_LOG).bits.tobytes())
     # Texts that occur more than once are counted by text, all others are summed up within their task.
@@ -170,11 +180,7 @@ def disclosing(docs: DataFrame, rows: DataFrame, text: str = "text", threshold:
     # Partial sums for the single texts; a copied text counts a word once.
     each = counted.groupBy("word", "tag").agg(F.sum("n").alias("n"))
     words = each.groupBy("word").agg(F.sum(F.when(F.col("tag").isNull(), F.col("n")).otherwise(1)).alias("n_word"))
-    total = rows.select("tag").distinct().count()
-    information = F.log(F.lit(float(total)) / F.col("n_entity"))
-    revealed = F.log(F.lit(float(total)) * F.col("both") / (F.col("n_word") * F.col("n_entity"))) / information
-    # An entity in every text has no information to reveal.
-    scored = both.join(words, "word").join(entity, "entity").where(information > 0).withColumn("disclosure", revealed)
+    scored = both.join(words, "word").withColumn("disclosure", revealed("n_word"))
     return scored.where(F.col("disclosure") >= threshold).select("entity", "word", "disclosure")
 
 
