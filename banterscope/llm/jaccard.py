@@ -298,7 +298,8 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, share: int = 80, parts: int = 100) -> DataFrame:
     """The rows of ``docs`` without near copies: of each component the one with the least key stays, unchanged.
 
-    Texts without words are all kept. Rows that repeat the least key (or have none) are kept by their first copy.
+    Texts without words are no copies and stay. So do rows without a key, which can't be named, and all rows that
+    repeat a key that stays: they are the same document.
     """
-    found = linked(docs, key, text, width, share, parts).where(F.col(key) == F.col("component_id")).select(key).distinct()
-    return docs.join(found, key, "left_semi").select(*docs.columns)
+    found = linked(docs, key, text, width, share, parts).where(F.col(key) == F.col("component_id")).select(F.col(key).alias("_key")).distinct()
+    return docs.where(F.col(key).isNull()).unionAll(docs.join(found, docs[key] == found["_key"], "left_semi"))

@@ -201,7 +201,7 @@ def predict(docs: DataFrame, model: LanguageModel | None, key: str = "doc_id", t
     return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, lang_pred string, score double")
 
 
-def keep_known(docs: DataFrame, model: LanguageModel | None, text: str = "text", least: float = 0.4) -> DataFrame:
+def keep_known(docs: DataFrame, model: LanguageModel | None, text: str = "text", least: float = 0.3) -> DataFrame:
     """The rows of ``docs`` whose language is found with at least this score; all their columns, unchanged."""
     place = docs.columns.index(text)
 

@@ -200,8 +200,9 @@ def listed(found: Column) -> Column:
 
 def redacted(docs: DataFrame, key: str = "doc_id", text: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every secret in its texts replaced by a mark; overlapping ones get one mark together."""
-    keep = tuple(c for c in docs.columns if c != key)
-    body = F.coalesce(F.col(text), F.lit(""))
+    # The row travels packed, so that its columns may have any names.
+    packed = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.struct("*").alias("row"))
+    body = F.coalesce(F.col("row")[text], F.lit(""))
 
     def step(done: Column, s: Column) -> Column:
         gap = F.substr(body, done["at"] + 1, F.greatest(s["start"] - done["at"], F.lit(0)))
@@ -210,5 +211,6 @@ def redacted(docs: DataFrame, key: str = "doc_id", text: str = "text", mark: str
 
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     clean = F.aggregate("secrets", start, step, lambda done: F.concat(done["out"], F.substr(body, done["at"] + 1, F.length(body))))
-    found = scanned(docs, key, text, keep=keep)
-    return found.withColumn(text, F.when(F.size("secrets") > 0, clean).otherwise(F.col(text))).select(*docs.columns)
+    found = scanned(packed, "key", "text", keep=("row",))
+    changed = F.when(F.size("secrets") > 0, clean).otherwise(F.col("row")[text])
+    return found.select(*(changed.alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns))
