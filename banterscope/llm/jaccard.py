@@ -34,9 +34,11 @@ from banterscope.llm.blocks import BitFilter, WordTable, filter_of, kept, mix, s
 from banterscope.llm.components import components
 from banterscope.session import materialise
 
-# A token counts as common if a task meets its slot in more than one of so many texts. It only sets the order.
-COMMON = 1000
-SLOTS_LOG = 22
+# Tokens whose slot is found in so many texts come last in the order; tasks that meet a slot in fewer than
+# ``NOTED`` texts don't report it. Which tokens come last changes the work only, never the result.
+COMMON = 48
+NOTED = 3
+SLOTS_LOG = 24
 FILTER_LOG = 25
 # Leaves that a node has on average; more would fill its bitmap.
 NODE_LEAVES = 16
@@ -81,18 +83,19 @@ def _slot(tokens: np.ndarray) -> np.ndarray:
 
 
 def common_slots(docs: DataFrame, text: str, width: int) -> np.ndarray:
-    """A bitmap of slots that hold a common token. Each task counts all its texts; a bitmap has a fixed size."""
+    """A bitmap of slots that hold a common token: every task counts all its texts, and the counts are added up."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slots, seen = np.zeros(1 << SLOTS_LOG, np.int32), 0
+        slots = np.zeros(1 << SLOTS_LOG, np.uint16)
         for batch in batches:
             for _, texts in text_blocks(batch, text):
                 for tokens in token_sets(texts, width):
-                    np.add.at(slots, np.unique(_slot(tokens)), 1)
-                    seen += 1
-        yield pa.RecordBatch.from_pydict({"slot": pa.array(np.flatnonzero(slots > max(8, seen / COMMON)), pa.int64())})
+                    slots[np.unique(_slot(tokens))] += 1
+        at = np.flatnonzero(slots >= NOTED)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(slots[at].astype(np.int64))], ["slot", "texts"])
 
-    return _slot_bits(docs.select(text).mapInArrow(count, "slot long").distinct())
+    counts = docs.select(text).mapInArrow(count, "slot long, texts long").groupBy("slot").agg(F.sum("texts").alias("texts"))
+    return _slot_bits(counts.where(F.col("texts") >= COMMON).select("slot"))
 
 
 def _slot_bits(slots: DataFrame) -> np.ndarray:
@@ -186,7 +189,7 @@ def _verified(pairs: DataFrame, leaves: DataFrame, docs: DataFrame, text: str, w
     pairs = materialise(pairs.select("a", "b").distinct(), "pairs")
     ends = pairs.select(F.col("a").alias("leaf")).union(pairs.select("b")).distinct()
     tags = ends.join(leaves.select("leaf", "tag"), "leaf").groupBy("leaf").agg(F.min("tag").alias("tag"))
-    sets = materialise(_sets(docs, text, width, filter_of(materialise(tags, "tags").select("tag"), FILTER_LOG)).join(ends, "leaf"), "sets")
+    sets = materialise(_sets(docs, text, width, filter_of(materialise(tags, "tags").select("tag"), FILTER_LOG)), "sets")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -262,14 +265,15 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
     # Third step: what leaves of different components can still have in common. A node has some leaves of one.
     member = known.select("leaf", "n").join(nodes.withColumnRenamed("node", "leaf"), "leaf", "left")
     member = member.select("leaf", "n", F.coalesce("root", "leaf").alias("root"))
-    counts = member.groupBy("root").agg(F.ceil(F.count("*") / NODE_LEAVES).alias("_nodes"))
+    counts = member.groupBy("root").agg(F.count("*").alias("size"), F.ceil(F.count("*") / NODE_LEAVES).alias("_nodes"))
     member = member.join(counts, "root").withColumn("node", F.pmod(F.xxhash64("leaf"), F.col("_nodes")).cast("int")).drop("_nodes")
     inner = shows.join(member, "leaf")
     apart = inner.groupBy("token").agg(F.min("root").alias("_least"), F.max("root").alias("_most")).where("_least <> _most").select("token")
     inner = materialise(inner.join(apart, "token"), "inner")
-    top = inner.groupBy("token", "root", "node").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max(F.col("n") - F.col("at")).alias("rest"))
-    one, two = (top.select("token", *(F.col(c).alias(c + i) for c in ("root", "node", "low", "high", "rest"))) for i in "12")
-    pairs = one.join(two, "token").where("root1 < root2")
+    top = inner.groupBy("token", "root", "node").agg(F.any_value("size").alias("size"), F.min("n").alias("low"), F.max("n").alias("high"), F.max(F.col("n") - F.col("at")).alias("rest"))
+    one, two = (top.select("token", *(F.col(c).alias(c + i) for c in ("root", "node", "size", "low", "high", "rest"))) for i in "12")
+    # The node of the smaller component is the first, whose leaves are taken one by one.
+    pairs = one.join(two, "token").where("size1 < size2 or (size1 = size2 and root1 < root2)")
     pairs = pairs.where((F.col("high1") * parts >= F.col("low2") * share) & (F.col("high2") * parts >= F.col("low1") * share))
     # At their first common token, what two sets have before it is not common.
     pairs = pairs.where(_reaches(F.least("rest1", "rest2"), F.col("low1"), F.col("low2"), share, parts))
