@@ -10,6 +10,9 @@ RECORD = "map<string,variant>"
 # Fixed value: the format of a timestamp that is text.
 TEXT_TIME_FORMAT = "yyyyMMdd HH:mm:ss.SSSSSS"
 
+# The first and the last second of the years 1 to 9999.
+FIRST_SECOND, LAST_SECOND = -62135596800, 253402300799
+
 # Keys that a scored sentence sets itself, over any incoming key of that name.
 SENTENCE_KEYS = ("start_time", "end_time", "score", "score_detail")
 
@@ -44,11 +47,20 @@ def epoch_timestamp(record: Column) -> Column:
     return F.try_variant_get(record["timestamp"], "$", "bigint")
 
 
+def seconds_time(seconds: Column) -> Column:
+    """Seconds since 1970 as a point in time; NULL outside the years 1 to 9999.
+
+    A sender may put milli- or microseconds there. Without the bound, a cast would stop the job
+    or move a stream's clock into the far future.
+    """
+    return F.when(seconds.between(FIRST_SECOND, LAST_SECOND), F.timestamp_seconds(seconds))
+
+
 def payload_time(record: Column) -> Column:
     """``timestamp`` as a point in time: seconds (whole or not) or formatted text."""
     seconds = F.try_variant_get(record["timestamp"], "$", "double")
     return F.coalesce(
-        F.timestamp_seconds(seconds),
+        seconds_time(seconds),
         F.try_to_timestamp(get_string(record, "timestamp"), F.lit(TEXT_TIME_FORMAT)),
     )
 

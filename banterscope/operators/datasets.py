@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,12 +20,6 @@ from banterscope.operators.ordering import first_positions
 SPLIT_SEED = 25
 TRAIN_PERCENT = 80
 
-# A string feature with at most this many distinct values gets a domain.
-DOMAIN_LIMIT = 100
-
-# Longer values go by their digest in counts.
-LONGEST_VALUE = 1024
-
 
 def split_bucket(key: Column, seed: int = SPLIT_SEED) -> Column:
     """A number from 0 to 99 that depends on nothing but the key and the seed."""
@@ -68,18 +63,19 @@ def attach_embeddings(
 ) -> DataFrame:
     """Add a vector per comment; ``embed`` takes up to ``batch`` texts at a time.
 
-    Comments are cut to the longest that an embedder accepts first.
+    Comments are embedded whole; a caller whose embedder accepts less cuts them first. Only
+    the comments go through Python. A NULL comment is not passed on and has no vector.
     """
-    given = truncate_comments(examples, comment)
-    schema = T.StructType([*given.schema.fields, T.StructField(into, T.ArrayType(T.FloatType()))])
 
-    def in_batches(frames):
-        for frame in frames:
-            for start in range(0, len(frame), batch):
-                part = frame.iloc[start : start + batch]
-                yield part.assign(**{into: embed(part[comment].tolist())})
+    @F.pandas_udf(T.ArrayType(T.FloatType()))
+    def vectors(comments: pd.Series) -> pd.Series:
+        given = comments.dropna()
+        found = [v for at in range(0, len(given), batch) for v in embed(given.iloc[at : at + batch].tolist())]
+        return pd.Series(found, index=given.index, dtype=object).reindex(comments.index).map(
+            lambda v: v if isinstance(v, list) else None
+        )
 
-    return given.mapInPandas(in_batches, schema)
+    return examples.withColumn(into, vectors(F.col(comment)))
 
 
 def _is_text(field: T.StructField) -> bool:
@@ -130,20 +126,14 @@ def feature_statistics(examples: DataFrame) -> DataFrame:
     return one_row.select(F.inline(F.array(*[F.col(f"f{i}") for i in range(len(fields))])))
 
 
-def value_counts(examples: DataFrame, features: list[str] | None = None, longest: int = LONGEST_VALUE) -> DataFrame:
+def value_counts(examples: DataFrame, features: list[str] | None = None) -> DataFrame:
     """``(feature, value, count)`` for the text features, in one shuffle.
 
     Counts are summed per task first, so a value that fills the data is one row per task.
-    A value longer than ``longest`` goes by its digest, ``sha256:…``: comments are told
-    apart and counted without being sent through the shuffle.
+    Values of any length come out as they are; leave features out that need no counts.
     """
     chosen = features or [f.name for f in examples.schema.fields if _is_text(f)]
-
-    def named(column: Column) -> Column:
-        digest = F.concat(F.lit("sha256:"), F.sha2(column, 256))
-        return F.when(F.length(column) > longest, digest).otherwise(column)
-
-    pairs = F.array(*[F.struct(F.lit(c).alias("feature"), named(F.col(c)).alias("value")) for c in chosen])
+    pairs = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("value")) for c in chosen])
     return (
         examples.select(F.inline_outer(pairs))
         .where(F.col("value").isNotNull())
@@ -195,14 +185,18 @@ def quantiles(examples: DataFrame, points: int = 4, accuracy: int = 10000) -> Da
     )
 
 
-def infer_schema(stats: DataFrame, counts: DataFrame, domain_limit: int = DOMAIN_LIMIT) -> DataFrame:
-    """One row per feature: type, whether it is always there, and the size of its domain."""
+def infer_schema(stats: DataFrame, counts: DataFrame, domains: list[str] | None = None) -> DataFrame:
+    """One row per feature: type, whether it is always there, and the size of its domain.
+
+    ``domains`` names the features whose values are a domain, whatever their number; by
+    default all text features.
+    """
     sizes = counts.groupBy("feature").agg(F.count(F.lit(1)).alias("values"))
     return stats.join(sizes, "feature", "left").select(
         "feature",
         "type",
         (F.col("missing") == 0).alias("required"),
-        F.when(F.col("values") <= domain_limit, F.col("values")).alias("domain_size"),
+        (F.col("values") if domains is None else F.when(F.col("feature").isin(domains), F.col("values"))).alias("domain_size"),
     )
 
 

@@ -7,6 +7,7 @@ pandas UDF, a ``spark.ml`` model as a DataFrame transformation.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 from typing import Protocol
@@ -29,7 +30,7 @@ class Scorer(Protocol):
         """Add ``into ARRAY<STRUCT<score, detail>>``, aligned with ``texts ARRAY<STRING>``."""
 
 
-# Words that give an attribute away.
+# Words that give an attribute away: a small choice of our own, exchanged by the ``words`` of a scorer.
 LEXICON = {
     "IDENTITY_ATTACK": ("scum", "trash", "clown"),
     "INSULT": ("idiot", "moron", "stupid", "loser"),
@@ -52,8 +53,8 @@ class LexiconScorer:
 
     def _pattern(self) -> str:
         every = [w for words in self.words.values() for w in words]
-        first = "".join(sorted({c for w in every for c in (w[0].lower(), w[0].upper())}))
-        return f"(?<![a-zA-Z])(?=[{first}])(?i:{'|'.join(every)})(?![a-zA-Z])"
+        first = "".join(sorted({re.escape(c) for w in every for c in (w[0].lower(), w[0].upper())}))
+        return f"(?<![a-zA-Z])(?=[{first}])(?i:{'|'.join(map(re.escape, every))})(?![a-zA-Z])"
 
     def hits(self, text: Column) -> Column:
         """The listed words in a text, lower-cased."""
@@ -91,24 +92,25 @@ class LexiconScorer:
 
 
 def _count_listed(hits: Column, words: Sequence[str]) -> Column:
-    return F.size(F.filter(hits, lambda hit: hit.isin(*words)))
+    low = [w.lower() for w in words]
+    return F.size(F.filter(hits, lambda hit: hit.isin(*low)))
 
 
 @dataclass(frozen=True)
 class AttributeTableScorer:
     """Looks scores up in a table of attribute responses keyed by text.
 
-    ``responses`` has ``(text, response JSON)``, one row per distinct text. Messages meet
-    it by a shuffle join on the text digest, so neither side is collected or broadcast by
-    us; equal texts of one message batch are looked up once.
+    ``responses`` has ``(text, response JSON)``; where a text has several responses, the least
+    one counts. Messages meet it by a join on the text digest, so neither side is collected or
+    broadcast by us. A text that everybody sends is a hot key of the left side only, which
+    adaptive execution splits.
     """
 
     responses: DataFrame
 
     def attach(self, df: DataFrame, texts: str, into: str) -> DataFrame:
-        parsed = self.responses.select(
-            F.sha2("text", 256).alias("_digest"), F.try_parse_json("response").alias("_r")
-        )
+        one = self.responses.groupBy(F.sha2("text", 256).alias("_digest")).agg(F.min("response").alias("_response"))
+        parsed = one.select("_digest", F.try_parse_json("_response").alias("_r"))
         payload = probability.score_payload(probability.attribute_probabilities(F.col("_r")))
         table = parsed.select("_digest", payload.alias("_payload"))
         return _score_by_row(df, texts, into, lambda rows: _lookup(rows, table))
@@ -116,13 +118,7 @@ class AttributeTableScorer:
 
 def _lookup(rows: DataFrame, table: DataFrame) -> DataFrame:
     digest = rows.withColumn("_digest", F.sha2("_text", 256))
-    # A text that everybody sends would be one hot key: spread it over salts by message.
-    salts = 16
-    salted = digest.withColumn("_salt", F.pmod(F.xxhash64("message_id", "_pos"), F.lit(salts)))
-    copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).withColumn(
-        "_salt", F.col("_salt").cast("bigint")
-    )
-    return salted.join(copies, ["_digest", "_salt"], "left").drop("_digest", "_salt", "_text")
+    return digest.join(table, "_digest", "left").drop("_digest", "_text")
 
 
 @dataclass(frozen=True)

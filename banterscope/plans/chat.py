@@ -16,7 +16,7 @@ from banterscope.operators.scoring import LEXICON, LexiconScorer, PandasScorer,
 from banterscope.plans import inputs
 from banterscope.plans.inputs import epoch, table
 from banterscope.schema import FLAG
-from banterscope.session import shared_folder, spread
+from banterscope.session import shared_folder
 from banterscope.sinks.streams import files
 from banterscope.streaming import jobs
 
@@ -104,7 +104,7 @@ def _python_lexicon():
 
 
 def score_text_pandas(spark: SparkSession, folder: str) -> DataFrame:
-    documents = spread(table(spark, folder, "documents").select("doc_id", "text"), "doc_id")
+    documents = table(spark, folder, "documents").select("doc_id", "text")
     listed = documents.select("doc_id", F.array("text").alias("texts"))
     scored = PandasScorer(_python_lexicon).attach(listed, "texts", "scores")
     found = F.col("scores")[0]
@@ -263,7 +263,7 @@ def fallback_score(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def sequential_score(spark: SparkSession, folder: str) -> DataFrame:
-    turns = spread(table(spark, folder, "conversations"), "conv_id", "turn")
+    turns = table(spark, folder, "conversations")
     scored = LexiconScorer().score_rows(turns).select("conv_id", "role", "turn", "score")
     part = F.floor(F.col("turn") / F.lit(65536))
     found = windows.sequential_scores(scored, ["conv_id", "role"], "turn", part)

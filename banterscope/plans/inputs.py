@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from banterscope.functions import text
 from banterscope.operators.scoring import LexiconScorer
-from banterscope.session import spread
 
 # Stands for the present wherever a result depends on it.
 NOW = 1700000000
@@ -29,7 +28,7 @@ def epoch(clock: Column) -> Column:
 def scored_documents(spark: SparkSession, folder: str) -> DataFrame:
     """``doc_id`` and its scores. The text is used up here and goes into no shuffle."""
     documents = table(spark, folder, "documents").select("doc_id", "text")
-    return LexiconScorer().score_rows(spread(documents, "doc_id")).drop("text")
+    return LexiconScorer().score_rows(documents).drop("text")
 
 
 def chat_scores(spark: SparkSession, folder: str) -> DataFrame:
@@ -59,7 +58,7 @@ def conversation_messages(spark: SparkSession, folder: str) -> DataFrame:
 
     ``callback_url`` is missing where the speaker is the system.
     """
-    turns = spread(table(spark, folder, "conversations"), "conv_id", "turn")
+    turns = table(spark, folder, "conversations")
     sentences = F.transform(text.split_sentences(F.col("text")), lambda s: F.struct(s.alias("text")))
     url = F.when(F.col("role") != "system", F.concat(F.lit("https://callback.example/"), "role"))
     body = F.to_json(
@@ -82,4 +81,4 @@ def training_examples(spark: SparkSession, folder: str) -> DataFrame:
     """``doc_id, comment_text, target``: the labelled documents."""
     labels = table(spark, folder, "labels").select("doc_id", F.col("toxic").alias("target"))
     documents = table(spark, folder, "documents").select("doc_id", F.col("text").alias("comment_text"))
-    return spread(documents, "doc_id").join(labels, "doc_id")
+    return documents.join(labels, "doc_id")

@@ -54,7 +54,7 @@ FROM documents JOIN labels USING (doc_id)
     "embedding_attach": """
 SELECT doc_id, len(t)::DOUBLE AS length, (len(t) - len(replace(t, ' ', '')))::DOUBLE AS blanks,
        (len(t) - len(replace(t, chr(10), '')))::DOUBLE AS lines
-FROM (SELECT doc_id, substr(text, 1, 511) AS t FROM documents)
+FROM (SELECT doc_id, text AS t FROM documents)
 """,
     "dataset_stats": f"""
 WITH stats AS ({_STATS}), ranked AS ({_RANKED})
@@ -69,7 +69,7 @@ SELECT feature, value, n AS "count", rank FROM ({_RANKED}) WHERE rank <= 10
     "infer_schema": f"""
 WITH stats AS ({_STATS}), sizes AS (SELECT feature, count(*) AS size FROM ({_COUNTS}) GROUP BY feature)
 SELECT s.feature, s.type, (s.missing = 0)::INTEGER AS required,
-       CASE WHEN z.size <= 100 THEN z.size END AS domain_size
+       z.size AS domain_size
 FROM stats s LEFT JOIN sizes z ON z.feature = s.feature
 """,
     "validate_examples": """

@@ -44,16 +44,3 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = shared_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash-spread a scan that has fewer partitions than the cluster has cores.
-
-    Text scoring is CPU-bound, and a single unsplittable file would leave cores idle.
-    A scan that already fills the cluster is returned as it is, with no shuffle. For scans
-    only: asking a plan that has shuffles for its partitions would run them.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, *keys)

@@ -13,8 +13,8 @@ def with_event_date(rows: DataFrame, clock: Column) -> DataFrame:
 
 
 def append_warehouse(rows: DataFrame, path: str) -> None:
-    """Append the four warehouse columns, partitioned by day of their timestamp."""
-    dated = with_event_date(rows, F.timestamp_seconds("timestamp"))
+    """Append the four warehouse columns, partitioned by day of their timestamp; no day if it is out of range."""
+    dated = with_event_date(rows, records.seconds_time(F.col("timestamp")))
     dated.write.mode("append").partitionBy("event_date").parquet(path)
 
 

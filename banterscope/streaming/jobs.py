@@ -106,7 +106,7 @@ def start_scored_topic(
 def start_warehouse(spark: SparkSession, layout: Layout, trigger: dict | None = None) -> StreamingQuery:
     """One row per sentence, partitioned by the day of the event."""
     rows = events.warehouse_rows(scored_stream(spark, layout.table("scored")))
-    dated = with_event_date(rows, F.timestamp_seconds("timestamp"))
+    dated = with_event_date(rows, records.seconds_time(F.col("timestamp")))
     sink = files(layout.table("warehouse"), partition_by=("event_date",), trigger=trigger)
     return sink(dated, layout.checkpoint("warehouse"))
 

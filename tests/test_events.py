@@ -214,3 +214,13 @@ def test_parsing_happens_once(spark):
     df = events.warehouse_rows(scored(spark, '{"userid":"u","text":"hi"}'))
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert plan.count("VariantExpressionEvalUtils.parseJson(value") == 1
+
+
+def test_clocks_out_of_range_stop_nothing(spark):
+    micro, milli, good = 1700000000000000, 1700000000000, 1700000000
+    values = [json.dumps({"userid": "u", "text": "a", "timestamp": t}) for t in (micro, milli, good)]
+    parsed = events.with_event_columns(events.parse_events(messages(spark, *values)), CFG, F.lit(NOW))
+    found = [r["event_time"] for r in parsed.orderBy("message_id").collect()]
+    assert found[0] is None and found[1] is None and found[2].year == 2023
+    day = F.to_date(records.seconds_time(F.col("timestamp")))
+    assert [r[0] is None for r in parsed.orderBy("message_id").select(day).collect()] == [True, True, False]

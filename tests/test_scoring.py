@@ -168,3 +168,18 @@ def test_analysis_request(spark):
         "comment": {"text": 'say "hi"'},
         "requestedAttributes": {"IDENTITY_ATTACK": {}, "INSULT": {}, "SEXUALLY_EXPLICIT": {}},
     }
+
+
+def test_several_responses_for_one_text_score_it_once(spark):
+    rows = [("hello", '{"attributeScores": {}}'), ("hello", '{"attributeScores": {}}'), ("other", "x")]
+    responses = spark.createDataFrame(rows, "text string, response string")
+    df = texts(spark, ["hello", "hello"], ["other", "absent"])
+    found = AttributeTableScorer(responses).attach(df, "texts", "scores").orderBy("message_id").collect()
+    assert [len(r["scores"]) for r in found] == [2, 2]
+
+
+def test_listed_words_may_have_capitals_and_signs(spark):
+    words = {"IDENTITY_ATTACK": ("Idiot",), "INSULT": ("a$$",), "SEXUALLY_EXPLICIT": ("x.y",)}
+    scorer = LexiconScorer(words=words)
+    (row,) = scorer.score_rows(spark.createDataFrame([("an IDIOT, A$$ and xzy",)], "text string")).collect()
+    assert row["identity_attack"] > scorer.base and row["insult"] > scorer.base and row["sexually_explicit"] == scorer.base
