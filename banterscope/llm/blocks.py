@@ -167,7 +167,7 @@ class BitFilter:
         return found
 
 
-def filter_of(keys: DataFrame, log_bits: int, tasks: int = 8) -> BitFilter:
+def filter_of(keys: DataFrame, log_bits: int, tasks: int = 4) -> BitFilter:
     """A filter over one column of longs. A few tasks read the keys and send a bitmap of fixed size each."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -15,9 +15,11 @@ def components(links: DataFrame) -> DataFrame:
     half. Each round's table is written to the shared folder: no lineage grows, and a lost executor costs one
     round at most. Nothing but a count reaches the driver.
     """
+    # Links are few beside the texts: as many tasks as the cluster runs at a time write each table.
+    tasks = max(8, links.sparkSession.sparkContext.defaultParallelism)
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    edges = materialise(both.where("a <> b").distinct(), "links")
-    roots = materialise(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("root")), "roots")
+    edges = materialise(both.where("a <> b").distinct().coalesce(tasks), "links")
+    roots = materialise(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("root")).coalesce(tasks), "roots")
     while True:
         near = edges.join(roots, F.col("b") == F.col("node")).groupBy("a").agg(F.min("root").alias("near"))
         step = roots.join(near, F.col("node") == F.col("a")).select(
@@ -27,7 +29,7 @@ def components(links: DataFrame) -> DataFrame:
         step = step.join(above, F.col("root") == F.col("_up"), "left").select(
             "node", F.least("root", "_top").alias("root"), "old"
         )
-        step = materialise(step, "roots")
+        step = materialise(step.coalesce(tasks), "roots")
         changed = step.where("root <> old").limit(1).count()
         roots = step.select("node", "root")
         if not changed:

@@ -36,10 +36,10 @@ from banterscope.session import materialise
 
 # Tokens whose slot is found in so many texts come last in the order; tasks that meet a slot in fewer than
 # ``NOTED`` texts don't report it. Which tokens come last changes the work only, never the result.
-COMMON = 48
-NOTED = 3
+COMMON = 24
+NOTED = 2
 SLOTS_LOG = 24
-FILTER_LOG = 25
+FILTER_LOG = 24
 # Leaves that a node has on average; more would fill its bitmap.
 NODE_LEAVES = 16
 
