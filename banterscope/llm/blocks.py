@@ -29,7 +29,7 @@ def kept(key: Any, build: Callable[[], Any]) -> Any:
     return stash[key]
 
 
-def text_blocks(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+def text_blocks(batch: pa.RecordBatch, column: str, most: int = 1 << 19) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of a batch whose texts have about ``most`` bytes together, with the texts (null: empty).
 
     The slicing bounds memory only; every row and every byte comes out, a longer text in a slice of its own.
@@ -67,7 +67,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
             both.append(np.multiply.accumulate(powers))
         return both[0], both[1]
 
-    usual = 1 << 21
+    usual = 1 << 20
     return kept("powers", lambda: build(usual)) if n <= usual else build(n)
 
 

@@ -32,7 +32,7 @@ _END = "</w>"
 _CONTROLS = frozenset("\x1c\x1d\x1e\x1f")
 
 # Chunks remembered by one worker, in two generations. A memory bound only: a forgotten chunk is encoded again.
-REMEMBERED_CHUNKS = 1 << 18
+REMEMBERED_CHUNKS = 1 << 17
 
 
 def _byte_letters() -> list[str]:

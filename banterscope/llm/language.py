@@ -26,6 +26,8 @@ from banterscope.llm.samples import sample_per_label
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 UNKNOWN = "und"
+# Bytes at a time; responses take some two hundred times as much memory.
+BLOCK = 1 << 18
 # Bounds of the training sample: documents of each language, and characters of each document.
 SAMPLE_EACH = 500
 SAMPLE_CHARS = 1200
@@ -194,7 +196,7 @@ def predict(docs: DataFrame, model: LanguageModel | None, key: str = "doc_id", t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model
         for batch in batches:
-            for rows, texts in text_blocks(batch, text):
+            for rows, texts in text_blocks(batch, text, BLOCK):
                 names, scores = label(texts, own)
                 yield pa.RecordBatch.from_arrays([rows.column(key), pa.array(names), pa.array(scores)], [key, "lang_pred", "score"])
 
@@ -208,7 +210,7 @@ def keep_known(docs: DataFrame, model: LanguageModel | None, text: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model
         for batch in batches:
-            for rows, texts in text_blocks(batch, batch.schema.names[place]):
+            for rows, texts in text_blocks(batch, batch.schema.names[place], BLOCK):
                 names, scores = label(texts, own)
                 yield rows.filter(pa.array([n != UNKNOWN and s >= least for n, s in zip(names, scores, strict=True)]))
 
