@@ -22,7 +22,8 @@ class PipelineConfig:
     toxic_threshold: float = 0.60
     fallback_score: float = 0.00001
     event_time: str = "publish"
-    watermark_delay: str = "0 seconds"
+    # How far messages may come out of order before a stream drops them.
+    watermark_delay: str = "60 seconds"
     strict_key_filter: bool = True
     translate: bool = False
     short_audio_seconds: float = 60.0

@@ -18,7 +18,11 @@ SENTENCE_KEYS = ("start_time", "end_time", "score", "score_detail")
 
 
 def parse_record(value: Column) -> Column:
-    """JSON text to a record; NULL for bad JSON, repeated keys and non-objects."""
+    """JSON text to a record; NULL for bad JSON and non-objects.
+
+    Of a repeated key the last value counts in a session with ``session.CONF``, as all jobs have it;
+    in others the result is NULL.
+    """
     return F.try_variant_get(F.try_parse_json(value), "$", RECORD)
 
 

@@ -169,19 +169,25 @@ def top_values(counts: DataFrame, k: int) -> DataFrame:
 
 
 def quantiles(examples: DataFrame, points: int = 4, accuracy: int = 10000) -> DataFrame:
-    """Approximate quantiles of the number features, ``points + 1`` rows per feature."""
+    """Approximate quantiles of the number features, ``points + 1`` rows per feature.
+
+    ``rank_error``: by how many places in the sorted feature a value may be off at most.
+    """
     numbers = [f.name for f in examples.schema.fields if _is_number(f)]
     shares = [i / points for i in range(points + 1)]
     found = examples.agg(
         *[
-            F.percentile_approx(F.col(c).cast("double"), F.array(*map(F.lit, shares)), accuracy).alias(c)
+            F.struct(
+                F.percentile_approx(F.col(c).cast("double"), F.array(*map(F.lit, shares)), accuracy).alias("at"),
+                (F.count(c) / accuracy).alias("rank_error"),
+            ).alias(c)
             for c in numbers
         ]
     )
-    rows = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("at")) for c in numbers])
+    rows = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c)["at"].alias("at"), F.col(c)["rank_error"].alias("rank_error")) for c in numbers])
     share = F.array(*map(F.lit, shares))
     return found.select(F.inline(rows)).select(
-        "feature", F.inline(F.arrays_zip(share.alias("share"), F.col("at").alias("value")))
+        "feature", "rank_error", F.inline(F.arrays_zip(share.alias("share"), F.col("at").alias("value")))
     )
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
-from pyspark.ml.feature import IDF, CountVectorizer, RegexTokenizer
+from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer, SQLTransformer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -18,34 +18,45 @@ ALLOWED_CHANGE = -1e-10
 
 WORD = "[a-z]+"
 
+# A word filled up to whole blocks of four bytes: there the hash of ``HashingTF`` and the SQL function agree.
+_FILLED = "rpad(w, cast(4 * ceil(length(w) / 4.0D) AS int), ' ')"
+
+
+def bucket(word: Column, buckets: int) -> Column:
+    """The feature of a ``text_pipeline`` that a word counts for."""
+    filled = F.rpad(word, (4 * F.ceil(F.length(word) / 4.0)).cast("int"), " ")
+    return F.pmod(F.hash(filled), F.lit(buckets))
+
+
 REGISTRY = (
     "model_name string, model_id string, created_at timestamp, "
     "example_count bigint, accuracy double, mae double, mse double, blessed boolean"
 )
 
 
-def text_pipeline(words: int = 1 << 14, iterations: int = 20, penalty: float = 0.005) -> Pipeline:
+def text_pipeline(buckets: int = 1 << 18, iterations: int = 20, penalty: float = 0.005) -> Pipeline:
     """Which words occur, weighted by rarity, into a sparse logistic regression.
 
-    Knows the ``words`` most frequent words that are in two comments at least; so many
-    weights, and no more, are gathered, whatever the vocabulary of the data is.
+    Every word counts. Words are hashed into ``buckets`` features, the same number for any
+    data, so no vocabulary is gathered; words of one bucket share a weight.
     """
     return Pipeline(
         stages=[
             RegexTokenizer(inputCol="text", outputCol="words", pattern=WORD, gaps=False),
-            CountVectorizer(inputCol="words", outputCol="present", vocabSize=words, minDF=2, binary=True),
+            SQLTransformer(statement=f"SELECT *, transform(words, w -> {_FILLED}) AS filled FROM __THIS__"),
+            HashingTF(inputCol="filled", outputCol="present", numFeatures=buckets, binary=True),
             IDF(inputCol="present", outputCol="features"),
             LogisticRegression(maxIter=iterations, regParam=penalty, elasticNetParam=1.0),
         ]
     )
 
 
-def word_weights(model: PipelineModel) -> tuple[dict[str, float], float]:
-    """What a fitted ``text_pipeline`` learned: the words that count, and the intercept."""
-    _, counter, rarity, regression = model.stages
+def bucket_weights(model: PipelineModel) -> tuple[dict[str, float], float, int]:
+    """What a fitted ``text_pipeline`` learned: the buckets that count, the intercept, how many buckets there are."""
+    _, _, counter, rarity, regression = model.stages
     effect = regression.coefficients.toArray() * rarity.idf.toArray()
-    weights = {word: float(w) for word, w in zip(counter.vocabulary, effect) if w}
-    return weights, float(regression.intercept)
+    weights = {str(i): float(effect[i]) for i in effect.nonzero()[0]}
+    return weights, float(regression.intercept), counter.getNumFeatures()
 
 
 def train_text_scorer(
@@ -105,13 +116,17 @@ def latest_blessed(registry: DataFrame) -> DataFrame:
     )
 
 
-def bless(candidates: DataFrame, registry: DataFrame) -> DataFrame:
+def bless(candidates: DataFrame, registry: DataFrame, measured: DataFrame | None = None) -> DataFrame:
     """Add ``baseline_accuracy`` and ``blessed``.
 
+    ``measured`` (``model_name, accuracy``) is what the latest blessed models reach on the
+    candidates' own examples; without it their stored accuracy is taken.
+
     Blessed is a candidate that is accurate enough and not worse than the latest blessed
     model of its name; the first of a name has nothing to be measured against.
     """
-    baseline = latest_blessed(registry).select("model_name", F.col("accuracy").alias("baseline_accuracy"))
+    known = latest_blessed(registry) if measured is None else measured
+    baseline = known.select("model_name", F.col("accuracy").alias("baseline_accuracy"))
     # Side by side instead of joined: the name is often a constant, and a join on a constant
     # would become a cross join.
     both = candidates.withColumn("_candidate", F.lit(True)).unionByName(baseline, allowMissingColumns=True)

@@ -165,18 +165,23 @@ class LinearTextScorer:
     """A fitted text pipeline as plain columns: row-local, so that it can score a stream.
 
     The score is the logistic function of the intercept and the weights of the words that
-    occur. Few words have a weight, as the training drops most of them.
+    occur. Few words have a weight, as the training drops most of them. With ``buckets``,
+    the weights are those of the words' buckets.
     """
 
     weights: Mapping[str, float]
     intercept: float
+    buckets: int | None = None
 
     @classmethod
     def from_model(cls, model: PipelineModel) -> LinearTextScorer:
-        return cls(*models.word_weights(model))
+        return cls(*models.bucket_weights(model))
 
     def score_column(self, text: Column) -> Column:
-        words = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(models.WORD), F.lit(0)))
+        words = F.regexp_extract_all(F.lower(text), F.lit(models.WORD), F.lit(0))
+        if self.buckets is not None:
+            words = F.transform(words, lambda w: models.bucket(w, self.buckets).cast("string"))
+        words = F.array_distinct(words)
         table = F.from_json(F.lit(json.dumps(self.weights)), "map<string,double>")
         # Membership in a fixed set is a hash look-up; only the few hits search the map.
         known = F.filter(words, lambda w: w.isin(*self.weights))

@@ -21,7 +21,8 @@ from banterscope.sinks.streams import files
 from banterscope.streaming import jobs
 
 HOURS = PipelineConfig(window_seconds=6 * 3600, slide_seconds=3600)
-HALF_HOUR = PipelineConfig(window_seconds=1800, slide_seconds=300)
+# The given events are one bounded input, in which nothing comes late.
+HALF_HOUR = PipelineConfig(window_seconds=1800, slide_seconds=300, watermark_delay="0 seconds")
 PAYLOAD = PipelineConfig(event_time="payload")
 ASCII_LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 

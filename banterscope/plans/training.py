@@ -72,8 +72,8 @@ def validate_examples(spark: SparkSession, folder: str) -> DataFrame:
     became text, the properties went and a channel came."""
     every = table(spark, folder, "events")
     before = every.where(F.col("event_type") != "error")
-    counts = materialise(datasets.value_counts(before), "counts")
-    schema = materialise(datasets.infer_schema(datasets.feature_statistics(before), counts), "schema")
+    counts = datasets.value_counts(before)
+    schema = datasets.infer_schema(datasets.feature_statistics(before), counts)
     after = every.select(
         "event_id",
         "ts",
@@ -141,10 +141,10 @@ def latest_blessed(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def train_scorer(spark: SparkSession, folder: str) -> DataFrame:
-    """Train on the sample, evaluate on its complement."""
+    """Train on the sample, evaluate on its complement. Equal texts are on the same side."""
     examples = datasets.preprocess(inputs.training_examples(spark, folder))
     stored = materialise(examples, "features")
-    train, test = datasets.train_test(stored, "doc_id")
+    train, test = datasets.train_test(stored, "text")
     model = models.train_text_scorer(train)
     scored = model.transform(test).select(models.score_probability().alias("score"), "label")
     return models.evaluation_metrics(scored)

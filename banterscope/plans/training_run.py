@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,8 +69,8 @@ def run(spark: SparkSession, examples: DataFrame, job: TrainingRun) -> bool:
     features = _store(marked, job.table("features"))
     model = models.train_text_scorer(features.where("training"), job.build)
 
-    scored = model.transform(features.where(~F.col("training")))
-    metrics = models.evaluation_metrics(scored.select(models.score_probability().alias("score"), "label"))
+    held_out = features.where(~F.col("training"))
+    metrics = _evaluated(model, held_out)
     candidate = metrics.withColumns(
         {
             "model_name": F.lit(job.model_name),
@@ -78,10 +78,19 @@ def run(spark: SparkSession, examples: DataFrame, job: TrainingRun) -> bool:
             "created_at": F.current_timestamp(),
         }
     )
-    decided = _store(models.bless(candidate, _registry(spark, job)), job.table("decision"))
+    registry = _registry(spark, job)
+    # The older model meets the same examples as the candidate, a harder sample is hard for both.
+    older = models.load_latest(spark, job.registry, job.serving, job.model_name)
+    measured = None if older is None else _evaluated(older, held_out).select(F.lit(job.model_name).alias("model_name"), "accuracy")
+    decided = _store(models.bless(candidate, registry, measured), job.table("decision"))
     return models.publish(model, decided, job.serving, job.registry)
 
 
+def _evaluated(model: PipelineModel, examples: DataFrame) -> DataFrame:
+    scored = model.transform(examples).select(models.score_probability().alias("score"), "label")
+    return models.evaluation_metrics(scored)
+
+
 def _no_domains(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], "feature string, value string")
 

@@ -20,6 +20,7 @@ from banterscope.operators.scoring import Scorer, scorer
 from banterscope.plans.training_run import TrainingRun, run_csv
 from banterscope.sinks.batch import append_warehouse, write_outbox
 from banterscope.sinks.streams import topic
+from banterscope.session import CONF
 from banterscope.sources import messages, tables
 from banterscope.streaming import jobs
 
@@ -36,6 +37,8 @@ def arguments(given: list[str] | None = None) -> argparse.Namespace:
     parser.add_argument("--scorer", default="lexicon", help="lexicon, linear, or sparkml (replay only)")
     parser.add_argument("--model", help="folder of a published model, for linear and sparkml")
     parser.add_argument("--every", default="5 seconds", help="time between micro-batches")
+    parser.add_argument("--files-per-batch", type=int, default=1000, help="bound of a micro-batch, for files (default 1000)")
+    parser.add_argument("--offsets-per-batch", type=int, default=1_000_000, help="the same for a topic (default 1000000)")
     parser.add_argument("--comments", help="CSV with comment_text and target")
     parser.add_argument("--model-id")
     for option in fields(PipelineConfig):
@@ -57,22 +60,24 @@ def start_stream(spark: SparkSession, args: argparse.Namespace) -> list[Streamin
     cfg, layout, pace = options(args), jobs.Layout(args.root), {"processingTime": args.every}
 
     if args.servers:
-        incoming = messages.topic_stream(spark, args.servers, args.input_topic)
+        incoming = messages.topic_stream(spark, args.servers, args.input_topic, maxOffsetsPerTrigger=str(args.offsets_per_batch))
     else:
-        incoming = messages.line_stream(spark, args.messages)
+        incoming = messages.line_stream(spark, args.messages, args.files_per_batch)
 
     def to(name):
         return topic(args.servers, name, pace) if args.servers and name else None
 
     scoring = jobs.start_scoring(incoming, chosen_scorer(args), cfg, layout, pace)
     jobs.wait_for_first_batch(scoring)
+    bound = args.files_per_batch
     return [
         scoring,
-        jobs.start_quarantine(spark, layout, pace),
-        jobs.start_scored_topic(spark, layout, sink=to(args.scored_topic), trigger=pace),
-        jobs.start_warehouse(spark, layout, pace),
-        jobs.start_outbox(spark, layout, pace),
-        jobs.start_flags(spark, cfg, layout, sink=to(args.toxic_topic), trigger=pace),
+        jobs.start_quarantine(spark, layout, pace, bound),
+        jobs.start_without_user(spark, layout, pace, bound),
+        jobs.start_scored_topic(spark, layout, sink=to(args.scored_topic), trigger=pace, files_per_batch=bound),
+        jobs.start_warehouse(spark, layout, pace, bound),
+        jobs.start_outbox(spark, layout, pace, bound),
+        jobs.start_flags(spark, cfg, layout, sink=to(args.toxic_topic), trigger=pace, files_per_batch=bound),
     ]
 
 
@@ -92,6 +97,7 @@ def replay(spark: SparkSession, args: argparse.Namespace) -> None:
     stored = tables.scored_batch(spark, layout.table("scored"))
     stored.where("is_quarantined").select("message_id", "raw").write.parquet(layout.table("quarantine"))
     scored = stored.where("not is_quarantined")
+    events.without_user(scored).select("message_id", "event_time", "envelope").write.parquet(layout.table("without_user"))
     scored.select(F.col("envelope").alias("value")).write.text(layout.table("topic"))
     append_warehouse(events.warehouse_rows(scored), layout.table("warehouse"))
     write_outbox(events.callback_outbox(scored), layout.table("outbox"))
@@ -101,7 +107,10 @@ def replay(spark: SparkSession, args: argparse.Namespace) -> None:
 
 def main(given: list[str] | None = None) -> None:
     args = arguments(given)
-    spark = SparkSession.builder.appName(f"banterscope-{args.job}").getOrCreate()
+    # A session of its own, so that its settings stay with the job.
+    spark = SparkSession.builder.appName(f"banterscope-{args.job}").getOrCreate().newSession()
+    for key, value in CONF.items():
+        spark.conf.set(key, value)
     if args.job == "train":
         run_csv(spark, args.comments, TrainingRun(args.root, args.model_id))
     else:

@@ -8,6 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+# What a job sets in its session: a JSON object that repeats a key keeps the last value.
+CONF = {"spark.sql.variant.allowDuplicateKeys": "true"}
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
     """A session for tests and the benchmark. A cluster brings its own session."""
     builder = (

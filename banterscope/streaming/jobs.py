@@ -87,34 +87,49 @@ def warehouse(spark: SparkSession, layout: Layout) -> DataFrame:
     return found.select(*WAREHOUSE.fieldNames())
 
 
-def start_quarantine(spark: SparkSession, layout: Layout, trigger: dict | None = None) -> StreamingQuery:
+def start_quarantine(
+    spark: SparkSession, layout: Layout, trigger: dict | None = None, files_per_batch: int | None = None
+) -> StreamingQuery:
     """Messages that are no JSON objects."""
-    bad = scored_stream(spark, layout.table("scored")).where("is_quarantined").select("message_id", "raw")
+    bad = scored_stream(spark, layout.table("scored"), files_per_batch).where("is_quarantined").select("message_id", "raw")
     return files(layout.table("quarantine"), trigger=trigger)(bad, layout.checkpoint("quarantine"))
 
 
+def start_without_user(
+    spark: SparkSession, layout: Layout, trigger: dict | None = None, files_per_batch: int | None = None
+) -> StreamingQuery:
+    """Scored messages that name no user and so have no part in alerts."""
+    good = scored_stream(spark, layout.table("scored"), files_per_batch).where("not is_quarantined")
+    lost = events.without_user(good).select("message_id", "event_time", "envelope")
+    return files(layout.table("without_user"), trigger=trigger)(lost, layout.checkpoint("without_user"))
+
+
 def start_scored_topic(
     spark: SparkSession, layout: Layout, sink: Sink | None = None,
-    hook: events.RowHook | None = None, trigger: dict | None = None,
+    hook: events.RowHook | None = None, trigger: dict | None = None, files_per_batch: int | None = None,
 ) -> StreamingQuery:
     """One JSON array per message, to a topic or, without one, as lines of text."""
-    good = scored_stream(spark, layout.table("scored")).where("not is_quarantined")
+    good = scored_stream(spark, layout.table("scored"), files_per_batch).where("not is_quarantined")
     lines = good.select(F.col("envelope").alias("value"))
     sink = sink or files(layout.table("topic"), kind="text", trigger=trigger)
     return sink(events.post_process(lines, hook), layout.checkpoint("topic"))
 
 
-def start_warehouse(spark: SparkSession, layout: Layout, trigger: dict | None = None) -> StreamingQuery:
+def start_warehouse(
+    spark: SparkSession, layout: Layout, trigger: dict | None = None, files_per_batch: int | None = None
+) -> StreamingQuery:
     """One row per sentence, partitioned by the day of the event."""
-    rows = events.warehouse_rows(scored_stream(spark, layout.table("scored")))
+    rows = events.warehouse_rows(scored_stream(spark, layout.table("scored"), files_per_batch))
     dated = with_event_date(rows, records.seconds_time(F.col("timestamp")))
     sink = files(layout.table("warehouse"), partition_by=("event_date",), trigger=trigger)
     return sink(dated, layout.checkpoint("warehouse"))
 
 
-def start_outbox(spark: SparkSession, layout: Layout, trigger: dict | None = None) -> StreamingQuery:
+def start_outbox(
+    spark: SparkSession, layout: Layout, trigger: dict | None = None, files_per_batch: int | None = None
+) -> StreamingQuery:
     """Callbacks to deliver."""
-    named = scored_stream(spark, layout.table("scored")).where(F.col("callback_url").isNotNull())
+    named = scored_stream(spark, layout.table("scored"), files_per_batch).where(F.col("callback_url").isNotNull())
     outbox = events.callback_outbox(named)
     return files(layout.table("outbox"), trigger=trigger)(outbox, layout.checkpoint("outbox"))
 
@@ -122,8 +137,8 @@ def start_outbox(spark: SparkSession, layout: Layout, trigger: dict | None = Non
 def flags_of(scores: DataFrame, cfg: PipelineConfig) -> DataFrame:
     """Stream of ``(userid, event_time, score)`` to a stream of alerts.
 
-    Windows close when the watermark passes their end; later rows are dropped, as the
-    default delay of zero says.
+    Windows close when the watermark passes their end: the newest event, less
+    ``cfg.watermark_delay``. Rows that come later still are dropped and counted (``dropped_late``).
     """
     timed = scores.withWatermark("event_time", cfg.watermark_delay)
     return flag_stream(windows.user_window_scores(timed, cfg), cfg)
@@ -142,6 +157,11 @@ def start_flags(
     return files(layout.table("flags"), trigger=trigger)(flags, layout.checkpoint("flags"))
 
 
+def dropped_late(query: StreamingQuery) -> int:
+    """Rows that the recent micro-batches of an alert stream dropped as too late, as the windows' state counts them."""
+    return sum(s["numRowsDroppedByWatermark"] for p in query.recentProgress for s in p["stateOperators"])
+
+
 def wait_for_first_batch(query: StreamingQuery, poll_seconds: float = 0.2) -> None:
     """Wait until a stream has its table, empty or not, so that others can read it."""
     while query.isActive and query.lastProgress is None:

@@ -10,6 +10,7 @@ from banterscope.config import PipelineConfig
 from banterscope.operators import events, windows
 from banterscope.operators.scoring import LexiconScorer
 from banterscope.schema import FLAG
+from banterscope.session import CONF
 from banterscope.sinks import batch, streams
 from banterscope.sources import messages, tables
 from banterscope.streaming import jobs
@@ -129,6 +130,37 @@ def test_restart_adds_nothing_twice(spark, tmp_path, lines):
     assert jobs.warehouse(spark, layout).count() == first + 1
 
 
+def test_odd_messages_do_not_stop_the_stream(spark, tmp_path):
+    """Repeated keys keep the last value, who names no user is kept aside, late rows are counted."""
+    vile = "scum trash idiot moron worthless pathetic"
+    lines = [
+        json.dumps({"userid": "u", "timestamp": 1000, "text": vile}),
+        '{"userid":"x","userid":"v","timestamp":990,"text":"%s"}' % vile,
+        json.dumps({"timestamp": 1700000000000000, "text": vile}),
+        json.dumps({"userid": "w", "timestamp": 1700000000000000, "text": vile}),
+        json.dumps({"userid": "z", "timestamp": 5000, "text": "end"}),
+        json.dumps({"userid": "late", "timestamp": 4950, "text": vile}),
+        json.dumps({"userid": "too late", "timestamp": 10, "text": vile}),
+        json.dumps({"userid": "z", "timestamp": 9000, "text": "end"}),
+    ]
+    put(tmp_path / "in", lines)
+    layout = jobs.Layout(str(tmp_path / "out"))
+    spark = spark.newSession()
+    for key, value in CONF.items():
+        spark.conf.set(key, value)
+    arriving = messages.drop_zone_stream(spark, str(tmp_path / "in"), files_per_batch=1)
+    run(jobs.start_scoring(arriving, LexiconScorer(), CFG, layout))
+    run(jobs.start_without_user(spark, layout, files_per_batch=1))
+    run(jobs.start_warehouse(spark, layout, files_per_batch=3))
+    flags = jobs.start_flags(spark, CFG, layout, files_per_batch=1)
+    run(flags)
+    assert spark.read.parquet(layout.table("without_user")).count() == 1
+    assert jobs.warehouse(spark, layout).count() == len(lines)
+    found = spark.read.schema(FLAG).parquet(layout.table("flags"))
+    assert {r["userid"] for r in found.collect()} == {"u", "v", "late"}
+    assert jobs.dropped_late(flags) > 0
+
+
 def test_outputs_can_be_replaced(spark, tmp_path):
     """Alerts as JSON messages, and the scored topic behind the user's own hook."""
     vile = {"userid": "u", "text": "scum trash idiot moron worthless pathetic"}

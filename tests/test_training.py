@@ -99,6 +99,7 @@ def test_quantiles(spark):
     df = spark.range(1, 10002).select(F.col("id").alias("n"), F.lit("t").alias("t"))
     found = {r["share"]: r["value"] for r in datasets.quantiles(df, accuracy=1000).collect()}
     assert set(found) == {0.0, 0.25, 0.5, 0.75, 1.0}
+    assert datasets.quantiles(df, accuracy=1000).first()["rank_error"] == pytest.approx(10.001)
     for share, value in found.items():
         assert abs(value - (1 + share * 10000)) <= 10001 / 1000 + 1
 
@@ -159,6 +160,35 @@ def test_blessing(spark, accuracy, baseline, blessed):
     assert models.bless(candidate, registry).first()["blessed"] is blessed
 
 
+def test_blessing_by_the_same_examples(spark):
+    """What the older model reaches on the candidate's examples counts, not what was stored."""
+    candidate = spark.createDataFrame([("m", 0.7)], "model_name string, accuracy double")
+    registry = spark.createDataFrame(
+        [("m", "old", 1, 0.9, True)], "model_name string, model_id string, created_at int, accuracy double, blessed boolean"
+    )
+    assert models.bless(candidate, registry).first()["blessed"] is False
+    for reached, blessed in ((0.6, True), (0.8, False)):
+        measured = spark.createDataFrame([("m", reached)], "model_name string, accuracy double")
+        row = models.bless(candidate, registry, measured).first()
+        assert (row["baseline_accuracy"], row["blessed"]) == (reached, blessed)
+
+
+def test_every_word_counts(spark):
+    """A word of one comment only has a bucket too, and columns and pipeline agree on it."""
+    from banterscope.operators.scoring import LinearTextScorer
+
+    words = ["a", "bc", "def", "ghij", "klmno", "pqrstu", "vwxyzab", "cdefghij"]
+    rows = [(f"you {w} idiot" if i % 2 else f"nice {w} game", float(i % 2)) for i, w in enumerate(words)]
+    df = spark.createDataFrame(rows * 3, "text string, label double")
+    model = models.train_text_scorer(df, lambda: models.text_pipeline(1 << 12, 30, 0.0))
+    linear = LinearTextScorer.from_model(model)
+    split = df.select(F.explode(F.split("text", " ")).alias("w"))
+    known = split.select(models.bucket(F.col("w"), 1 << 12).cast("string").alias("b")).distinct()
+    assert {r["b"] for r in known.collect()} >= set(linear.weights) and len(linear.weights) >= len(words)
+    both = model.transform(df).select(models.score_probability().alias("a"), linear.score_column(F.col("text")).alias("b"))
+    assert all(r["a"] == pytest.approx(r["b"]) for r in both.collect())
+
+
 def test_train_publish_and_load(spark, tmp_path):
     """The whole way from comments to a served model."""
     rows = [("You IDIOT", 1.0), ("such a moron", 1.0), ("well played", 0.0), ("good game", 0.0)] * 10
