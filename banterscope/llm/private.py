@@ -11,8 +11,9 @@ It is 1 if the word occurs with that entity only. Words at or above the threshol
 name the entity and near it; a text without personal data has no marks. ``sanitise`` replaces what is marked:
 values by their kind, words by a general class, and words that occur with nothing else by nothing.
 
-Cases: null texts count as empty. Copies of a text count once in the statistics, but each row is marked. Words
-near one entity in fewer than ``SUPPORT`` different texts are no evidence. Texts are read whole.
+Cases: null texts count as empty. Copies of a text count once in the statistics, but each row is marked. An
+entity in a single text counts like any other: a word that stands in no other text reveals all of it. Cards and
+telephone numbers are the same entity however their digits are parted. Texts are read whole.
 """
 
 from __future__ import annotations
@@ -42,7 +43,6 @@ _WORD = re.compile("[A-Za-z0-9\x80-\U0010ffff]+")
 NEAR_WORDS = 8
 NEAR_CHARS = 160
 WORD_LETTERS = 4
-SUPPORT = 3
 THRESHOLD = 0.9
 FILTER_LOG = 24
 MARK = "term"
@@ -88,13 +88,18 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def entity_of(kind: str, value: str) -> str:
+    """The same for all spellings of a value."""
+    return f"{kind}:{''.join(_DIGITS.findall(value)) if kind in ('card', 'phone') else value.lower()}"
+
+
 def _near(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, str, int, int]]:
     """Entity, word, start and end of the words near each value and outside of all values."""
     out = []
     taken = sorted((a, b) for _, a, b in spans)
     free = lambda a, b: not any(x < b and a < y for x, y in taken)
     for kind, start, end in spans:
-        entity = f"{kind}:{text[start:end].lower()}"
+        entity = entity_of(kind, text[start:end])
         left = max(0, start - NEAR_CHARS)
         before = [m.span() for m in _WORD.finditer(text, left, start) if m.start() > left or left == 0][-NEAR_WORDS:]
         right = min(len(text), end + NEAR_CHARS)
@@ -133,7 +138,7 @@ def found(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
 def disclosing(docs: DataFrame, rows: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``entity, word, disclosure`` of all words at or above the threshold; counts are over all different texts."""
     near = rows.select("tag", F.explode("near").alias("n")).select("tag", "n.entity", "n.word").distinct()
-    both = near.groupBy("entity", "word").agg(F.count("*").alias("both")).where(F.col("both") >= SUPPORT)
+    both = near.groupBy("entity", "word").agg(F.count("*").alias("both"))
     entity = near.select("tag", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
     total = rows.select("tag").distinct().count()
     # An entity in every text has no information to reveal.

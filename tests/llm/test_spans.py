@@ -85,6 +85,17 @@ def test_revealing_words_are_marked(spark):
     assert "[EMAIL]" in clean[0] and "zebrafish" not in clean[0] and clean[10] == rows[4][1]
 
 
+def test_entities_in_one_or_two_texts_are_protected(spark):
+    filler = "common words around here and there always in every text"
+    rows = [(0, f"{filler} zebrafish one@mail.example.com {filler}")]
+    rows += [(1, f"{filler} marmoset +1 555 010 0199 {filler}"), (2, f"{filler} marmoset +1-555-010-0199 here {filler}")]
+    rows += [(10 + i, f"{filler} number {i} without any value") for i in range(40)]
+    out = {r.doc_id: r for r in private.marked(documents(spark, rows)).collect()}
+    assert [{t[s.start : s.end] for s in out[i].terms} for i, t in rows[:3]] == [{"zebrafish"}, {"marmoset"}, {"marmoset"}]
+    assert not any(out[10 + i].terms for i in range(40))
+    assert private.entity_of("phone", "+1 (555) 010-0199") == private.entity_of("phone", "+15550100199") != private.entity_of("card", "15550100199")
+
+
 def test_private_takes_odd_rows(spark):
     rows = private.marked(documents(spark)).collect()
     assert Counter(r.doc_id for r in rows) == Counter(i for i, _ in TEXTS) and not any(r.terms for r in rows)
