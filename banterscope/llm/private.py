@@ -1,19 +1,22 @@
 """Personal data in texts, and the words that give it away.
 
 Addresses, cards and telephone numbers are found by pattern; each found value is a protected entity. Over the
-whole corpus it is then counted in how many different texts a word stands near an entity, and in how many it
-stands at all. The share of an entity's information that a word reveals is their pointwise mutual information
-by the entity's own information content:
+whole corpus it is then counted in how many different texts a word stands together with an entity, anywhere in
+the text, and in how many it stands at all. The share of an entity's information that a word reveals is their
+pointwise mutual information by the entity's own information content:
 
     disclosure(word, entity) = ln(N * both / (word * entity)) / ln(N / entity)
 
-It is 1 if the word occurs with that entity only. Words at or above the threshold are marked, in the texts that
-name the entity and near it; a text without personal data has no marks. ``sanitise`` replaces what is marked:
-values by their kind, words by a general class, and words that occur with nothing else by nothing.
+It is 1 if the word occurs with that entity only. Words at or above the threshold for any entity are marked
+wherever they stand, also in texts that don't print the value. ``sanitise`` replaces what is marked: values by
+their kind, words by a general class, and words that occur with nothing else by nothing.
+
+Entities that stand in exactly the same texts reveal the same, and are counted as one.
 
 Cases: null texts count as empty. Copies of a text count once in the statistics, but each row is marked. An
-entity in a single text counts like any other: a word that stands in no other text reveals all of it. Cards and
-telephone numbers are the same entity however their digits are parted. Texts are read whole.
+entity in a single text counts like any other: a word that stands in no other text reveals all of it. Words may
+have a single letter. Cards and telephone numbers are the same entity however their digits are parted. Texts
+are read whole.
 """
 
 from __future__ import annotations
@@ -38,11 +41,7 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DIGITS = re.compile("[0-9]")
-_WORD = re.compile("[A-Za-z0-9\x80-\U0010ffff]+")
 
-NEAR_WORDS = 8
-NEAR_CHARS = 160
-WORD_LETTERS = 4
 THRESHOLD = 0.9
 FILTER_LOG = 24
 MARK = "term"
@@ -93,64 +92,85 @@ def entity_of(kind: str, value: str) -> str:
     return f"{kind}:{''.join(_DIGITS.findall(value)) if kind in ('card', 'phone') else value.lower()}"
 
 
-def _near(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, str, int, int]]:
-    """Entity, word, start and end of the words near each value and outside of all values."""
-    out = []
-    taken = sorted((a, b) for _, a, b in spans)
-    free = lambda a, b: not any(x < b and a < y for x, y in taken)
-    for kind, start, end in spans:
-        entity = entity_of(kind, text[start:end])
-        left = max(0, start - NEAR_CHARS)
-        before = [m.span() for m in _WORD.finditer(text, left, start) if m.start() > left or left == 0][-NEAR_WORDS:]
-        right = min(len(text), end + NEAR_CHARS)
-        after = [m.span() for m in _WORD.finditer(text, end, right) if m.end() < right or right == len(text)][:NEAR_WORDS]
-        out += [(entity, text[a:b].lower(), a, b) for a, b in before + after if b - a >= WORD_LETTERS and free(a, b)]
-    return out
-
-
-_FOUND = "base array<struct<kind: string, start: int, end: int>>, near array<struct<entity: string, word: long, start: int, end: int>>"
+def _free_words(texts: list[bytes], bases: list[list[tuple[str, int, int]]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text number, hash, start and end, in characters of the text, of all words outside of the text's values."""
+    hashes, starts, ends, firsts, joined = kept("alphanumeric words", WordTable.alphanumeric).words(texts)
+    # Characters before each byte: every byte that doesn't go on with a character begins one.
+    data = np.frombuffer(joined, np.uint8)
+    before = np.zeros(len(data) + 1, np.int64)
+    np.cumsum((data & 0xC0) != 0x80, out=before[1:])
+    first = np.zeros(len(texts) + 1, np.int64)
+    np.cumsum([len(t) + 1 for t in texts], out=first[1:])
+    owner = np.repeat(np.arange(len(texts)), np.diff(firsts))
+    starts, ends = before[starts], before[ends]
+    # Steps up where a value begins and down where it ends: a word that meets none has no step inside, and none open.
+    spans = np.array([(before[first[i]] + a, before[first[i]] + b) for i, base in enumerate(bases) for _, a, b in base], np.int64).reshape(-1, 2)
+    steps = np.zeros(before[-1] + 2, np.int64)
+    np.add.at(steps, spans[:, 0], 1)
+    np.add.at(steps, spans[:, 1], -1)
+    taken = np.zeros(len(steps) + 1, np.int64)
+    np.cumsum(np.cumsum(steps) > 0, out=taken[1:])
+    free = taken[starts] == taken[ends]
+    own = before[first[owner[free]]]
+    return owner[free], hashes[free], starts[free] - own, ends[free] - own
+
+
+_FOUND = "base array<struct<kind: string, start: int, end: int>>, entities array<string>"
+_SPAN = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
 
 def found(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key, tag, base, near`` of every row: its values, and the words near them by hash. No shuffle."""
+    """``key, tag, base, entities`` of every row: the places of its values, and the different values. No shuffle."""
     kind = docs.schema[key].dataType.simpleString()
-    span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-    word = pa.list_(pa.struct([("entity", pa.string()), ("word", pa.int64()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = kept("alphanumeric words", WordTable.alphanumeric)
         for batch in batches:
             for rows, texts in text_blocks(batch, "text"):
-                base, near = [], []
+                base, entities = [], []
                 for t in texts:
                     t = t.decode("utf-8")
                     spans = base_spans(t)
-                    words = _near(t, spans) if spans else []
-                    hashes = table.words([w.encode("utf-8") for _, w, _, _ in words])[0].view(np.int64).tolist() if words else []
                     base.append([{"kind": k, "start": a, "end": b} for k, a, b in spans])
-                    near.append([{"entity": e, "word": h, "start": a, "end": b} for (e, _, a, b), h in zip(words, hashes, strict=True)])
-                yield pa.RecordBatch.from_arrays([rows.column("key"), rows.column("tag"), pa.array(base, span), pa.array(near, word)], ["key", "tag", "base", "near"])
+                    entities.append(sorted({entity_of(k, t[a:b]) for k, a, b in spans}))
+                arrays = [rows.column("key"), rows.column("tag"), pa.array(base, _SPAN), pa.array(entities, pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays(arrays, ["key", "tag", "base", "entities"])
 
     plain = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("tag"))
     return plain.mapInArrow(run, f"key {kind}, tag long, {_FOUND}").withColumnRenamed("key", key)
 
 
 def disclosing(docs: DataFrame, rows: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """``entity, word, disclosure`` of all words at or above the threshold; counts are over all different texts."""
-    near = rows.select("tag", F.explode("near").alias("n")).select("tag", "n.entity", "n.word").distinct()
-    both = near.groupBy("entity", "word").agg(F.count("*").alias("both"))
-    entity = near.select("tag", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
+    """``word, disclosure`` of all words at or above the threshold for an entity; counts are over all different texts."""
     total = rows.select("tag").distinct().count()
+    values = rows.where(F.size("entities") > 0).select("tag", F.explode("entities").alias("entity")).distinct()
+    # Two sums over the texts tell sets of texts apart.
+    sums = [F.sum(F.xxhash64(F.lit(i), "tag").cast("decimal(38, 0)")) for i in range(2)]
+    sets = values.groupBy("entity").agg(F.count("*").alias("n_entity"), F.xxhash64(*sums).alias("set"))
     # An entity in every text has no information to reveal.
     information = F.log(F.lit(float(total)) / F.col("n_entity"))
+    sets = values.join(sets.where(information > 0), "entity").select("tag", "set", "n_entity").distinct()
+    sets = materialise(sets, "sets")
 
     def revealed(count: str) -> Column:
         return F.log(F.lit(float(total)) * F.col("both") / (F.col(count) * F.col("n_entity"))) / information
 
-    # A word stands in at least as many texts as it stands near values in; where that is too many, it reveals too little.
-    beside = near.select("tag", "word").distinct().groupBy("word").agg(F.count("*").alias("n_near"))
-    both = both.join(entity, "entity").join(beside, "word").where((information > 0) & (revealed("n_near") >= threshold)).drop("n_near")
-    both = materialise(both, "near")
+    def occurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, texts in text_blocks(batch, "text"):
+                bases = [base_spans(t.decode("utf-8")) for t in texts]
+                with_values = [i for i, base in enumerate(bases) if base]
+                owner, hashes, _, _ = _free_words([texts[i] for i in with_values], [bases[i] for i in with_values])
+                pairs = np.unique(np.stack([owner.astype(np.uint64), hashes], 1), axis=0)
+                tags = part.column("tag").to_numpy()[with_values][pairs[:, 0].astype(np.int64)] if with_values else np.empty(0, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(tags), pa.array(np.ascontiguousarray(pairs[:, 1]).view(np.int64))], ["tag", "word"])
+
+    plain = docs.select(F.col(text).alias("text"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("tag"))
+    # Texts without a value have no words together with one.
+    beside = materialise(plain.mapInArrow(occurring, "tag long, word long").distinct(), "beside")
+    both = beside.join(sets, "tag").groupBy("set", "word").agg(F.count("*").alias("both"), F.any_value("n_entity").alias("n_entity"))
+    # A word stands in at least as many texts as it stands with values in; where that is too many, it reveals too little.
+    beside = beside.groupBy("word").agg(F.count("*").alias("n_beside"))
+    both = materialise(both.join(beside, "word").where(revealed("n_beside") >= threshold).drop("n_beside"), "both")
     context = docs.sparkSession.sparkContext
     held = context.broadcast(filter_of(both.select("word"), FILTER_LOG).bits.tobytes())
     # Texts that occur more than once are counted by text, all others are summed up within their task.
@@ -180,23 +200,38 @@ def disclosing(docs: DataFrame, rows: DataFrame, text: str = "text", threshold:
     def put(tags: pa.Array, words: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([tags, pa.array(np.ascontiguousarray(words).view(np.int64)), pa.array(counts)], ["tag", "word", "n"])
 
-    plain = docs.select(F.col(text).alias("text"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("tag"))
     counted = plain.mapInArrow(run, "tag long, word long, n long")
     # Partial sums for the single texts; a copied text counts a word once.
     each = counted.groupBy("word", "tag").agg(F.sum("n").alias("n"))
     words = each.groupBy("word").agg(F.sum(F.when(F.col("tag").isNull(), F.col("n")).otherwise(1)).alias("n_word"))
     scored = both.join(words, "word").withColumn("disclosure", revealed("n_word"))
-    return scored.where(F.col("disclosure") >= threshold).select("entity", "word", "disclosure")
+    return scored.where(F.col("disclosure") >= threshold).groupBy("word").agg(F.max("disclosure").alias("disclosure"))
 
 
 def marked(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``key, base, terms`` of every row: the values, and the words that reveal them with their disclosure."""
     rows = materialise(found(docs, key, text), "values")
-    words = disclosing(docs, rows, text, threshold)
-    near = rows.where(F.size("near") > 0).select(F.col(key).alias("_key"), F.col("tag").alias("_tag"), F.explode("near").alias("n"))
-    near = near.select("_key", "_tag", "n.*").join(words, ["entity", "word"])
-    spans = near.groupBy("_key", "_tag", "start", "end").agg(F.max("disclosure").alias("disclosure"))
-    # As many entries as a single text has words near values.
+    words = materialise(disclosing(docs, rows, text, threshold), "words")
+    held = docs.sparkSession.sparkContext.broadcast(filter_of(words.select("word"), FILTER_LOG).bits.tobytes())
+    kind = docs.schema[key].dataType.simpleString()
+
+    def standing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, table = BitFilter(held.value), kept("alphanumeric words", WordTable.alphanumeric)
+        for batch in batches:
+            for part, texts in text_blocks(batch, "text"):
+                hashes, _, _, firsts, _ = table.words(texts)
+                some = np.unique(np.searchsorted(firsts, np.flatnonzero(own.has(hashes)), "right") - 1)
+                picked = [texts[i] for i in some]
+                owner, hashes, starts, ends = _free_words(picked, [base_spans(t.decode("utf-8")) for t in picked])
+                hit = own.has(hashes)
+                rows = part.select(["key", "tag"]).take(pa.array(some[owner[hit]]))
+                places = [pa.array(x[hit].astype(np.int32)) for x in (starts, ends)]
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(hashes[hit].view(np.int64)), *places], ["_key", "_tag", "word", "start", "end"])
+
+    plain = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("tag"))
+    places = plain.mapInArrow(standing, f"_key {kind}, _tag long, word long, start int, end int").join(words, "word")
+    spans = places.groupBy("_key", "_tag", "start", "end").agg(F.max("disclosure").alias("disclosure"))
+    # As many entries as a single text has words.
     spans = spans.groupBy("_key", "_tag").agg(F.sort_array(F.collect_list(F.struct("start", "end", "disclosure"))).alias("terms"))
     joined = rows.join(spans, rows[key].eqNullSafe(spans["_key"]) & (rows["tag"] == spans["_tag"]), "left")
     return joined.select(key, "tag", "base", F.coalesce("terms", F.array().cast("array<struct<start: int, end: int, disclosure: double>>")).alias("terms"))

@@ -96,6 +96,32 @@ def test_entities_in_one_or_two_texts_are_protected(spark):
     assert private.entity_of("phone", "+1 (555) 010-0199") == private.entity_of("phone", "+15550100199") != private.entity_of("card", "15550100199")
 
 
+def test_words_far_from_the_value_short_names_and_texts_without_it_are_protected(spark):
+    filler = "common words around here and there always in every text"
+    far = f"{filler} " * 20
+    rows = [(i, f"Li {far}zebrafish é {far}owner@mail.example.com {far}zebrafish 😀 {i}") for i in range(30)]
+    rows += [(50, f"{far}Zebrafish alone"), (51, f"{far} zebrafishes")]
+    rows += [(100 + i, f"{filler} number {i} é without any value 😀") for i in range(400)]
+    out = {r.doc_id: r for r in private.marked(documents(spark, rows)).collect()}
+    texts = dict(rows)
+    words = lambda i: [texts[i][s.start : s.end] for s in out[i].terms]
+    assert words(0) == ["Li", "zebrafish", "zebrafish"] and words(50) == ["Zebrafish"]
+    assert not words(51) and not any(words(100 + i) for i in range(400))
+    clean = {r.doc_id: r.sanitised for r in private.sanitise(documents(spark, rows)).collect()}
+    assert "zebrafish" not in clean[0] and "Li" not in clean[0] and "Zebrafish" not in clean[50] and clean[100] == texts[100]
+
+
+def test_places_of_free_words_equal_a_plain_count():
+    texts = [t or "" for _, t in TEXTS] + ["é me@x.yz ab😀 me 10.0.0.1x", "a@b.c", "", "x+1 555 010 0199 y a@b.c-d"]
+    bases = [private.base_spans(t) for t in texts]
+    owner, _, starts, ends = private._free_words([t.encode() for t in texts], bases)
+    plain = [
+        (i, *m.span()) for i, t in enumerate(texts) for m in re.finditer("[A-Za-z0-9\x80-\U0010ffff]+", t)
+        if not any(a < m.end() and m.start() < b for _, a, b in bases[i])
+    ]
+    assert list(zip(owner.tolist(), starts.tolist(), ends.tolist(), strict=True)) == plain
+
+
 def test_private_takes_odd_rows(spark):
     rows = private.marked(documents(spark)).collect()
     assert Counter(r.doc_id for r in rows) == Counter(i for i, _ in TEXTS) and not any(r.terms for r in rows)
