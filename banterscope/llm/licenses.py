@@ -1,16 +1,23 @@
-"""Licence notices in texts: a trained paragraph classifier, with DataFrame functions only on the way of the data.
+"""Licence notices in texts: a trained classifier of passages, with DataFrame functions only on the way of the data.
 
-A paragraph (a line) is its words and runs of two and three words. A logistic regression with an L1 penalty over
-these n-grams, trained here on the notices below, pieces and altered forms of them, and on a bounded sample of
-the corpus as the unknown class, gives each family a probability; the unknown class is one of its outcomes and
-is calibrated on altered forms that training has not seen. A predicted family is confirmed by comparing the
-paragraph's words with the family's notices: enough of one notice must be there.
+A passage is a line, a sentence of a line, or, as notices are often wrapped, a run of words across the lines of a
+paragraph (lines up to one without words). Runs overlap by half, and a half is longer than any notice, so that
+each notice stands whole in one of them. A passage is its words and runs of two and three words. A logistic
+regression with an L1 penalty over these n-grams, trained here on the notices below, pieces and altered forms of
+them, and on a bounded sample of the corpus as the unknown class, weighs each family against the unknown class,
+which is calibrated on altered forms that training has not seen. Every family that is likelier than unknown is
+confirmed by comparing the passage with the family's notices: enough words of one notice, and enough of its pairs
+of neighbouring words, must be there.
 
-Every weighted n-gram has a word that the sample hardly has, so only paragraphs with such a word are looked at
+A passage can name several families. One whose found words are all among those found of larger notices, in the
+same place, is a part of those ("CC BY" in "CC BY-NC") and goes.
+
+Every weighted n-gram has a word that the sample hardly has, so only passages with such a word are looked at
 further; the others are unknown for certain. The weights are a small table, as large as the notices make it,
 whatever the corpus.
 
-Cases: null and empty texts have no notices. Rows that repeat come out once for each row; null keys are kept.
+Cases: null and empty texts have no notices. Rows that repeat come out once for each row; null keys are kept. A
+wrapped notice has the number of the line where its passage begins, once for a paragraph and family.
 """
 
 from __future__ import annotations
@@ -28,6 +35,8 @@ UNKNOWN = "unknown"
 SAMPLE = 800
 LEAST = 0.5
 CONFIRM = 0.6
+# And the least share of its pairs of neighbouring words: in a long passage its words may stand apart by chance.
+PAIRS = 0.5
 
 # Usual notices of each family, from the licences' own texts.
 NOTICES: dict[str, tuple[str, ...]] = {
@@ -182,34 +191,105 @@ def fit(docs: DataFrame, text: str = "text") -> LicenseModel:
     return train([r[0] for r in some.select(F.substring(line, 1, 600)).collect()])
 
 
+# Longer than any notice, with room for words put in.
+HALF = max(len(words_of(t)) for ts in NOTICES.values() for t in ts) * 5 // 4
+
+
+def _passages(body: DataFrame) -> DataFrame:
+    """``key, row, block, line, whole, start, stop, words`` of all lines, sentences and overlapping runs of words."""
+    split = lambda c: F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda w: w != "")
+    lines = body.withColumn("lines", F.split("body", "\n"))
+    said = lambda i: F.get("lines", i).rlike("[A-Za-z0-9]")
+    starts = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: said(i) & ((i == 0) | ~said(i - 1)))
+    blocks = lines.withColumn("starts", starts).select("key", "row", "lines", "starts", F.posexplode("starts").alias("_at", "block"))
+    until = F.coalesce(F.get("starts", F.col("_at") + 1), F.size("lines"))
+    blocks = blocks.select("key", "row", "block", F.slice("lines", F.col("block") + 1, until - F.col("block")).alias("lines"))
+
+    def line_tokens(line, i):
+        pieces = F.split(line, r"(?<=[.;!?])\s+")
+        return F.flatten(F.transform(pieces, lambda p, k: F.transform(split(p), lambda w: F.struct(w.alias("w"), (F.col("block") + i).alias("line"), k.alias("piece")))))
+
+    tokens = blocks.select("key", "row", "block", F.flatten(F.transform("lines", line_tokens)).alias("tokens")).withColumn("n", F.size("tokens"))
+    token = lambda i: F.get("tokens", i)
+    every = F.sequence(F.lit(0), F.col("n") - 1)
+    line_starts = F.filter(every, lambda i: (i == 0) | (token(i)["line"] != token(i - 1)["line"]))
+    piece_starts = F.filter(every, lambda i: (i == 0) | (token(i)["line"] != token(i - 1)["line"]) | (token(i)["piece"] != token(i - 1)["piece"]))
+    placed = tokens.withColumn("by_line", line_starts).withColumn("by_piece", piece_starts)
+
+    def spans(name: str, whole: bool):
+        return F.transform(name, lambda s, k: F.struct(F.lit(whole).alias("whole"), s.alias("start"), F.coalesce(F.get(name, k + 1), F.col("n")).alias("stop")))
+
+    runs = F.transform(
+        F.sequence(F.lit(0), F.greatest(F.col("n") - HALF - 1, F.lit(0)), F.lit(HALF)),
+        lambda s: F.struct(F.lit(False).alias("whole"), s.alias("start"), F.least(s + 2 * HALF, F.col("n")).alias("stop")),
+    )
+    units = placed.select("key", "row", "block", "tokens", F.explode(F.concat(spans("by_line", True), spans("by_piece", False), runs)).alias("u"))
+    words = F.slice("tokens", F.col("u.start") + 1, F.col("u.stop") - F.col("u.start"))["w"]
+    return units.select("key", "row", "block", F.get("tokens", F.col("u.start"))["line"].alias("line"), "u.*", words.alias("words"))
+
+
 def notices(docs: DataFrame, model: LicenseModel, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key, paragraph, family, score, share`` of every paragraph that is a licence notice (paragraphs count from 0)."""
+    """``key, paragraph, family, score, share`` of every licence notice (``paragraph``: its first line, from 0)."""
     spark = docs.sparkSession
     cues = F.array(*map(F.lit, model.cues)).cast("array<string>")
     body = docs.select(F.col(key).alias("key"), F.monotonically_increasing_id().alias("row"), F.coalesce(F.col(text), F.lit("")).alias("body"))
-    # Whole texts without a cue go first; then lines, of the few texts that are left.
+    # Whole texts without a cue go first; then passages, of the few texts that are left.
     body = body.where(F.arrays_overlap(F.split(F.lower("body"), "[^a-z0-9]+"), cues))
-    lines = body.select("key", "row", F.posexplode(F.split("body", "\n")).alias("paragraph", "line"))
-    words = F.split(F.trim(F.regexp_replace(F.lower("line"), "[^a-z0-9]+", " ")), " ")
-    told = lines.select("key", "row", "paragraph", words.alias("words")).where(F.arrays_overlap("words", cues))
+    told = _passages(body).where(F.arrays_overlap("words", cues))
     size = F.size("words")
 
     def runs(n: int):
         return F.when(size >= n, F.transform(F.sequence(F.lit(1), size - (n - 1)), lambda i: F.array_join(F.slice("words", i, n), " "))).otherwise(F.array().cast("array<string>"))
 
+    place = ["key", "row", "block", "line", "whole", "start", "stop"]
     grams = told.withColumn("gram", F.explode(F.array_distinct(F.concat(runs(1), runs(2), runs(3)))))
     table = spark.createDataFrame([(n, list(w)) for n, w in sorted(model.weights.items())], "gram string, weight array<double>")
     sums = [F.sum(F.col("weight")[i]).alias(f"w{i}") for i in range(len(model.families))]
     # As large as the notices make it, so it may go to every task.
-    scored = grams.join(F.broadcast(table), "gram").groupBy("key", "row", "paragraph").agg(F.any_value("words").alias("words"), *sums)
-    z = F.array(*(F.col(f"w{i}") + F.lit(o) for i, o in enumerate(model.offsets)))
-    scored = scored.withColumn("z", z).withColumn("top", F.array_max("z"))
-    total = F.aggregate(F.transform("z", lambda v: F.exp(v - F.col("top"))), F.lit(0.0), lambda a, v: a + v)
-    names = F.array(*map(F.lit, model.families))
-    scored = scored.withColumn("family", names[(F.array_position("z", F.col("top")) - 1).cast("int")]).withColumn("score", 1 / total)
-    likely = scored.where((F.col("family") != UNKNOWN) & (F.col("score") >= LEAST))
-    templates = spark.createDataFrame([(f, sorted(set(words_of(t)))) for f, ts in NOTICES.items() for t in ts], "family string, notice array<string>")
+    scored = grams.join(F.broadcast(table), "gram").groupBy(*place).agg(F.any_value("words").alias("words"), *sums)
+    z = [F.col(f"w{i}") + F.lit(o) for i, o in enumerate(model.offsets)]
+    # Each family against the unknown class.
+    odds = F.array(*(F.struct(F.lit(f).alias("family"), (1 / (1 + F.exp(z[0] - z[i]))).alias("score")) for i, f in enumerate(model.families) if i))
+    likely = scored.select(*place, "words", runs(2).alias("pairs"), F.inline(odds)).where(F.col("score") >= LEAST)
+    own_pairs = lambda w: sorted({" ".join(p) for p in zip(w, w[1:])})
+    table = [(f, [(sorted(set(words_of(t))), own_pairs(words_of(t))) for t in ts]) for f, ts in NOTICES.items()]
+    templates = spark.createDataFrame(table, "family string, notices array<struct<words: array<string>, pairs: array<string>>>")
     compared = likely.join(F.broadcast(templates), "family")
-    share = F.size(F.array_intersect("notice", "words")) / F.size("notice")
-    best = compared.groupBy("key", "row", "paragraph", "family").agg(F.max("score").alias("score"), F.max(share).alias("share"))
-    return best.where(F.col("share") >= CONFIRM).select(F.col("key").alias(key), "paragraph", "family", "score", "share")
+    close = F.filter("notices", lambda n: F.size(F.array_intersect(n["pairs"], F.col("pairs"))) >= PAIRS * F.size(n["pairs"]))
+
+    def share(n):
+        common = F.array_intersect(n["words"], F.col("words"))
+        return F.struct((F.size(common) / F.size(n["words"])).alias("share"), F.size(common).alias("n"), common.alias("common"))
+
+    shares = F.array_max(F.transform(close, share))
+    # The words found of the nearest notice, and of any of the family's notices.
+    common = F.array_intersect(F.array_distinct(F.flatten(F.col("notices")["words"])), F.col("words")).alias("all")
+    best = compared.withColumn("s", shares).where(F.col("s.share") >= CONFIRM).select(*place, "family", "score", "s.share", "s.common", common)
+
+    def covered(where):
+        """Whether all words found of a family are among those of others of which more was found."""
+
+        def above(o):
+            more = (F.size(o["common"]) > F.size("common")) | ((F.size(o["common"]) == F.size("common")) & (o["score"] > F.col("score")))
+            return (o["family"] != F.col("family")) & more & where(o)
+
+        theirs = F.flatten(F.transform(F.filter("others", above), lambda o: o["all"]))
+        return F.size(F.array_except("common", theirs)) == 0
+
+    here = best.groupBy(*place).agg(F.collect_list(F.struct("family", "score", "share", "common", "all")).alias("others"))
+    best = here.select("*", F.inline("others")).where(~covered(lambda o: F.lit(True))).drop("others")
+    # A passage may cut a notice: the same for families whose places all meet it. One entry a family.
+    group = ["key", "row", "block"]
+    each = best.groupBy("row", "block", "family").agg(
+        F.max_by(F.struct("common", "all", "score"), F.size("common")).alias("b"), F.min("stop").alias("stop"), F.max("start").alias("start")
+    )
+    others = each.groupBy("row", "block").agg(F.collect_list(F.struct("family", "b.common", "b.all", "b.score", "start", "stop")).alias("others"))
+    meets = lambda o: (o["stop"] > F.col("start")) & (o["start"] < F.col("stop"))
+    own = best.join(others, ["row", "block"]).where(~covered(meets)).drop("others", "common", "all")
+    # Lines that are notices by themselves come out each; otherwise the best passage of the paragraph does.
+    rest = F.struct("share", "score", -F.col("start"), F.col("line"))
+    by_family = own.groupBy(*group, "family").agg(
+        F.collect_list(F.when(F.col("whole"), F.struct("line", "score", "share"))).alias("lines"), F.max_by(F.struct("line", "score", "share"), rest).alias("best")
+    )
+    found = by_family.select("key", "family", F.explode(F.when(F.size("lines") > 0, F.col("lines")).otherwise(F.array("best"))).alias("f"))
+    return found.select(F.col("key").alias(key), F.col("f.line").alias("paragraph"), "family", "f.score", "f.share")

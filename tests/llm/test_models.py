@@ -51,6 +51,34 @@ def test_licence_notices(spark):
     assert licenses.notices(empty(spark), model).count() == 0
 
 
+MIT = """/* MIT License
+ *
+ * Permission is hereby granted, free of charge, to any person obtaining a copy
+ * of this software and associated documentation files (the "Software"), to deal
+ * in the Software without restriction, including without limitation the rights
+ */"""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions
+are met:"""
+GPL = """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License"""
+
+
+def test_wrapped_notices_and_several_in_one_line(spark):
+    plain = "here is a plain line of the corpus with words "
+    rows = [(1, MIT), (2, BSD), (3, f"{plain}\n{plain}\n\n{GPL}\n\n{plain}"), (4, f"{plain * 40}{' '.join(GPL.split())} {plain * 40}"), (5, plain)]
+    rows += [(6, "Released under the MIT License. Licensed under CC BY-NC 4.0."), (7, "SPDX-License-Identifier: MIT SPDX-License-Identifier: Apache-2.0")]
+    rows += [(8, "Licensed under CC BY 4.0. Licensed under CC BY-NC 4.0."), (9, "Licensed under CC BY-\nNC 4.0."), (10, "Licensed under the GNU Affero General Public License, version 3.")]
+    rows += [(11, "Komm mit der Bahn.\nLicensed under the Apache License, Version 2.0.\nMit Freude.")]
+    model = licenses.train(["here is a plain line of the corpus number %d with words" % i for i in range(60)])
+    found = licenses.notices(documents(spark, rows), model).collect()
+    assert sorted((r.doc_id, r.family) for r in found) == [
+        (1, "mit"), (2, "bsd"), (3, "gpl"), (4, "gpl"), (6, "cc_by_nc"), (6, "mit"), (7, "apache"), (7, "mit"), (8, "cc_by"), (8, "cc_by_nc"), (9, "cc_by_nc"), (10, "agpl"), (11, "apache"),
+    ]
+    assert {r.paragraph for r in found if r.doc_id == 3} == {3}
+
+
 def test_licences_of_the_tables(spark, tables):
     docs = table(spark, tables, "documents")
     wanted = docs.where("text rlike 'GNU General Public License|CC BY-NC 4.0|MIT License|Apache License'")
