@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from banterscope.llm import bpe, fingerprints, html, jaccard, language, leaks, licenses, private, quality, secrets
+from banterscope.llm import bpe, fingerprints, html, jaccard, language, leaks, licenses, pieces, private, quality, secrets
 from banterscope.llm.samples import fold
 
 
@@ -20,6 +20,10 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def piece_vocabulary() -> str:
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 def op1_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of every document."""
     coded = bpe.encode(table(spark, folder, "documents"), vocabulary(), decoded=True)
@@ -104,6 +108,17 @@ def op9_private(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op12_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of every document."""
+    coded = pieces.encode(table(spark, folder, "documents"), piece_vocabulary(), decoded=True)
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_language": op2_language,
@@ -115,6 +130,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_licenses": op8_licenses,
     "op9_private": op9_private,
     "op10_jaccard": op10_jaccard,
+    "op12_pieces": op12_pieces,
 }
 
 
