@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from banterscope.llm import bpe, fingerprints, html, jaccard, language, leaks, licenses, pieces, private, quality, secrets
+from banterscope.llm import bpe, fingerprints, html, jaccard, language, leaks, licenses, manifest, pieces, private, quality, secrets
 from banterscope.llm.samples import fold
 
 
@@ -108,6 +108,16 @@ def op9_private(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """Leaf, roots, proof and what a tampered row leads to, of every document; where 7 divides the CRC-32 of the
+    doc_id, the row found has one character more in ``n_chars``."""
+    docs = table(spark, folder, "documents")
+    told = ["doc_id", "source", "lang", "n_chars", "text"]
+    more = F.try_add(F.col("n_chars").cast("long"), F.lit(1).cast("long"))
+    found = [more if name == "n_chars" else F.col(name) for name in told]
+    return manifest.manifest(docs, "doc_id", "lang", [F.col(name) for name in told], fold("doc_id", 7) == 0, found)
+
+
 def op12_pieces(spark: SparkSession, folder: str) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of every document."""
     coded = pieces.encode(table(spark, folder, "documents"), piece_vocabulary(), decoded=True)
@@ -130,6 +140,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_licenses": op8_licenses,
     "op9_private": op9_private,
     "op10_jaccard": op10_jaccard,
+    "op11_manifest": op11_manifest,
     "op12_pieces": op12_pieces,
 }
 
@@ -163,7 +174,59 @@ def _secrets_sql() -> str:
     """
 
 
+def _manifest_sql() -> str:
+    """The same trees level by level. The CRC-32 of the key runs over the bits of its decimal digits."""
+    def leaf(n: str) -> str:
+        told = (f"coalesce(strlen({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR, '-')" for c in ("d.doc_id", "d.source", "d.lang", n, "d.text"))
+        return f"sha256({' || '.join(told)})"
+
+    def up(of: str, base: str) -> str:
+        return f"""
+          SELECT {of}, level + 1 AS level, pos // 2 AS pos, sha256(string_agg(h, '' ORDER BY pos)) AS h, any_value(n + 1) // 2 AS n
+          FROM {base} WHERE n > 1 GROUP BY {of}, level, pos // 2"""
+
+    return f"""
+        WITH RECURSIVE bytes AS (
+          SELECT DISTINCT doc_id, list_concat([4294967295], list_transform(regexp_extract_all(doc_id::VARCHAR, '.'), lambda c: ascii(c)::BIGINT)) AS b FROM documents),
+        folds AS (
+          SELECT doc_id, xor(list_reduce(b, lambda crc, c: list_reduce(list_concat([xor(crc, c)], [0, 0, 0, 0, 0, 0, 0, 0]),
+            lambda x, _: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)), 4294967295) AS crc FROM bytes),
+        leaves AS (
+          SELECT d.doc_id, d.lang, {leaf("d.n_chars")} AS leaf, CASE WHEN crc % 7 = 0 THEN {leaf("(d.n_chars + 1)")} ELSE {leaf("d.n_chars")} END AS found,
+            row_number() OVER w - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n
+          FROM documents d LEFT JOIN folds ON folds.doc_id = d.doc_id
+          WINDOW w AS (PARTITION BY lang ORDER BY d.doc_id NULLS FIRST)),
+        tree AS (
+          SELECT lang, 0 AS level, pos, leaf AS h, n FROM leaves
+          UNION ALL {up("lang", "tree")}),
+        subroots AS (SELECT lang, h AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM tree WHERE n = 1),
+        top AS (
+          SELECT 0 AS one, 0 AS level, pos, subroot AS h, n FROM subroots
+          UNION ALL {up("one", "top")}),
+        steps AS (
+          SELECT doc_id, lang, leaf, pos AS first, 0 AS step, found AS h, pos, n, '' AS others, false AS above FROM leaves
+          UNION ALL
+          SELECT p.doc_id, p.lang, p.leaf, p.first, p.step + 1,
+            sha256(CASE WHEN s.pos < p.pos THEN s.h ELSE '' END || p.h || CASE WHEN s.pos > p.pos THEN s.h ELSE '' END),
+            p.pos // 2, (p.n + 1) // 2, p.others || coalesce(s.h, ''), false
+          FROM steps p LEFT JOIN tree s ON s.lang IS NOT DISTINCT FROM p.lang AND s.level = p.step AND s.pos = xor(p.pos, 1)
+          WHERE p.n > 1),
+        over AS (
+          SELECT s.doc_id, s.lang, s.leaf, s.first, 0 AS step, s.h, r.pos, r.n, s.others, r.subroot
+          FROM steps s JOIN subroots r ON r.lang IS NOT DISTINCT FROM s.lang WHERE s.n = 1
+          UNION ALL
+          SELECT p.doc_id, p.lang, p.leaf, p.first, p.step + 1,
+            sha256(CASE WHEN s.pos < p.pos THEN s.h ELSE '' END || p.h || CASE WHEN s.pos > p.pos THEN s.h ELSE '' END),
+            p.pos // 2, (p.n + 1) // 2, p.others || coalesce(s.h, ''), p.subroot
+          FROM over p LEFT JOIN top s ON s.level = p.step AND s.pos = xor(p.pos, 1)
+          WHERE p.n > 1)
+        SELECT doc_id, leaf, subroot, root, sha256(others) AS proof_sha256, h AS folded_root, h = root AS verified
+        FROM over, (SELECT h AS root FROM top WHERE n = 1) WHERE n = 1
+    """
+
+
 SQL: dict[str, str] = {
+    "op11_manifest": _manifest_sql(),
     "op5_secrets": _secrets_sql(),
     "op4_decontamination": """
         WITH words AS (
