@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from banterscope.llm import bpe, fingerprints, html, jaccard, language, leaks, licenses, manifest, pieces, private, quality, secrets
+from banterscope.llm import bpe, fingerprints, html, jaccard, language, leaks, licenses, manifest, negatives, pieces, private, quality, secrets
 from banterscope.llm.samples import fold
 
 
@@ -129,6 +129,13 @@ def op12_pieces(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op13_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    """Hard negatives of every hundredth vector: five for each of its five positives, of 80 to 100 hundredths of their score."""
+    rows = table(spark, folder, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(rows.withColumn("label", moved), anchors=F.col("vec_id") % 100 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_language": op2_language,
@@ -142,6 +149,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_jaccard": op10_jaccard,
     "op11_manifest": op11_manifest,
     "op12_pieces": op12_pieces,
+    "op13_negatives": op13_negatives,
 }
 
 
@@ -227,6 +235,24 @@ def _manifest_sql() -> str:
 
 SQL: dict[str, str] = {
     "op11_manifest": _manifest_sql(),
+    "op13_negatives": """
+        WITH own AS (
+          SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+            list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+          FROM embeddings
+          WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+            AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        scores AS (
+          SELECT a.vec_id AS anchor_id, c.vec_id AS other, a.label = c.label AS same, list_inner_product(a.v, c.v)::BIGINT AS score
+          FROM own a JOIN own c ON a.vec_id <> c.vec_id WHERE a.vec_id % 100 = 0),
+        positives AS (
+          SELECT anchor_id, other AS positive_id, score AS positive_score FROM scores WHERE same
+          QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+        SELECT anchor_id, positive_id, (row_number() OVER w)::INTEGER AS rank, other AS negative_id, positive_score, score AS negative_score
+        FROM positives JOIN scores USING (anchor_id)
+        WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+        WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other) QUALIFY rank <= 5
+    """,
     "op5_secrets": _secrets_sql(),
     "op4_decontamination": """
         WITH words AS (
