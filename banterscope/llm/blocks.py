@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 _STASH = "_banterscope_llm_kept"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -180,3 +181,18 @@ def filter_of(keys: DataFrame, log_bits: int, tasks: int = 4) -> BitFilter:
     for row in keys.select(keys.columns[0]).coalesce(tasks).mapInArrow(build, "bits binary").collect():
         total.bits |= np.frombuffer(row["bits"], np.uint8)
     return total
+
+
+def sized_filter(keys: DataFrame, most_log: int = 27) -> BitFilter:
+    """A filter over one column of longs, with some 16 bits for each of them, up to ``2**most_log`` bits.
+
+    Words of bits are OR-ed together by tasks first; what reaches the driver is as large as the filter.
+    """
+    own = keys.select(F.col(keys.columns[0]).alias("key")).where("key is not null")
+    log_bits = min(most_log, max(13, (16 * own.count() - 1).bit_length()))
+    mask = (1 << log_bits) - 1
+    spots = own.select(F.explode(F.array(F.col("key").bitwiseAND(mask), F.shiftrightunsigned("key", 27).bitwiseAND(mask))).alias("at"))
+    words = spots.groupBy(F.shiftright("at", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 as int)))").alias("bits")).toArrow()
+    bits = np.zeros(1 << (log_bits - 6), np.int64)
+    bits[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return BitFilter(bits.view(np.uint8))

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from banterscope.session import materialise
 
+LINKS_A_TASK = 100_000
+
 
 def components(links: DataFrame) -> DataFrame:
     """``node, root`` of every node that a link ``a, b`` names; the root is the component's least node.
@@ -15,8 +17,8 @@ def components(links: DataFrame) -> DataFrame:
     half. Each round's table is written to the shared folder: no lineage grows, and a lost executor costs one
     round at most. Nothing but a count reaches the driver.
     """
-    # Links are few beside the texts: as many tasks as the cluster runs at a time write each table.
-    tasks = max(8, links.sparkSession.sparkContext.defaultParallelism)
+    # Few links need few tasks; many have a bounded number in each.
+    tasks = 8 + links.count() // LINKS_A_TASK
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     edges = materialise(both.where("a <> b").distinct().coalesce(tasks), "links")
     roots = materialise(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("root")).coalesce(tasks), "roots")

@@ -5,14 +5,16 @@ linked if ``parts * |A & B| >= share * |A | B|``. The result is exact up to coll
 pair; no link between different sets is lost.
 
 1. Texts with the same set are one leaf. A leaf shows the tokens that any partner must share one of: under a
-   fixed order, the first ``n - ceil(n * share / parts) + 1`` of its ``n`` tokens. Tokens that very many texts
-   have come last in the order, so that common passages don't bring everything together.
+   fixed order, the first ``n - ceil(n * share / parts) + 1`` of its ``n`` tokens. The order goes by how many texts
+   have a token, all texts counted, so that passages which texts share come last. What one text alone has is
+   not shown: it meets nothing.
 2. Leaves that show the same token meet its least leaf only, never each other. Pairs that hold make the lower
    nodes of the tree: groups of leaves that are linked already, so large groups of near copies are dealt with
    by as many pairs as they have members.
-3. Nodes keep the range of sizes and the OR of the leaves' token bitmaps. Pairs of different nodes that show a
-   common token are followed from node to leaf on both sides. A pair is dropped as soon as sizes and bitmaps
-   bound the overlap below what a link needs. What is left is verified on the whole sets.
+3. Nodes keep the range of sizes, and the OR and the AND of the leaves' token bitmaps. Pairs of different nodes
+   that show a common token are followed from node to leaf on both sides: node with node, leaf with node, leaf
+   with leaf. What all leaves of one side have and no leaf of the other can't be common, and a pair is dropped as
+   soon as sizes and bitmaps bound the overlap below what a link needs. What is left is verified on the whole sets.
 4. Components of all links are found by rounds over tables.
 
 Cases: null and empty texts and texts without words have an empty set and are linked with nothing. A text of
@@ -23,23 +25,24 @@ once; a component's id is the least non-null key in it.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from banterscope.llm.blocks import BitFilter, WordTable, filter_of, kept, mix, shingles, text_blocks
+from banterscope.llm.blocks import BitFilter, WordTable, kept, mix, shingles, sized_filter, text_blocks
 from banterscope.llm.components import components
 from banterscope.session import materialise
 
-# Tokens whose slot is found in so many texts come last in the order; tasks that meet a slot in fewer than
-# ``NOTED`` texts don't report it. Which tokens come last changes the work only, never the result.
-COMMON = 24
-NOTED = 2
+# Texts are counted by slots of tokens, in chunks of slots; so many tasks' chunks are added up at a time. The order
+# that comes of it changes the work only, never the result.
 SLOTS_LOG = 24
-FILTER_LOG = 24
+CHUNK_LOG = 15
+ADDED = 256
 # Leaves that a node has on average; more would fill its bitmap.
 NODE_LEAVES = 16
 
@@ -82,68 +85,87 @@ def _slot(tokens: np.ndarray) -> np.ndarray:
     return (tokens & np.uint64((1 << SLOTS_LOG) - 1)).astype(np.int64)
 
 
-def common_slots(docs: DataFrame, text: str, width: int) -> np.ndarray:
-    """A bitmap of slots that hold a common token: every task counts all its texts, and the counts are added up."""
+def _added(chunks: pa.Table) -> np.ndarray:
+    total = np.zeros(1 << CHUNK_LOG, np.int64)
+    for raw in chunks.column("texts").to_pylist():
+        total += np.frombuffer(zlib.decompress(raw), np.uint16)
+    return np.minimum(total, 65535).astype(np.uint16)
+
+
+def _coded(counts: np.ndarray) -> np.ndarray:
+    """Counts as bytes: up to 127 as they are, beyond that in eighths of a doubling."""
+    beyond = 128 + 8 * np.log2(np.maximum(counts, 128) / 128)
+    return np.where(counts < 128, counts, beyond).astype(np.uint8)
+
+
+def slot_counts(docs: DataFrame, text: str, width: int) -> np.ndarray:
+    """How many texts have a token in each slot, as codes: every task counts all its texts, and the counts are added up."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots = np.zeros(1 << SLOTS_LOG, np.uint16)
         for batch in batches:
             for _, texts in text_blocks(batch, text):
                 for tokens in token_sets(texts, width):
-                    slots[np.unique(_slot(tokens))] += 1
-        at = np.flatnonzero(slots >= NOTED)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(slots[at].astype(np.int64))], ["slot", "texts"])
-
-    counts = docs.select(text).mapInArrow(count, "slot long, texts long").groupBy("slot").agg(F.sum("texts").alias("texts"))
-    return _slot_bits(counts.where(F.col("texts") >= COMMON).select("slot"))
-
-
-def _slot_bits(slots: DataFrame) -> np.ndarray:
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(1 << SLOTS_LOG, np.uint8)
-        for batch in batches:
-            bits[batch.column(0).to_numpy()] = 1
-        yield pa.RecordBatch.from_pydict({"bits": [np.packbits(bits).tobytes()]})
-
-    out = np.zeros(1 << (SLOTS_LOG - 3), np.uint8)
-    for row in slots.coalesce(4).mapInArrow(mark, "bits binary").collect():
-        out |= np.frombuffer(row[0], np.uint8)
-    return out
-
-
-def shown(tokens: np.ndarray, common: np.ndarray, share: int, parts: int) -> np.ndarray:
-    """The tokens of a set of which any linked set has at least one: rare ones first, then by hash."""
+                    at = np.unique(_slot(tokens))
+                    slots[at] += slots[at] < 65535
+        rows = slots.reshape(-1, 1 << CHUNK_LOG)
+        some = np.flatnonzero(rows.any(1))
+        part = TaskContext.get().partitionId() // ADDED
+        for start in range(0, len(some), 32):
+            own = some[start : start + 32]
+            packed = [zlib.compress(rows[c].tobytes(), 1) for c in own.tolist()]
+            yield pa.RecordBatch.from_pydict({"chunk": pa.array(own, pa.int64()), "part": pa.array([part] * len(own), pa.int64()), "texts": packed})
+
+    def add(key: tuple, chunks: pa.Table) -> pa.Table:
+        return pa.table({"chunk": pa.array([key[0].as_py()], pa.int64()), "texts": [zlib.compress(_added(chunks).tobytes(), 1)]})
+
+    def code(key: tuple, chunks: pa.Table) -> pa.Table:
+        return pa.table({"chunk": pa.array([key[0].as_py()], pa.int64()), "codes": [_coded(_added(chunks)).tobytes()]})
+
+    counted = docs.select(text).mapInArrow(count, "chunk long, part long, texts binary")
+    added = counted.groupBy("chunk", "part").applyInArrow(add, "chunk long, texts binary")
+    codes = np.zeros((1 << (SLOTS_LOG - CHUNK_LOG), 1 << CHUNK_LOG), np.uint8)
+    for chunk, raw in added.groupBy("chunk").applyInArrow(code, "chunk long, codes binary").toLocalIterator():
+        codes[chunk] = np.frombuffer(raw, np.uint8)
+    return codes.reshape(-1)
+
+
+def shown(tokens: np.ndarray, codes: np.ndarray, share: int, parts: int) -> tuple[np.ndarray, int]:
+    """The tokens of a set of which any linked set has at least one, without those that no other text has, and how
+    many of these there are: they come first, then rare ones, equals by hash."""
     n = len(tokens)
     count = n - -(-n * share // parts) + 1
-    slot = _slot(tokens)
-    often = (common[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1
-    return tokens[np.lexsort((tokens, often))[:count]]
+    own = codes[_slot(tokens)]
+    order = np.lexsort((tokens, own))[:count]
+    alone = int((own[order] <= 1).sum())
+    return tokens[order[alone:]], alone
 
 
 def _leaves(docs: DataFrame, key: str, text: str, width: int, share: int, parts: int) -> DataFrame:
-    """``key, n, leaf, tag, bits, shown`` of every row; ``tag`` finds the text again."""
+    """``key, n, leaf, tag, bits, alone, shown`` of every row; ``tag`` finds the text again."""
     kind = docs.schema[key].dataType.simpleString()
-    held = docs.sparkSession.sparkContext.broadcast(common_slots(docs, text, width).tobytes())
+    held = docs.sparkSession.sparkContext.broadcast(slot_counts(docs, text, width).tobytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common = np.frombuffer(held.value, np.uint8)
+        codes = np.frombuffer(held.value, np.uint8)
         for batch in batches:
             for rows, texts in text_blocks(batch, "text"):
                 sets = list(token_sets(texts, width))
-                lists = [shown(t, common, share, parts) if len(t) else t for t in sets]
-                offsets = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
+                lists = [shown(t, codes, share, parts) if len(t) else (t, 0) for t in sets]
+                offsets = np.concatenate([[0], np.cumsum([len(x) for x, _ in lists])]).astype(np.int32)
                 columns = [
                     rows.column("key"),
                     pa.array([len(t) for t in sets], pa.int64()),
                     pa.array([set_key(t) for t in sets], pa.binary()),
                     rows.column("tag"),
                     pa.array([bitmap(t) if len(t) else None for t in sets], pa.binary()),
-                    pa.ListArray.from_arrays(offsets, np.concatenate(lists).view(np.int64)),
+                    pa.array([alone for _, alone in lists], pa.int32()),
+                    pa.ListArray.from_arrays(offsets, np.concatenate([x for x, _ in lists]).view(np.int64)),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, ["key", "n", "leaf", "tag", "bits", "shown"])
+                yield pa.RecordBatch.from_arrays(columns, ["key", "n", "leaf", "tag", "bits", "alone", "shown"])
 
     plain = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("tag"))
-    return materialise(plain.mapInArrow(run, f"key {kind}, n long, leaf binary, tag long, bits binary, shown array<long>"), "leaves")
+    return materialise(plain.mapInArrow(run, f"key {kind}, n long, leaf binary, tag long, bits binary, alone int, shown array<long>"), "leaves")
 
 
 def _sets(docs: DataFrame, text: str, width: int, wanted: BitFilter) -> DataFrame:
@@ -189,7 +211,7 @@ def _verified(pairs: DataFrame, leaves: DataFrame, docs: DataFrame, text: str, w
     pairs = materialise(pairs.select("a", "b").distinct(), "pairs")
     ends = pairs.select(F.col("a").alias("leaf")).union(pairs.select("b")).distinct()
     tags = ends.join(leaves.select("leaf", "tag"), "leaf").groupBy("leaf").agg(F.min("tag").alias("tag"))
-    sets = materialise(_sets(docs, text, width, filter_of(materialise(tags, "tags").select("tag"), FILTER_LOG)), "sets")
+    sets = materialise(_sets(docs, text, width, sized_filter(materialise(tags, "tags").select("tag"))), "sets")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -217,32 +239,54 @@ def _reaches(overlap: Column, x: Column, y: Column, share: int, parts: int) -> C
 
 
 def _nodes(tree: DataFrame) -> DataFrame:
-    """``root, node, low, high, any`` of every node: its range of sizes, and the OR of its leaves' bitmaps.
+    """``root, node, low, high, any, all`` of every node: its range of sizes, the OR and the AND of its leaves' bitmaps.
 
     A node has a few leaves; their bitmaps are folded to the shortest one.
     """
 
     def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
+            either, every = [], []
             for bits in batch.column("bits").to_pylist():
-                size = min(map(len, bits))
-                out.append(np.bitwise_or.reduce([folded(b, size) for b in bits]).tobytes())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("root", "node", "low", "high")), pa.array(out, pa.binary())], ["root", "node", "low", "high", "any"])
+                own = [folded(b, min(map(len, bits))) for b in bits]
+                either.append(np.bitwise_or.reduce(own).tobytes())
+                every.append(np.bitwise_and.reduce(own).tobytes())
+            columns = [*(batch.column(c) for c in ("root", "node", "low", "high")), pa.array(either, pa.binary()), pa.array(every, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["root", "node", "low", "high", "any", "all"])
 
     grouped = tree.groupBy("root", "node").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.collect_list("bits").alias("bits"))
-    return grouped.mapInArrow(combine, "root binary, node int, low long, high long, any binary")
+    return grouped.mapInArrow(combine, "root binary, node int, low long, high long, any binary, all binary")
+
+
+def _near(pairs: DataFrame, nodes: DataFrame, share: int, parts: int) -> DataFrame:
+    """Pairs of nodes of which some two leaves may be linked.
+
+    What all leaves of a node have and no leaf of the other has is missing in each overlap.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for r in batch.select(["any1", "all1", "any2", "all2", "low1", "high1", "low2", "high2"]).to_pylist():
+                most = min(r["high1"] - outside(r["all1"], r["any2"])[0], r["high2"] - outside(r["all2"], r["any1"])[0])
+                good.append(most * (parts + share) >= (r["low1"] + r["low2"]) * share)
+            yield batch.select(["root1", "node1", "root2", "node2"]).filter(pa.array(good, pa.bool_()))
+
+    for i in "12":
+        pairs = pairs.join(nodes.select(*(F.col(c).alias(c + i) for c in nodes.columns)), ["root" + i, "node" + i])
+    return pairs.mapInArrow(run, "root1 binary, node1 int, root2 binary, node2 int")
 
 
 def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, share: int = 85, parts: int = 100) -> DataFrame:
     """``key, n_shingles, component_id`` of every row of ``docs``."""
     leaves = _leaves(docs, key, text, width, share, parts)
-    seen = leaves.where("leaf is not null").select(F.posexplode("shown").alias("at", "token"), "leaf")
+    seen = leaves.where("leaf is not null").select(F.posexplode("shown").alias("at", "token"), "leaf", "alone")
+    seen = seen.select((F.col("at") + F.col("alone")).alias("at"), "token", "leaf")
     # Tokens that more than one leaf shows. Partial sums make a hot token one row a task.
     short = F.xxhash64("leaf")
     meeting = seen.groupBy("token").agg(F.min(short).alias("_least"), F.max(short).alias("_most")).where("_least <> _most")
     meeting = materialise(meeting.select("token"), "tokens")
-    held = docs.sparkSession.sparkContext.broadcast(filter_of(meeting, FILTER_LOG).bits.tobytes())
+    held = docs.sparkSession.sparkContext.broadcast(sized_filter(meeting).bits.tobytes())
 
     def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = BitFilter(held.value)
@@ -278,9 +322,10 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
     # At their first common token, what two sets have before it is not common.
     pairs = pairs.where(_reaches(F.least("rest1", "rest2"), F.col("low1"), F.col("low2"), share, parts))
     pairs = pairs.select("root1", "node1", "root2", "node2").distinct()
-    # A leaf of the first node against the second node, then against that node's leaves.
     tree = materialise(inner.select("leaf", "root", "node", "n").distinct().join(known.select("leaf", "bits"), "leaf"), "tree")
     ranges = materialise(_nodes(tree), "nodes")
+    pairs = _near(pairs, ranges, share, parts)
+    # A leaf of the first node against the second node, then against that node's leaves.
     first = tree.select(F.col("root").alias("root1"), F.col("node").alias("node1"), F.col("leaf").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a"))
     second = ranges.select(F.col("root").alias("root2"), F.col("node").alias("node2"), F.col("low").alias("n_node"), F.col("high").alias("_high"), F.col("any").alias("bits_node"))
     against = pairs.join(first, ["root1", "node1"]).join(second, ["root2", "node2"])

@@ -69,7 +69,8 @@ def test_scores_beyond_doubles_are_exact(spark):
     assert {x.negative_score for x in negatives.hard_negatives(huge).collect()} == {(1 << 63) - 1}
 
 
-def test_bounds_hold_and_skip():
+def test_bounds_hold_and_skip(monkeypatch):
+    monkeypatch.setattr(negatives, "LEAF", 64)
     r = random.Random(5)
     own = np.floor(256 * np.array(vectors(3000, 8, r, clusters=40, spread=0.05)))
     group = negatives.Group(np.arange(3000), np.zeros(3000, np.int64), own)
