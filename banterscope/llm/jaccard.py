@@ -6,11 +6,10 @@ pair; no link between different sets is lost.
 
 1. Texts with the same set are one leaf. A leaf shows the tokens that any partner must share one of: under a
    fixed order, the first ``n - ceil(n * share / parts) + 1`` of its ``n`` tokens. The order goes by how many texts
-   have a token, all texts counted, so that passages which texts share come last. What one text alone has is
-   not shown: it meets nothing.
-2. Leaves that show the same token meet its least leaf only, never each other. Pairs that hold make the lower
-   nodes of the tree: groups of leaves that are linked already, so large groups of near copies are dealt with
-   by as many pairs as they have members.
+   have a token, all texts counted, so that passages which texts share come last.
+2. Leaves that show the same token, or have it among their few least hashes, meet its least leaf only, never each
+   other. Pairs that hold make the lower nodes of the tree: groups of leaves that are linked already, so large
+   groups of near copies are dealt with by a few pairs a member.
 3. Nodes keep the range of sizes, and the OR and the AND of the leaves' token bitmaps. Pairs of different nodes
    that show a common token are followed from node to leaf on both sides: node with node, leaf with node, leaf
    with leaf. What all leaves of one side have and no leaf of the other can't be common, and a pair is dropped as
@@ -43,6 +42,8 @@ from banterscope.session import materialise
 SLOTS_LOG = 24
 CHUNK_LOG = 15
 ADDED = 256
+# Tokens of the least hashes by which near copies find each other first.
+LEAST = 3
 # Leaves that a node has on average; more would fill its bitmap.
 NODE_LEAVES = 16
 
@@ -130,19 +131,20 @@ def slot_counts(docs: DataFrame, text: str, width: int) -> np.ndarray:
     return codes.reshape(-1)
 
 
-def shown(tokens: np.ndarray, codes: np.ndarray, share: int, parts: int) -> tuple[np.ndarray, int]:
-    """The tokens of a set of which any linked set has at least one, without those that no other text has, and how
-    many of these there are: they come first, then rare ones, equals by hash."""
+def shown(tokens: np.ndarray, codes: np.ndarray, share: int, parts: int) -> np.ndarray:
+    """The tokens of a set of which any linked set has at least one: rare ones first, then by hash."""
     n = len(tokens)
     count = n - -(-n * share // parts) + 1
-    own = codes[_slot(tokens)]
-    order = np.lexsort((tokens, own))[:count]
-    alone = int((own[order] <= 1).sum())
-    return tokens[order[alone:]], alone
+    return tokens[np.lexsort((tokens, codes[_slot(tokens)]))[:count]]
+
+
+def _lists(parts: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int32)
+    return pa.ListArray.from_arrays(offsets, np.concatenate(parts).view(np.int64))
 
 
 def _leaves(docs: DataFrame, key: str, text: str, width: int, share: int, parts: int) -> DataFrame:
-    """``key, n, leaf, tag, bits, alone, shown`` of every row; ``tag`` finds the text again."""
+    """``key, n, leaf, tag, bits, least, shown`` of every row; ``tag`` finds the text again."""
     kind = docs.schema[key].dataType.simpleString()
     held = docs.sparkSession.sparkContext.broadcast(slot_counts(docs, text, width).tobytes())
 
@@ -151,21 +153,20 @@ def _leaves(docs: DataFrame, key: str, text: str, width: int, share: int, parts:
         for batch in batches:
             for rows, texts in text_blocks(batch, "text"):
                 sets = list(token_sets(texts, width))
-                lists = [shown(t, codes, share, parts) if len(t) else (t, 0) for t in sets]
-                offsets = np.concatenate([[0], np.cumsum([len(x) for x, _ in lists])]).astype(np.int32)
+                lists = [shown(t, codes, share, parts) if len(t) else t for t in sets]
                 columns = [
                     rows.column("key"),
                     pa.array([len(t) for t in sets], pa.int64()),
                     pa.array([set_key(t) for t in sets], pa.binary()),
                     rows.column("tag"),
                     pa.array([bitmap(t) if len(t) else None for t in sets], pa.binary()),
-                    pa.array([alone for _, alone in lists], pa.int32()),
-                    pa.ListArray.from_arrays(offsets, np.concatenate([x for x, _ in lists]).view(np.int64)),
+                    _lists([t[:LEAST] for t in sets]),
+                    _lists(lists),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, ["key", "n", "leaf", "tag", "bits", "alone", "shown"])
+                yield pa.RecordBatch.from_arrays(columns, ["key", "n", "leaf", "tag", "bits", "least", "shown"])
 
     plain = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("tag"))
-    return materialise(plain.mapInArrow(run, f"key {kind}, n long, leaf binary, tag long, bits binary, alone int, shown array<long>"), "leaves")
+    return materialise(plain.mapInArrow(run, f"key {kind}, n long, leaf binary, tag long, bits binary, least array<long>, shown array<long>"), "leaves")
 
 
 def _sets(docs: DataFrame, text: str, width: int, wanted: BitFilter) -> DataFrame:
@@ -277,11 +278,16 @@ def _near(pairs: DataFrame, nodes: DataFrame, share: int, parts: int) -> DataFra
     return pairs.mapInArrow(run, "root1 binary, node1 int, root2 binary, node2 int")
 
 
+def _stars(shows: DataFrame) -> DataFrame:
+    """``a, b``: every leaf with the least leaf that has one of its tokens."""
+    least = shows.groupBy("token").agg(F.min("leaf").alias("b"))
+    return shows.join(least, "token").where("leaf <> b").select(F.col("leaf").alias("a"), "b")
+
+
 def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, share: int = 85, parts: int = 100) -> DataFrame:
     """``key, n_shingles, component_id`` of every row of ``docs``."""
     leaves = _leaves(docs, key, text, width, share, parts)
-    seen = leaves.where("leaf is not null").select(F.posexplode("shown").alias("at", "token"), "leaf", "alone")
-    seen = seen.select((F.col("at") + F.col("alone")).alias("at"), "token", "leaf")
+    seen = leaves.where("leaf is not null").select(F.posexplode("shown").alias("at", "token"), "leaf")
     # Tokens that more than one leaf shows. Partial sums make a hot token one row a task.
     short = F.xxhash64("leaf")
     meeting = seen.groupBy("token").agg(F.min(short).alias("_least"), F.max(short).alias("_most")).where("_least <> _most")
@@ -294,15 +300,17 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
             yield batch.filter(pa.array(own.has(batch.column("token").to_numpy().view(np.uint64))))
 
     shows = materialise(seen.mapInArrow(narrow, seen.schema).join(meeting, "token").distinct(), "shows")
-    known = leaves.join(shows.select("leaf").distinct(), "leaf").groupBy("leaf").agg(F.any_value("n").alias("n"), F.any_value("bits").alias("bits"))
+    near = leaves.where("leaf is not null").select(F.explode("least").alias("token"), "leaf").distinct()
+    # Every leaf with the least leaf of each token that it shows or has among its least hashes.
+    stars = _stars(shows.select("token", "leaf")).union(_stars(near)).distinct()
+    stars = materialise(stars, "stars")
+    met = shows.select("leaf").union(stars.select("a")).union(stars.select("b")).distinct()
+    known = leaves.join(met, "leaf").groupBy("leaf").agg(F.any_value("n").alias("n"), F.any_value("bits").alias("bits"))
     known = materialise(known, "known")
 
     def side(frame: DataFrame, name: str) -> DataFrame:
         return frame.select(F.col("leaf").alias(name), F.col("n").alias("n_" + name), F.col("bits").alias("bits_" + name))
 
-    # Second step: every leaf with the least leaf of each token that it shows.
-    least = shows.groupBy("token").agg(F.min("leaf").alias("b"))
-    stars = shows.join(least, "token").where("leaf <> b").select(F.col("leaf").alias("a"), "b").distinct()
     stars = stars.join(side(known, "a"), "a").join(side(known, "b"), "b").where(_fits(F.col("n_a"), F.col("n_b"), share, parts))
     links = _verified(_bounded(stars, "a", "b", share, parts), leaves, docs, text, width, share, parts)
     nodes = components(links)
