@@ -204,14 +204,19 @@ def predict(docs: DataFrame, model: LanguageModel | None, key: str = "doc_id", t
 
 
 def keep_known(docs: DataFrame, model: LanguageModel | None, text: str = "text", least: float = 0.3) -> DataFrame:
-    """The rows of ``docs`` whose language is found with at least this score; all their columns, unchanged."""
-    place = docs.columns.index(text)
+    """The rows of ``docs`` whose language is found with at least this score; all their columns, unchanged.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = model
-        for batch in batches:
-            for rows, texts in text_blocks(batch, batch.schema.names[place], BLOCK):
-                names, scores = label(texts, own)
-                yield rows.filter(pa.array([n != UNKNOWN and s >= least for n, s in zip(names, scores, strict=True)]))
+    Only texts go through Python; the rows wait in the JVM.
+    """
 
-    return docs.mapInArrow(run, docs.schema)
+    @F.arrow_udf("boolean")
+    def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        own = model
+        for column in batches:
+            batch = pa.RecordBatch.from_arrays([column], ["text"])
+            good: list[bool] = []
+            for _, texts in text_blocks(batch, "text", BLOCK):
+                good += [n != UNKNOWN and s >= least for n, s in zip(*label(texts, own), strict=True)]
+            yield pa.array(good, pa.bool_())
+
+    return docs.where(found(F.col(text)))
