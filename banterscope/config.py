@@ -24,6 +24,12 @@ class PipelineConfig:
     event_time: str = "publish"
     # How far messages may come out of order before a stream drops them.
     watermark_delay: str = "60 seconds"
+    # A payload's clock may run ahead of the broker's by this; beyond it, it is taken as wrong.
+    clock_tolerance_seconds: int = 600
+    # A source that has sent nothing for this long does not hold the others' clock back.
+    idle_seconds: int = 300
+    # So long behind the watermark, alerts are still corrected for late rows; -1 for ever.
+    correct_seconds: int = 3600
     strict_key_filter: bool = True
     translate: bool = False
     short_audio_seconds: float = 60.0
@@ -58,6 +64,16 @@ class PipelineConfig:
             }
         )
 
+    @property
+    def delay_seconds(self) -> float:
+        """``watermark_delay`` as a number: one or more pairs of a number and a unit."""
+        sizes = {"millisecond": 0.001, "second": 1, "minute": 60, "hour": 3600, "day": 86400}
+        parts = self.watermark_delay.split()
+        try:
+            return sum(float(n) * sizes[unit.lower().rstrip("s")] for n, unit in zip(parts[::2], parts[1::2], strict=True))
+        except (KeyError, ValueError):
+            raise ValueError(f"no delay: {self.watermark_delay!r}") from None
+
     @property
     def panes_per_window(self) -> int:
         """How many slides make one window; only whole numbers can use panes."""

@@ -190,6 +190,13 @@ def keyed_scores(scored: DataFrame) -> DataFrame:
     )
 
 
+def alert_rows(scored: DataFrame) -> DataFrame:
+    """``(userid, source, event_time, publish_time, score)``: what alerts by the sources' clocks need."""
+    return explode_sentences(scored.where(F.col("userid").isNotNull())).select(
+        "userid", "source", "event_time", "publish_time", F.col("sentence.score").alias("score")
+    )
+
+
 def without_user(scored: DataFrame) -> DataFrame:
     """Messages that are scored and published but cannot be put into user windows."""
     return scored.where(F.col("userid").isNull())

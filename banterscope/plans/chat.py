@@ -19,10 +19,14 @@ from banterscope.schema import FLAG
 from banterscope.session import shared_folder
 from banterscope.sinks.streams import files
 from banterscope.streaming import jobs
+from banterscope.streaming.alerts import AlertJob
 
 HOURS = PipelineConfig(window_seconds=6 * 3600, slide_seconds=3600)
 # The given events are one bounded input, in which nothing comes late.
 HALF_HOUR = PipelineConfig(window_seconds=1800, slide_seconds=300, watermark_delay="0 seconds")
+# Three sources, one of which lags by a day; nothing is forgotten.
+SOURCES = PipelineConfig(window_seconds=1800, slide_seconds=300, watermark_delay="1 hour", idle_seconds=7200, correct_seconds=-1)
+ARRIVALS = 4
 PAYLOAD = PipelineConfig(event_time="payload")
 ASCII_LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 
@@ -55,26 +59,90 @@ def window_user_avg_panes(spark: SparkSession, folder: str) -> DataFrame:
     return _windows_out(windows.user_window_scores(scores, HALF_HOUR, panes=True))
 
 
-def toxic_flags_stream(spark: SparkSession, folder: str) -> DataFrame:
-    """The same alerts from the streaming job, for the windows that have closed."""
-    layout = jobs.Layout(shared_folder(spark, "flags"))
+def _as_alerts(found: DataFrame) -> DataFrame:
+    return found.select("userid", epoch(F.col("window_end")).alias("window_end"), F.round("score", 6).alias("score"))
+
+
+def _job_session(spark: SparkSession) -> SparkSession:
+    """A session of its own, so that the settings of a stream stay with it."""
     session = spark.newSession()
     session.conf.set("spark.sql.session.timeZone", "UTC")
     session.conf.set("spark.sql.shuffle.partitions", str(session.sparkContext.defaultParallelism))
-    jobs.use_rocksdb(session)
+    return session
+
+
+def toxic_flags_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """The same alerts from the streaming job, with those of the windows that are open when the input ends."""
+    root, session = shared_folder(spark, "flags"), _job_session(spark)
     schema = table(spark, folder, "events").schema
     arriving = session.readStream.schema(schema).parquet(f"{folder}/events.parque[t]")
-    scores = arriving.select(
+    rows = arriving.select(
         F.col("user_id").cast("string").alias("userid"),
+        F.lit("events").alias("source"),
         F.col("ts").cast("timestamp").alias("event_time"),
+        F.col("ts").cast("timestamp").alias("publish_time"),
         F.least(F.col("value") / 100, F.lit(1.0)).alias("score"),
     )
-    to_table = files(layout.table("flags"))
-    to_table(jobs.flags_of(scores, HALF_HOUR), layout.checkpoint("flags")).awaitTermination()
-    flags = spark.read.schema(FLAG).parquet(layout.table("flags"))
-    return flags.select(
-        "userid", epoch(F.col("window_end")).alias("window_end"), F.round("score", 6).alias("score")
+    job = AlertJob(HALF_HOUR, f"{root}/alerts")
+    query = job.start(rows, f"{root}/checkpoint")
+    query.awaitTermination()
+    open_ones = job.still_open(spark, job.last_version(query))
+    return _as_alerts(job.corrected(spark).unionByName(open_ones))
+
+
+def _sources(spark: SparkSession, folder: str) -> DataFrame:
+    """Events as three sources send them: the second one day late, the third with clocks that err now and then.
+
+    ``arrival`` is the quarter of a day's order in which a row comes in.
+    """
+    events_in = table(spark, folder, "events")
+    source = F.col("event_id") % 3
+    ts = F.col("ts").cast("timestamp")
+    published = F.when(source == 1, ts + F.expr("INTERVAL 1 DAY")).otherwise(ts)
+    wrong = (
+        F.when(F.col("event_id") % 97 == 2, F.lit(253402000000).cast("timestamp"))  # the year 9999
+        .when(F.col("event_id") % 101 == 2, F.timestamp_seconds(F.unix_millis(ts)))  # milliseconds for seconds
+        .when(F.col("event_id") % 103 == 2, F.lit(None).cast("timestamp"))
     )
+    known = F.coalesce(F.col("event_id") % 97 == 2, F.lit(False)) | (F.col("event_id") % 101 == 2) | (F.col("event_id") % 103 == 2)
+    return events_in.select(
+        F.col("user_id").cast("string").alias("userid"),
+        F.concat(F.lit("s"), source.cast("string")).alias("source"),
+        F.when((source == 2) & known, wrong).otherwise(ts).alias("event_time"),
+        published.alias("publish_time"),
+        F.least(F.col("value") / 100, F.lit(1.0)).alias("score"),
+    )
+
+
+def _arrived(spark: SparkSession, folder: str) -> tuple[AlertJob, int]:
+    """Runs the alert stream over the three sources, in several batches by the time of publishing."""
+    root, session = shared_folder(spark, "sources"), _job_session(spark)
+    rows = _sources(spark, folder)
+    low, high = rows.agg(F.min("publish_time"), F.max("publish_time")).first()
+    for part in range(ARRIVALS if low else 0):
+        start, stop = (low + (high - low) * k / ARRIVALS for k in (part, part + 1))
+        came = F.col("publish_time") >= F.lit(start)
+        came &= F.col("publish_time") < F.lit(stop) if part + 1 < ARRIVALS else F.lit(True)
+        rows.where(came).write.parquet(f"{root}/rows/{part}")
+    arriving = session.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True)
+    job = AlertJob(SOURCES, f"{root}/alerts")
+    query = job.start(arriving.parquet(f"{root}/rows"), f"{root}/checkpoint")
+    query.awaitTermination()
+    return job, job.last_version(query)
+
+
+def alerts_of_sources(spark: SparkSession, folder: str) -> DataFrame:
+    """Alerts of three sources with clocks of their own, corrected for what came late."""
+    job, version = _arrived(spark, folder)
+    return _as_alerts(job.corrected(spark).unionByName(job.still_open(spark, version)))
+
+
+def rows_of_sources(spark: SparkSession, folder: str) -> DataFrame:
+    """What became of the rows of each source: taken into windows, on time or late, or set aside."""
+    job, _ = _arrived(spark, folder)
+    taken = job.counts(spark).select("source", F.lit("taken").alias("became"), (F.col("on_time") + F.col("late")).alias("messages"))
+    aside = job.out_of_range(spark).select("source", F.lit("set aside").alias("became"), F.lit(1).cast("bigint").alias("messages"))
+    return taken.unionByName(aside).groupBy("source", "became").agg(F.sum("messages").cast("bigint").alias("messages"))
 
 
 def score_text(spark: SparkSession, folder: str) -> DataFrame:
@@ -307,7 +375,7 @@ def analysis_requests(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        toxic_flags, event_flags, toxic_flags_stream, window_user_avg, window_user_avg_panes,
+        toxic_flags, event_flags, toxic_flags_stream, alerts_of_sources, rows_of_sources, window_user_avg, window_user_avg_panes,
         score_text, score_text_pandas, sentence_split, scored_rows, scored_rows_stream, scored_envelope, parse_events,
         default_timestamp, normalize_text, passthrough_keys, attribute_extract, fallback_score,
         sequential_score, callback_decode, analysis_requests,

@@ -70,6 +70,10 @@ def start_stream(spark: SparkSession, args: argparse.Namespace) -> list[Streamin
     scoring = jobs.start_scoring(incoming, chosen_scorer(args), cfg, layout, pace)
     jobs.wait_for_first_batch(scoring)
     bound = args.files_per_batch
+    alerts = jobs.start_alerts(spark, cfg, layout, trigger=pace, files_per_batch=bound)
+    toxic = to(args.toxic_topic)
+    if toxic:
+        jobs.wait_for_first_batch(alerts)
     return [
         scoring,
         jobs.start_quarantine(spark, layout, pace, bound),
@@ -77,7 +81,8 @@ def start_stream(spark: SparkSession, args: argparse.Namespace) -> list[Streamin
         jobs.start_scored_topic(spark, layout, sink=to(args.scored_topic), trigger=pace, files_per_batch=bound),
         jobs.start_warehouse(spark, layout, pace, bound),
         jobs.start_outbox(spark, layout, pace, bound),
-        jobs.start_flags(spark, cfg, layout, sink=to(args.toxic_topic), trigger=pace, files_per_batch=bound),
+        alerts,
+        *([jobs.start_alert_topic(spark, layout, toxic)] if toxic else []),
     ]
 
 

@@ -38,6 +38,8 @@ SCORED_MESSAGE = T.StructType(
         T.StructField("userid", T.StringType()),
         T.StructField("timestamp", T.LongType()),
         T.StructField("event_time", T.TimestampType()),
+        T.StructField("publish_time", T.TimestampType()),
+        T.StructField("source", T.StringType()),
         T.StructField("callback_url", T.StringType()),
         T.StructField("is_quarantined", T.BooleanType()),
         T.StructField("raw", T.StringType()),

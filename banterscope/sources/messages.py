@@ -12,6 +12,7 @@ def _message_columns(kafka: DataFrame) -> DataFrame:
         place.alias("message_id"),
         F.decode("value", "UTF-8").alias("value"),
         F.col("timestamp").alias("publish_time"),
+        F.concat_ws("/", "topic", F.col("partition").cast("string")).alias("source"),
     )
 
 
@@ -31,11 +32,17 @@ def topic_batch(spark: SparkSession, servers: str, topic: str, **options: str) -
     return _message_columns(reader.option("subscribe", topic).options(**options).load())
 
 
+def _folder() -> Column:
+    """The folder of a file: files that are put side by side are one source."""
+    return F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", "").alias("source")
+
+
 def _file_columns(files: DataFrame) -> DataFrame:
     return files.select(
         F.col("_metadata.file_path").alias("message_id"),
         F.col("value"),
         F.col("_metadata.file_modification_time").alias("publish_time"),
+        _folder(),
     )
 
 
@@ -74,4 +81,5 @@ def _line_columns(lines: DataFrame, line: Column) -> DataFrame:
         F.concat_ws("#", F.col("_metadata.file_path"), line).alias("message_id"),
         F.col("value"),
         F.col("_metadata.file_modification_time").alias("publish_time"),
+        _folder(),
     )

@@ -5,6 +5,7 @@ import json
 import pytest
 
 from banterscope import run
+from banterscope.streaming import jobs
 
 
 def test_options_reach_the_jobs():
@@ -52,7 +53,8 @@ def test_stream(spark, tmp_path):
         assert spark.read.parquet(f"{root}/warehouse").count() == 2
         assert spark.read.parquet(f"{root}/outbox").count() == 2
         assert spark.read.parquet(f"{root}/quarantine").count() == 2
-        assert [r["userid"] for r in spark.read.parquet(f"{root}/flags").collect()] == ["u"]
+        raised = jobs.alert_job(run.options(args), jobs.Layout(root)).alerts(spark)
+        assert [r["userid"] for r in raised.collect()] == ["u"]
     finally:
         for query in started:
             query.stop()
