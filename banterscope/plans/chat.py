@@ -259,7 +259,7 @@ def default_timestamp(spark: SparkSession, folder: str) -> DataFrame:
 
 def normalize_text(spark: SparkSession, folder: str) -> DataFrame:
     """Users send text, others a list of sentences."""
-    sentences = F.transform(text.split_sentences(F.col("text")), lambda s: F.struct(s.alias("text")))
+    sentences = F.transform(inputs.pieces(F.col("text")), lambda s: F.struct(s.alias("text")))
     body = F.when(F.col("role") == "user", F.to_json(F.struct("text"))).otherwise(
         F.to_json(F.struct(sentences.alias("text")))
     )

@@ -53,13 +53,18 @@ def speaker() -> Column:
     return F.concat_ws("-", "role", F.col("conv_id").cast("string"))
 
 
+def pieces(said: Column) -> Column:
+    """What was said as a list of pieces, none of which is lost but empty ones."""
+    return F.filter(F.split(said, text.SENTENCE_BREAK), lambda s: F.length(s) > 0)
+
+
 def conversation_messages(spark: SparkSession, folder: str) -> DataFrame:
     """One JSON message per turn, its text a list of sentences.
 
     ``callback_url`` is missing where the speaker is the system.
     """
     turns = table(spark, folder, "conversations")
-    sentences = F.transform(text.split_sentences(F.col("text")), lambda s: F.struct(s.alias("text")))
+    sentences = F.transform(pieces(F.col("text")), lambda s: F.struct(s.alias("text")))
     url = F.when(F.col("role") != "system", F.concat(F.lit("https://callback.example/"), "role"))
     body = F.to_json(
         F.struct(

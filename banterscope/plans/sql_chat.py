@@ -79,9 +79,12 @@ flags AS (SELECT * FROM edges WHERE toxic AND NOT coalesce(was_toxic, false))"""
 
 _HALF_HOUR = user_windows("5 minute", 6)
 
+# Messages lose no piece, however short.
+PIECES = "list_filter(regexp_split_to_array(text, '\\. |\\? |! '), lambda s: len(s) > 0)"
+
 CONVERSATION_SENTENCES = f"""
 sentences AS (
-  SELECT conv_id, turn, role, unnest({SENTENCES}) AS sentence FROM conversations
+  SELECT conv_id, turn, role, unnest({PIECES}) AS sentence FROM conversations
 ),
 scored AS (
   SELECT conv_id, turn, role, sentence, {CONFLATED} AS score
@@ -154,7 +157,7 @@ SELECT event_id, t AS "timestamp", t AS event_time FROM stamped
 """,
     "normalize_text": f"""
 WITH cut AS (
-  SELECT conv_id, turn, CASE WHEN role = 'user' THEN [text] ELSE {SENTENCES} END AS found FROM conversations
+  SELECT conv_id, turn, CASE WHEN role = 'user' THEN [text] ELSE {PIECES} END AS found FROM conversations
 )
 SELECT conv_id, turn, len(found)::BIGINT AS segments,
        coalesce(list_sum(list_transform(found, lambda s: len(s))), 0)::BIGINT AS characters
