@@ -6,6 +6,8 @@ same in every task, so that a recomputed partition equals the lost one.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import sys
 import types
 from collections.abc import Callable, Iterator, Sequence
@@ -30,6 +32,22 @@ def kept(key: Any, build: Callable[[], Any]) -> Any:
     return stash[key]
 
 
+def make_room(*keep: str) -> None:
+    """Lets go of what other operators have kept in this worker process, and gives free memory back to the system.
+
+    A worker serves one stage after the other. What is let go is built again when it is asked for. Keys that are
+    tuples begin with the name of what they belong to; the others are small and shared.
+    """
+    stash = sys.modules.setdefault(_STASH, types.ModuleType(_STASH)).__dict__
+    for key in [k for k in stash if isinstance(k, tuple) and k[0] not in keep]:
+        del stash[key]
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def text_blocks(batch: pa.RecordBatch, column: str, most: int = 1 << 19) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of a batch whose texts have about ``most`` bytes together, with the texts (null: empty).
 

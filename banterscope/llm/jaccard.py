@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from banterscope.llm.blocks import BitFilter, WordTable, kept, mix, shingles, sized_filter, text_blocks
+from banterscope.llm.blocks import BitFilter, WordTable, kept, make_room, mix, shingles, sized_filter, text_blocks
 from banterscope.llm.components import components
 from banterscope.session import materialise
 
@@ -103,6 +103,7 @@ def slot_counts(docs: DataFrame, text: str, width: int) -> np.ndarray:
     """How many texts have a token in each slot, as codes: every task counts all its texts, and the counts are added up."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room()
         slots = np.zeros(1 << SLOTS_LOG, np.uint16)
         for batch in batches:
             for _, texts in text_blocks(batch, text):
@@ -149,6 +150,7 @@ def _leaves(docs: DataFrame, key: str, text: str, width: int, share: int, parts:
     held = docs.sparkSession.sparkContext.broadcast(slot_counts(docs, text, width).tobytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room()
         codes = np.frombuffer(held.value, np.uint8)
         for batch in batches:
             for rows, texts in text_blocks(batch, "text"):
@@ -174,6 +176,7 @@ def _sets(docs: DataFrame, text: str, width: int, wanted: BitFilter) -> DataFram
     held = docs.sparkSession.sparkContext.broadcast(wanted.bits.tobytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room()
         own = BitFilter(held.value)
         for batch in batches:
             batch = batch.filter(pa.array(own.has(batch.column("tag").to_numpy().view(np.uint64))))
@@ -215,6 +218,7 @@ def _verified(pairs: DataFrame, leaves: DataFrame, docs: DataFrame, text: str, w
     sets = materialise(_sets(docs, text, width, sized_filter(materialise(tags, "tags").select("tag"))), "sets")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room()
         for batch in batches:
             good = []
             for x, y in zip(batch.column("one"), batch.column("two"), strict=True):

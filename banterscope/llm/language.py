@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from banterscope.llm.blocks import kept, text_blocks
+from banterscope.llm.blocks import kept, make_room, text_blocks
 from banterscope.llm.samples import sample_per_label
 
 WINDOW = 256
@@ -212,6 +212,7 @@ def keep_known(docs: DataFrame, model: LanguageModel | None, text: str = "text",
     @F.arrow_udf("boolean")
     def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = model
+        make_room("language")
         for column in batches:
             batch = pa.RecordBatch.from_arrays([column], ["text"])
             good: list[bool] = []
