@@ -42,6 +42,7 @@ from banterscope.session import materialise
 SLOTS_LOG = 24
 CHUNK_LOG = 15
 ADDED = 256
+LEAST_BITS_LOG = 10
 # Tokens of the least hashes by which near copies find each other first.
 LEAST = 3
 # Leaves that a node has on average; more would fill its bitmap.
@@ -62,8 +63,9 @@ def set_key(tokens: np.ndarray) -> bytes | None:
 
 
 def bitmap(tokens: np.ndarray) -> bytes:
-    """One bit for each token, in the power of two of bits that is at least twice their number."""
-    size = 1 << max(6, (2 * len(tokens) - 1).bit_length())
+    """One bit for each token, in the power of two of bits that is at least twice their number, and 1,024 at least:
+    a link of small sets hangs on a few tokens, which must not fall on one bit."""
+    size = 1 << max(LEAST_BITS_LOG, (2 * len(tokens) - 1).bit_length())
     bits = np.zeros(size, np.uint8)
     bits[(mix(tokens) & np.uint64(size - 1)).astype(np.int64)] = 1
     return np.packbits(bits).tobytes()
