@@ -245,6 +245,29 @@ def _reaches(overlap: Column, x: Column, y: Column, share: int, parts: int) -> C
     return overlap * (parts + share) >= (x + y) * share
 
 
+def _with_words(leaves: DataFrame) -> DataFrame:
+    """``leaves`` with ``words``: the bitmap, folded to the least size, as numbers that joins can compare."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [folded(b, 1 << (LEAST_BITS_LOG - 3)).view(np.int64) for b in batch.column("bits").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, pa.list_(pa.int64()))], [*batch.schema.names, "words"])
+
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in leaves.schema.fields)
+    return leaves.mapInArrow(run, f"{fields}, words array<long>")
+
+
+def _words_fit(share: int, parts: int) -> Column:
+    """Whether the folded bitmaps of two leaves ``a, b`` leave room for a link."""
+
+    def lacks(x: str, y: str) -> Column:
+        missing = F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q))).cast("long"))
+        return F.aggregate(missing, F.lit(0).cast("long"), lambda total, n: total + n)
+
+    most = F.least(F.col("n_a") - lacks("words_a", "words_b"), F.col("n_b") - lacks("words_b", "words_a"))
+    return _reaches(most, F.col("n_a"), F.col("n_b"), share, parts)
+
+
 def _nodes(tree: DataFrame) -> DataFrame:
     """``root, node, low, high, any, all`` of every node: its range of sizes, the OR and the AND of its leaves' bitmaps.
 
@@ -336,17 +359,18 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
     # At their first common token, what two sets have before it is not common.
     pairs = pairs.where(_reaches(F.least("rest1", "rest2"), F.col("low1"), F.col("low2"), share, parts))
     pairs = pairs.select("root1", "node1", "root2", "node2").distinct()
-    tree = materialise(inner.select("leaf", "root", "node", "n").distinct().join(known.select("leaf", "bits"), "leaf"), "tree")
+    tree = inner.select("leaf", "root", "node", "n").distinct().join(known.select("leaf", "bits"), "leaf")
+    tree = materialise(_with_words(tree), "tree")
     ranges = materialise(_nodes(tree), "nodes")
     pairs = _near(pairs, ranges, share, parts)
     # A leaf of the first node against the second node, then against that node's leaves.
-    first = tree.select(F.col("root").alias("root1"), F.col("node").alias("node1"), F.col("leaf").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a"))
+    first = tree.select(F.col("root").alias("root1"), F.col("node").alias("node1"), F.col("leaf").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a"), F.col("words").alias("words_a"))
     second = ranges.select(F.col("root").alias("root2"), F.col("node").alias("node2"), F.col("low").alias("n_node"), F.col("high").alias("_high"), F.col("any").alias("bits_node"))
     against = pairs.join(first, ["root1", "node1"]).join(second, ["root2", "node2"])
     against = against.where((F.col("n_a") * parts >= F.col("n_node") * share) & (F.col("_high") * parts >= F.col("n_a") * share))
-    against = _bounded(against, "a", "node", share, parts).select("root2", "node2", "a", "n_a", "bits_a").distinct()
-    last = tree.select(F.col("root").alias("root2"), F.col("node").alias("node2"), F.col("leaf").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b"))
-    ends = against.join(last, ["root2", "node2"]).where(_fits(F.col("n_a"), F.col("n_b"), share, parts))
+    against = _bounded(against, "a", "node", share, parts).select("root2", "node2", "a", "n_a", "bits_a", "words_a").distinct()
+    last = tree.select(F.col("root").alias("root2"), F.col("node").alias("node2"), F.col("leaf").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b"), F.col("words").alias("words_b"))
+    ends = against.join(last, ["root2", "node2"]).where(_fits(F.col("n_a"), F.col("n_b"), share, parts) & _words_fit(share, parts)).drop("words_a", "words_b")
     more = _verified(_bounded(ends, "a", "b", share, parts), leaves, docs, text, width, share, parts)
     if not more.isEmpty():
         # Leaves are linked already within their nodes; the new links join nodes.
