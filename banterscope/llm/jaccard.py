@@ -245,26 +245,27 @@ def _reaches(overlap: Column, x: Column, y: Column, share: int, parts: int) -> C
     return overlap * (parts + share) >= (x + y) * share
 
 
-def _with_words(leaves: DataFrame) -> DataFrame:
-    """``leaves`` with ``words``: the bitmap, folded to the least size, as numbers that joins can compare."""
+def _with_words(frame: DataFrame, **bitmaps: str) -> DataFrame:
+    """``frame`` with its bitmaps, folded to the least size, as numbers that joins can compare: each new column by its bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [folded(b, 1 << (LEAST_BITS_LOG - 3)).view(np.int64) for b in batch.column("bits").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, pa.list_(pa.int64()))], [*batch.schema.names, "words"])
+            own = [[folded(b, 1 << (LEAST_BITS_LOG - 3)).view(np.int64) for b in batch.column(c).to_pylist()] for c in bitmaps.values()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x, pa.list_(pa.int64())) for x in own)], [*batch.schema.names, *bitmaps])
 
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in leaves.schema.fields)
-    return leaves.mapInArrow(run, f"{fields}, words array<long>")
+    fields = [f"{f.name} {f.dataType.simpleString()}" for f in frame.schema.fields]
+    return frame.mapInArrow(run, ", ".join([*fields, *(f"{c} array<long>" for c in bitmaps)]))
 
 
-def _words_fit(share: int, parts: int) -> Column:
-    """Whether the folded bitmaps of two leaves ``a, b`` leave room for a link."""
+def _lacks(x: str, y: str) -> Column:
+    """How many tokens, at least, the first folded bitmap has and the second hasn't."""
+    missing = F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q))).cast("long"))
+    return F.aggregate(missing, F.lit(0).cast("long"), lambda total, n: total + n)
 
-    def lacks(x: str, y: str) -> Column:
-        missing = F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q))).cast("long"))
-        return F.aggregate(missing, F.lit(0).cast("long"), lambda total, n: total + n)
 
-    most = F.least(F.col("n_a") - lacks("words_a", "words_b"), F.col("n_b") - lacks("words_b", "words_a"))
+def _words_fit(share: int, parts: int) -> Column:
+    """Whether the folded bitmaps of two leaves ``a, b`` leave room for a link."""
+    most = F.least(F.col("n_a") - _lacks("words_a", "words_b"), F.col("n_b") - _lacks("words_b", "words_a"))
     return _reaches(most, F.col("n_a"), F.col("n_b"), share, parts)
 
 
@@ -302,11 +303,23 @@ def _near(pairs: DataFrame, nodes: DataFrame, share: int, parts: int) -> DataFra
                 good.append(most * (parts + share) >= (r["low1"] + r["low2"]) * share)
             yield batch.select(["root1", "node1", "root2", "node2"]).filter(pa.array(good, pa.bool_()))
 
+    nodes = nodes.drop("some", "every")
     for i in "12":
         pairs = pairs.join(nodes.select(*(F.col(c).alias(c + i) for c in nodes.columns)), ["root" + i, "node" + i])
     return pairs.mapInArrow(run, "root1 binary, node1 int, root2 binary, node2 int")
 
 
+def _classes(inner: DataFrame) -> DataFrame:
+    """``class, root, node, size, low, high, rest``: the nodes that show a token, once for all tokens that the same nodes show.
+
+    A class is a sum over its nodes. Should two fall on one, their nodes meet more often than needed, nothing is lost.
+    ``rest``: how many tokens a leaf of the node has from its first token of the class on, at most.
+    """
+    top = inner.groupBy("token", "root", "node").agg(F.any_value("size").alias("size"), F.min("n").alias("low"), F.max("n").alias("high"), F.max(F.col("n") - F.col("at")).alias("rest"))
+    places = top.groupBy("token").agg(F.xxhash64(F.bit_xor(F.xxhash64("root", "node")), F.count("*")).alias("class"))
+    return top.join(places, "token").groupBy("class", "root", "node").agg(F.any_value("size").alias("size"), F.min("low").alias("low"), F.max("high").alias("high"), F.max("rest").alias("rest"))
+
+
 def _stars(shows: DataFrame) -> DataFrame:
     """``a, b``: every leaf with the least leaf that has one of its tokens."""
     least = shows.groupBy("token").agg(F.min("leaf").alias("b"))
@@ -351,17 +364,19 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
     inner = shows.join(member, "leaf")
     apart = inner.groupBy("token").agg(F.min("root").alias("_least"), F.max("root").alias("_most")).where("_least <> _most").select("token")
     inner = materialise(inner.join(apart, "token"), "inner")
-    top = inner.groupBy("token", "root", "node").agg(F.any_value("size").alias("size"), F.min("n").alias("low"), F.max("n").alias("high"), F.max(F.col("n") - F.col("at")).alias("rest"))
-    one, two = (top.select("token", *(F.col(c).alias(c + i) for c in ("root", "node", "size", "low", "high", "rest"))) for i in "12")
+    tree = inner.select("leaf", "root", "node", "n").distinct().join(known.select("leaf", "bits"), "leaf")
+    tree = materialise(_with_words(tree, words="bits"), "tree")
+    ranges = materialise(_with_words(_nodes(tree), some="any", every="all"), "nodes")
+    top = _classes(inner).join(ranges.select("root", "node", "some", "every"), ["root", "node"])
+    one, two = (top.select("class", *(F.col(c).alias(c + i) for c in ("root", "node", "size", "low", "high", "rest", "some", "every"))) for i in "12")
     # The node of the smaller component is the first, whose leaves are taken one by one.
-    pairs = one.join(two, "token").where("size1 < size2 or (size1 = size2 and root1 < root2)")
+    pairs = one.join(two, "class").where("size1 < size2 or (size1 = size2 and root1 < root2)")
     pairs = pairs.where((F.col("high1") * parts >= F.col("low2") * share) & (F.col("high2") * parts >= F.col("low1") * share))
     # At their first common token, what two sets have before it is not common.
     pairs = pairs.where(_reaches(F.least("rest1", "rest2"), F.col("low1"), F.col("low2"), share, parts))
+    most = F.least(F.col("high1") - _lacks("every1", "some2"), F.col("high2") - _lacks("every2", "some1"))
+    pairs = pairs.where(_reaches(most, F.col("low1"), F.col("low2"), share, parts))
     pairs = pairs.select("root1", "node1", "root2", "node2").distinct()
-    tree = inner.select("leaf", "root", "node", "n").distinct().join(known.select("leaf", "bits"), "leaf")
-    tree = materialise(_with_words(tree), "tree")
-    ranges = materialise(_nodes(tree), "nodes")
     pairs = _near(pairs, ranges, share, parts)
     # A leaf of the first node against the second node, then against that node's leaves.
     first = tree.select(F.col("root").alias("root1"), F.col("node").alias("node1"), F.col("leaf").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a"), F.col("words").alias("words_a"))
