@@ -88,10 +88,26 @@ def _slot(tokens: np.ndarray) -> np.ndarray:
     return (tokens & np.uint64((1 << SLOTS_LOG) - 1)).astype(np.int64)
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """A chunk of counts: a bit for each slot that has some, then these counts' low bytes and their high bytes."""
+    some = counts[counts > 0]
+    planes = some.astype("<u2").view(np.uint8).reshape(-1, 2).T
+    return zlib.compress(np.packbits(counts > 0).tobytes() + planes.tobytes(), 1)
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    data = np.frombuffer(zlib.decompress(raw), np.uint8)
+    bits = 1 << (CHUNK_LOG - 3)
+    low, high = data[bits:].reshape(2, -1).astype(np.uint16)
+    counts = np.zeros(1 << CHUNK_LOG, np.uint16)
+    counts[np.unpackbits(data[:bits]).astype(bool)] = low | high << np.uint16(8)
+    return counts
+
+
 def _added(chunks: pa.Table) -> np.ndarray:
     total = np.zeros(1 << CHUNK_LOG, np.int64)
     for raw in chunks.column("texts").to_pylist():
-        total += np.frombuffer(zlib.decompress(raw), np.uint16)
+        total += _unpacked(raw)
     return np.minimum(total, 65535).astype(np.uint16)
 
 
@@ -117,11 +133,11 @@ def slot_counts(docs: DataFrame, text: str, width: int) -> np.ndarray:
         part = TaskContext.get().partitionId() // ADDED
         for start in range(0, len(some), 32):
             own = some[start : start + 32]
-            packed = [zlib.compress(rows[c].tobytes(), 1) for c in own.tolist()]
+            packed = [_packed(rows[c]) for c in own.tolist()]
             yield pa.RecordBatch.from_pydict({"chunk": pa.array(own, pa.int64()), "part": pa.array([part] * len(own), pa.int64()), "texts": packed})
 
     def add(key: tuple, chunks: pa.Table) -> pa.Table:
-        return pa.table({"chunk": pa.array([key[0].as_py()], pa.int64()), "texts": [zlib.compress(_added(chunks).tobytes(), 1)]})
+        return pa.table({"chunk": pa.array([key[0].as_py()], pa.int64()), "texts": [_packed(_added(chunks))]})
 
     def code(key: tuple, chunks: pa.Table) -> pa.Table:
         return pa.table({"chunk": pa.array([key[0].as_py()], pa.int64()), "codes": [_coded(_added(chunks)).tobytes()]})
