@@ -6,6 +6,7 @@ into a single cell or travels through the driver.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import pandas as pd
@@ -191,6 +192,62 @@ def quantiles(examples: DataFrame, points: int = 4, accuracy: int = 10000) -> Da
     )
 
 
+def exact_quantiles(examples: DataFrame, points: int = 4, bins: int = 1000) -> DataFrame:
+    """Quantiles of the number features as they are: ``feature, share, value``, ``points + 1`` rows per feature.
+
+    The value at share ``i / points`` of ``n`` is the one in place ``ceil(i * n / points)`` of the sorted feature (the
+    first for 0). Nulls don't count; NaN is the greatest value, and a feature without values has nulls. Numbers are
+    compared as doubles.
+
+    Each pass counts the values in ``bins`` equal parts of every range that still holds a wanted place, and the part
+    with the place is the next range, from the least to the greatest value seen in it, until these are equal. So
+    nothing is sorted, a value of a third of all rows is one row a task, and what reaches the driver depends on
+    features, points and bins only. ``examples`` is read once a pass: pass a stored table.
+    """
+    numbers = [f.name for f in examples.schema.fields if _is_number(f)]
+    out = "feature string, share double, value double"
+    if not numbers:
+        return examples.sparkSession.createDataFrame([], out)
+    values = examples.select(*[F.col(f"`{c}`").cast("double").alias(f"v{i}") for i, c in enumerate(numbers)])
+    finite = [F.when(F.abs(v) < float("inf"), v) for v in map(F.col, values.columns)]
+    ends = values.agg(F.array(*map(F.count, values.columns)).alias("n"), F.array(*map(F.min, finite)).alias("low"), F.array(*map(F.max, finite)).alias("high")).first()
+    found = {(i, p): None for i in range(len(numbers)) for p in range(points + 1)}
+    # Of every place that is wanted still: its range, and how many values of the range stand up to it.
+    open_ = {(i, p): ((i, ends["low"][i], ends["high"][i], True), max(1, -(-p * ends["n"][i] // points))) for i, p in found if ends["n"][i]}
+    while open_:
+        ranges = list(dict.fromkeys(r for r, _ in open_.values()))
+        cells = F.array(*[F.struct(F.lit(k).alias("at"), _part(F.col(f"v{r[0]}"), *r[1:], bins).alias("part"), F.col(f"v{r[0]}").alias("v")) for k, r in enumerate(ranges)])
+        counted = values.select(F.inline(cells)).where("part is not null").groupBy("at", "part").agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+        parts: dict[int, list] = {}
+        for row in sorted(counted.collect(), key=lambda row: row["part"]):
+            parts.setdefault(row["at"], []).append(row)
+        later = {}
+        for place, (own, up_to) in open_.items():
+            for row in parts[ranges.index(own)]:
+                if up_to <= row["n"]:
+                    break
+                up_to -= row["n"]
+            if row["low"] == row["high"] or math.isnan(row["low"]):
+                found[place] = row["low"]
+            else:
+                later[place] = ((own[0], row["low"], row["high"], False), up_to)
+        open_ = later
+    return examples.sparkSession.createDataFrame([(numbers[i], p / points, v) for (i, p), v in found.items()], out)
+
+
+def _part(v: Column, low: float | None, high: float | None, whole: bool, bins: int) -> Column:
+    """Which of the equal parts of a range a value is in, null outside; with ``whole``, infinities and NaN have parts of their own."""
+    part = F.when(F.isnan(v), F.lit(bins + 2)).when(v == float("inf"), F.lit(bins + 1)).when(v == -float("inf"), F.lit(-1)) if whole else None
+    if low is None:
+        return part
+    # Halves where the width would be no double. The greatest value is in the part after the last, so every range is cut.
+    by = 0.5 if math.isinf(high - low) else 1.0
+    width = high * by - low * by
+    inside = F.floor((v * by - F.lit(low * by)) / F.lit(width) * bins).cast("int") if width else F.lit(0)
+    held = v.between(low, high)
+    return part.when(held, inside) if whole else F.when(held, inside)
+
+
 def infer_schema(stats: DataFrame, counts: DataFrame, domains: list[str] | None = None) -> DataFrame:
     """One row per feature: type, whether it is always there, and the size of its domain.
 

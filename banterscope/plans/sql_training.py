@@ -65,6 +65,18 @@ FROM stats s LEFT JOIN ranked r ON r.feature = s.feature AND r.rank = 1
 """,
     "dataset_top_values": f"""
 SELECT feature, value, n AS "count", rank FROM ({_RANKED}) WHERE rank <= 10
+""",
+    "dataset_quantiles": """
+WITH long AS (
+  SELECT 'event_id' AS feature, event_id::DOUBLE AS v FROM events WHERE event_id IS NOT NULL
+  UNION ALL SELECT 'user_id', user_id::DOUBLE FROM events WHERE user_id IS NOT NULL
+  UNION ALL SELECT 'value', value::DOUBLE FROM events WHERE value IS NOT NULL
+), placed AS (
+  SELECT feature, v, row_number() OVER (PARTITION BY feature ORDER BY v) AS place, count(*) OVER (PARTITION BY feature) AS n FROM long
+)
+SELECT feature, i / 4.0::DOUBLE AS share, v AS value
+FROM placed, (SELECT unnest([0, 1, 2, 3, 4]) AS i) AS shares
+WHERE place = greatest(1, (i * n + 3) // 4)
 """,
     "infer_schema": f"""
 WITH stats AS ({_STATS}), sizes AS (SELECT feature, count(*) AS size FROM ({_COUNTS}) GROUP BY feature)

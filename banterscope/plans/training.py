@@ -58,7 +58,7 @@ def dataset_top_values(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def dataset_quantiles(spark: SparkSession, folder: str) -> DataFrame:
-    return datasets.quantiles(table(spark, folder, "events"))
+    return datasets.exact_quantiles(table(spark, folder, "events"))
 
 
 def infer_schema(spark: SparkSession, folder: str) -> DataFrame:

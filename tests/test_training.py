@@ -104,6 +104,36 @@ def test_quantiles(spark):
         assert abs(value - (1 + share * 10000)) <= 10001 / 1000 + 1
 
 
+@pytest.mark.parametrize(
+    "values",
+    [
+        [],
+        [None, None],
+        [7.0],
+        [3.0, 3.0, 3.0, None, 4.0],
+        [1.7e308, -1.7e308, 5e-324, 0.0, 1.0, 1e-300],
+        [float("inf"), -float("inf"), float("nan"), 1.0, 2.0],
+        [float("nan"), float("nan")],
+        [float("inf")] * 3 + [5e-324, 1e-323],
+        [((i * 7919) % 5003) ** 3 / 7 for i in range(5003)] + [42.0] * 2500,
+    ],
+)
+def test_exact_quantiles(spark, values):
+    df = spark.createDataFrame([(v, "t", None if v is None or v != v or abs(v) > 1e9 else int(v)) for v in values], "`a.b` double, t string, n long").repartition(4)
+    for bins, points in ((3, 4), (1000, 7)):
+        found = {(r["feature"], round(r["share"] * points)): r["value"] for r in datasets.exact_quantiles(df, points, bins).collect()}
+        assert len(found) == 2 * (points + 1)
+        columns = {"a.b": list(values), "n": [float(int(v)) for v in values if v is not None and v == v and abs(v) <= 1e9]}
+        for (feature, i), value in found.items():
+            own = sorted((v for v in columns[feature] if v is not None), key=lambda v: (v != v, v))
+            want = own[max(1, -(-i * len(own) // points)) - 1] if own else None
+            assert value == want or value != value and want != want, (feature, i)
+
+
+def test_exact_quantiles_without_numbers(spark):
+    assert datasets.exact_quantiles(spark.createDataFrame([("x",)], "t string")).count() == 0
+
+
 def test_inferred_schema(spark, people):
     found = rows_of(datasets.infer_schema(*described(people)))
     assert found == [("n", "INT", True, None), ("name", "BYTES", False, 2), ("x", "FLOAT", False, None)]
