@@ -9,6 +9,7 @@ similarity, so the share of equal samples estimates it.
 Cases: null texts count as empty; texts without words share one fingerprint of their own, which agrees with no
 other. Equal texts have equal fingerprints. Rows with equal or null keys stand next to each other in an order
 fixed by key (nulls first) and text. Texts are read whole.
+Bytes that are no UTF-8 count as U+FFFD.
 """
 
 from __future__ import annotations
@@ -154,7 +155,7 @@ def fingerprint(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
                 prints = [row.astype(">u4").tobytes().hex() for row in own.fingerprints(texts)]
                 yield pa.RecordBatch.from_arrays([rows.column(key), pa.array(prints, pa.string())], [key, "fingerprint"])
 
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, fingerprint string")
+    return docs.select(key, F.make_valid_utf8(text).alias(text)).mapInArrow(run, f"`{key}` {kind}, fingerprint string")
 
 
 # As bytes until the end: half as large on disk as their digits.
@@ -229,7 +230,7 @@ def compare_with_next(docs: DataFrame, key: str = "doc_id", text: str = "text")
             prints = _compared(own, batch.column("key").to_pylist(), texts, nexts)
             yield pa.RecordBatch.from_arrays([pa.array(prints["key"], batch.schema.field("key").type), *(pa.array(prints[c]) for c in names[1:])], names)
 
-    plain = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    plain = docs.select(F.col(key).alias("key"), F.coalesce(F.make_valid_utf8(text), F.lit("")).alias("text"))
     ranged = plain.repartitionByRange(F.col("key").asc_nulls_first()).sortWithinPartitions(F.col("key").asc_nulls_first(), "text")
     done = materialise(ranged.mapInArrow(run, schema), "fingerprints")
     inner = done.where(F.col("edge").isNull()).select(*names)

@@ -16,7 +16,7 @@ Entities that stand in exactly the same texts reveal the same, and are counted a
 Cases: null texts count as empty. Copies of a text count once in the statistics, but each row is marked. An
 entity in a single text counts like any other: a word that stands in no other text reveals all of it. Words may
 have a single letter. Cards and telephone numbers are the same entity however their digits are parted. Texts
-are read whole.
+are read whole. Bytes that are no UTF-8 count as U+FFFD, also in places and in sanitised texts.
 """
 
 from __future__ import annotations
@@ -135,7 +135,7 @@ def found(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
                 arrays = [rows.column("key"), rows.column("tag"), pa.array(base, _SPAN), pa.array(entities, pa.list_(pa.string()))]
                 yield pa.RecordBatch.from_arrays(arrays, ["key", "tag", "base", "entities"])
 
-    plain = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("tag"))
+    plain = docs.select(F.col(key).alias("key"), F.make_valid_utf8(text).alias("text"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("tag"))
     return plain.mapInArrow(run, f"key {kind}, tag long, {_FOUND}").withColumnRenamed("key", key)
 
 
@@ -164,7 +164,7 @@ def disclosing(docs: DataFrame, rows: DataFrame, text: str = "text", threshold:
                 tags = part.column("tag").to_numpy()[with_values][pairs[:, 0].astype(np.int64)] if with_values else np.empty(0, np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(tags), pa.array(np.ascontiguousarray(pairs[:, 1]).view(np.int64))], ["tag", "word"])
 
-    plain = docs.select(F.col(text).alias("text"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("tag"))
+    plain = docs.select(F.make_valid_utf8(text).alias("text"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("tag"))
     # Texts without a value have no words together with one.
     beside = materialise(plain.mapInArrow(occurring, "tag long, word long").distinct(), "beside")
     both = beside.join(sets, "tag").groupBy("set", "word").agg(F.count("*").alias("both"), F.any_value("n_entity").alias("n_entity"))
@@ -228,7 +228,7 @@ def marked(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
                 places = [pa.array(x[hit].astype(np.int32)) for x in (starts, ends)]
                 yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(hashes[hit].view(np.int64)), *places], ["_key", "_tag", "word", "start", "end"])
 
-    plain = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("tag"))
+    plain = docs.select(F.col(key).alias("key"), F.make_valid_utf8(text).alias("text"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("tag"))
     places = plain.mapInArrow(standing, f"_key {kind}, _tag long, word long, start int, end int").join(words, "word")
     spans = places.groupBy("_key", "_tag", "start", "end").agg(F.max("disclosure").alias("disclosure"))
     # As many entries as a single text has words.
@@ -263,5 +263,5 @@ def sanitise(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold
                 out.append("".join(pieces) + t[at:])
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(out, pa.string())], ["key", "sanitised"])
 
-    plain = joined.select(F.col(key).alias("key"), F.col(text).alias("text"), "base", "terms")
+    plain = joined.select(F.col(key).alias("key"), F.make_valid_utf8(text).alias("text"), "base", "terms")
     return plain.mapInArrow(run, f"key {kind}, sanitised string").withColumnRenamed("key", key)

@@ -23,3 +23,13 @@ def documents(spark, rows=TEXTS):
 
 def empty(spark):
     return documents(spark, [])
+
+
+def malformed(spark):
+    """Two tables: one has texts with bytes that are no UTF-8, the other has U+FFFD in their place."""
+    broken = "concat('ann@example.com Zyx ', cast(unhex('FF') as string), ' Zyx and ', cast(unhex('C3') as string), ' more ann@example.com')"
+    text = f"CASE doc_id WHEN 7 THEN {broken} WHEN 8 THEN concat('<article><p>', {broken}, '</p></article>') ELSE text END"
+    given = documents(spark).selectExpr("* EXCEPT (text)", f"{text} AS text")
+    plain = "ann@example.com Zyx \ufffd Zyx and \ufffd more ann@example.com"
+    changed = {7: plain, 8: f"<article><p>{plain}</p></article>"}
+    return given, documents(spark, [(i, changed.get(i, t)) for i, t in TEXTS])

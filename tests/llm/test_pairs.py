@@ -6,7 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
-from llm.odd import TEXTS, documents, empty
+from llm.odd import TEXTS, documents, empty, malformed
 from pyspark.sql import functions as F
 
 from banterscope.llm import fingerprints, jaccard, leaks
@@ -143,3 +143,17 @@ def test_fingerprints_take_odd_rows(spark):
     assert {r.fingerprint for r in rows if r.doc_id in (2, 3, 4)} == {"0" * 8 * fingerprints.SAMPLES}
     assert fingerprints.compare_with_next(empty(spark)).count() == 0
     assert fingerprints.fingerprint(documents(spark)).select(F.count("*")).first()[0] == len(TEXTS)
+
+
+def test_counts_by_slots_come_back():
+    rng = np.random.default_rng(3)
+    for counts in (np.zeros(1 << jaccard.CHUNK_LOG), np.full(1 << jaccard.CHUNK_LOG, 65535), rng.poisson(0.2, 1 << jaccard.CHUNK_LOG) * rng.integers(1, 900)):
+        counts = counts.astype(np.uint16)
+        assert (jaccard._unpacked(jaccard._packed(counts)) == counts).all()
+
+
+def test_bytes_that_are_no_text_have_the_fingerprint_of_their_marks(spark):
+    given, plain = malformed(spark)
+    for run in (fingerprints.fingerprint, fingerprints.compare_with_next):
+        found, wanted = (sorted(map(repr, run(docs).collect())) for docs in (given, plain))
+        assert found == wanted

@@ -3,7 +3,7 @@
 import re
 from collections import Counter
 
-from llm.odd import TEXTS, documents, empty
+from llm.odd import TEXTS, documents, empty, malformed
 
 from banterscope.llm import html, private, secrets
 
@@ -171,3 +171,14 @@ def test_suffix_ranks_tell_equal_substrings():
         else:
             assert seen.setdefault(rank[i], tuple(tokens[i : i + html.WIDTH])) == tuple(tokens[i : i + html.WIDTH])
     assert len(seen) == len(set(seen.values()))
+
+
+def test_bytes_that_are_no_text_count_as_one_character(spark):
+    given, plain = malformed(spark)
+    for run in (
+        lambda docs: private.marked(docs).drop("tag"),
+        private.sanitise,
+        lambda docs: html.main_text(docs, "doc_id", "source", "text"),
+    ):
+        found, wanted = (sorted(map(repr, run(docs).collect())) for docs in (given, plain))
+        assert found == wanted
