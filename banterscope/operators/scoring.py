@@ -10,6 +10,7 @@ import json
 import re
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
+from importlib import import_module
 from typing import Protocol
 
 import pandas as pd
@@ -265,7 +266,18 @@ def register_scorer(name: str, make: Callable[..., Scorer]) -> None:
     _SCORERS[name] = make
 
 
+def by_path(path: str) -> Callable:
+    """What ``module:name`` names. The module has to be importable where it is used: see ``addPyFile``."""
+    module, colon, name = path.partition(":")
+    if not (module and colon and name):
+        raise ValueError(f"not of the form module:name: {path!r}")
+    return getattr(import_module(module), name)
+
+
 def scorer(name: str, **options) -> Scorer:
+    """The scorer of that name; ``module:name`` makes one by a function or class of one's own."""
+    if ":" in name:
+        return by_path(name)(**options)
     if name not in _SCORERS:
         raise ValueError(f"unknown scorer {name!r}; known: {sorted(_SCORERS)}")
     return _SCORERS[name](**options)

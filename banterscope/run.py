@@ -16,7 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from banterscope.config import PipelineConfig
 from banterscope.operators import events, windows
-from banterscope.operators.scoring import Scorer, scorer
+from banterscope.operators.scoring import Scorer, by_path, scorer
 from banterscope.plans.training_run import TrainingRun, run_csv
 from banterscope.sinks.batch import append_warehouse, write_outbox
 from banterscope.sinks.streams import topic
@@ -34,8 +34,11 @@ def arguments(given: list[str] | None = None) -> argparse.Namespace:
     parser.add_argument("--input-topic")
     parser.add_argument("--scored-topic")
     parser.add_argument("--toxic-topic")
-    parser.add_argument("--scorer", default="lexicon", help="lexicon, linear, or sparkml (replay only)")
+    parser.add_argument("--scorer", default="lexicon", help="lexicon, linear, pandas, module:name of your own, or (replay only) sparkml, attributes")
     parser.add_argument("--model", help="folder of a published model, for linear and sparkml")
+    parser.add_argument("--responses", help="folder of a Parquet table with text and response, for attributes")
+    parser.add_argument("--load", help="module:name of the function that loads the model of pandas")
+    parser.add_argument("--scorer-option", action="append", default=[], metavar="NAME=VALUE", help="given to a scorer of your own, as text")
     parser.add_argument("--every", default="5 seconds", help="time between micro-batches")
     parser.add_argument("--files-per-batch", type=int, default=1000, help="bound of a micro-batch, for files (default 1000)")
     parser.add_argument("--offsets-per-batch", type=int, default=1_000_000, help="the same for a topic (default 1000000)")
@@ -51,8 +54,19 @@ def options(args: argparse.Namespace) -> PipelineConfig:
     return PipelineConfig.from_strings({n: getattr(args, n) for n in names if getattr(args, n) is not None})
 
 
-def chosen_scorer(args: argparse.Namespace) -> Scorer:
-    return scorer(args.scorer, model=PipelineModel.load(args.model)) if args.model else scorer(args.scorer)
+def chosen_scorer(spark: SparkSession, args: argparse.Namespace) -> Scorer:
+    """The scorer that the command line names, with what it needs."""
+    needs = {"attributes": "responses", "pandas": "load", "linear": "model", "sparkml": "model"}
+    need = needs.get(args.scorer)
+    if need and not getattr(args, need):
+        raise ValueError(f"--scorer {args.scorer} needs --{need}")
+    own = dict(option.partition("=")[::2] for option in args.scorer_option)
+    if args.scorer == "attributes":
+        return scorer(args.scorer, responses=spark.read.parquet(args.responses))
+    if args.scorer == "pandas":
+        path = args.load
+        return scorer(args.scorer, load=lambda: by_path(path)())
+    return scorer(args.scorer, **({"model": PipelineModel.load(args.model)} if args.model else {}), **own)
 
 
 def start_stream(spark: SparkSession, args: argparse.Namespace) -> list[StreamingQuery]:
@@ -67,7 +81,7 @@ def start_stream(spark: SparkSession, args: argparse.Namespace) -> list[Streamin
     def to(name):
         return topic(args.servers, name, pace) if args.servers and name else None
 
-    scoring = jobs.start_scoring(incoming, chosen_scorer(args), cfg, layout, pace)
+    scoring = jobs.start_scoring(incoming, chosen_scorer(spark, args), cfg, layout, pace)
     jobs.wait_for_first_batch(scoring)
     bound = args.files_per_batch
     alerts = jobs.start_alerts(spark, cfg, layout, trigger=pace, files_per_batch=bound)
@@ -98,7 +112,7 @@ def replay(spark: SparkSession, args: argparse.Namespace) -> None:
     else:
         given = messages.line_batch(spark, args.messages)
     # Into a fresh root: a second replay fails instead of adding everything once more.
-    jobs.scored_messages(given, chosen_scorer(args), cfg).write.parquet(layout.table("scored"))
+    jobs.scored_messages(given, chosen_scorer(spark, args), cfg).write.parquet(layout.table("scored"))
     stored = tables.scored_batch(spark, layout.table("scored"))
     stored.where("is_quarantined").select("message_id", "raw").write.parquet(layout.table("quarantine"))
     scored = stored.where("not is_quarantined")

@@ -5,6 +5,7 @@ import json
 import pytest
 
 from banterscope import run
+from banterscope.functions import probability
 from banterscope.streaming import jobs
 
 
@@ -16,6 +17,45 @@ def test_options_reach_the_jobs():
         run.options(run.arguments(["replay", "--root", "r", "--slide-seconds", "90"]))
 
 
+OWN = """
+import pandas as pd
+from banterscope.operators.scoring import LexiconScorer, PandasScorer
+
+def load():
+    return lambda texts: pd.DataFrame({"score": texts.str.len() / 100.0})
+
+def make(divisor):
+    by = float(divisor)
+    return PandasScorer(lambda: lambda texts: pd.DataFrame({"score": texts.str.len() / by}))
+"""
+
+
+@pytest.mark.parametrize(
+    ("given", "score"),
+    [
+        (["--scorer", "pandas", "--load", "own_scores:load"], 0.09),
+        (["--scorer", "own_scores:make", "--scorer-option", "divisor=10"], 0.9),
+        (["--scorer", "attributes", "--responses", "{}/responses"], 0.5),
+    ],
+)
+def test_scorers_of_ones_own(spark, tmp_path, monkeypatch, given, score):
+    (tmp_path / "own_scores.py").write_text(OWN)
+    monkeypatch.syspath_prepend(tmp_path)
+    spark.sparkContext.addPyFile(str(tmp_path / "own_scores.py"))
+    response = json.dumps({"attributeScores": {a: {"summaryScore": {"value": 0.5}} for a in probability.ATTRIBUTES}})
+    spark.createDataFrame([("some text", response)], "text string, response string").write.parquet(str(tmp_path / "responses"))
+    args = run.arguments(["replay", "--root", "r", *[g.format(tmp_path) for g in given]])
+    df = spark.createDataFrame([("m", ["some text"])], "message_id string, texts array<string>")
+    found = run.chosen_scorer(spark, args).attach(df, "texts", "scores").first()["scores"]
+    assert found[0]["score"] == pytest.approx(score)
+
+
+@pytest.mark.parametrize("name", ["attributes", "pandas", "linear", "sparkml", "nothing", "a:", ":b"])
+def test_scorers_say_what_they_need(spark, name):
+    with pytest.raises(ValueError):
+        run.chosen_scorer(spark, run.arguments(["replay", "--root", "r", "--scorer", name]))
+
+
 def test_replay(spark, tmp_path):
     vile = "scum trash idiot moron worthless pathetic"
     lines = [json.dumps({"userid": "u", "timestamp": t, "text": vile, "callback_url": "c"}) for t in (0, 1, 100)]
