@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -22,10 +23,10 @@ SPLIT_SEED = 25
 TRAIN_PERCENT = 80
 
 
-def split_bucket(key: Column, seed: int = SPLIT_SEED) -> Column:
-    """A number from 0 to 99 that depends on nothing but the key and the seed."""
+def split_bucket(key: Column, seed: int = SPLIT_SEED, buckets: int = 100) -> Column:
+    """A number below ``buckets`` that depends on nothing but the key and the seed."""
     digest = F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))
-    return F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint"), F.lit(100))
+    return F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint"), F.lit(buckets))
 
 
 def is_training(key: Column, percent: int = TRAIN_PERCENT, seed: int = SPLIT_SEED) -> Column:
@@ -38,6 +39,17 @@ def train_test(examples: DataFrame, key: str, percent: int = TRAIN_PERCENT) -> t
     return examples.where(inside), examples.where(~inside)
 
 
+def split_name(key: Column, shares: dict[str, int], seed: int = SPLIT_SEED) -> Column:
+    """The part that a key falls into, by whole-number shares: ``{"train": 2, "eval": 1}`` is two to one.
+
+    A key that is null has no part. Parts with a share of 0 get nothing.
+    """
+    if not shares or min(shares.values()) < 0 or not sum(shares.values()):
+        raise ValueError(f"shares must be whole numbers from 0, not all 0: {shares}")
+    bucket = split_bucket(key, seed, sum(shares.values()))
+    return F.coalesce(*[F.when(bucket < end, F.lit(part)) for part, end in zip(shares, accumulate(shares.values()), strict=True)])
+
+
 def truncate_comments(examples: DataFrame, comment: str = "comment_text") -> DataFrame:
     return examples.withColumn(comment, text.truncate(F.col(comment)))
 

@@ -44,6 +44,12 @@ SELECT doc_id,
        CASE WHEN ('0x' || substr(md5('25:' || doc_id), 1, 8))::BIGINT % 100 < 80
             THEN 'train' ELSE 'test' END AS side
 FROM documents
+""",
+    "ratio_split": """
+SELECT doc_id,
+       CASE WHEN ('0x' || substr(md5('25:' || doc_id), 1, 8))::BIGINT % 3 < 2
+            THEN 'train' ELSE 'eval' END AS side
+FROM documents
 """,
     "truncate_text": "SELECT doc_id, substr(text, 1, 511) AS text FROM documents",
     "preprocess_features": """

@@ -20,6 +20,12 @@ def train_split(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").select("doc_id", side.alias("side"))
 
 
+def ratio_split(spark: SparkSession, folder: str) -> DataFrame:
+    """Two parts for training to one for evaluation."""
+    side = datasets.split_name(F.col("doc_id"), {"train": 2, "eval": 1})
+    return table(spark, folder, "documents").select("doc_id", side.alias("side"))
+
+
 def truncate_text(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents").select("doc_id", "text")
     return datasets.truncate_comments(documents, "text")
@@ -166,7 +172,7 @@ def embedding_scorer(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        training_source, train_split, truncate_text, preprocess_features, embedding_attach,
+        training_source, train_split, ratio_split, truncate_text, preprocess_features, embedding_attach,
         dataset_stats, dataset_top_values, dataset_quantiles, infer_schema, validate_examples,
         eval_metrics, bless_model, latest_blessed, train_scorer, embedding_scorer,
     )

@@ -95,6 +95,19 @@ def test_domains_have_any_size(spark, size):
     assert datasets.infer_domains(datasets.value_counts(df), schema).count() == size
 
 
+def test_parts_by_whole_shares(spark):
+    keys = spark.range(30_000).select(F.when(F.col("id") > 0, F.col("id")).alias("k"))
+    shares = {"none": 0, "train": 4, "eval": 2, "test": 1}
+    part = datasets.split_name(F.col("k"), shares)
+    found = {r["part"]: r["count"] for r in keys.groupBy(part.alias("part")).count().collect()}
+    assert set(found) == {None, "train", "eval", "test"} and found[None] == 1
+    for name, share in shares.items():
+        assert abs(found.get(name, 0) / 30_000 - share / 7) < 0.01
+    for wrong in ({}, {"a": 0}, {"a": -1, "b": 2}):
+        with pytest.raises(ValueError):
+            datasets.split_name(F.col("k"), wrong)
+
+
 def test_quantiles(spark):
     df = spark.range(1, 10002).select(F.col("id").alias("n"), F.lit("t").alias("t"))
     found = {r["share"]: r["value"] for r in datasets.quantiles(df, accuracy=1000).collect()}
