@@ -1,8 +1,10 @@
 """Secrets, personal data and page texts against plain patterns and hand-made cases."""
 
+import random
 import re
 from collections import Counter
 
+import pytest
 from llm.odd import TEXTS, documents, empty, malformed
 
 from banterscope.llm import html, private, secrets
@@ -158,6 +160,63 @@ def test_repeated_blocks_of_a_host_go_where_no_article_is_marked(spark):
     assert html.main_text(pages(spark, [])).count() == 0
 
 
+def test_words_of_compound_names_are_evidence_only():
+    inside = '<article><p>one two three</p><section id="related-work"><p>work</p></section><div class="share-prices">prices</div><div class="reader-comments">c</div></article>'
+    assert html.judged(inside) == [("one two three", html.KEPT), ("work", html.OPEN), ("prices", html.OPEN)]
+    assert html.judged('<article class="social-history"><p>history</p></article><p>after</p>') == [("history", html.KEPT), ("after", html.LEFT)]
+    body = "the text of this page is long " * 5
+    assert html.blocks(f'<article class="card">teaser</article><div>{body}</div>') == (["teaser", body.strip()], False)
+    assert html.blocks('<div class="ad-slot">x</div><div id="siteNav">n</div><article>t</article>') == (["t"], True)
+
+
+def expected_pages(rows):
+    """Whole pages by sets of the distinct streams in which a run of words stands."""
+    pages_of = {}
+    for _, url, page in rows:
+        words = tuple(w for t, _ in html.judged(page or "") for w in t.split())
+        for i in range(len(words) - html.WIDTH + 1):
+            pages_of.setdefault((url.split("/")[2], words[i : i + html.WIDTH]), set()).add(words)
+    out = Counter()
+    for key, url, page in rows:
+        found = html.judged(page or "")
+        words = [w for t, _ in found for w in t.split()]
+        covered = set()
+        for i in range(len(words) - html.WIDTH + 1):
+            if len(pages_of[url.split("/")[2], tuple(words[i : i + html.WIDTH])]) >= html.PAGES:
+                covered.update(range(i, i + html.WIDTH))
+        kept, at = [], 0
+        for text, state in found:
+            size = len(text.split())
+            own = sum(j in covered for j in range(at, at + size))
+            if state == html.KEPT or (state == html.OPEN and 2 * own <= size):
+                kept.append(text)
+            at += size
+        out[key, url, "\n".join(kept)] += 1
+    return out
+
+
+@pytest.mark.parametrize("shard", [40, 1 << 20])
+def test_whole_pages_equal_brute_force(spark, monkeypatch, shard):
+    monkeypatch.setattr(html, "SHARD_TOKENS", shard)
+    r = random.Random(shard)
+    pool = [" ".join(r.choice("abcdefgh") * 2 + str(r.randrange(40)) for _ in range(r.choice((3, 7, 8, 9, 20, 30)))) for _ in range(14)]
+    around = ["<div>%s</div>", "<p>%s</p>", '<div class="share-price">%s</div>', '<section id="related-work">%s</section>', "<nav>%s</nav>", '<div class="ad">%s</div>']
+
+    def some(n):
+        return "".join(r.choice(around) % r.choice([r.choice(pool), " ".join(str(r.random()) for _ in range(r.randrange(1, 20)))]) for _ in range(r.randrange(n)))
+
+    rows = []
+    for i in range(120):
+        page = r.choice(["%s<article>%s</article>%s", "%s<main>%s</main>%s", "%s%s%s"]) % (some(4), some(6), some(4))
+        rows.append((i % 100, f"http://{r.choice('aaab')}.example/{i % 50}", page))
+    # A third of all rows is one page.
+    rows += [rows[0]] * 60
+    got = Counter((x.page_id, x.url, x.text) for x in html.main_text(pages(spark, rows).repartition(5)).collect())
+    wanted = expected_pages(rows)
+    assert got == wanted
+    assert wanted != Counter((k, u, "\n".join(html.blocks(page)[0])) for k, u, page in rows)
+
+
 def test_suffix_ranks_tell_equal_substrings():
     import numpy as np
 
