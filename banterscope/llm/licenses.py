@@ -30,9 +30,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from banterscope.session import materialise
+
 UNKNOWN = "unknown"
 # Bound of the corpus sample for the unknown class, in paragraphs; and the least probability and share of a notice.
 SAMPLE = 800
+SAMPLE_CHARS = 600
 LEAST = 0.5
 CONFIRM = 0.6
 # And the least share of its pairs of neighbouring words: in a long passage its words may stand apart by chance.
@@ -188,7 +191,10 @@ def fit(docs: DataFrame, text: str = "text") -> LicenseModel:
     some = docs.where(F.col(text).isNotNull() & (chance < float(SAMPLE) / max(count, 1)))
     lines = F.split(F.col(text), "\n")
     line = F.element_at(lines, (F.pmod(F.xxhash64(text), F.size(lines)) + 1).cast("int"))
-    return train([r[0] for r in some.select(F.substring(line, 1, 600)).collect()])
+    some = some.select(line.alias("line"))
+    # Of a long line, so many characters from a place that its hash chooses.
+    place = F.pmod(F.xxhash64("line"), F.greatest(F.length("line") - SAMPLE_CHARS, F.lit(0)) + 1).cast("int") + 1
+    return train([r[0] for r in some.select(F.substring("line", place, F.lit(SAMPLE_CHARS))).collect()])
 
 
 # Longer than any notice, with room for words put in.
@@ -232,9 +238,11 @@ def notices(docs: DataFrame, model: LicenseModel, key: str = "doc_id", text: str
     """``key, paragraph, family, score, share`` of every licence notice (``paragraph``: its first line, from 0)."""
     spark = docs.sparkSession
     cues = F.array(*map(F.lit, model.cues)).cast("array<string>")
-    body = docs.select(F.col(key).alias("key"), F.monotonically_increasing_id().alias("row"), F.coalesce(F.col(text), F.lit("")).alias("body"))
-    # Whole texts without a cue go first; then passages, of the few texts that are left.
-    body = body.where(F.arrays_overlap(F.split(F.lower("body"), "[^a-z0-9]+"), cues))
+    body = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("body"))
+    # Whole texts without a cue go first; then passages, of the few texts that are left. A row is known by its key, a
+    # hash of its text and how often it occurs, so a task that runs anew finds the same rows.
+    body = body.where(F.arrays_overlap(F.split(F.lower("body"), "[^a-z0-9]+"), cues)).groupBy("key", "body").agg(F.count("*").alias("n"))
+    body = body.select("key", F.struct(F.xxhash64("body").alias("tag"), "n").alias("row"), "body")
     told = _passages(body).where(F.arrays_overlap("words", cues))
     size = F.size("words")
 
@@ -277,19 +285,22 @@ def notices(docs: DataFrame, model: LicenseModel, key: str = "doc_id", text: str
         return F.size(F.array_except("common", theirs)) == 0
 
     here = best.groupBy(*place).agg(F.collect_list(F.struct("family", "score", "share", "common", "all")).alias("others"))
-    best = here.select("*", F.inline("others")).where(~covered(lambda o: F.lit(True))).drop("others")
+    best = materialise(here.select("*", F.inline("others")).where(~covered(lambda o: F.lit(True))).drop("others"), "passages")
     # A passage may cut a notice: the same for families whose places all meet it. One entry a family.
     group = ["key", "row", "block"]
-    each = best.groupBy("row", "block", "family").agg(
+    each = best.groupBy(*group, "family").agg(
         F.max_by(F.struct("common", "all", "score"), F.size("common")).alias("b"), F.min("stop").alias("stop"), F.max("start").alias("start")
     )
-    others = each.groupBy("row", "block").agg(F.collect_list(F.struct("family", "b.common", "b.all", "b.score", "start", "stop")).alias("others"))
+    others = each.groupBy(*group).agg(F.collect_list(F.struct("family", "b.common", "b.all", "b.score", "start", "stop")).alias("others"))
     meets = lambda o: (o["stop"] > F.col("start")) & (o["start"] < F.col("stop"))
-    own = best.join(others, ["row", "block"]).where(~covered(meets)).drop("others", "common", "all")
+    others = others.select(*(F.col(c).alias(f"_{c}") for c in group), "others")
+    same = F.col("key").eqNullSafe(F.col("_key")) & (F.col("row") == F.col("_row")) & (F.col("block") == F.col("_block"))
+    own = best.join(others, same).where(~covered(meets)).drop("others", "common", "all")
     # Lines that are notices by themselves come out each; otherwise the best passage of the paragraph does.
     rest = F.struct("share", "score", -F.col("start"), F.col("line"))
     by_family = own.groupBy(*group, "family").agg(
         F.collect_list(F.when(F.col("whole"), F.struct("line", "score", "share"))).alias("lines"), F.max_by(F.struct("line", "score", "share"), rest).alias("best")
     )
-    found = by_family.select("key", "family", F.explode(F.when(F.size("lines") > 0, F.col("lines")).otherwise(F.array("best"))).alias("f"))
+    found = by_family.select("key", "row", "family", F.explode(F.when(F.size("lines") > 0, F.col("lines")).otherwise(F.array("best"))).alias("f"))
+    found = found.select("key", "family", F.explode(F.array_repeat("f", F.col("row.n").cast("int"))).alias("f"))
     return found.select(F.col("key").alias(key), F.col("f.line").alias("paragraph"), "family", "f.score", "f.share")
