@@ -1,5 +1,8 @@
 """Language and quality: held-out accuracy on the given tables, and odd rows."""
 
+import random
+
+import zstandard
 from llm.odd import TEXTS, documents, empty
 
 from banterscope.llm import language, licenses, quality
@@ -84,3 +87,37 @@ def test_licences_of_the_tables(spark, tables):
     wanted = docs.where("text rlike 'GNU General Public License|CC BY-NC 4.0|MIT License|Apache License'")
     found = licenses.notices(docs, licenses.fit(docs))
     assert {r[0] for r in wanted.select("doc_id").collect()} == {r[0] for r in found.select("doc_id").collect()}
+
+
+def test_repeated_rows_have_a_notice_each_however_rows_are_dealt(spark):
+    line = "This work is licensed under the GNU General Public License, version 3."
+    rows = [(1, line), (1, line), (None, line), (None, line), (1, "x\n" + line), (2, "plain")]
+    model = licenses.train(["here is a plain line of the corpus number %d with words" % i for i in range(60)])
+    for parts in (1, 5):
+        found = licenses.notices(documents(spark, rows).repartition(parts), model).collect()
+        assert sorted((str(r.doc_id), r.paragraph, r.family) for r in found) == [("1", 0, "gpl"), ("1", 0, "gpl"), ("1", 1, "gpl"), ("None", 0, "gpl"), ("None", 0, "gpl")]
+
+
+def test_difference_is_that_of_plain_compression():
+    good, bad = ([f"{w} text number {i * 7919 % 1000} of some length".encode() for i in range(300)] for w in ("good", "BAD!"))
+    model = quality.QualityModel(quality._dictionary(good), quality._dictionary(bad), 1.0, 0.0)
+    text = b"".join(good[:20] + bad[:30])
+
+    def size(data):
+        own = zstandard.ZstdCompressionDict(data)
+        frames = zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=own, write_content_size=False, write_dict_id=False)
+        return sum(len(frames.compress(text[i : i + quality.PIECE])) for i in range(0, len(text), quality.PIECE))
+
+    assert model.difference(text) == (size(model.bad) - size(model.good)) / len(text)
+
+
+def test_quality_learns_from_any_part_of_long_texts(spark):
+    r = random.Random(5)
+    noise = lambda: " ".join(str(r.random()) for _ in range(30))
+    word = {1: lambda: r.choice("river stone meadow harvest".split()), 0: lambda: r.choice("$$$ !!! CLICK WIN".split())}
+    # Whole texts are marked by words far beyond the first characters.
+    rows = [(i, noise() * 8 + " ".join(word[i % 2]() for _ in range(4000))) for i in range(60)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    model = quality.fit(documents(spark, rows), labels)
+    scored = quality.score(documents(spark, rows), model).collect()
+    assert min(x.score for x in scored if x.doc_id % 2) > max(x.score for x in scored if x.doc_id % 2 == 0)
