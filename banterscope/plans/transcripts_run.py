@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from banterscope.config import PipelineConfig
 from banterscope.functions import names, records
 from banterscope.operators import audio
+from banterscope.session import materialise
 from banterscope.sinks.batch import write_transcripts
 from banterscope.sources import tables
 
@@ -73,8 +74,35 @@ def short_transcripts(
     )
 
 
-def run_long(spark: SparkSession, results: str, sidecars: str, drop_zone: str, errors: str) -> None:
-    """Result files and sidecars to messages; what failed goes to a table of its own."""
+def deliver(found: DataFrame, drop_zone: str, errors: str, delivered: str) -> None:
+    """New messages go to the drop-zone, what failed to ``errors``.
+
+    ``delivered`` is a table of the object names that have been written, so a second run over the same files, or over
+    more of them, adds only what is new; what failed is tried again, and told once for each reason. Messages are
+    written before their names: a run that ends between the two writes its messages once more.
+    """
+    spark = found.sparkSession
+    spark.createDataFrame([], "object_name string, result_name string").write.mode("ignore").parquet(delivered)
+    spark.createDataFrame([], "object_name string, error string").write.mode("ignore").parquet(errors)
+    fresh = materialise(found.join(spark.read.parquet(delivered), "object_name", "left_anti"), "transcripts")
+    told = spark.read.parquet(errors)
+    failed = fresh.where(F.col("error").isNotNull()).select("object_name", "error").distinct()
+    materialise(failed.join(told, ["object_name", "error"], "left_anti"), "failed").write.mode("append").parquet(errors)
+    good = fresh.where(F.col("error").isNull())
+    write_transcripts(good, drop_zone)
+    good.select("object_name", "result_name").write.mode("append").parquet(delivered)
+
+
+def run_long(spark: SparkSession, results: str, sidecars: str, drop_zone: str, errors: str, delivered: str | None = None) -> None:
+    """Result files and sidecars of long recordings to messages; what failed goes to a table of its own."""
     found = long_transcripts(tables.stt_results(spark, results), tables.sidecars(spark, sidecars))
-    write_transcripts(found.where(F.col("error").isNull()), drop_zone)
-    found.where(F.col("error").isNotNull()).select("object_name", "error").write.mode("append").parquet(errors)
+    deliver(found.withColumn("result_name", F.col("object_name")), drop_zone, errors, delivered or f"{errors.rstrip('/')}_delivered")
+
+
+def run_short(
+    spark: SparkSession, results: str, sidecars: str, drop_zone: str, errors: str, cfg: PipelineConfig,
+    delivered: str | None = None, translations: DataFrame | None = None,
+) -> None:
+    """The same for short recordings; a result file has the name of its sound file."""
+    found = short_transcripts(tables.stt_results(spark, results), tables.sidecars(spark, sidecars), cfg, translations=translations)
+    deliver(found, drop_zone, errors, delivered or f"{errors.rstrip('/')}_delivered")

@@ -1,7 +1,8 @@
 """Command line: ``spark-submit banterscope/run.py JOB --option value ...``.
 
 ``stream`` scores messages and serves all consumers; ``replay`` does the same for a
-bounded set of messages; ``train`` makes and, if it is good enough, publishes a scorer.
+bounded set of messages; ``train`` makes and, if it is good enough, publishes a scorer;
+``transcripts`` and ``short-transcripts`` put recognition results into the drop-zone, once each.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from banterscope.config import PipelineConfig
 from banterscope.operators import events, windows
 from banterscope.operators.scoring import Scorer, by_path, scorer
 from banterscope.plans.training_run import TrainingRun, run_csv
+from banterscope.plans.transcripts_run import run_long, run_short
 from banterscope.sinks.batch import append_warehouse, write_outbox
 from banterscope.sinks.streams import topic
 from banterscope.session import CONF
@@ -27,7 +29,7 @@ from banterscope.streaming import jobs
 
 def arguments(given: list[str] | None = None) -> argparse.Namespace:
     parser = argparse.ArgumentParser(description=__doc__)
-    parser.add_argument("job", choices=("stream", "replay", "train"))
+    parser.add_argument("job", choices=("stream", "replay", "train", "transcripts", "short-transcripts"))
     parser.add_argument("--root", required=True, help="shared folder for tables and checkpoints")
     parser.add_argument("--messages", help="drop-zone folder with a JSON message per line")
     parser.add_argument("--servers", help="brokers; messages then come from a topic")
@@ -44,6 +46,9 @@ def arguments(given: list[str] | None = None) -> argparse.Namespace:
     parser.add_argument("--offsets-per-batch", type=int, default=1_000_000, help="the same for a topic (default 1000000)")
     parser.add_argument("--comments", help="CSV with comment_text and target")
     parser.add_argument("--model-id")
+    parser.add_argument("--results", help="folder of recognition results, a JSON file each")
+    parser.add_argument("--sidecars", help="folder of request metadata, a JSON file each")
+    parser.add_argument("--translations", help="Parquet table with object_name and pieces, for short transcripts")
     for option in fields(PipelineConfig):
         parser.add_argument(f"--{option.name.replace('_', '-')}", help=f"default {option.default}")
     return parser.parse_args(given)
@@ -124,6 +129,17 @@ def replay(spark: SparkSession, args: argparse.Namespace) -> None:
     windows.toxic_flags(found, cfg).write.parquet(layout.table("flags"))
 
 
+def transcripts(spark: SparkSession, args: argparse.Namespace) -> None:
+    layout = jobs.Layout(args.root)
+    folders = (args.results, args.sidecars, args.messages, layout.table("transcript_errors"))
+    delivered = layout.table("transcripts_delivered")
+    if args.job == "transcripts":
+        run_long(spark, *folders, delivered)
+    else:
+        translated = spark.read.parquet(args.translations) if args.translations else None
+        run_short(spark, *folders, options(args), delivered, translated)
+
+
 def main(given: list[str] | None = None) -> None:
     args = arguments(given)
     # A session of its own, so that its settings stay with the job.
@@ -133,7 +149,7 @@ def main(given: list[str] | None = None) -> None:
     if args.job == "train":
         run_csv(spark, args.comments, TrainingRun(args.root, args.model_id))
     else:
-        {"stream": stream, "replay": replay}[args.job](spark, args)
+        {"stream": stream, "replay": replay, "transcripts": transcripts, "short-transcripts": transcripts}[args.job](spark, args)
 
 
 if __name__ == "__main__":

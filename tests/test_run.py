@@ -72,6 +72,34 @@ def test_replay(spark, tmp_path):
         run.main(["replay", "--root", str(root), "--messages", str(tmp_path / "in.jsonl")])
 
 
+def spoken(text, language="en-US"):
+    return json.dumps({"results": [{"alternatives": [{"transcript": text}], "resultEndTime": "1s", "languageCode": language}]})
+
+
+@pytest.mark.parametrize(("job", "suffix"), [("transcripts", "json"), ("short-transcripts", "flac")])
+def test_transcripts_are_delivered_once(spark, tmp_path, job, suffix):
+    stt, meta, zone, root = (tmp_path / n for n in ("stt", "meta", "zone", "root"))
+    stt.mkdir()
+    meta.mkdir()
+    given = [job, "--root", str(root), "--results", str(stt), "--sidecars", str(meta), "--messages", str(zone)]
+    lines = lambda: sorted(json.loads(r.value)["userid"] for r in spark.read.text(str(zone)).collect())
+    for name in ("a", "late"):
+        (stt / f"{name}.{suffix}").write_text(spoken(f"words of {name}"))
+    (meta / "a.json").write_text(json.dumps({"userid": "u", "timestamp": 3}))
+    run.main(given)
+    run.main(given)
+    assert lines() == ["u"]
+    errors = spark.read.parquet(str(root / "transcript_errors")).collect()
+    assert [tuple(r) for r in errors] == [("late.json", "metadata missing")]
+    # Metadata that comes later lets its transcript through, and nothing else again.
+    (meta / "late.json").write_text(json.dumps({"userid": "v", "timestamp": 4}))
+    run.main(given)
+    run.main(given)
+    assert lines() == ["u", "v"]
+    names = {r.object_name: r.result_name for r in spark.read.parquet(str(root / "transcripts_delivered")).collect()}
+    assert set(names) == {"a.json", "late.json"} and all(n.startswith(k[:-5]) for k, n in names.items())
+
+
 def test_stream(spark, tmp_path):
     """All jobs at once; messages that arrive later go all the way through."""
     inbox = tmp_path / "in"
