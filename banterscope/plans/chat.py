@@ -115,20 +115,24 @@ def _sources(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _arrived(spark: SparkSession, folder: str) -> tuple[AlertJob, int]:
-    """Runs the alert stream over the three sources, in several batches by the time of publishing."""
+    """Runs the alert stream over the three sources, in several batches by the time of publishing.
+
+    What has arrived is one batch, in however many files it was written: the steps' number doesn't grow with the input.
+    """
     root, session = shared_folder(spark, "sources"), _job_session(spark)
     rows = _sources(spark, folder)
     low, high = rows.agg(F.min("publish_time"), F.max("publish_time")).first()
+    arriving = session.readStream.schema(rows.schema).option("recursiveFileLookup", True)
+    job, version = AlertJob(SOURCES, f"{root}/alerts"), -1
     for part in range(ARRIVALS if low else 0):
         start, stop = (low + (high - low) * k / ARRIVALS for k in (part, part + 1))
         came = F.col("publish_time") >= F.lit(start)
         came &= F.col("publish_time") < F.lit(stop) if part + 1 < ARRIVALS else F.lit(True)
         rows.where(came).write.parquet(f"{root}/rows/{part}")
-    arriving = session.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True)
-    job = AlertJob(SOURCES, f"{root}/alerts")
-    query = job.start(arriving.parquet(f"{root}/rows"), f"{root}/checkpoint")
-    query.awaitTermination()
-    return job, job.last_version(query)
+        query = job.start(arriving.parquet(f"{root}/rows"), f"{root}/checkpoint")
+        query.awaitTermination()
+        version = max(version, job.last_version(query))
+    return job, version
 
 
 def alerts_of_sources(spark: SparkSession, folder: str) -> DataFrame:

@@ -128,6 +128,8 @@ class AlertJob:
         """``userid, start, score, toxic`` of the windows that end after ``low`` and not after ``high``."""
         length, slide = self.cfg.window_seconds * SECOND, self.cfg.slide_seconds * SECOND
         first, last = self._window_starts(F.col("pane"))
+        # Panes outside these windows needn't be spread over windows first.
+        panes = panes.where((F.col("pane") > low - length) & (F.col("pane") < high))
         spread = panes.select("userid", F.explode(F.sequence(first, last, F.lit(slide))).alias("start"), "total", "messages")
         inside = spread.where((F.col("start") > low - length) & (F.col("start") <= high - length))
         sums = inside.groupBy("userid", "start").agg(F.sum("total").alias("total"), F.sum("messages").alias("messages"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from banterscope.config import PipelineConfig
 from banterscope.operators import windows
+from banterscope.plans import chat
 from banterscope.streaming import alerts
 from banterscope.streaming.alerts import AlertJob
 
@@ -102,6 +103,20 @@ def test_toxic_users_are_remembered_over_batches_and_over_what_is_forgotten(spar
     assert everything(job, spark, 5) == plainly(spark, rows) == Counter({("u", 5): 1, ("u", 905): 1})
 
 
+def test_an_arrival_is_one_batch_in_however_many_files(spark, tmp_path):
+    seen = spark.range(400).selectExpr("id as event_id", "id % 7 as user_id", "timestamp_seconds(1700000000 + id * 900) as ts", "double(id % 100) as value")
+    seen.repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    job, version = chat._arrived(spark, str(tmp_path))
+    assert version == chat.ARRIVALS - 1
+    assert job.counts(spark).agg(F.sum(F.col("on_time") + F.col("late") + F.col("aside"))).first()[0] == 400
+
+
+def test_no_events_arrive(spark, tmp_path):
+    none = spark.range(0).selectExpr("id as event_id", "id as user_id", "timestamp_seconds(id) as ts", "double(id) as value")
+    none.write.parquet(str(tmp_path / "events.parquet"))
+    assert chat.rows_of_sources(spark, str(tmp_path)).count() == chat.alerts_of_sources(spark, str(tmp_path)).count() == 0
+
+
 def test_empty_batches(spark, tmp_path):
     job = run(spark, tmp_path / "job", [[], [("u", "s", 0, 1, 0.9)], []])
     assert everything(job, spark, 2) == Counter({("u", 5): 1})
