@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from banterscope.llm.blocks import BitFilter, WordTable, kept, make_room, mix, shingles, sized_filter, text_blocks
 from banterscope.llm.components import components
-from banterscope.session import materialise
+from banterscope.session import discard, materialise
 
 # Texts are counted by slots of tokens, in chunks of slots; so many tasks' chunks are added up at a time. The order
 # that comes of it changes the work only, never the result.
@@ -145,8 +145,10 @@ def slot_counts(docs: DataFrame, text: str, width: int) -> np.ndarray:
     counted = docs.select(text).mapInArrow(count, "chunk long, part long, texts binary")
     added = counted.groupBy("chunk", "part").applyInArrow(add, "chunk long, texts binary")
     codes = np.zeros((1 << (SLOTS_LOG - CHUNK_LOG), 1 << CHUNK_LOG), np.uint8)
-    for chunk, raw in added.groupBy("chunk").applyInArrow(code, "chunk long, codes binary").toLocalIterator():
+    coded = materialise(added.groupBy("chunk").applyInArrow(code, "chunk long, codes binary"), "slots")
+    for chunk, raw in coded.toLocalIterator():
         codes[chunk] = np.frombuffer(raw, np.uint8)
+    discard(coded)
     return codes.reshape(-1)
 
 
@@ -232,8 +234,8 @@ def _verified(pairs: DataFrame, leaves: DataFrame, docs: DataFrame, text: str, w
     """The pairs ``a, b`` of leaves that are linked, by their whole sets."""
     pairs = materialise(pairs.select("a", "b").distinct(), "pairs")
     ends = pairs.select(F.col("a").alias("leaf")).union(pairs.select("b")).distinct()
-    tags = ends.join(leaves.select("leaf", "tag"), "leaf").groupBy("leaf").agg(F.min("tag").alias("tag"))
-    sets = materialise(_sets(docs, text, width, sized_filter(materialise(tags, "tags").select("tag"))), "sets")
+    tags = materialise(ends.join(leaves.select("leaf", "tag"), "leaf").groupBy("leaf").agg(F.min("tag").alias("tag")), "tags")
+    sets = materialise(_sets(docs, text, width, sized_filter(tags.select("tag"))), "sets")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make_room()
@@ -248,7 +250,9 @@ def _verified(pairs: DataFrame, leaves: DataFrame, docs: DataFrame, text: str, w
     one = sets.select(F.col("leaf").alias("a"), F.col("tokens").alias("one"))
     two = sets.select(F.col("leaf").alias("b"), F.col("tokens").alias("two"))
     joined = pairs.join(one, "a").join(two, "b").select("a", "b", "one", "two")
-    return materialise(joined.mapInArrow(run, "a binary, b binary"), "verified")
+    verified = materialise(joined.mapInArrow(run, "a binary, b binary"), "verified")
+    discard(pairs, tags, sets)
+    return verified
 
 
 def _fits(x: Column, y: Column, share: int, parts: int) -> Column:
@@ -358,6 +362,7 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
             yield batch.filter(pa.array(own.has(batch.column("token").to_numpy().view(np.uint64))))
 
     shows = materialise(seen.mapInArrow(narrow, seen.schema).join(meeting, "token").distinct(), "shows")
+    discard(meeting)
     near = leaves.where("leaf is not null").select(F.explode("least").alias("token"), "leaf").distinct()
     # Every leaf with the least leaf of each token that it shows or has among its least hashes.
     stars = _stars(shows.select("token", "leaf")).union(_stars(near)).distinct()
@@ -365,12 +370,16 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
     met = shows.select("leaf").union(stars.select("a")).union(stars.select("b")).distinct()
     known = leaves.join(met, "leaf").groupBy("leaf").agg(F.any_value("n").alias("n"), F.any_value("bits").alias("bits"))
     known = materialise(known, "known")
+    # Bitmaps and lists of tokens are by far the larger part of the leaves, and have been used.
+    wide, leaves = leaves, materialise(leaves.select("key", "n", "leaf", "tag"), "named")
+    discard(wide)
 
     def side(frame: DataFrame, name: str) -> DataFrame:
         return frame.select(F.col("leaf").alias(name), F.col("n").alias("n_" + name), F.col("bits").alias("bits_" + name))
 
-    stars = stars.join(side(known, "a"), "a").join(side(known, "b"), "b").where(_fits(F.col("n_a"), F.col("n_b"), share, parts))
-    links = _verified(_bounded(stars, "a", "b", share, parts), leaves, docs, text, width, share, parts)
+    bound = stars.join(side(known, "a"), "a").join(side(known, "b"), "b").where(_fits(F.col("n_a"), F.col("n_b"), share, parts))
+    links = _verified(_bounded(bound, "a", "b", share, parts), leaves, docs, text, width, share, parts)
+    discard(stars)
     nodes = components(links)
     # Third step: what leaves of different components can still have in common. A node has some leaves of one.
     member = known.select("leaf", "n").join(nodes.withColumnRenamed("node", "leaf"), "leaf", "left")
@@ -380,8 +389,10 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
     inner = shows.join(member, "leaf")
     apart = inner.groupBy("token").agg(F.min("root").alias("_least"), F.max("root").alias("_most")).where("_least <> _most").select("token")
     inner = materialise(inner.join(apart, "token"), "inner")
+    discard(shows)
     tree = inner.select("leaf", "root", "node", "n").distinct().join(known.select("leaf", "bits"), "leaf")
     tree = materialise(_with_words(tree, words="bits"), "tree")
+    discard(known)
     ranges = materialise(_with_words(_nodes(tree), some="any", every="all"), "nodes")
     top = _classes(inner).join(ranges.select("root", "node", "some", "every"), ["root", "node"])
     one, two = (top.select("class", *(F.col(c).alias(c + i) for c in ("root", "node", "size", "low", "high", "rest", "some", "every"))) for i in "12")
@@ -403,6 +414,7 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
     last = tree.select(F.col("root").alias("root2"), F.col("node").alias("node2"), F.col("leaf").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b"), F.col("words").alias("words_b"))
     ends = against.join(last, ["root2", "node2"]).where(_fits(F.col("n_a"), F.col("n_b"), share, parts) & _words_fit(share, parts)).drop("words_a", "words_b")
     more = _verified(_bounded(ends, "a", "b", share, parts), leaves, docs, text, width, share, parts)
+    discard(inner, tree, ranges)
     if not more.isEmpty():
         # Leaves are linked already within their nodes; the new links join nodes.
         nodes = components(nodes.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
