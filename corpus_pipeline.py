@@ -14,6 +14,7 @@ returns the encoded corpus.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from banterscope.llm import bpe, jaccard, language, leaks, secrets
 from banterscope.llm.queries import table, vocabulary
 from banterscope.llm.samples import fold
-from banterscope.session import materialise
+from banterscope.session import materialise, small_batches
 
 
 def find_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,12 +52,26 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("language", find_language),
-    ("near_copies", drop_near_copies),
-    ("decontamination", decontaminate),
-    ("secrets", redact_secrets),
-    ("encode", encode),
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def _lean(stage: Stage) -> Stage:
+    """The stage in a session whose batches are small: executors keep what earlier stages made them reserve."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("language", _lean(find_language)),
+    ("near_copies", _lean(drop_near_copies)),
+    ("decontamination", _lean(decontaminate)),
+    ("secrets", _lean(redact_secrets)),
+    ("encode", _lean(encode)),
 ]
 
 # Trained and hashed stages can't be told in SQL; tests hold them against brute force instead.

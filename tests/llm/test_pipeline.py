@@ -3,13 +3,14 @@
 import re
 
 import corpus_pipeline
+import pyarrow as pa
 from llm.odd import documents, empty
 from llm.test_pairs import brute
 from llm.test_spans import secret_spans
 from tokenizers import Tokenizer
 
 from banterscope.llm.queries import vocabulary
-from banterscope.session import materialise
+from banterscope.session import BATCHES, materialise, small_batches
 
 
 def runs(text, width=5):
@@ -56,3 +57,29 @@ def test_stages_take_odd_rows_and_empty_tables(spark, tables):
             assert out.count() <= rows.count()
             if name != "encode":
                 assert out.columns == rows.columns
+
+
+def test_stages_work_in_small_batches(spark, tables):
+    before = {key: spark.conf.get(key) for key in BATCHES}
+
+    def rows(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [batch.num_rows]})
+
+    def sizes():
+        return [r.n for r in spark.range(0, 5000, 1, 1).mapInArrow(rows, "n long").collect()]
+
+    try:
+        for key in BATCHES:
+            spark.conf.set(key, "4096")
+        for name, stage in corpus_pipeline.STAGES:
+            stage(spark, empty(spark), tables)
+        assert max(sizes()) <= 1000 and sum(sizes()) == 5000
+        assert all(int(spark.conf.get(key)) == most for key, most in BATCHES.items())
+        for key in BATCHES:  # a session's own smaller number stays
+            spark.conf.set(key, "64")
+        small_batches(spark)
+        assert max(sizes()) == 64
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
