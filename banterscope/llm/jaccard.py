@@ -7,9 +7,11 @@ pair; no link between different sets is lost.
 1. Texts with the same set are one leaf. A leaf shows the tokens that any partner must share one of: under a
    fixed order, the first ``n - ceil(n * share / parts) + 1`` of its ``n`` tokens. The order goes by how many texts
    have a token, all texts counted, so that passages which texts share come last.
-2. Leaves that show the same token, or have it among their few least hashes, meet its least leaf only, never each
-   other. Pairs that hold make the lower nodes of the tree: groups of leaves that are linked already, so large
-   groups of near copies are dealt with by a few pairs a member.
+2. Leaves that show the same token, or have it among their few least hashes, meet its least leaf in their size band
+   and in the next ones only, never each other. The key of a leaf begins with its size band and then with how common
+   its tokens are, so the least is the one most like the text that a group was copied from: any other copy differs
+   from a member by its own changes too. Pairs that hold make the lower nodes of the tree: groups of leaves that
+   are linked already, so large groups of near copies are dealt with by a few pairs a member.
 3. Nodes keep the range of sizes, and the OR and the AND of the leaves' token bitmaps. Pairs of different nodes
    that show a common token are followed from node to leaf on both sides: node with node, leaf with node, leaf
    with leaf. What all leaves of one side have and no leaf of the other can't be common, and a pair is dropped as
@@ -24,12 +26,13 @@ once; a component's id is the least non-null key in it.
 from __future__ import annotations
 
 import hashlib
+import math
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,6 +48,8 @@ ADDED = 256
 LEAST_BITS_LOG = 10
 # Tokens of the least hashes by which near copies find each other first.
 LEAST = 3
+# Each size band ends at this many times its least size, or more: one byte holds the bands of all sizes.
+LEAST_BAND = 1.1
 # Leaves that a node has on average; more would fill its bitmap.
 NODE_LEAVES = 16
 
@@ -58,8 +63,16 @@ def token_sets(texts: list[bytes], width: int) -> Iterator[np.ndarray]:
         yield np.unique(values[starts[i] : starts[i + 1]])
 
 
-def set_key(tokens: np.ndarray) -> bytes | None:
-    return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest() if len(tokens) else None
+def set_key(tokens: np.ndarray, codes: np.ndarray, share: int, parts: int) -> bytes | None:
+    """The leaf of a set: a byte of its size band, two that are less the more texts have its tokens, and a digest.
+
+    Sets that may be linked are in the same band or in neighbouring ones.
+    """
+    if not len(tokens):
+        return None
+    band = min(255, int(math.log(len(tokens)) / math.log(max(parts / share, LEAST_BAND))))
+    common = int(256 * codes[_slot(tokens)].mean())
+    return bytes([band]) + (65535 - common).to_bytes(2, "big") + hashlib.blake2b(tokens.tobytes(), digest_size=13).digest()
 
 
 def bitmap(tokens: np.ndarray) -> bytes:
@@ -164,10 +177,9 @@ def _lists(parts: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(offsets, np.concatenate(parts).view(np.int64))
 
 
-def _leaves(docs: DataFrame, key: str, text: str, width: int, share: int, parts: int) -> DataFrame:
+def _leaves(docs: DataFrame, key: str, text: str, width: int, share: int, parts: int, held: Broadcast) -> DataFrame:
     """``key, n, leaf, tag, bits, least, shown`` of every row; ``tag`` finds the text again."""
     kind = docs.schema[key].dataType.simpleString()
-    held = docs.sparkSession.sparkContext.broadcast(slot_counts(docs, text, width).tobytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make_room()
@@ -179,7 +191,7 @@ def _leaves(docs: DataFrame, key: str, text: str, width: int, share: int, parts:
                 columns = [
                     rows.column("key"),
                     pa.array([len(t) for t in sets], pa.int64()),
-                    pa.array([set_key(t) for t in sets], pa.binary()),
+                    pa.array([set_key(t, codes, share, parts) for t in sets], pa.binary()),
                     rows.column("tag"),
                     pa.array([bitmap(t) if len(t) else None for t in sets], pa.binary()),
                     _lists([t[:LEAST] for t in sets]),
@@ -191,18 +203,18 @@ def _leaves(docs: DataFrame, key: str, text: str, width: int, share: int, parts:
     return materialise(plain.mapInArrow(run, f"key {kind}, n long, leaf binary, tag long, bits binary, least array<long>, shown array<long>"), "leaves")
 
 
-def _sets(docs: DataFrame, text: str, width: int, wanted: BitFilter) -> DataFrame:
+def _sets(docs: DataFrame, text: str, width: int, share: int, parts: int, held: Broadcast, wanted: BitFilter) -> DataFrame:
     """``leaf, tokens`` of the texts whose tags are wanted (and a few others)."""
-    held = docs.sparkSession.sparkContext.broadcast(wanted.bits.tobytes())
+    tags = docs.sparkSession.sparkContext.broadcast(wanted.bits.tobytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make_room()
-        own = BitFilter(held.value)
+        own, codes = BitFilter(tags.value), np.frombuffer(held.value, np.uint8)
         for batch in batches:
             batch = batch.filter(pa.array(own.has(batch.column("tag").to_numpy().view(np.uint64))))
             for _, texts in text_blocks(batch, "text"):
                 sets = [t for t in token_sets(texts, width) if len(t)]
-                columns = [pa.array([set_key(t) for t in sets], pa.binary()), pa.array([t.tobytes() for t in sets], pa.binary())]
+                columns = [pa.array([set_key(t, codes, share, parts) for t in sets], pa.binary()), pa.array([t.tobytes() for t in sets], pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, ["leaf", "tokens"])
 
     found = docs.select(F.col(text).alias("text"), F.xxhash64(text).alias("tag")).mapInArrow(run, "leaf binary, tokens binary")
@@ -230,12 +242,12 @@ def _bounded(pairs: DataFrame, left: str, right: str, share: int, parts: int) ->
     return pairs.mapInArrow(run, pairs.schema)
 
 
-def _verified(pairs: DataFrame, leaves: DataFrame, docs: DataFrame, text: str, width: int, share: int, parts: int) -> DataFrame:
+def _verified(pairs: DataFrame, leaves: DataFrame, docs: DataFrame, text: str, width: int, share: int, parts: int, held: Broadcast) -> DataFrame:
     """The pairs ``a, b`` of leaves that are linked, by their whole sets."""
     pairs = materialise(pairs.select("a", "b").distinct(), "pairs")
     ends = pairs.select(F.col("a").alias("leaf")).union(pairs.select("b")).distinct()
     tags = materialise(ends.join(leaves.select("leaf", "tag"), "leaf").groupBy("leaf").agg(F.min("tag").alias("tag")), "tags")
-    sets = materialise(_sets(docs, text, width, sized_filter(tags.select("tag"))), "sets")
+    sets = materialise(_sets(docs, text, width, share, parts, held, sized_filter(tags.select("tag"))), "sets")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make_room()
@@ -341,14 +353,17 @@ def _classes(inner: DataFrame) -> DataFrame:
 
 
 def _stars(shows: DataFrame) -> DataFrame:
-    """``a, b``: every leaf with the least leaf that has one of its tokens."""
-    least = shows.groupBy("token").agg(F.min("leaf").alias("b"))
-    return shows.join(least, "token").where("leaf <> b").select(F.col("leaf").alias("a"), "b")
+    """``a, b``: every leaf with the least leaf of its own and of the neighbouring size bands that has one of its tokens."""
+    band = lambda leaf: F.conv(F.hex(F.substring(leaf, 1, 1)), 16, 10).cast("int")
+    least = shows.groupBy("token", F.substring("leaf", 1, 1)).agg(F.min("leaf").alias("b")).select("token", "b")
+    near = F.abs(band("leaf") - band("b")) <= 1
+    return shows.join(least, "token").where(near & F.expr("leaf <> b")).select(F.col("leaf").alias("a"), "b")
 
 
 def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, share: int = 85, parts: int = 100) -> DataFrame:
     """``key, n_shingles, component_id`` of every row of ``docs``."""
-    leaves = _leaves(docs, key, text, width, share, parts)
+    codes = docs.sparkSession.sparkContext.broadcast(slot_counts(docs, text, width).tobytes())
+    leaves = _leaves(docs, key, text, width, share, parts, codes)
     seen = leaves.where("leaf is not null").select(F.posexplode("shown").alias("at", "token"), "leaf")
     # Tokens that more than one leaf shows. Partial sums make a hot token one row a task.
     short = F.xxhash64("leaf")
@@ -364,7 +379,7 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
     shows = materialise(seen.mapInArrow(narrow, seen.schema).join(meeting, "token").distinct(), "shows")
     discard(meeting)
     near = leaves.where("leaf is not null").select(F.explode("least").alias("token"), "leaf").distinct()
-    # Every leaf with the least leaf of each token that it shows or has among its least hashes.
+    # Every leaf with the least leaves, by bands, of each token that it shows or has among its least hashes.
     stars = _stars(shows.select("token", "leaf")).union(_stars(near)).distinct()
     stars = materialise(stars, "stars")
     met = shows.select("leaf").union(stars.select("a")).union(stars.select("b")).distinct()
@@ -378,7 +393,7 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
         return frame.select(F.col("leaf").alias(name), F.col("n").alias("n_" + name), F.col("bits").alias("bits_" + name))
 
     bound = stars.join(side(known, "a"), "a").join(side(known, "b"), "b").where(_fits(F.col("n_a"), F.col("n_b"), share, parts))
-    links = _verified(_bounded(bound, "a", "b", share, parts), leaves, docs, text, width, share, parts)
+    links = _verified(_bounded(bound, "a", "b", share, parts), leaves, docs, text, width, share, parts, codes)
     discard(stars)
     nodes = components(links)
     # Third step: what leaves of different components can still have in common. A node has some leaves of one.
@@ -413,7 +428,7 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
     against = _bounded(against, "a", "node", share, parts).select("root2", "node2", "a", "n_a", "bits_a", "words_a").distinct()
     last = tree.select(F.col("root").alias("root2"), F.col("node").alias("node2"), F.col("leaf").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b"), F.col("words").alias("words_b"))
     ends = against.join(last, ["root2", "node2"]).where(_fits(F.col("n_a"), F.col("n_b"), share, parts) & _words_fit(share, parts)).drop("words_a", "words_b")
-    more = _verified(_bounded(ends, "a", "b", share, parts), leaves, docs, text, width, share, parts)
+    more = _verified(_bounded(ends, "a", "b", share, parts), leaves, docs, text, width, share, parts, codes)
     discard(inner, tree, ranges)
     if not more.isEmpty():
         # Leaves are linked already within their nodes; the new links join nodes.

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from banterscope.llm import fingerprints, jaccard, leaks
 from banterscope.llm.components import components
+from banterscope.session import materialise
 
 
 def sets(text, width):
@@ -77,6 +78,47 @@ def test_join_takes_odd_rows(spark):
     assert sorted(r.doc_id or 0 for r in one.collect()) == [0, 0, 1, 2, 3, 4, 5, 5, 7, 8]
 
 
+def group(copies, quotes):
+    """Copies of a text, which isn't there itself, with two words changed each, and short texts of a passage that they share."""
+    r = random.Random(8)
+    base = [f"b{i}" for i in range(150)]
+    rows = []
+    for start in range(0, 150, 50) if quotes else ():
+        rows += [(len(rows) + k, " ".join(base[start : start + 50] + [f"q{start}{k}"] * (k > 0))) for k in range(quotes)]
+    for _ in range(copies):
+        copy = list(base)
+        for _ in range(2):
+            copy[r.randrange(150)] = f"e{r.randrange(10**9)}"
+        rows.append((1000 + len(rows), " ".join(copy)))
+    return rows
+
+
+def test_large_groups_of_near_copies_take_a_few_pairs_a_member(spark, monkeypatch):
+    made = Counter()
+
+    def written(frame, name):
+        out = materialise(frame, name)
+        made[name] += out.count()
+        return out
+
+    monkeypatch.setattr(jaccard, "materialise", written)
+    for copies, quotes in ((600, 0), (600, 20)):
+        made.clear()
+        rows = group(copies, quotes)
+        assert got(jaccard.linked(documents(spark, rows), width=5, share=80)) == brute(rows, 5, 80, 100)
+        assert made["pairs"] <= 4 * len(rows) and made["verified"] <= 4 * len(rows)
+
+
+def test_leaves_begin_with_their_size_band_and_common_tokens():
+    codes = np.zeros(1 << jaccard.SLOTS_LOG, np.uint8)
+    tokens = np.arange(3000, dtype=np.uint64)
+    codes[:500] = 200
+    for share, parts in ((85, 100), (80, 100), (1, 1), (1, 2)):
+        key = lambda x: jaccard.set_key(x, codes, share, parts)
+        assert all(abs(key(tokens[:n])[0] - key(tokens[: -(-n * share // parts)])[0]) <= 1 for n in range(1, 3000))
+        assert key(tokens[:500]) < key(tokens[1:501]) < key(tokens[2:502]) and key(tokens[:0]) is None
+
+
 def test_bitmaps_bound_from_below():
     r = np.random.default_rng(1)
     for _ in range(50):
