@@ -32,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast, TaskContext
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,6 +50,8 @@ LEAST_BITS_LOG = 10
 LEAST = 3
 # Each size band ends at this many times its least size, or more: one byte holds the bands of all sizes.
 LEAST_BAND = 1.1
+# Bytes at the end of a leaf's key that tell its set.
+DIGEST = 13
 # Leaves that a node has on average; more would fill its bitmap.
 NODE_LEAVES = 16
 
@@ -63,6 +65,10 @@ def token_sets(texts: list[bytes], width: int) -> Iterator[np.ndarray]:
         yield np.unique(values[starts[i] : starts[i + 1]])
 
 
+def set_digest(tokens: np.ndarray) -> bytes:
+    return hashlib.blake2b(tokens.tobytes(), digest_size=DIGEST).digest()
+
+
 def set_key(tokens: np.ndarray, codes: np.ndarray, share: int, parts: int) -> bytes | None:
     """The leaf of a set: a byte of its size band, two that are less the more texts have its tokens, and a digest.
 
@@ -72,7 +78,7 @@ def set_key(tokens: np.ndarray, codes: np.ndarray, share: int, parts: int) -> by
         return None
     band = min(255, int(math.log(len(tokens)) / math.log(max(parts / share, LEAST_BAND))))
     common = int(256 * codes[_slot(tokens)].mean())
-    return bytes([band]) + (65535 - common).to_bytes(2, "big") + hashlib.blake2b(tokens.tobytes(), digest_size=13).digest()
+    return bytes([band]) + (65535 - common).to_bytes(2, "big") + set_digest(tokens)
 
 
 def bitmap(tokens: np.ndarray) -> bytes:
@@ -177,9 +183,10 @@ def _lists(parts: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(offsets, np.concatenate(parts).view(np.int64))
 
 
-def _leaves(docs: DataFrame, key: str, text: str, width: int, share: int, parts: int, held: Broadcast) -> DataFrame:
+def _leaves(docs: DataFrame, key: str, text: str, width: int, share: int, parts: int) -> DataFrame:
     """``key, n, leaf, tag, bits, least, shown`` of every row; ``tag`` finds the text again."""
     kind = docs.schema[key].dataType.simpleString()
+    held = docs.sparkSession.sparkContext.broadcast(slot_counts(docs, text, width).tobytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make_room()
@@ -203,23 +210,23 @@ def _leaves(docs: DataFrame, key: str, text: str, width: int, share: int, parts:
     return materialise(plain.mapInArrow(run, f"key {kind}, n long, leaf binary, tag long, bits binary, least array<long>, shown array<long>"), "leaves")
 
 
-def _sets(docs: DataFrame, text: str, width: int, share: int, parts: int, held: Broadcast, wanted: BitFilter) -> DataFrame:
-    """``leaf, tokens`` of the texts whose tags are wanted (and a few others)."""
-    tags = docs.sparkSession.sparkContext.broadcast(wanted.bits.tobytes())
+def _sets(docs: DataFrame, text: str, width: int, wanted: BitFilter) -> DataFrame:
+    """``digest, tokens`` of the texts whose tags are wanted (and a few others)."""
+    held = docs.sparkSession.sparkContext.broadcast(wanted.bits.tobytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make_room()
-        own, codes = BitFilter(tags.value), np.frombuffer(held.value, np.uint8)
+        own = BitFilter(held.value)
         for batch in batches:
             batch = batch.filter(pa.array(own.has(batch.column("tag").to_numpy().view(np.uint64))))
             for _, texts in text_blocks(batch, "text"):
                 sets = [t for t in token_sets(texts, width) if len(t)]
-                columns = [pa.array([set_key(t, codes, share, parts) for t in sets], pa.binary()), pa.array([t.tobytes() for t in sets], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["leaf", "tokens"])
+                columns = [pa.array([set_digest(t) for t in sets], pa.binary()), pa.array([t.tobytes() for t in sets], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["digest", "tokens"])
 
-    found = docs.select(F.col(text).alias("text"), F.xxhash64(text).alias("tag")).mapInArrow(run, "leaf binary, tokens binary")
-    # Equal leaves have equal rows, so any one will do.
-    return found.groupBy("leaf").agg(F.any_value("tokens").alias("tokens"))
+    found = docs.select(F.col(text).alias("text"), F.xxhash64(text).alias("tag")).mapInArrow(run, "digest binary, tokens binary")
+    # Equal sets have equal rows, so any one will do.
+    return found.groupBy("digest").agg(F.any_value("tokens").alias("tokens"))
 
 
 def _bounded(pairs: DataFrame, left: str, right: str, share: int, parts: int) -> DataFrame:
@@ -242,12 +249,12 @@ def _bounded(pairs: DataFrame, left: str, right: str, share: int, parts: int) ->
     return pairs.mapInArrow(run, pairs.schema)
 
 
-def _verified(pairs: DataFrame, leaves: DataFrame, docs: DataFrame, text: str, width: int, share: int, parts: int, held: Broadcast) -> DataFrame:
+def _verified(pairs: DataFrame, leaves: DataFrame, docs: DataFrame, text: str, width: int, share: int, parts: int) -> DataFrame:
     """The pairs ``a, b`` of leaves that are linked, by their whole sets."""
     pairs = materialise(pairs.select("a", "b").distinct(), "pairs")
     ends = pairs.select(F.col("a").alias("leaf")).union(pairs.select("b")).distinct()
     tags = materialise(ends.join(leaves.select("leaf", "tag"), "leaf").groupBy("leaf").agg(F.min("tag").alias("tag")), "tags")
-    sets = materialise(_sets(docs, text, width, share, parts, held, sized_filter(tags.select("tag"))), "sets")
+    sets = materialise(_sets(docs, text, width, sized_filter(tags.select("tag"))), "sets")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make_room()
@@ -259,9 +266,10 @@ def _verified(pairs: DataFrame, leaves: DataFrame, docs: DataFrame, text: str, w
                 good.append(parts * both >= share * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    one = sets.select(F.col("leaf").alias("a"), F.col("tokens").alias("one"))
-    two = sets.select(F.col("leaf").alias("b"), F.col("tokens").alias("two"))
-    joined = pairs.join(one, "a").join(two, "b").select("a", "b", "one", "two")
+    one = sets.select(F.col("digest").alias("_a"), F.col("tokens").alias("one"))
+    two = sets.select(F.col("digest").alias("_b"), F.col("tokens").alias("two"))
+    told = lambda leaf: F.substring(leaf, -DIGEST, DIGEST)
+    joined = pairs.join(one, told("a") == F.col("_a")).join(two, told("b") == F.col("_b")).select("a", "b", "one", "two")
     verified = materialise(joined.mapInArrow(run, "a binary, b binary"), "verified")
     discard(pairs, tags, sets)
     return verified
@@ -362,8 +370,7 @@ def _stars(shows: DataFrame) -> DataFrame:
 
 def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, share: int = 85, parts: int = 100) -> DataFrame:
     """``key, n_shingles, component_id`` of every row of ``docs``."""
-    codes = docs.sparkSession.sparkContext.broadcast(slot_counts(docs, text, width).tobytes())
-    leaves = _leaves(docs, key, text, width, share, parts, codes)
+    leaves = _leaves(docs, key, text, width, share, parts)
     seen = leaves.where("leaf is not null").select(F.posexplode("shown").alias("at", "token"), "leaf")
     # Tokens that more than one leaf shows. Partial sums make a hot token one row a task.
     short = F.xxhash64("leaf")
@@ -393,7 +400,7 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
         return frame.select(F.col("leaf").alias(name), F.col("n").alias("n_" + name), F.col("bits").alias("bits_" + name))
 
     bound = stars.join(side(known, "a"), "a").join(side(known, "b"), "b").where(_fits(F.col("n_a"), F.col("n_b"), share, parts))
-    links = _verified(_bounded(bound, "a", "b", share, parts), leaves, docs, text, width, share, parts, codes)
+    links = _verified(_bounded(bound, "a", "b", share, parts), leaves, docs, text, width, share, parts)
     discard(stars)
     nodes = components(links)
     # Third step: what leaves of different components can still have in common. A node has some leaves of one.
@@ -428,7 +435,7 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int
     against = _bounded(against, "a", "node", share, parts).select("root2", "node2", "a", "n_a", "bits_a", "words_a").distinct()
     last = tree.select(F.col("root").alias("root2"), F.col("node").alias("node2"), F.col("leaf").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b"), F.col("words").alias("words_b"))
     ends = against.join(last, ["root2", "node2"]).where(_fits(F.col("n_a"), F.col("n_b"), share, parts) & _words_fit(share, parts)).drop("words_a", "words_b")
-    more = _verified(_bounded(ends, "a", "b", share, parts), leaves, docs, text, width, share, parts, codes)
+    more = _verified(_bounded(ends, "a", "b", share, parts), leaves, docs, text, width, share, parts)
     discard(inner, tree, ranges)
     if not more.isEmpty():
         # Leaves are linked already within their nodes; the new links join nodes.
